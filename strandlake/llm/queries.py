@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, packing, secrets
+from strandlake.llm import bpe, langid, packing, secrets, toxicity
 from strandlake.session import table
 
 
@@ -21,6 +21,25 @@ def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", *more)
 
 
+def remainder(divisor: int) -> Column:
+    """The fold of a document: crc32 of its id as text."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from the rows whose remainder by 5 is not 0; every whole text is judged."""
+    model = langid.train(documents(spark, sf_dir, "lang").where(remainder(5) != 0))
+    found = langid.identify(documents(spark, sf_dir), model)
+    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score", "saving", "rejected")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the rows whose remainder by 3 is not 1; every whole text is scored."""
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(remainder(3) != 1))
+    return toxicity.score(docs, model).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heap-and-linked-list merging over every whole text."""
     found = bpe.count_tokens(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
@@ -44,7 +63,6 @@ def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_bpe_roundtrip, op7_token_counts, op9_secret_scan, op10_packing)
+    f.__name__: f for f in (op1_language_id, op2_toxicity, op4_bpe_roundtrip, op7_token_counts, op9_secret_scan, op10_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
-_ = F
