@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, langid, packing, secrets, toxicity
-from strandlake.session import table
+from strandlake.llm import bpe, langid, packing, secrets, toxicity, warc
+from strandlake.session import shared_folder, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -46,6 +46,20 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op8_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through the archives and back; size and digest of a revisit are those its headers state."""
+    folder = warc.archive_folder(shared_folder(spark))
+    warc.write(warc.with_revisits(table(spark, sf_dir, "pages").select("page_id", "url", "html")), folder)
+    captures = warc.assemble(warc.read(spark, folder)).select(
+        F.coalesce("request.page_id", "metadata.page_id").alias("page_id"),
+        F.col("response.record_type").alias("record_type"),
+        F.col("response.refers_to_page").alias("refers_to"),
+        F.when(F.col("response.record_type") == "response", F.col("response.payload_bytes")).otherwise(F.col("response.http_length")).alias("payload_bytes"),
+        F.when(F.col("response.record_type") == "response", F.col("response.payload_digest")).otherwise(F.substring_index("response.digest_header", ":", -1)).alias("payload_digest"),
+    )
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and Markov models over every whole text."""
     docs = documents(spark, sf_dir)
@@ -63,6 +77,17 @@ def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_toxicity, op4_bpe_roundtrip, op7_token_counts, op9_secret_scan, op10_packing)
+    f.__name__: f for f in (op1_language_id, op2_toxicity, op4_bpe_roundtrip, op7_token_counts, op8_warc_captures, op9_secret_scan, op10_packing)
+}
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc_captures": """
+        with p as (
+            select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages
+        ), s as (
+            select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest) else page_id end as stored from p
+        )
+        select page_id, payload_bytes, payload_digest, case when stored = page_id then 'response' else 'revisit' end as record_type,
+               case when stored = page_id then null else stored end as refers_to
+        from s
+    """,
 }
-ORACLE_SQL: dict[str, str] = {}
