@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, langid, neardup, packing, secrets, toxicity, warc
+from strandlake.llm import bpe, langid, neardup, packing, secrets, spotsigs, toxicity, vectors, warc
 from strandlake.session import shared_folder, table
 
 
@@ -40,6 +40,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and its edited text, and their likeness."""
+    return spotsigs.edited_pairs(documents(spark, sf_dir))
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of at least 0.9 over every vector."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, similarity of at least 0.85, over every whole text."""
     return neardup.near_duplicates(documents(spark, sf_dir), neardup.JoinSettings(width=3, percent=85))
@@ -82,7 +92,7 @@ def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_toxicity, op4_bpe_roundtrip, op5_minhash_near_dedup, op7_token_counts, op8_warc_captures, op9_secret_scan, op10_packing)
+    f.__name__: f for f in (op1_language_id, op2_toxicity, op3_spotsigs, op4_bpe_roundtrip, op5_minhash_near_dedup, op6_embedding_near_dedup, op7_token_counts, op8_warc_captures, op9_secret_scan, op10_packing)
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_warc_captures": """
