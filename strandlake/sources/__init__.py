@@ -1 +1 @@
-
+"""Readers for alignments, annotations, sequences and earlier results."""

@@ -1 +1 @@
-
+"""Structured Streaming variants of the batch operators."""
