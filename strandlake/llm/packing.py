@@ -8,14 +8,18 @@ pattern. Patterns go back to the pieces by their rank among the pieces of one le
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +31,20 @@ from strandlake.session import cut
 RANK_PARTS = 64
 
 
+#: Fixed value: the byte-level tokenizer's split of a text into pieces.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Within these characters all libraries agree what a letter is.
+COMMON = re.compile(r"[\x00-\u024f]*")
+
+PRINTABLE = re.compile(r"[\n\x20-\x7e]+")
+
+
 class ByteEncoder:
-    """Ids of a byte-level BPE as little-endian bytes, each distinct chunk encoded once a worker.
+    """Ids of a byte-level BPE as little-endian bytes, each distinct piece encoded once a worker.
 
     A space starts a new token where neither neighbour is white space, and a lone line end is a
-    token of its own; texts with other white space or a special token go to the library whole.
+    token of its own, so a text falls into chunks at spaces and before line ends. Texts with other
+    white space or a special token go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -39,10 +52,10 @@ class ByteEncoder:
         self.special = [a.content for a in self.t.get_added_tokens_decoder().values()]
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
-        self.line = self.encode(["\n"])[0]
+        self.pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.t.encode_batch(texts, add_special_tokens=False)]
 
     def regular(self, text: str) -> bool:
         lone = text.replace("\n", " ")
@@ -51,21 +64,33 @@ class ByteEncoder:
         # split() knows every kind of white space: it finds more parts than single spaces make only if there is another kind
         return len(lone.split()) == lone.count(" ") + 1
 
+    def learn(self, memo: dict[str, bytes], keys: list[str], texts: list[str]) -> None:
+        split = [PIECE.findall(t) if COMMON.fullmatch(t) else [t] for t in texts]
+        new = set(chain.from_iterable(split)).difference(self.pieces)
+        own, merge = self.pieces, self.t.model.tokenize
+        # a printable ASCII piece with spaces and line ends in their byte-level form is what the model itself takes
+        plain = [p for p in new if PRINTABLE.fullmatch(p)]
+        own.update(zip(plain, [array("I", [x.id for x in merge(p.replace(" ", "\u0120").replace("\n", "\u010a"))]).tobytes() for p in plain]))
+        other = list(new.difference(plain))
+        own.update(zip(other, self.encode(other)))
+        memo.update(zip(keys, [own[x[0]] if len(x) == 1 else b"".join([own[p] for p in x]) for x in split]))
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        lines = [[line.split(" ") for line in t.split("\n")] if t and self.regular(t) else None for t in texts]
-        for memo, lead, seen in (
-            (self.first, "", {line[0] for x in lines if x for line in x}),
-            (self.later, " ", {w for x in lines if x for line in x for w in line[1:]}),
-        ):
+        for memo in (self.first, self.later, self.pieces):
             if len(memo) > MEMO_ENTRIES:
                 memo.clear()
-            new = list(seen.difference(memo))
-            memo.update(zip(new, self.encode([lead + w for w in new])))
+        split = [t.replace("\n", " \n").split(" ") if t and self.regular(t) else None for t in texts]
+        starts, seen = set(), set()
+        for x in split:
+            if x:
+                starts.add(x[0])
+                seen.update(x[1:])
         first, later = self.first, self.later
-        return [
-            (self.encode([t])[0] if t else b"") if x is None else self.line.join([b"".join([first[line[0]], *map(later.__getitem__, line[1:])]) for line in x])
-            for t, x in zip(texts, lines)
-        ]
+        new = list(starts.difference(first))
+        self.learn(first, new, new)
+        new = list(seen.difference(later))
+        self.learn(later, new, [w if w[0] == "\n" else " " + w for w in new])
+        return [(self.encode([t])[0] if t else b"") if x is None else b"".join([first[x[0]], *map(later.__getitem__, x[1:])]) for t, x in zip(texts, split)]
 
 
 @lru_cache(maxsize=2)
