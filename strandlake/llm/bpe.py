@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -135,8 +136,23 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", limit: int
 # --- distinct-word encoding and decoding ----------------------------------------------------------
 
 
-def word_rows(docs: DataFrame, id_col: str, text_col: str, ids_per_group: int) -> DataFrame:
-    """(grp, word): the distinct words of each run of documents, once for each Arrow batch that holds them."""
+def packed(words: list[str], ids: list[bytes] = ()) -> bytes:
+    """Words, and their ids if given, in one compressed body."""
+    sizes = np.array([len(b) // 4 for b in ids], "<u2").tobytes()
+    return zstandard.ZstdCompressor(level=6).compress(b"\0".join(["\n".join(words).encode("utf-8", "surrogatepass"), sizes.hex().encode(), np.frombuffer(b"".join(ids), "<u4").astype("<u2").tobytes()]))
+
+
+def unpacked(body: bytes) -> tuple[list[str], list[bytes]]:
+    text, _, rest = zstandard.ZstdDecompressor().decompress(body).partition(b"\0")
+    sizes, _, flat = rest.partition(b"\0")
+    ends = np.cumsum(np.frombuffer(bytes.fromhex(sizes.decode()), "<u2").astype(np.int64)) * 4
+    whole = np.frombuffer(flat, "<u2").astype("<u4").tobytes()
+    starts = [0, *ends.tolist()]
+    return text.decode("utf-8", "surrogatepass").split("\n"), [whole[a:b] for a, b in zip(starts, starts[1:])]
+
+
+def word_rows(docs: DataFrame, id_col: str, text_col: str, ids_per_group: int, buckets: int) -> DataFrame:
+    """(grp, bucket, body): the distinct words of each run of documents by bucket, once for each Arrow batch that holds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,66 +161,74 @@ def word_rows(docs: DataFrame, id_col: str, text_col: str, ids_per_group: int) -
                 for i, t in zip(part.column(id_col).to_pylist(), texts):
                     words.setdefault((i or 0) // ids_per_group, {}).update(dict.fromkeys(chunks(t)))
             for g, seen in words.items():
-                if seen:
-                    yield pa.RecordBatch.from_arrays([pa.array([g] * len(seen), pa.int64()), pa.array(list(seen), pa.string())], names=["grp", "word"])
+                own: list[list[str]] = [[] for _ in range(buckets)]
+                for w in sorted(seen):
+                    own[zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets].append(w)
+                full = [b for b in range(buckets) if own[b]]
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(full), pa.int64()), pa.array(full, pa.int64()), pa.array([packed(own[b]) for b in full], pa.binary())], names=["grp", "bucket", "body"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "grp long, word string")
+    return docs.select(id_col, text_col).mapInArrow(run, "grp long, bucket long, body binary")
 
 
 def text_rows(docs: DataFrame, id_col: str, text_col: str, ids_per_group: int) -> DataFrame:
     """(grp, body): the documents of a run, packed and compressed once for each Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=6)
+        packer = zstandard.ZstdCompressor(level=9)
         for batch in batches:
-            held: dict[int, list] = {}
             for part, texts in slices(batch, text_col):
+                held: dict[int, list] = {}
                 for i, t in zip(part.column(id_col).to_pylist(), texts):
                     held.setdefault((i or 0) // ids_per_group, []).append([i, t])
-                for g, rows in held.items():
-                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([packer.compress(json.dumps(rows, ensure_ascii=False).encode("utf-8", "surrogatepass"))], pa.binary())], names=["grp", "body"])
-                held = {}
+                bodies = [packer.compress(json.dumps(rows, ensure_ascii=False).encode("utf-8", "surrogatepass")) for rows in held.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(bodies, pa.binary())], names=["grp", "body"])
 
     return docs.select(id_col, text_col).mapInArrow(run, "grp long, body binary")
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(grp, word, ids): the distinct-word table joined to the words' groups.
+def encode_words(words: DataFrame, path: str, buckets: int) -> DataFrame:
+    """(grp, body): the words of each row with their ids.
 
-    All rows of a word stand together in one sorted partition, so the word is encoded once there;
-    a word has one row a group at most for each batch, so no word is hot.
+    All rows of a bucket meet in one task, whose table of distinct words encodes a word once and
+    serves every row that holds it. A word has one row a group at most for each batch, so no word
+    is hot, however often texts repeat it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = tokenizer(path), (None, b"")
+        encoder, table = tokenizer(path), {}
         for batch in batches:
-            column = batch.column("word").to_pylist()
-            new = [w for w in dict.fromkeys(column) if w != last[0]]
-            table = dict([last])
-            for w, e in zip(new, encoder.encode_batch(new, add_special_tokens=False)):
-                table[w] = np.array(e.ids, "<u4").tobytes()
-            last = (column[-1], table[column[-1]]) if column else last
-            yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("word"), pa.array([table[w] for w in column], pa.binary())], names=["grp", "word", "ids"])
+            for g, body in zip(batch.column("grp").to_pylist(), batch.column("body").to_pylist()):
+                own, _ = unpacked(body)
+                if len(table) > 4 * MEMO_ENTRIES:
+                    table.clear()
+                new = [w for w in own if w not in table]
+                for w, e in zip(new, encoder.encode_batch(new, add_special_tokens=False)):
+                    table[w] = np.array(e.ids, "<u4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([packed(own, [table[w] for w in own])], pa.binary())], names=["grp", "body"])
 
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "grp long, word string, ids binary")
+    return words.repartition(buckets, "bucket").mapInArrow(run, "grp long, body binary")
 
 
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", target_bytes: int = 16_000_000) -> DataFrame:
-    """One row a document: id, n_tokens, ids (little-endian unsigned 32-bit) and the decoded text.
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", target_bytes: int = 16_000_000, bucket_bytes: int = 32_000_000) -> DataFrame:
+    """One row a document: id, n_tokens and the SHA-256 of its ids (little-endian unsigned 32-bit) and of its decoded text.
 
     Documents are taken in runs of neighbouring ids of about ``target_bytes`` of text. The distinct
     words of the runs meet in the word table, come back with their ids, and each run puts them at
     the positions of its documents. Decoding joins ids to the id-to-piece table of the vocabulary
-    (fixed size) once a distinct word. Null text is empty; a null id counts as 0 for the runs only.
+    (of fixed size, under 65,536 pieces) once a distinct word. Null text is empty; a null id counts
+    as 0 for the runs only. A run of sparse ids is small; repeated ids share a run.
     """
-    n, size = docs.agg(F.count("*"), F.sum(F.octet_length(text_col))).first()
-    runs = max(1, -(-(size or 0) // target_bytes))
-    low, high = docs.agg(F.min(id_col), F.max(id_col)).first()
-    per_group = max(1, -(-((high or 0) - (low or 0) + 1) // runs)) if n else 1
+    size, low, high = docs.agg(F.sum(F.octet_length(text_col)), F.min(id_col), F.max(id_col)).first()
+    runs, buckets = (max(1, -(-(size or 0) // n)) for n in (target_bytes, bucket_bytes))
+    per_group = max(1, -(-((high or 0) - (low or 0) + 1) // runs))
+    if tokenizer(path).get_vocab_size() > 65_536:
+        raise ValueError("ids travel in 16 bits here; this vocabulary is larger")
 
     def assemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
         unpack, encoder = zstandard.ZstdDecompressor(), tokenizer(path)
-        ids = dict(zip(right.column("word").to_pylist(), right.column("ids").to_pylist()))
+        ids: dict[str, bytes] = {}
+        for body in right.column("body").to_pylist():
+            ids.update(zip(*unpacked(body)))
         piece = [encoder.id_to_token(i) for i in range(encoder.get_vocab_size())]
         said = {w: " ".join([piece[i] for i in np.frombuffer(b, "<u4").tolist()]) for w, b in ids.items()}
         out: tuple[list, ...] = ([], [], [], [])
@@ -218,6 +242,6 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
         return pa.table([pa.array(v, k) for v, k in zip(out, kinds)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    words = encode_words(word_rows(docs, id_col, text_col, per_group), path)
+    words = encode_words(word_rows(docs, id_col, text_col, per_group, buckets), path, buckets)
     texts = text_rows(docs, id_col, text_col, per_group)
     return texts.groupBy("grp").cogroup(words.groupBy("grp")).applyInArrow(assemble, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
