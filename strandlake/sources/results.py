@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from strandlake.operators.sites import normalize_columns
 
-CALLS = T.StructType.fromDDL("sample string, read_id string, reference_name string, ref_pos long, mod_type string, mod_code string, probability double, strand string")
+CALLS = "sample string, read_id string, reference_name string, ref_pos long, mod_type string, mod_code string, probability double, strand string"
 
 
 @dataclass
@@ -57,7 +57,7 @@ class Config:
         return os.path.commonprefix(sorted(names)).rstrip("_") if len(names) > 1 and os.path.commonprefix(sorted(names)).rstrip("_") else next(iter(names)) if len(names) == 1 else "results"
 
 
-def load_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def load_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Parquet at ``path`` if it is there, else CSV."""
     for suffix, reader in ((".parquet", spark.read), ("", spark.read)):
         try:
@@ -68,7 +68,7 @@ def load_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return (csv.schema(schema) if schema else csv.option("inferSchema", True)).csv(path if path.endswith(".csv") else f"{path}.csv")
 
 
-def load_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def load_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """The table at ``path``, or no rows of ``schema`` where there is none."""
     try:
         return load_table(spark, path, schema)
