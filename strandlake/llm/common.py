@@ -82,7 +82,7 @@ def join_unique(big: DataFrame, small: DataFrame, key: str, spread: Column, how:
 def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): the smallest node reachable.
 
-    Alternating large-star and small-star steps, one checkpoint a round; hubs are salted and the
+    Alternating large-star and small-star steps, one written table a round; hubs are salted and the
     links stay distributed. An empty link table gives an empty result.
     """
 
