@@ -6,10 +6,10 @@ the threshold on average) and deals its members to children by those minima, so
 expected to stay together in about one child. Small nodes are compared exhaustively on full sets.
 Independent trees are repeated until a pair at the threshold is missed with negligible chance.
 
-A node that is too large for one task is compared in blocks, which links most of its members; it
-goes on only while members of different components are left: as the smallest members of those
-components, and as its children. What is still large at the depth limit is compared block against
-block, which is exact.
+A node that is too large for one task is compared in blocks, which links most of its members, and
+then by the smallest members of the components that meet in it. Only while different components are
+left does it go on: up to a limit it is finished block against block, which is exact; beyond it, it
+branches on, and what is left at the depth limit is finished the same way.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ class JoinSettings:
     """``width`` words a shingle; linked with ``100 * intersection >= percent * union``.
 
     ``trees`` and ``functions`` set recall, ``node_limit`` the size up to which a node is compared
-    in one go, ``rounds`` how often large nodes branch by ``levels`` more before the exact finish.
+    in one go, ``finish_limit`` that up to which a larger one is finished block against block,
+    ``rounds`` how often nodes beyond it branch by ``levels`` more before they are finished too.
     """
 
     width: int = 5
@@ -44,6 +45,7 @@ class JoinSettings:
     functions: int = 64
     levels: int = 2
     node_limit: int = 64
+    finish_limit: int = 2048
     rounds: int = 4
 
 
@@ -218,33 +220,46 @@ def near_duplicates(docs: DataFrame, settings: JoinSettings | None = None, id_co
     """
     s = settings or JoinSettings()
     base = cut(fingerprints(docs, s, id_col, text_col))
-    reps = base.where("sig is not null").groupBy("sig").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
+    reps = cut(base.where("sig is not null").groupBy("sig").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")))
     rows = branched(reps.select("rep", "sketch"), s, roots=True).withColumn("label", F.col("rep"))
-    sketches = texts = links = None
-    for turn in range(s.rounds + 1):
-        # nodes whose members are not all of one component yet
+    texts = links = None
+
+    def found(groups: DataFrame) -> DataFrame:
+        new = cut(compared(groups, texts, s))
+        return new if links is None else links.unionByName(new)
+
+    def unresolved(nodes: DataFrame) -> DataFrame:
+        """(node, rep, n, label) of the nodes that still hold members of different components."""
+        labels = connected_components(links).withColumnRenamed("node", "rep")
+        named = join_unique(nodes.select("node", "rep", "n"), labels, "rep", F.col("node")).select("node", "rep", "n", F.coalesce("component", "rep").alias("label"))
+        mixed = named.groupBy("node").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("node")
+        return cut(join_unique(named, mixed, "node", F.col("rep"), "inner"))
+
+    for turn in range(s.rounds):
         sizes = cut(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("n > 1 and _low < _high").select("node", "n"))
         members = cut(rows.join(sizes, "node"))
         if texts is None:
             needed = members.select(F.col("rep").alias(id_col)).distinct()
             texts = cut(docs.select(F.col(id_col).cast("long").alias(id_col), text_col).join(needed, id_col, "left_semi").dropDuplicates([id_col]).select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")))
-            sketches = reps.select("rep", "sketch")
-        found = cut(compared(blocks(members, s, pairs=turn == s.rounds), texts, s))
-        links = found if links is None else links.unionByName(found)
+        links = found(blocks(members, s))
         large = members.where(F.col("n") > s.node_limit)
-        if turn == s.rounds or large.isEmpty():
+        if large.isEmpty():
             break
-        labels = cut(connected_components(links))
-        current = join_unique(large.select("node", "rep"), labels.withColumnRenamed("node", "rep"), "rep", F.col("node")).select("node", "rep", F.coalesce("component", "rep").alias("label"))
-        mixed = current.groupBy("node").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("node")
-        current = cut(join_unique(current, mixed, "node", F.col("rep"), "inner"))
-        if current.isEmpty():
+        open_nodes = unresolved(large)
+        # the smallest members of the components that meet in a node, compared among themselves
+        heads = open_nodes.select(F.xxhash64("node", F.lit("heads")).alias("node"), F.col("label").alias("rep"), "label").distinct()
+        counted = heads.join(heads.groupBy("node").agg(F.count("*").alias("n")), "node")
+        links = found(blocks(counted, s))
+        open_nodes = unresolved(open_nodes)
+        last = turn == s.rounds - 1
+        links = found(blocks(open_nodes if last else open_nodes.where(F.col("n") <= s.finish_limit), s, pairs=True))
+        wide = open_nodes.where(F.col("n") > s.finish_limit)
+        if last or wide.isEmpty():
             break
-        contracted = current.select(F.xxhash64("node", F.lit("contracted")).alias("node"), F.col("label").alias("rep"), "label").distinct()
-        deeper = branched(current.join(sketches, "rep").select("node", "rep", "sketch"), s, roots=False).join(current.select("rep", "label").distinct(), "rep")
-        rows = contracted.unionByName(deeper.select("node", "rep", "label"))
+        deeper = branched(wide.join(reps.select("rep", "sketch"), "rep").select("node", "rep", "sketch"), s, roots=False)
+        rows = cut(deeper.join(wide.select("rep", "label").distinct(), "rep").select("node", "rep", "label"))
     labels = connected_components(links).withColumnRenamed("node", "rep")
     classes = reps.select("sig", "rep", "copies").join(labels, "rep", "left").where("copies > 1 or component is not null").select("sig", F.coalesce("component", "rep").alias("component"))
-    found = join_unique(base.select("doc", "n_shingles", "sig"), classes, "sig", F.col("doc"))
+    joined = join_unique(base.select("doc", "n_shingles", "sig"), classes, "sig", F.col("doc"))
     component = F.coalesce("component", "doc")
-    return found.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("doc") == component).alias("kept"))
+    return joined.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("doc") == component).alias("kept"))

@@ -24,7 +24,8 @@ def assign_gene(sites: DataFrame, genes: DataFrame, site_key: list[str], bin_siz
     ``sites`` has chrom and ref_pos, ``genes`` chrom, start, end, gene_id, gene_name, gene_biotype.
     Unmatched sites get the reference name, ``unknown``, null length and relative position 0.5.
     """
-    hits = overlap_join(sites.select(*dict.fromkeys([*site_key, "chrom", "ref_pos"])), genes, ["chrom"], bin_size=bin_size)
+    own = genes.select("chrom", "start", "end", "gene_id", "gene_name", "gene_biotype")
+    hits = overlap_join(sites.select(*dict.fromkeys([*site_key, "chrom", "ref_pos"])), own, ["chrom"], bin_size=bin_size)
     length = F.col("end") - F.col("start")
     best = F.min(F.struct(length.alias("gene_length"), F.col("start").alias("gene_start"), "gene_id", "gene_name", "gene_biotype")).alias("_gene")
     chosen = hits.groupBy(*site_key).agg(best)

@@ -14,7 +14,7 @@ def parse_gtf(lines: DataFrame) -> DataFrame:
     """Features from GTF lines (``value``): 0-based half-open; comments and lines of fewer than nine fields go."""
     f = F.split("value", "\t")
     rows = lines.where(~F.col("value").startswith("#")).select(f.alias("f")).where(F.size("f") >= 9)
-    col = lambda i: F.col("f")[i]
+    col = lambda i: F.get("f", F.lit(i))
     return rows.select(
         col(0).alias("chrom"), (col(3).try_cast("long") - 1).alias("start"), col(4).try_cast("long").alias("end"), col(6).alias("strand"), col(2).alias("feature"), *[gtf_attribute(col(8), a).alias(a) for a in ("transcript_id", "gene_id", "gene_name", "gene_type", "gene_biotype")]
     )
