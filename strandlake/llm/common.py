@@ -16,6 +16,8 @@ from strandlake.session import cut
 SLICE_CHARS = 4_000_000
 #: One key's rows are dealt to so many tasks where a join meets hot keys.
 SALTS = 16
+#: A table of numbers is broadcast only when counted to have no more rows than this (a few MB).
+BROADCAST_ROWS = 100_000
 
 _ARROW = {
     "string": pa.string(),
@@ -69,42 +71,56 @@ def append_by_text(df: DataFrame, text_col: str, ddl: str, make: Callable[[], Ca
     return df.mapInArrow(run, schema)
 
 
-def join_unique(big: DataFrame, small: DataFrame, key: str, spread: Column, how: str = "left", salts: int = SALTS) -> DataFrame:
-    """Join to ``small``, which has each key once, so that a hot key of ``big`` meets in ``salts`` tasks.
+def join_unique(big: DataFrame, small: DataFrame, key: str, spread: Column, how: str = "left", rows: int | None = None, salts: int = SALTS) -> DataFrame:
+    """Join to ``small``, which has each key once.
 
-    ``spread`` decides a row's task among them and must be deterministic.
+    ``rows``, if given, is a proven bound of its rows: up to ``BROADCAST_ROWS`` it is broadcast.
+    Otherwise a hot key of ``big`` meets it in ``salts`` tasks; ``spread`` decides a row's task among
+    them and must be deterministic.
     """
+    if rows is not None and rows <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), key, how)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
-def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(node, component) for every node of ``links`` (a, b): the smallest node reachable.
+def component_table(links: DataFrame, max_rounds: int = 40) -> tuple[DataFrame, int]:
+    """(node, component) for every node of ``links`` (a, b), the smallest node reachable, and a bound of its rows.
 
-    Alternating large-star and small-star steps, one written table a round; hubs are salted and the
-    links stay distributed. An empty link table gives an empty result.
+    Alternating large-star and small-star steps, one written table a round; the links stay
+    distributed, and hubs are salted while there are more nodes than may be broadcast. An empty link
+    table gives an empty result.
     """
 
     def smaller_first(e: DataFrame) -> DataFrame:
-        return e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
+        return e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
 
-    def spread_min(e: DataFrame) -> DataFrame:
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        return join_unique(e, least, "u", F.col("v"), "inner")
+    def with_least(e: DataFrame, nodes: int) -> DataFrame:
+        return join_unique(e, e.groupBy("u").agg(F.min("v").alias("m")), "u", F.col("v"), "inner", nodes)
 
-    edges, before = cut(smaller_first(links)), None
+    def measured(e: DataFrame) -> tuple[int, int]:
+        return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+
+    edges = cut(smaller_first(links).distinct())
+    state = measured(edges)
     for _ in range(max_rounds):
+        if not state[0]:
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = spread_min(both).select("u", "v", F.least("u", "m").alias("m")).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        star = spread_min(smaller_first(large))
+        large = with_least(both, 2 * state[0]).where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
+        star = with_least(smaller_first(large), 2 * state[0])
         small = star.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(star.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = cut(smaller_first(small))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        edges = cut(smaller_first(small).distinct())
+        before, state = state, measured(edges)
+        if state == before:
             break
-        before = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
+    return found, 2 * state[0]
+
+
+def connected_components(links: DataFrame) -> DataFrame:
+    return component_table(links)[0]

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import connected_components, join_unique, slices
+from strandlake.llm.common import component_table, join_unique, slices
 from strandlake.session import cut
 
 MEMO_WORDS = 400_000
@@ -197,21 +197,38 @@ def compared(groups: DataFrame, texts: DataFrame, s: JoinSettings) -> DataFrame:
     return whole.repartition("cid").sortWithinPartitions("cid", "rep").mapInArrow(run, "a long, b long")
 
 
-def blocks(members: DataFrame, s: JoinSettings, pairs: bool = False) -> DataFrame:
-    """(cid, rep, label): the members of nodes, cut to blocks of about the node limit; equal groups once.
-
-    With ``pairs`` every two blocks of a node meet, else each block is alone.
-    """
-    n = F.ceil(F.col("n") / s.node_limit)
-    cut_up = members.withColumn("x", F.pmod(F.xxhash64("rep", "node"), n))
-    if pairs:
-        cut_up = cut_up.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).select("node", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "rep", "label")
-    keys = ["node", "x", *["y"] * pairs]
+def grouped(cut_up: DataFrame, keys: list[str]) -> DataFrame:
+    """(cid, rep, label) of the groups that ``keys`` name, those with one member left out; equal groups once."""
     lists = cut_up.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("rep", "label"))).alias("m")).where(F.size("m") > 1)
     once = lists.select(F.xxhash64("m").alias("cid"), "m").dropDuplicates(["cid"])
     return once.select("cid", F.explode("m").alias("_m")).select("cid", "_m.rep", "_m.label")
 
 
+def blocks(members: DataFrame, s: JoinSettings) -> DataFrame:
+    """The members of nodes (node, rep, n, label), each node cut to blocks of about the node limit."""
+    return grouped(members.withColumn("x", F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("n") / s.node_limit))), ["node", "x"])
+
+
+def block_pairs(members: DataFrame, s: JoinSettings) -> DataFrame:
+    """Groups in which every two members of a node with different labels meet.
+
+    The members with a node's commonest label are linked already: their blocks meet those of the
+    others, not each other. The others' blocks also meet among themselves.
+    """
+    counts = members.groupBy("node", "label").agg(F.count("*").alias("c"))
+    most = F.max(F.struct("c", "label"))
+    nodes = cut(counts.groupBy("node").agg(most.getField("label").alias("_main"), F.ceil(most.getField("c") / s.node_limit).alias("_a"), F.ceil((F.sum("c") - most.getField("c")) / s.node_limit).alias("_b")))
+    dealt = join_unique(members, nodes, "node", F.col("rep"), "inner", nodes.count())
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    main, place = F.col("label") == F.col("_main"), F.xxhash64("rep", "node")
+    x, y = F.pmod(place, F.col("_a")), F.pmod(place, F.col("_b"))
+    key = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("x"), b.alias("y"))
+    across = F.when(main, F.transform(upto(F.col("_b")), lambda j: key("across", x, j))).otherwise(F.transform(upto(F.col("_a")), lambda i: key("across", i, y)))
+    among = F.when(main, F.expr("cast(array() as array<struct<kind:string,x:bigint,y:bigint>>)")).otherwise(F.transform(upto(F.col("_b")), lambda j: key("among", F.least(y, j), F.greatest(y, j))))
+    spread = dealt.select("node", "rep", "label", F.explode(F.concat(across, among)).alias("_k"))
+    return grouped(spread.select("node", "_k.kind", "_k.x", "_k.y", "rep", "label"), ["node", "kind", "x", "y"])
+
+
 def near_duplicates(docs: DataFrame, settings: JoinSettings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row.
 
@@ -230,10 +247,10 @@ def near_duplicates(docs: DataFrame, settings: JoinSettings | None = None, id_co
 
     def unresolved(nodes: DataFrame) -> DataFrame:
         """(node, rep, n, label) of the nodes that still hold members of different components."""
-        labels = connected_components(links).withColumnRenamed("node", "rep")
-        named = join_unique(nodes.select("node", "rep", "n"), labels, "rep", F.col("node")).select("node", "rep", "n", F.coalesce("component", "rep").alias("label"))
-        mixed = named.groupBy("node").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("node")
-        return cut(join_unique(named, mixed, "node", F.col("rep"), "inner"))
+        labels, n = component_table(links)
+        named = join_unique(nodes.select("node", "rep", "n"), labels.withColumnRenamed("node", "rep"), "rep", F.col("node"), rows=n).select("node", "rep", "n", F.coalesce("component", "rep").alias("label"))
+        mixed = cut(named.groupBy("node").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("node"))
+        return cut(join_unique(named, mixed, "node", F.col("rep"), "inner", mixed.count()))
 
     for turn in range(s.rounds):
         sizes = cut(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("n > 1 and _low < _high").select("node", "n"))
@@ -246,20 +263,25 @@ def near_duplicates(docs: DataFrame, settings: JoinSettings | None = None, id_co
         if large.isEmpty():
             break
         open_nodes = unresolved(large)
+        if open_nodes.isEmpty():
+            break
         # the smallest members of the components that meet in a node, compared among themselves
         heads = open_nodes.select(F.xxhash64("node", F.lit("heads")).alias("node"), F.col("label").alias("rep"), "label").distinct()
         counted = heads.join(heads.groupBy("node").agg(F.count("*").alias("n")), "node")
         links = found(blocks(counted, s))
         open_nodes = unresolved(open_nodes)
+        if open_nodes.isEmpty():
+            break
         last = turn == s.rounds - 1
-        links = found(blocks(open_nodes if last else open_nodes.where(F.col("n") <= s.finish_limit), s, pairs=True))
+        links = found(block_pairs(open_nodes if last else open_nodes.where(F.col("n") <= s.finish_limit), s))
         wide = open_nodes.where(F.col("n") > s.finish_limit)
         if last or wide.isEmpty():
             break
         deeper = branched(wide.join(reps.select("rep", "sketch"), "rep").select("node", "rep", "sketch"), s, roots=False)
         rows = cut(deeper.join(wide.select("rep", "label").distinct(), "rep").select("node", "rep", "label"))
-    labels = connected_components(links).withColumnRenamed("node", "rep")
-    classes = reps.select("sig", "rep", "copies").join(labels, "rep", "left").where("copies > 1 or component is not null").select("sig", F.coalesce("component", "rep").alias("component"))
-    joined = join_unique(base.select("doc", "n_shingles", "sig"), classes, "sig", F.col("doc"))
+    labels, n = component_table(links)
+    named = join_unique(reps.select("sig", "rep", "copies"), labels.withColumnRenamed("node", "rep"), "rep", F.col("sig"), rows=n)
+    classes = cut(named.where("copies > 1 or component is not null").select("sig", F.coalesce("component", "rep").alias("component")))
+    joined = join_unique(base.select("doc", "n_shingles", "sig"), classes, "sig", F.col("doc"), rows=classes.count())
     component = F.coalesce("component", "doc")
     return joined.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("doc") == component).alias("kept"))

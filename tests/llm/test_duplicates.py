@@ -110,7 +110,7 @@ def test_vectors_equal_all_pairs(spark, limit):
 
 
 def test_spotsigs(make_docs, odd_texts):
-    texts = near_texts(24) + odd_texts + ["the cat sat on the mat and the dog ran"]
+    texts = near_texts(24) + odd_texts + ["the cat sat on the mat and the dog ran", "the " * 30_000 + "end", "Was Was was to to " * 9_000]
     ids = [i * 37 for i in range(len(texts))]
     docs = make_docs(texts).withColumn("doc_id", F.col("doc_id") * 37)
     got = {r.doc_id: r for r in spotsigs.edited_pairs(docs).collect()}
@@ -130,10 +130,13 @@ def test_spotsigs(make_docs, odd_texts):
 
 
 def test_signatures_chain_over_common_words(spark):
-    text = F.lit("Over the big and small house of cards")
-    spaced = spotsigs.plain(text)
-    chains = spark.range(1).select(F.size(spotsigs.signature_set(spaced)).alias("n")).first()
-    assert chains.n > 0
+    text = F.lit("Over the big and small house of cards in every town that people built by hand")
+    words = spotsigs.marked(text)
+    r = spark.range(1).select(words.alias("w"), spotsigs.signature_set(words).alias("s")).first()
+    m = spotsigs.MARK
+    assert r.w == f" over {m}the big {m}and small house {m}of cards {m}in every town {m}that people built {m}by hand "
+    chains = [f"{m}the big small", f"{m}and small house"]
+    assert set(r.s) >= {spark.range(1).select(F.hash(F.lit(c)).alias("h")).first().h for c in chains}
     a, b = F.array(*map(F.lit, [1, 2, 3, 4])), F.array(*map(F.lit, [3, 4, 5, 6]))
     r = spark.range(1).select(spotsigs.likeness(a, b).alias("x"), spotsigs.likeness(a, F.array(F.lit(1)), 0.5).alias("y")).first()
     assert r.x == pytest.approx(1 / 3) and r.y == 0.0
