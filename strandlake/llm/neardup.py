@@ -35,7 +35,7 @@ class JoinSettings:
     """``width`` words a shingle; linked with ``100 * intersection >= percent * union``.
 
     ``trees`` and ``functions`` set recall, ``node_limit`` the size up to which a node is compared
-    in one go, ``finish_limit`` that up to which a larger one is finished block against block,
+    in one go, ``finish_limit`` that up to which a larger one is finished in blocks of ``finish_block``,
     ``rounds`` how often nodes beyond it branch by ``levels`` more before they are finished too.
     """
 
@@ -46,6 +46,7 @@ class JoinSettings:
     levels: int = 2
     node_limit: int = 64
     finish_limit: int = 2048
+    finish_block: int = 256
     rounds: int = 4
 
 
@@ -217,7 +218,7 @@ def block_pairs(members: DataFrame, s: JoinSettings) -> DataFrame:
     """
     counts = members.groupBy("node", "label").agg(F.count("*").alias("c"))
     most = F.max(F.struct("c", "label"))
-    nodes = cut(counts.groupBy("node").agg(most.getField("label").alias("_main"), F.ceil(most.getField("c") / s.node_limit).alias("_a"), F.ceil((F.sum("c") - most.getField("c")) / s.node_limit).alias("_b")))
+    nodes = cut(counts.groupBy("node").agg(most.getField("label").alias("_main"), F.ceil(most.getField("c") / s.finish_block).alias("_a"), F.ceil((F.sum("c") - most.getField("c")) / s.finish_block).alias("_b")))
     dealt = join_unique(members, nodes, "node", F.col("rep"), "inner", nodes.count())
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     main, place = F.col("label") == F.col("_main"), F.xxhash64("rep", "node")
@@ -241,13 +242,24 @@ def near_duplicates(docs: DataFrame, settings: JoinSettings | None = None, id_co
     rows = branched(reps.select("rep", "sketch"), s, roots=True).withColumn("label", F.col("rep"))
     texts = links = None
 
+    known: list[tuple[DataFrame, int]] = []
+
     def found(groups: DataFrame) -> DataFrame:
         new = cut(compared(groups, texts, s))
+        if links is not None and new.isEmpty():
+            return links
+        known.clear()
         return new if links is None else links.unionByName(new)
 
+    def components() -> tuple[DataFrame, int]:
+        """Those of the links so far, computed again only when links came in."""
+        if not known:
+            known.append(component_table(links))
+        return known[0]
+
     def unresolved(nodes: DataFrame) -> DataFrame:
         """(node, rep, n, label) of the nodes that still hold members of different components."""
-        labels, n = component_table(links)
+        labels, n = components()
         named = join_unique(nodes.select("node", "rep", "n"), labels.withColumnRenamed("node", "rep"), "rep", F.col("node"), rows=n).select("node", "rep", "n", F.coalesce("component", "rep").alias("label"))
         mixed = cut(named.groupBy("node").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("node"))
         return cut(join_unique(named, mixed, "node", F.col("rep"), "inner", mixed.count()))
@@ -279,7 +291,7 @@ def near_duplicates(docs: DataFrame, settings: JoinSettings | None = None, id_co
             break
         deeper = branched(wide.join(reps.select("rep", "sketch"), "rep").select("node", "rep", "sketch"), s, roots=False)
         rows = cut(deeper.join(wide.select("rep", "label").distinct(), "rep").select("node", "rep", "label"))
-    labels, n = component_table(links)
+    labels, n = components()
     named = join_unique(reps.select("sig", "rep", "copies"), labels.withColumnRenamed("node", "rep"), "rep", F.col("sig"), rows=n)
     classes = cut(named.where("copies > 1 or component is not null").select("sig", F.coalesce("component", "rep").alias("component")))
     joined = join_unique(base.select("doc", "n_shingles", "sig"), classes, "sig", F.col("doc"), rows=classes.count())
