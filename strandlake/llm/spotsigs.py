@@ -23,6 +23,8 @@ el los las y del al con por para no se lo es su
 
 #: With fewer signatures than this the anchors say too little, and every word serves as an anchor.
 FEW = 4
+#: The most common words that a chain steps over in one place.
+SKIPPED = 8
 #: One in so many pairs of content words is a signature too.
 SAMPLED = 4
 #: Likeness below this is reported as 0 where the lengths alone prove it.
@@ -31,21 +33,35 @@ LEAST = 0.05
 BUCKET_ROWS, MOST_BUCKETS = 4000, 65_536
 
 
-def plain(text: Column) -> Column:
-    """Lower-case words between single spaces, with a space at both ends."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), F.lit(" "))
+#: Stands before every common word of a text in the form of ``marked``.
+MARK = "\u0001"
 
 
-def signature_set(spaced: Column) -> Column:
-    """Sorted distinct 32-bit signatures of a text in the form of ``plain``.
+def marked(text: Column) -> Column:
+    """Lower-case words between single spaces, with a space at both ends and a mark before common words.
+
+    The list of common words is tried once for each word, by first letters; whatever follows only
+    looks for the mark.
+    """
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), F.lit(" "))
+    by_letter: dict[str, list[str]] = {}
+    for word in sorted(set(ANCHORS)):
+        by_letter.setdefault(word[0], []).append(word[1:])
+    common = "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in by_letter.items())
+    return F.regexp_replace(spaced, f" ({common})(?= )", f" {MARK}$1")
+
+
+def signature_set(words: Column) -> Column:
+    """Sorted distinct 32-bit signatures of a text in the form of ``marked``.
 
     Texts with fewer than ``FEW`` signatures take every pair of neighbouring words, and texts of a
     single word that word; texts without a letter have the empty set.
     """
-    common = f"(?:{'|'.join(sorted(set(ANCHORS), key=len, reverse=True))}) "
-    # possessive groups never give a common word back to the chain
-    chain = rf"(?= ((?:{common})(?:{common})*+[^ ]++ (?:{common})*+[^ ]++) )"
-    skipped = rf"(?<= )(?:{common})+"
+    # possessive groups never give a common word back to the chain; Java's matcher recurses once for
+    # each round of such a group, so a run of more than SKIPPED common words is not skipped whole
+    between = rf"(?:{MARK}[^ ]++ ){{0,{SKIPPED}}}+"
+    chain = rf"(?= ({MARK}[^ ]++ {between}[^ ]++ {between}[^ ]++) )"
+    content = rf"(?= ([^ {MARK}][^ ]*+ [^ {MARK}][^ ]*+) )"
 
     def codes(found: Column) -> Column:
         return F.transform(found, lambda x: F.hash(x))
@@ -53,19 +69,19 @@ def signature_set(spaced: Column) -> Column:
     def hashed(found: Column) -> Column:
         return F.sort_array(F.array_distinct(codes(found)))
 
-    spots = F.transform(F.regexp_extract_all(spaced, F.lit(chain), F.lit(1)), lambda x: F.regexp_replace(x, skipped, ""))
-    content = rf"(?= ((?!{common})[^ ]++ (?!{common})[^ ]++) )"
-    sampled = F.filter(codes(F.regexp_extract_all(spaced, F.lit(content), F.lit(1))), lambda x: F.pmod(x, F.lit(SAMPLED)) == 0)
-    every = F.regexp_extract_all(spaced, F.lit("(?= ([^ ]++ [^ ]++) )"), F.lit(1))
-    word = F.trim(spaced)
+    # the first common word of a chain stays, those stepped over go
+    spots = F.transform(F.regexp_extract_all(words, F.lit(chain), F.lit(1)), lambda x: F.hash(F.regexp_replace(x, rf" {MARK}[^ ]++(?= )", "")))
+    sampled = F.filter(codes(F.regexp_extract_all(words, F.lit(content), F.lit(1))), lambda x: F.pmod(x, F.lit(SAMPLED)) == 0)
+    every = F.regexp_extract_all(words, F.lit("(?= ([^ ]++ [^ ]++) )"), F.lit(1))
+    word = F.trim(words)
     fallback = F.when(F.size(every) > 0, hashed(every)).when(word != "", F.array(F.hash(word))).otherwise(F.array().cast("array<int>"))
-    own = F.sort_array(F.array_union(codes(spots), sampled))
+    own = F.sort_array(F.array_union(spots, sampled))
     return F.when(F.size(own) >= FEW, own).otherwise(fallback)
 
 
 def with_signatures(docs: DataFrame, text: Column, out: str) -> DataFrame:
     """``docs`` with the signature set of ``text`` as ``out``."""
-    return docs.withColumn("_spaced", plain(text)).withColumn(out, signature_set(F.col("_spaced"))).drop("_spaced")
+    return docs.withColumn("_words", marked(text)).withColumn(out, signature_set(F.col("_words"))).drop("_words")
 
 
 def likeness(a: Column, b: Column, least: float = LEAST) -> Column:
