@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -137,15 +138,22 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", limit: int
 
 
 def packed(words: list[str], ids: list[bytes] = ()) -> bytes:
-    """Words, and their ids if given, in one compressed body."""
-    sizes = np.array([len(b) // 4 for b in ids], "<u2").tobytes()
-    return zstandard.ZstdCompressor(level=6).compress(b"\0".join(["\n".join(words).encode("utf-8", "surrogatepass"), sizes.hex().encode(), np.frombuffer(b"".join(ids), "<u4").astype("<u2").tobytes()]))
+    """Words, and their ids if given, in one compressed body: sizes of the fields, words, id counts, ids.
+
+    Words stand between line ends, which no chunk holds. Counts go byte by byte, low bytes first, so
+    that the high ones, nearly all 0, compress to nothing.
+    """
+    text = "\n".join(words).encode("utf-8", "surrogatepass")
+    counts = np.array([len(b) // 4 for b in ids], "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    flat = np.frombuffer(b"".join(ids), "<u4").astype("<u2").tobytes()
+    return zstandard.ZstdCompressor(level=6).compress(b"".join([struct.pack("<QQ", len(text), len(counts)), text, counts, flat]))
 
 
 def unpacked(body: bytes) -> tuple[list[str], list[bytes]]:
-    text, _, rest = zstandard.ZstdDecompressor().decompress(body).partition(b"\0")
-    sizes, _, flat = rest.partition(b"\0")
-    ends = np.cumsum(np.frombuffer(bytes.fromhex(sizes.decode()), "<u2").astype(np.int64)) * 4
+    data = zstandard.ZstdDecompressor().decompress(body)
+    n_text, n_counts = struct.unpack_from("<QQ", data)
+    text, counts, flat = data[16 : 16 + n_text], data[16 + n_text : 16 + n_text + n_counts], data[16 + n_text + n_counts :]
+    ends = np.cumsum(np.frombuffer(counts, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)) * 4
     whole = np.frombuffer(flat, "<u2").astype("<u4").tobytes()
     starts = [0, *ends.tolist()]
     return text.decode("utf-8", "surrogatepass").split("\n"), [whole[a:b] for a, b in zip(starts, starts[1:])]

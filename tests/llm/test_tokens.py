@@ -41,6 +41,22 @@ def test_round_trip(docs, odd_texts):
         assert r.decoded_sha256 == hashlib.sha256(bpe.tokenizer(WORDS).decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_round_trip_of_long_words_and_nul(make_docs):
+    texts = ["x" * 200_000 + " end", "ab" * 100_000, "one a\0b two\0 \0 three", "after"]
+    got = sorted(bpe.encode_decode(make_docs(texts), WORDS).collect(), key=lambda r: r.doc_id)
+    for r, ids in zip(got, plain(WORDS, texts), strict=True):
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(bpe.tokenizer(WORDS).decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert max(r.n_tokens for r in got) > 0
+
+
+def test_packed_words_with_many_ids():
+    words, ids = ["a\0b", "long", "", "c"], [np.arange(n, dtype="<u4").tobytes() for n in (3, 65_536, 0, 1)]
+    assert bpe.unpacked(bpe.packed(words, ids)) == (words, ids)
+    assert bpe.unpacked(bpe.packed(words)) == (words, [])
+
+
 def test_empty_tables(docs):
     none = docs.where("false")
     assert bpe.encode_decode(none, WORDS).count() == 0 and bpe.count_tokens(none, WORDS).count() == 0 and packing.pack(none, BYTES).count() == 0
