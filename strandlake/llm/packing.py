@@ -137,8 +137,11 @@ def pack_histogram(counts: dict[int, int], room: int = 2048) -> list[tuple[tuple
             while spaces and not by_space[-spaces[0]]:
                 heappop(spaces)
             if not spaces or -spaces[0] < length:
-                put((length,), left)
-                break
+                # as many new packs as the rest of this length fills; the loop puts the rest into them
+                new = -(-left // (room // length))
+                put((length,), new)
+                left -= new
+                continue
             most = by_space[-spaces[0]]
             pattern, n = next(iter(most.items()))
             took = min(n, left)
@@ -165,6 +168,18 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
     return out
 
 
+def runs(table: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Slots with their number of sequences; neighbouring slots of one length in the same sequences are one row."""
+    out: list[tuple[int, int, int, int, int, int]] = []
+    for length, a, b, sequence, offset in table:
+        last = out[-1] if out else None
+        if last and (last[0], last[2], last[3], last[4] + length * ((last[2] - last[1]) // last[5])) == (length, a, sequence, offset):
+            out[-1] = (length, last[1], b, sequence, last[4], last[5])
+        else:
+            out.append((length, a, b, sequence, offset, b - a))
+    return out
+
+
 def pack(docs: DataFrame, path: str, end_id: int = 1, room: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces with sequence_id and offset. Sequences number from 0; an empty table gives no rows.
 
@@ -174,9 +189,12 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, room: int = 2048, id_col:
     cuts = cut(pieces(docs, path, end_id, room, id_col, text_col)).withColumn("_part", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.lit(RANK_PARTS)))
     by_part = cuts.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     histogram = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    table = spark.createDataFrame(slots(pack_histogram(histogram, room)), "length long, _from long, _to long, _sequence long, offset long")
+    table = spark.createDataFrame(runs(slots(pack_histogram(histogram, room))), "length long, _from long, _to long, _sequence long, _offset long, _n long")
     before = by_part.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("length", "_part", F.coalesce("_before", F.lit(0)).alias("_before"))
     ranked = cuts.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_part").orderBy(id_col, "start", "ids_crc32")))
     ranked = ranked.join(F.broadcast(before), ["length", "_part"]).withColumn("_rank", F.col("_before") + F.col("_row") - 1)
     placed = ranked.join(F.broadcast(table), "length").where("_rank >= _from and _rank < _to")
-    return placed.select(id_col, "start", "length", "ids_crc32", "doc_tokens", (F.col("_sequence") + F.col("_rank") - F.col("_from")).alias("sequence_id"), "offset")
+    at = F.col("_rank") - F.col("_from")
+    # ranks go through the sequences once for each piece of this length in a sequence
+    placed = placed.withColumns({"sequence_id": F.col("_sequence") + at % F.col("_n"), "offset": F.col("_offset") + F.col("length") * ((at - at % F.col("_n")) / F.col("_n")).cast("long")})
+    return placed.select(id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -94,3 +94,28 @@ def test_histogram_packing_places_every_piece():
         ranks = sorted((a, b) for length, a, b, _, _ in packing.slots(patterns) if length == n)
         assert ranks[0][0] == 0 and ranks[-1][1] == counts[n] and all(x[1] == y[0] for x, y in zip(ranks, ranks[1:]))
     assert packing.pack_histogram({}) == []
+
+
+@pytest.mark.parametrize("counts", [{300: 1_000_000}, {300: 7}, {2048: 5}, {1025: 9, 1023: 4}, {1: 2049}, {900: 50_000, 300: 1_000_001, 17: 3}])
+def test_one_hot_length_is_packed_with_itself(counts):
+    patterns = packing.pack_histogram(counts)
+    assert all(sum(p) <= 2048 for p, _ in patterns)
+    assert {n: sum(p.count(n) * c for p, c in patterns) for n in counts} == counts
+    tokens, sequences = sum(n * c for n, c in counts.items()), sum(c for _, c in patterns)
+    if len(counts) == 1:
+        (n, c), = counts.items()
+        assert sequences == -(-c // (2048 // n))
+    assert sequences <= max(-(-tokens // 1500), sum(c for n, c in counts.items() if n > 1024))
+
+
+def test_hot_length_fills_its_sequences(make_docs):
+    rows = packing.pack(make_docs(["same text here"] * 50 + [""] * 30), BYTES, room=16).collect()
+    length = max(r.length for r in rows)
+    by_sequence = {}
+    for r in rows:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in by_sequence.values():
+        own.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and own[0][0] == 0 and sum(own[-1]) <= 16
+    assert len(rows) == 80 and sorted(by_sequence) == list(range(len(by_sequence)))
+    assert length > 1 and len(by_sequence) == -(-sum(r.length for r in rows) // 16)
