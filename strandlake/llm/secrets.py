@@ -27,8 +27,9 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 #: A run shorter than this fails as a whole, and so does every part of it: asking for the length at once gives the same spans.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: What the models judge: long tokens that mix digits and letters.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,63}[0-9])(?=[0-9+/_=-]{0,63}[A-Za-z])[A-Za-z0-9+/_=-]{20,512}(?![A-Za-z0-9+/_=-])")
+#: What the models judge: every whole run of 20 characters or more, whatever its length, that holds a letter or a digit.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+TELLING = re.compile(r"[A-Za-z0-9]")
 WORD = re.compile(r"[A-Za-z][A-Za-z0-9_-]{3,}")
 ALPHABET = {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.")}
 OTHER = len(ALPHABET)
@@ -84,7 +85,7 @@ class MarkovPair:
         out = []
         for m in CANDIDATE.finditer(text):
             a, b = m.span()
-            if all(b <= x or a >= y for x, _, y in base) and self.score(m[0]) >= self.threshold:
+            if all(b <= x or a >= y for x, _, y in base) and TELLING.search(m[0]) and self.score(m[0]) >= self.threshold:
                 out.append((a, 3, b))
         return out
 

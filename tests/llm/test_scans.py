@@ -97,6 +97,22 @@ def test_secret_rules_and_model(make_docs, odd_texts):
     assert secrets.scan(docs.where("false"), secrets.train(docs.where("false"))).count() == 0
 
 
+def test_every_long_run_is_judged(make_docs):
+    rng = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    key = lambda n, of=letters + "0123456789": "".join(rng.choices(of, k=n))
+    docs = make_docs([f"{prose('en', 20, rng)} token = \"{key(40)}\" {prose('en', 20, rng)} some_ordinary_name" for _ in range(60)])
+    model = secrets.train(docs)
+    found = [key(513), key(5000), key(100, letters) + "7" + key(20), key(48, letters)]
+    ordinary = ["-" * 30, "the".join(["ing"] * 300), "=" * 600]
+    rows = make_docs([f"see {t} here" for t in found + ordinary])
+    got = [r.n_random for r in sorted(secrets.scan(rows, model).collect(), key=lambda r: r.doc_id)]
+    assert got == [1] * len(found) + [0] * len(ordinary)
+    clean = [r.text for r in sorted(secrets.redact(rows, model).collect(), key=lambda r: r.doc_id)]
+    assert clean[: len(found)] == ["see [REDACTED] here"] * len(found)
+    assert clean[len(found) :] == [f"see {t} here" for t in ordinary]
+
+
 def test_warc_round_trip(spark, tmp_path):
     big, small = "<p>" + "ö" * 600, "<p>small"
     rows = [(1, "http://a/\r\nx", big), (5, "http://b/", big), (3, None, big), (2, "u", small), (4, "u", small), (7, "u", None), (8, "u", "WARC/1.1\r\n\r\nX-Page: 9\r\n\r\n" * 60), (5, "again", big)]
