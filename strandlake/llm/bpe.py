@@ -12,6 +12,7 @@ import json
 import re
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -26,6 +27,8 @@ from strandlake.llm.common import append_by_text, slices
 
 #: A worker's table of chunks is emptied beyond so many entries: a bound on memory, not on what is counted.
 MEMO_ENTRIES = 600_000
+#: Ids are cut at so many quantiles, and a document counts as so many bytes beside its text.
+RANGES, ROW_BYTES = 4096, 100
 
 
 @lru_cache(maxsize=4)
@@ -159,15 +162,67 @@ def unpacked(body: bytes) -> tuple[list[str], list[bytes]]:
     return text.decode("utf-8", "surrogatepass").split("\n"), [whole[a:b] for a, b in zip(starts, starts[1:])]
 
 
-def word_rows(docs: DataFrame, id_col: str, text_col: str, ids_per_group: int, buckets: int) -> DataFrame:
+class Runs:
+    """Which group a document falls into: ranges of ids, joined up to ``target`` bytes or split to as many groups.
+
+    A range over the target (repeated or null ids, or a rough quantile) is dealt by a hash of id and
+    text. ``edges`` are the upper ends of the ranges; range 0 is that of null ids.
+    """
+
+    def __init__(self, edges: list[int], sizes: dict[int, int], target: int):
+        self.edges = np.array(edges, np.int64)
+        self.first, self.parts = [], []
+        group, held = 0, 0
+        for k in range(len(edges) + 2):
+            n = sizes.get(k, 0)
+            if held and held + n > target:
+                group, held = group + 1, 0
+            parts = max(1, -(-n // target))
+            self.first.append(group)
+            self.parts.append(parts)
+            held += n
+            if parts > 1:
+                group, held = group + parts, 0
+
+    def ranges(self, ids: pa.Array) -> np.ndarray:
+        found = np.searchsorted(self.edges, ids.fill_null(0).to_numpy(zero_copy_only=False)) + 1
+        return np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, found)
+
+    def groups(self, ids: pa.Array, texts: list[str]) -> list[int]:
+        first, parts, found = self.first, self.parts, self.ranges(ids).tolist()
+        dealt = (zlib.crc32(t.encode("utf-8", "surrogatepass"), (i or 0) & 0xFFFFFFFF) % parts[k] if parts[k] > 1 else 0 for k, i, t in zip(found, ids.to_pylist(), texts))
+        return [first[k] + d for k, d in zip(found, dealt)]
+
+
+def runs_of(docs: DataFrame, id_col: str, text_col: str, target: int) -> tuple[Runs, int]:
+    """The groups of a table, by the counted bytes between quantiles of the ids, and its bytes of text."""
+    ids = docs.select(F.col(id_col).cast("long").alias(id_col), F.octet_length(text_col).cast("long").alias("_bytes"))
+    found = ids.agg(F.percentile_approx(id_col, [k / RANGES for k in range(1, RANGES)], 10 * RANGES)).first()[0]
+    edges = sorted(set(found or []))
+    where = Runs(edges, {}, target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = (np.zeros(len(edges) + 2, np.int64) for _ in range(2))
+        for batch in batches:
+            k = where.ranges(batch.column(0))
+            np.add.at(rows, k, 1)
+            np.add.at(size, k, batch.column(1).fill_null(0).to_numpy(zero_copy_only=False))
+        full = np.flatnonzero(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(rows[full]), pa.array(size[full])], names=["k", "n", "size"])
+
+    sums = ids.mapInArrow(run, "k long, n long, size long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).collect()
+    return Runs(edges, {r["k"]: r["size"] + ROW_BYTES * r["n"] for r in sums}, target), sum(r["size"] for r in sums)
+
+
+def word_rows(docs: DataFrame, id_col: str, text_col: str, runs: Runs, buckets: int) -> DataFrame:
     """(grp, bucket, body): the distinct words of each run of documents by bucket, once for each Arrow batch that holds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words: dict[int, dict[str, None]] = {}
             for part, texts in slices(batch, text_col):
-                for i, t in zip(part.column(id_col).to_pylist(), texts):
-                    words.setdefault((i or 0) // ids_per_group, {}).update(dict.fromkeys(chunks(t)))
+                for g, t in zip(runs.groups(part.column(id_col), texts), texts):
+                    words.setdefault(g, {}).update(dict.fromkeys(chunks(t)))
             for g, seen in words.items():
                 own: list[list[str]] = [[] for _ in range(buckets)]
                 for w in sorted(seen):
@@ -175,23 +230,24 @@ def word_rows(docs: DataFrame, id_col: str, text_col: str, ids_per_group: int, b
                 full = [b for b in range(buckets) if own[b]]
                 yield pa.RecordBatch.from_arrays([pa.array([g] * len(full), pa.int64()), pa.array(full, pa.int64()), pa.array([packed(own[b]) for b in full], pa.binary())], names=["grp", "bucket", "body"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "grp long, bucket long, body binary")
+    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, "grp long, bucket long, body binary")
 
 
-def text_rows(docs: DataFrame, id_col: str, text_col: str, ids_per_group: int) -> DataFrame:
-    """(grp, body): the documents of a run, packed and compressed once for each Arrow batch."""
+def text_rows(docs: DataFrame, id_col: str, text_col: str, runs: Runs) -> DataFrame:
+    """(grp, body): the documents of a run, packed and compressed once for each Arrow batch; equal rows are counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=9)
         for batch in batches:
             for part, texts in slices(batch, text_col):
-                held: dict[int, list] = {}
-                for i, t in zip(part.column(id_col).to_pylist(), texts):
-                    held.setdefault((i or 0) // ids_per_group, []).append([i, t])
-                bodies = [packer.compress(json.dumps(rows, ensure_ascii=False).encode("utf-8", "surrogatepass")) for rows in held.values()]
+                held: dict[int, Counter] = {}
+                ids = part.column(id_col)
+                for g, i, t in zip(runs.groups(ids, texts), ids.to_pylist(), texts):
+                    held.setdefault(g, Counter())[i, t] += 1
+                bodies = [packer.compress(json.dumps([[i, t, n] for (i, t), n in rows.items()], ensure_ascii=False).encode("utf-8", "surrogatepass")) for rows in held.values()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(bodies, pa.binary())], names=["grp", "body"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "grp long, body binary")
+    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, "grp long, body binary")
 
 
 def encode_words(words: DataFrame, path: str, buckets: int) -> DataFrame:
@@ -220,15 +276,14 @@ def encode_words(words: DataFrame, path: str, buckets: int) -> DataFrame:
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", target_bytes: int = 16_000_000, bucket_bytes: int = 32_000_000) -> DataFrame:
     """One row a document: id, n_tokens and the SHA-256 of its ids (little-endian unsigned 32-bit) and of its decoded text.
 
-    Documents are taken in runs of neighbouring ids of about ``target_bytes`` of text. The distinct
-    words of the runs meet in the word table, come back with their ids, and each run puts them at
-    the positions of its documents. Decoding joins ids to the id-to-piece table of the vocabulary
-    (of fixed size, under 65,536 pieces) once a distinct word. Null text is empty; a null id counts
-    as 0 for the runs only. A run of sparse ids is small; repeated ids share a run.
+    Documents are taken in runs of neighbouring ids of about ``target_bytes`` of text, by counted
+    bytes, however the ids lie. The distinct words of the runs meet in the word table, come back with
+    their ids, and each run puts them at the positions of its documents. Decoding joins ids to the
+    id-to-piece table of the vocabulary (of fixed size, under 65,536 pieces) once a distinct word.
+    Null text is empty; null and repeated ids are dealt to runs by their texts.
     """
-    size, low, high = docs.agg(F.sum(F.octet_length(text_col)), F.min(id_col), F.max(id_col)).first()
-    runs, buckets = (max(1, -(-(size or 0) // n)) for n in (target_bytes, bucket_bytes))
-    per_group = max(1, -(-((high or 0) - (low or 0) + 1) // runs))
+    runs, size = runs_of(docs, id_col, text_col, target_bytes)
+    buckets = max(1, -(-size // bucket_bytes))
     if tokenizer(path).get_vocab_size() > 65_536:
         raise ValueError("ids travel in 16 bits here; this vocabulary is larger")
 
@@ -239,17 +294,18 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             ids.update(zip(*unpacked(body)))
         piece = [encoder.id_to_token(i) for i in range(encoder.get_vocab_size())]
         said = {w: " ".join([piece[i] for i in np.frombuffer(b, "<u4").tolist()]) for w, b in ids.items()}
-        out: tuple[list, ...] = ([], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [], [])
         for body in left.column("body").to_pylist():
-            for i, t in json.loads(unpack.decompress(body).decode("utf-8", "surrogatepass")):
+            for i, t, n in json.loads(unpack.decompress(body).decode("utf-8", "surrogatepass")):
                 words = chunks(t)
                 whole = b"".join([ids[w] for w in words])
                 text = " ".join([s for w in words if (s := said[w])])
-                for column, value in zip(out, (i, len(whole) // 4, hashlib.sha256(whole).hexdigest(), hashlib.sha256(text.encode()).hexdigest())):
+                for column, value in zip(out, (i, len(whole) // 4, hashlib.sha256(whole).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), n)):
                     column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-        return pa.table([pa.array(v, k) for v, k in zip(out, kinds)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32())
+        return pa.table([pa.array(v, k) for v, k in zip(out, kinds)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "_copies"])
 
-    words = encode_words(word_rows(docs, id_col, text_col, per_group, buckets), path, buckets)
-    texts = text_rows(docs, id_col, text_col, per_group)
-    return texts.groupBy("grp").cogroup(words.groupBy("grp")).applyInArrow(assemble, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    words = encode_words(word_rows(docs, id_col, text_col, runs, buckets), path, buckets)
+    texts = text_rows(docs, id_col, text_col, runs)
+    found = texts.groupBy("grp").cogroup(words.groupBy("grp")).applyInArrow(assemble, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string, _copies int")
+    return found.withColumn("_copies", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).drop("_copies")

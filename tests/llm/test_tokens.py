@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandlake.llm import bpe, packing
@@ -57,6 +58,26 @@ def test_packed_words_with_many_ids():
     assert bpe.unpacked(bpe.packed(words)) == (words, [])
 
 
+@pytest.mark.parametrize("ids", [[*range(99), 2**62], [k << 32 | n for k in range(10) for n in range(10)], [None] * 100, [7] * 100, [-(2**63), *range(98), 2**63 - 1]])
+def test_runs_are_bounded_however_ids_lie(spark, ids):
+    texts = [f"text number {k} {'word ' * 20}" for k in range(100)]
+    rows = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    runs, size = bpe.runs_of(rows, "doc_id", "text", 1500)
+    assert size == sum(map(len, texts))
+    held = {}
+    for g, t in zip(runs.groups(pa.array(ids, pa.int64()), texts), texts):
+        held[g] = held.get(g, 0) + len(t)
+    assert max(held.values()) <= 4500 and len(held) >= 8
+
+
+def test_null_and_equal_rows_stay(spark):
+    rows = [(None, "some text")] * 30 + [(7, "other text")] * 20 + [(7, f"text {k}") for k in range(30)] + [(None, None)] * 5 + [(2**62, "far away")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((r.doc_id, r.n_tokens, r.ids_sha256) for r in bpe.encode_decode(docs, WORDS, target_bytes=200, bucket_bytes=300).collect()), key=str)
+    want = sorted(((i, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest()) for (i, _), x in zip(rows, plain(WORDS, [t for _, t in rows]))), key=str)
+    assert got == want
+
+
 def test_empty_tables(docs):
     none = docs.where("false")
     assert bpe.encode_decode(none, WORDS).count() == 0 and bpe.count_tokens(none, WORDS).count() == 0 and packing.pack(none, BYTES).count() == 0
