@@ -95,28 +95,39 @@ def fingerprint(signatures: Column) -> Column:
     return F.array_join(signatures.cast("array<string>"), ",")
 
 
+def bucket_of(key: Column, edges: list[int]) -> Column:
+    """How many of the sorted edges lie below a key, by binary search; -1 for null."""
+    if not edges:
+        return F.when(key.isNull(), -1).otherwise(0)
+    table = F.split(F.lit(",".join(map(str, edges))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(edges).bit_length()))])
+    # get() is null beyond the last edge
+    search = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(table, low + step - 1) < key, low + step).otherwise(low))
+    return F.when(key.isNull(), -1).otherwise(search)
+
+
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text and of the next document, and how alike they are.
 
     The edited text has its last third replaced by the beginning of the next document in descending
     order of ids; after the last comes the first. Null text is empty.
 
-    Rows meet their neighbours in buckets of ids, and each bucket also gets the first row of the one
-    below. Only the bucket table, of bounded size, is sorted as a whole. Rows with one id follow each
-    other by text. Clustered ids make uneven buckets, which sort and spill. A single row is its own
-    next one.
+    Rows meet their neighbours in buckets of ids between quantiles, so that a bucket has about
+    ``BUCKET_ROWS`` rows however the ids lie, and each bucket also gets the first row of the one below.
+    Only the bucket table, of bounded size, is sorted as a whole. Rows with one id follow each other by
+    text and share a bucket, as do those with a null id, which come last. A single row is its own next one.
     """
     rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n, low, high = rows.agg(F.count("*"), F.min(id_col), F.max(id_col)).first()
-    buckets = min(MOST_BUCKETS, max(1, -(-n // BUCKET_ROWS)))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
-    rows = rows.withColumn("_bucket", F.coalesce(F.floor((F.col(id_col) - F.lit(low or 0)) / width), F.lit(0)).cast("long"))
-    heads = rows.groupBy("_bucket").agg(F.max(id_col).alias(id_col))
+    buckets = min(MOST_BUCKETS, max(1, -(-rows.count() // BUCKET_ROWS)))
+    found = rows.agg(F.percentile_approx(id_col, [k / buckets for k in range(1, buckets)], 100 * buckets)).first()[0] if buckets > 1 else None
+    rows = rows.withColumn("_bucket", bucket_of(F.col(id_col), sorted(set(found or []))))
+    heads = rows.groupBy("_bucket").agg(F.max(id_col).alias("_head"))
     every = Window.orderBy("_bucket")
     whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # the first row of a bucket also closes the bucket above it; that of the highest bucket closes the lowest
-    goes = heads.select(id_col, F.coalesce(F.lead("_bucket").over(every), F.min("_bucket").over(whole)).alias("_goes"))
-    closing = rows.join(F.broadcast(goes), id_col).select(id_col, "text", F.col("_goes").alias("_bucket"), F.lit(1).alias("_closing"))
+    goes = heads.select("_bucket", "_head", F.coalesce(F.lead("_bucket").over(every), F.min("_bucket").over(whole)).alias("_goes"))
+    first = rows.join(F.broadcast(goes), "_bucket").where(F.col(id_col).eqNullSafe(F.col("_head")))
+    closing = first.groupBy("_goes", id_col).agg(F.min("text").alias("text")).select(id_col, "text", F.col("_goes").alias("_bucket"), F.lit(1).alias("_closing"))
     both = with_signatures(rows.withColumn("_closing", F.lit(0)).unionByName(closing), F.col("text"), "signatures")
     after = Window.partitionBy("_bucket").orderBy("_closing", F.desc(id_col), "text")
     placed = both.withColumns({"next_text": F.lead("text").over(after), "next_signatures": F.lead("signatures").over(after)}).where("_closing = 0")

@@ -140,3 +140,25 @@ def test_signatures_chain_over_common_words(spark):
     a, b = F.array(*map(F.lit, [1, 2, 3, 4])), F.array(*map(F.lit, [3, 4, 5, 6]))
     r = spark.range(1).select(spotsigs.likeness(a, b).alias("x"), spotsigs.likeness(a, F.array(F.lit(1)), 0.5).alias("y")).first()
     assert r.x == pytest.approx(1 / 3) and r.y == 0.0
+
+
+def test_buckets_are_even_however_ids_lie(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "BUCKET_ROWS", 10)
+    for ids in ([*range(99), 2**62], [k << 32 | n for k in range(10) for n in range(10)], [-(2**63), *range(98), 2**63 - 1]):
+        edges = ids[9:-1:10]
+        docs = spark.createDataFrame([(i, f"text {k} of the words") for k, i in enumerate(ids)], "doc_id long, text string")
+        held = docs.groupBy(spotsigs.bucket_of(F.col("doc_id"), sorted(edges)).alias("b")).count().collect()
+        assert len(held) == 10 and max(r["count"] for r in held) == 10
+
+
+@pytest.mark.parametrize("ids", [[*range(39), 2**62], [k << 32 | n for k in range(4) for n in range(10)], [None, None, *range(20), *[7] * 18]])
+def test_next_document_across_buckets(spark, monkeypatch, ids):
+    monkeypatch.setattr(spotsigs, "BUCKET_ROWS", 5)
+    rows = [(i, f"number {k:03d} of the long list with words") for k, i in enumerate(ids)]
+    got = sorted((r.doc_id is None, -(r.doc_id or 0), r.edited_sha256) for r in spotsigs.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = []
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1]):
+        third = len(t) // 3
+        want.append((i is None, -(i or 0), hashlib.sha256((t[: len(t) - third] + n[:third]).encode()).hexdigest()))
+    assert got == sorted(want)
