@@ -35,3 +35,23 @@ def test_all_steps(spark, tmp_path):
     assert {r.pathway for r in done["pathway_enrichment"].collect()} == {"Apoptosis"}
     again = Pipeline(spark, config, method="logistic", trees=3)
     assert list(again.run(3, 3)) == ["stoichiometry", "differential"]
+
+
+def test_model_queries_train_the_whole_model(spark, monkeypatch):
+    from strandlake.plans import queries
+
+    data, seen = "/root/testdata/sf0.001", []
+
+    def fit(train, trees, depth):
+        seen.append((trees, depth, train.first().features.size))
+        raise StopIteration
+
+    for kind in ("train_boosting", "train_forest"):
+        monkeypatch.setattr(queries.ml, kind, fit)
+    for name in ("boosting_metrics", "forest_metrics", "forest_importances", "shap_global", "shap_local"):
+        try:
+            queries.QUERIES[name](spark, data)
+        except StopIteration:
+            pass
+    size = len(spark.read.parquet(f"{data}/embeddings.parquet").first().embedding)
+    assert seen == [(200, 6, size)] * 5
