@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import append_by_text, slices
+from strandlake.llm.common import append_by_text, batch_slices
 
 #: A worker's table of chunks is emptied beyond so many entries: a bound on memory, not on what is counted.
 MEMO_ENTRIES = 600_000
@@ -220,7 +220,7 @@ def word_rows(docs: DataFrame, id_col: str, text_col: str, runs: Runs, buckets:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words: dict[int, dict[str, None]] = {}
-            for part, texts in slices(batch, text_col):
+            for part, texts in batch_slices(batch, text_col):
                 for g, t in zip(runs.groups(part.column(id_col), texts), texts):
                     words.setdefault(g, {}).update(dict.fromkeys(chunks(t)))
             for g, seen in words.items():
@@ -239,7 +239,7 @@ def text_rows(docs: DataFrame, id_col: str, text_col: str, runs: Runs) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=9)
         for batch in batches:
-            for part, texts in slices(batch, text_col):
+            for part, texts in batch_slices(batch, text_col):
                 held: dict[int, Counter] = {}
                 ids = part.column(id_col)
                 for g, i, t in zip(runs.groups(ids, texts), ids.to_pylist(), texts):

@@ -5,15 +5,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlake.session import cut
 
-#: Rows of a batch are handed to Python code in slices of about so many characters.
-SLICE_CHARS = 4_000_000
+#: Rows of a batch are handed to Python code in slices of about so many bytes.
+SLICE_BYTES = 4_000_000
 #: One key's rows are dealt to so many tasks where a join meets hot keys.
 SALTS = 16
 #: A table of numbers is broadcast only when counted to have no more rows than this (a few MB).
@@ -35,40 +37,64 @@ def fields(ddl: str) -> list[T.StructField]:
     return T._parse_datatype_string(ddl).fields if isinstance(ddl, str) else list(ddl)
 
 
-def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """The batch in runs of whole rows whose texts fit a bounded buffer; null is the empty text."""
-    texts = [t or "" for t in batch.column(text_col).to_pylist()]
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= SLICE_CHARS or i == len(texts) - 1:
-            yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-            start, held = i + 1, 0
+def slices(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """The texts of an Arrow column in runs of about ``SLICE_BYTES``, each with its first row; null is the empty text.
+
+    Runs are cut by the column's own offsets: only one of them at a time exists as Python strings.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(column):
+        done = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + SLICE_BYTES, "right")))
+        yield start, [t or "" for t in column.slice(start, stop - start).to_pylist()]
+        start = stop
+
+
+def batch_slices(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The rows of a batch in such runs, with their texts."""
+    for start, texts in slices(batch.column(text_col)):
+        yield batch.slice(start, len(texts)), texts
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def append_by_text(df: DataFrame, text_col: str, ddl: str, make: Callable[[], Callable[[list[str]], Sequence[list]]]) -> DataFrame:
     """``df`` with columns computed from whole texts; a column of the same name gives way.
 
     ``make`` runs once in each task and returns a function from a list of texts to one list of
-    values for each field of ``ddl``. Rows, their order and the other columns stay.
+    values for each field of ``ddl``; what it holds goes with the task. Rows, their order and the
+    other columns stay in the JVM: Python gets texts and returns the new fields alone.
     """
     new = fields(ddl)
     names = {f.name.lower() for f in new}
-    if text_col.lower() in names:
-        raise ValueError(f"{text_col} is the input of this operator and can't be its result")
-    kept = [f.name for f in df.schema.fields if f.name.lower() not in names]
-    schema = T.StructType([f for f in df.schema.fields if f.name in kept] + new)
     kinds = [_ARROW[f.dataType.simpleString()] for f in new]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         apply = make()
-        for batch in batches:
-            for part, texts in slices(batch, text_col):
-                values = apply(texts)
-                arrays = [part.column(k) for k in kept] + [pa.array(v, type=k) for v, k in zip(values, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=kept + [f.name for f in new])
-
-    return df.mapInArrow(run, schema)
+        for column in columns:
+            for _, texts in slices(column):
+                yield pa.StructArray.from_arrays([pa.array(v, type=k) for v, k in zip(apply(texts), kinds, strict=True)], names=[f.name for f in new])
+            if not len(column):
+                yield pa.StructArray.from_arrays([pa.array([], type=k) for k in kinds], names=[f.name for f in new])
+
+    run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    # marked as not deterministic, a filter on its result can't move below and run it twice
+    found = F.arrow_udf(run, T.StructType(new)).asNondeterministic()
+    held = free_name(df, "_found")
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
+    return df.withColumn(held, found(F.col(text_col))).select(*kept, *[F.col(held)[f.name].alias(f.name) for f in new])
+
+
+def bounded(small: DataFrame, rows: int) -> DataFrame:
+    """``small``, to be broadcast if its proven bound of rows is within ``BROADCAST_ROWS``."""
+    return F.broadcast(small) if rows <= BROADCAST_ROWS else small
 
 
 def join_unique(big: DataFrame, small: DataFrame, key: str, spread: Column, how: str = "left", rows: int | None = None, salts: int = SALTS) -> DataFrame:

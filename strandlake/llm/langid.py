@@ -11,7 +11,6 @@ import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -43,7 +42,6 @@ class LanguageModel:
     min_saving: float = 0.005
 
 
-@lru_cache(maxsize=4)
 def _encoders(model: LanguageModel) -> list[list[zstandard.ZstdCompressor]]:
     out = []
     for _, level in LEVELS:

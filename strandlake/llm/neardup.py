@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import component_table, join_unique, slices
+from strandlake.llm.common import component_table, join_unique, batch_slices
 from strandlake.session import cut
 
 MEMO_WORDS = 400_000
@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame, s: JoinSettings, id_col: str, text_col: str) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(s.width)
         for batch in batches:
-            for part, texts in slices(batch, text_col):
+            for part, texts in batch_slices(batch, text_col):
                 sets = [shingle(t) for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [

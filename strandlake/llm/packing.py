@@ -8,6 +8,7 @@ pattern. Patterns go back to the pieces by their rank among the pieces of one le
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -15,82 +16,70 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.bpe import MEMO_ENTRIES, tokenizer
-from strandlake.llm.common import slices
+from strandlake.llm.bpe import tokenizer
+from strandlake.llm.common import batch_slices, bounded
 from strandlake.session import cut
 
 #: Ranks within one length are counted in so many parts, so that a hot length is spread.
-RANK_PARTS = 64
+RANK_PARTS = 16
 
 
-#: Fixed value: the byte-level tokenizer's split of a text into pieces.
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Within these characters all libraries agree what a letter is.
-COMMON = re.compile(r"[\x00-\u024f]*")
+#: Fixed value: the byte-level tokenizer's split of a text into pieces, in a form that never backtracks.
+PIECE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: Within these characters both libraries agree what a letter, a digit and a space are.
+COMMON = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]*")
+#: A run without a space, or of spaces, from which the merging of one piece grows with its square.
+LONG_RUN = 2000
+LONG_SPACE = re.compile(rf"\s{{{LONG_RUN}}}")
 
-PRINTABLE = re.compile(r"[\n\x20-\x7e]+")
+
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = sorted(set(range(256)).difference(own))
+    return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
 class ByteEncoder:
-    """Ids of a byte-level BPE as little-endian bytes, each distinct piece encoded once a worker.
+    """Ids of a byte-level BPE as little-endian bytes.
 
-    A space starts a new token where neither neighbour is white space, and a lone line end is a
-    token of its own, so a text falls into chunks at spaces and before line ends. Texts with other
-    white space or a special token go to the library whole.
+    Texts of common characters go to a merger by ranks, which is several times faster than the
+    tokenizer's own library and gives the same ids; texts with other characters, special tokens or
+    very long runs go to that library.
     """
 
     def __init__(self, path: str):
         self.t = tokenizer(path)
         self.special = [a.content for a in self.t.get_added_tokens_decoder().values()]
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.t.encode_batch(texts, add_special_tokens=False)]
-
-    def regular(self, text: str) -> bool:
-        lone = text.replace("\n", " ")
-        if lone[:1] == " " or lone[-1:] == " " or "  " in lone or any(s in text for s in self.special):
-            return False
-        # split() knows every kind of white space: it finds more parts than single spaces make only if there is another kind
-        return len(lone.split()) == lone.count(" ") + 1
-
-    def learn(self, memo: dict[str, bytes], keys: list[str], texts: list[str]) -> None:
-        split = [PIECE.findall(t) if COMMON.fullmatch(t) else [t] for t in texts]
-        new = set(chain.from_iterable(split)).difference(self.pieces)
-        own, merge = self.pieces, self.t.model.tokenize
-        # a printable ASCII piece with spaces and line ends in their byte-level form is what the model itself takes
-        plain = [p for p in new if PRINTABLE.fullmatch(p)]
-        own.update(zip(plain, [array("I", [x.id for x in merge(p.replace(" ", "\u0120").replace("\n", "\u010a"))]).tobytes() for p in plain]))
-        other = list(new.difference(plain))
-        own.update(zip(other, self.encode(other)))
-        memo.update(zip(keys, [own[x[0]] if len(x) == 1 else b"".join([own[p] for p in x]) for x in split]))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        for memo in (self.first, self.later, self.pieces):
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
-        split = [t.replace("\n", " \n").split(" ") if t and self.regular(t) else None for t in texts]
-        starts, seen = set(), set()
-        for x in split:
-            if x:
-                starts.add(x[0])
-                seen.update(x[1:])
-        first, later = self.first, self.later
-        new = list(starts.difference(first))
-        self.learn(first, new, new)
-        new = list(seen.difference(later))
-        self.learn(later, new, [w if w[0] == "\n" else " " + w for w in new])
-        return [(self.encode([t])[0] if t else b"") if x is None else b"".join([first[x[0]], *map(later.__getitem__, x[1:])]) for t, x in zip(texts, split)]
+        self.fast = self.by_ranks(json.load(open(path, encoding="utf-8")))
+
+    def by_ranks(self, spec: dict):
+        """The merger by ranks, or None where ids don't follow the order of the merges."""
+        model, split, bytes_of = spec["model"], spec.get("pre_tokenizer") or {}, byte_of()
+        plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not spec.get("normalizer") and not model.get("ignore_merges")
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        special = set(self.special)
+        names = [t for t in model["vocab"] if t not in special]
+        if not plain or [model["vocab"][m] for m in merged] != list(range(256, 256 + len(merged))) or len(names) != 256 + len(merged):
+            return None
+        import tiktoken
+
+        ranks = {bytes(bytes_of[c] for c in t): model["vocab"][t] for t in names}
+        return tiktoken.Encoding("ranks", pat_str=PIECE, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def simple(self, text: str) -> bool:
+        return bool(COMMON.fullmatch(text)) and not any(s in text for s in self.special) and max(map(len, text.split()), default=0) < LONG_RUN and not LONG_SPACE.search(text)
+
+    def ids(self, text: str) -> bytes:
+        if self.fast and self.simple(text):
+            return array("I", self.fast(text)).tobytes()
+        return array("I", self.t.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
 
 
 @lru_cache(maxsize=2)
@@ -107,10 +96,10 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, room: int = 2048, id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = byte_encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part, texts in slices(batch, text_col):
+            for part, texts in batch_slices(batch, text_col):
                 out: tuple[list, ...] = ([], [], [], [], [])
-                for i, ids in zip(part.column(id_col).to_pylist(), encoder.ids(texts)):
-                    ids += end
+                for i, t in zip(part.column(id_col).to_pylist(), texts):
+                    ids = encoder.ids(t) + end
                     for at in range(0, len(ids), 4 * room):
                         own = ids[at : at + 4 * room]
                         for column, value in zip(out, (i, at // 4, len(own) // 4, zlib.crc32(own), len(ids) // 4)):
@@ -183,17 +172,20 @@ def runs(table: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, in
 def pack(docs: DataFrame, path: str, end_id: int = 1, room: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces with sequence_id and offset. Sequences number from 0; an empty table gives no rows.
 
-    The slot table is bounded by the number of lengths, not by the rows: it alone is broadcast.
+    Null ids and repeated rows are packed like any other. Two small tables meet the pieces: counts by
+    length and part (at most ``room * RANK_PARTS`` rows) and the counted slots; either is broadcast
+    only within ``BROADCAST_ROWS``.
     """
     spark = docs.sparkSession
     cuts = cut(pieces(docs, path, end_id, room, id_col, text_col)).withColumn("_part", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.lit(RANK_PARTS)))
     by_part = cuts.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     histogram = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    table = spark.createDataFrame(runs(slots(pack_histogram(histogram, room))), "length long, _from long, _to long, _sequence long, _offset long, _n long")
+    found = runs(slots(pack_histogram(histogram, room)))
+    table = spark.createDataFrame(found, "length long, _from long, _to long, _sequence long, _offset long, _n long")
     before = by_part.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("length", "_part", F.coalesce("_before", F.lit(0)).alias("_before"))
     ranked = cuts.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_part").orderBy(id_col, "start", "ids_crc32")))
-    ranked = ranked.join(F.broadcast(before), ["length", "_part"]).withColumn("_rank", F.col("_before") + F.col("_row") - 1)
-    placed = ranked.join(F.broadcast(table), "length").where("_rank >= _from and _rank < _to")
+    ranked = ranked.join(bounded(before, room * RANK_PARTS), ["length", "_part"]).withColumn("_rank", F.col("_before") + F.col("_row") - 1)
+    placed = ranked.join(bounded(table, len(found)), "length").where("_rank >= _from and _rank < _to")
     at = F.col("_rank") - F.col("_from")
     # ranks go through the sequences once for each piece of this length in a sequence
     placed = placed.withColumns({"sequence_id": F.col("_sequence") + at % F.col("_n"), "offset": F.col("_offset") + F.col("length") * ((at - at % F.col("_n")) / F.col("_n")).cast("long")})

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import append_by_text
+from strandlake.llm.common import append_by_text, free_name
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -161,5 +161,6 @@ def redact(docs: DataFrame, model: MarkovPair, text_col: str = "text") -> DataFr
 
         return apply
 
-    plain = append_by_text(docs, text_col, "_clean string", make)
-    return plain.withColumn(text_col, F.when(F.col(text_col).isNull(), F.lit(None)).otherwise(F.col("_clean"))).drop("_clean")
+    clean = free_name(docs, "_clean")
+    plain = append_by_text(docs, text_col, f"{clean} string", make)
+    return plain.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col(clean))).drop(clean)
