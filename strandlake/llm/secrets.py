@@ -1,36 +1,41 @@
 """Secret scan: fixed rules, and character Markov models that add what the rules do not know.
 
 Three rules find assignments, access keys and hexadecimal runs. Beside them two first-order
-character models, one of random strings and one of ordinary identifiers, judge every long
-token by the log-likelihood ratio per character. Both are trained from labelled samples of the
-corpus: the values that the rules find are random strings, the words of the same rows are
-ordinary.
+character models, one of random strings and one of ordinary identifiers, judge every token of
+``MIN_TOKEN`` characters or more by its log-likelihood ratio. Both are trained on labelled samples of
+the corpus: in the rows that a rule may speak of, what the rules find is random, and every other
+token is ordinary.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import append_by_text, free_name
+from strandlake.llm.common import append_by_text, free_name, slices
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 #: A run shorter than this fails as a whole, and so does every part of it: asking for the length at once gives the same spans.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: What the models judge: every whole run of 20 characters or more, whatever its length, that holds a letter or a digit.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-TELLING = re.compile(r"[A-Za-z0-9]")
-WORD = re.compile(r"[A-Za-z][A-Za-z0-9_-]{3,}")
+#: The shortest token that the models judge: shorter ones say too little either way.
+MIN_TOKEN = 10
+#: What the models judge: whole runs of these characters, whatever their length and whatever stands in them.
+TOKEN = re.compile(rf"[\w+/=-]{{{MIN_TOKEN},}}")
+#: What they learn as ordinary: shorter runs too.
+WORD = re.compile(r"[\w+/=-]{4,}")
+#: Without a letter a run is a number or a rule of signs, not a word-like token.
+TELLING = re.compile(r"[A-Za-z]")
 ALPHABET = {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.")}
 OTHER = len(ALPHABET)
 
@@ -51,72 +56,110 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def codes(s: str) -> np.ndarray:
-    return np.array([ALPHABET.get(c, OTHER) for c in s], dtype=np.int64)
+#: The code of each byte; a line end, which no token holds, stands between tokens.
+_CODE = np.full(256, OTHER, np.int64)
+for _c, _i in ALPHABET.items():
+    _CODE[ord(_c)] = _i
+SIZE = OTHER + 1
+
+
+def pairs(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The pair code of each two neighbouring characters of ASCII tokens, and where each token's pairs begin; pairs across tokens are -1.
+
+    A word shouted in capitals is the word.
+    """
+    data = np.frombuffer("\n".join([t.lower() if t.isupper() else t for t in tokens]).encode("ascii") + b"\n", np.uint8)
+    code = _CODE[data]
+    found = np.append(code[:-1] * SIZE + code[1:], -1)
+    ends = np.flatnonzero(data == 10)
+    found[ends], found[ends - 1] = -1, -1
+    return found, np.concatenate([[0], ends[:-1] + 1])
+
+
+def outside(tokens: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The tokens that touch no span of the rules; both lists in order."""
+    out, ends, at = [], 0, 0
+    for a, b in tokens:
+        while at < len(base) and base[at][0] < b:
+            ends = max(ends, base[at][2])
+            at += 1
+        if a >= ends:
+            out.append((a, b))
+    return out
+
+
+def tokens_of(text: str, base: list[tuple[int, int, int]], kind: re.Pattern = TOKEN) -> list[tuple[int, int]]:
+    """ASCII tokens outside the rules' spans; a run with other letters is a word of some language."""
+    found = [m.span() for m in kind.finditer(text)]
+    return [(a, b) for a, b in outside(found, base) if text[a:b].isascii()] if found else []
 
 
 @dataclass(frozen=True)
 class MarkovPair:
     """Log-likelihood ratio table of random strings against ordinary identifiers.
 
-    ``threshold`` is in nats per character. An empty sample leaves its model uniform.
+    A token is random if its ratio is at least ``total`` nats, the odds that a token must overcome,
+    and ``threshold`` nats a pair of characters. Half the weight of the random model lies on strings
+    over all characters, since keys come in more alphabets than a sample holds. An empty sample
+    leaves its model uniform.
     """
 
     ratio: np.ndarray = field(repr=False)
     threshold: float = 0.35
+    total: float = 10.0
 
     @classmethod
-    def fit(cls, random: list[str], ordinary: list[str], threshold: float = 0.35) -> MarkovPair:
-        tables = []
-        for sample in (random, ordinary):
-            counts = np.full((OTHER + 1, OTHER + 1), 0.5)
-            for s in sample:
-                c = codes(s)
-                np.add.at(counts, (c[:-1], c[1:]), 1)
-            tables.append(np.log(counts / counts.sum(axis=1, keepdims=True)))
-        return cls(tables[0] - tables[1], threshold)
-
-    def score(self, s: str) -> float:
-        c = codes(s)
-        return float(self.ratio[c[:-1], c[1:]].mean()) if len(c) > 1 else 0.0
-
-    def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Candidates over the threshold that touch no span of the rules."""
-        out = []
-        for m in CANDIDATE.finditer(text):
-            a, b = m.span()
-            if all(b <= x or a >= y for x, _, y in base) and TELLING.search(m[0]) and self.score(m[0]) >= self.threshold:
-                out.append((a, 3, b))
-        return out
-
-
-def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_rows: int = 400, threshold: float = 0.35) -> MarkovPair:
-    """Fit on at most ``max_rows`` rows that name a secret, the first by a hash of their id; the rules label them.
-
-    This is the one bounded sample of the operator: a documented parameter, not a cap on the scan.
-    With no labelled row the models are equal and add nothing.
+    def of_counts(cls, random: np.ndarray, ordinary: np.ndarray, threshold: float = 0.35, total: float = 10.0) -> MarkovPair:
+        chance = [(smooth := counts.reshape(SIZE, SIZE) + 0.5) / smooth.sum(axis=1, keepdims=True) for counts in (random, ordinary)]
+        ratio = np.log((chance[0] + 1 / SIZE) / 2) - np.log(chance[1])
+        return cls(np.append(ratio.ravel() if random.any() else np.zeros(SIZE * SIZE), 0.0), threshold, total)
+
+    def random(self, tokens: list[str]) -> np.ndarray:
+        """Which of the tokens are random."""
+        if not tokens:
+            return np.zeros(0, bool)
+        code, starts = pairs(tokens)
+        sums = np.add.reduceat(self.ratio[code], starts)
+        n = np.array([max(1, len(t) - 1) for t in tokens])
+        return (sums >= self.total) & (sums >= self.threshold * n)
+
+    def spans(self, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
+        """For each text the tokens that the ratio calls random."""
+        where = [tokens_of(t, x) for t, x in zip(texts, base)]
+        said = iter(self.random([t[a:b] for t, own in zip(texts, where) for a, b in own]).tolist())
+        # each token has its verdict, whether or not it is kept
+        return [[(a, 3, b) for (a, b), yes in [(x, next(said)) for x in own] if yes and TELLING.search(t, a, b)] for t, own in zip(texts, where)]
+
+
+def train(docs: DataFrame, text_col: str = "text", threshold: float = 0.35, total: float = 10.0) -> MarkovPair:
+    """Fit on every row that names a secret: pair counts are summed in Spark, the driver gets two tables of fixed size.
+
+    Null texts and rows without such a name teach nothing; with no labelled row the models are equal
+    and add nothing. Sums know no order, so ties and repeats need no rule.
     """
     marks = [F.col(text_col).contains(m) for m in ("token", "secret", "passw", "api_key", "apikey", "AKIA")]
-    some = (
-        docs.where(reduce(or_, marks))
-        .orderBy(F.xxhash64(F.col(id_col).cast("string")), F.xxhash64(text_col))
-        .select(text_col)
-        .limit(max_rows)
-    )
-
-    def make() -> Callable:
-        def apply(texts: list[str]) -> list[list]:
-            values, words = [], []
-            for t in texts:
-                base = base_spans(t)
-                values.append([t[a:b] if k else ASSIGN.match(t, a)[2] for a, k, b in base][:50])
-                words.append([m[0] for m in WORD.finditer(t) if all(m.end() <= a or m.start() >= b for a, _, b in base)][:200])
-            return [values, words]
-
-        return apply
 
-    rows = append_by_text(some, text_col, "_values array<string>, _words array<string>", make).select("_values", "_words").collect()
-    return MarkovPair.fit([v for r in rows for v in r["_values"]], [w for r in rows for w in r["_words"]], threshold)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, SIZE * SIZE), np.int64)
+        for batch in batches:
+            for _, texts in slices(batch.column(0)):
+                values, words = [], []
+                for t in texts:
+                    base = base_spans(t)
+                    values += [t[a:b] if k else ASSIGN.match(t, a)[2] for a, k, b in base]
+                    words += [t[a:b] for a, b in tokens_of(t, base, WORD)]
+                for own, found in zip(counts, (values, words)):
+                    if found:
+                        code = pairs(found)[0]
+                        own += np.bincount(code[code >= 0], minlength=SIZE * SIZE)
+        kind, pair = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int64()), pa.array(pair, pa.int64()), pa.array(counts[kind, pair], pa.int64())], names=["kind", "pair", "n"])
+
+    rows = docs.where(reduce(or_, marks)).select(text_col).mapInArrow(run, "kind long, pair long, n long")
+    counts = np.zeros((2, SIZE * SIZE))
+    for r in rows.groupBy("kind", "pair").agg(F.sum("n").alias("n")).collect():
+        counts[r["kind"], r["pair"]] = r["n"]
+    return MarkovPair.of_counts(counts[0], counts[1], threshold, total)
 
 
 def scan(docs: DataFrame, model: MarkovPair, text_col: str = "text") -> DataFrame:
@@ -129,9 +172,8 @@ def scan(docs: DataFrame, model: MarkovPair, text_col: str = "text") -> DataFram
     def make() -> Callable:
         def apply(texts: list[str]) -> list[list]:
             out: list[list] = [[], [], [], [], [], []]
-            for t in texts:
-                base = base_spans(t)
-                added = model.spans(t, base)
+            bases = [base_spans(t) for t in texts]
+            for base, added in zip(bases, model.spans(texts, bases)):
                 kinds = [k for _, k, _ in base]
                 for column, value in zip(out, (kinds.count(0), kinds.count(1), kinds.count(2), len(added), hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + added))), strict=True):
                     column.append(value)
@@ -148,10 +190,10 @@ def redact(docs: DataFrame, model: MarkovPair, text_col: str = "text") -> DataFr
     def make() -> Callable:
         def apply(texts: list[str]) -> list[list]:
             out = []
-            for t in texts:
-                base = base_spans(t)
+            bases = [base_spans(t) for t in texts]
+            for t, base, added in zip(texts, bases, model.spans(texts, bases)):
                 parts, at = [], 0
-                for a, _, b in sorted(base + model.spans(t, base)):
+                for a, _, b in sorted(base + added):
                     if b <= at:
                         continue
                     parts += [t[at:a], "[REDACTED]"] if a >= at else []
