@@ -6,16 +6,19 @@ the threshold on average) and deals its members to children by those minima, so
 expected to stay together in about one child. Small nodes are compared exhaustively on full sets.
 Independent trees are repeated until a pair at the threshold is missed with negligible chance.
 
-A node that is too large for one task is compared in blocks, which links most of its members, and
-then by the smallest members of the components that meet in it. Only while different components are
-left does it go on: up to a limit it is finished block against block, which is exact; beyond it, it
-branches on, and what is left at the depth limit is finished the same way.
+Links join components, and from then on only members of different components are compared: a node
+within one component is done. The first tree is finished before the others begin, so that groups of
+copies are one component each by the time nine more trees meet them. A node that is too large for
+one task is compared in blocks, which links most of its members, and by the heads of the components
+that meet in it; if different components are left it branches on. What is still unresolved at the
+depth limit is finished block against block, which is exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import component_table, join_unique, batch_slices
+from strandlake.llm.common import batch_slices, bounded, component_table, free_name, join_unique
 from strandlake.session import cut
 
 MEMO_WORDS = 400_000
@@ -35,8 +38,8 @@ class JoinSettings:
     """``width`` words a shingle; linked with ``100 * intersection >= percent * union``.
 
     ``trees`` and ``functions`` set recall, ``node_limit`` the size up to which a node is compared
-    in one go, ``finish_limit`` that up to which a larger one is finished in blocks of ``finish_block``,
-    ``rounds`` how often nodes beyond it branch by ``levels`` more before they are finished too.
+    in one go, ``rounds`` how often larger ones branch by ``levels`` more before they are finished in
+    blocks of ``finish_block``.
     """
 
     width: int = 5
@@ -45,9 +48,8 @@ class JoinSettings:
     functions: int = 64
     levels: int = 2
     node_limit: int = 64
-    finish_limit: int = 2048
     finish_block: int = 256
-    rounds: int = 4
+    rounds: int = 6
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -93,25 +95,22 @@ def sketch(hashes: np.ndarray, functions: int) -> bytes:
     return (best >> np.uint64(32)).astype("<u4").tobytes()
 
 
-def fingerprints(docs: DataFrame, s: JoinSettings, id_col: str, text_col: str) -> DataFrame:
-    """(doc, n_shingles, sig, sketch): equal sets have equal sig; no sketch for an empty set."""
+def fingerprints(docs: DataFrame, s: JoinSettings) -> DataFrame:
+    """(doc, mark, n_shingles, sig, sketch) of (doc, mark, text): equal sets have equal sig; no sketch for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(s.width)
         for batch in batches:
-            for part, texts in batch_slices(batch, text_col):
-                sets = [shingle(t) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(id_col).cast(pa.int64()),
-                        pa.array([len(x) for x in sets], pa.int64()),
-                        pa.array([xxhash.xxh3_128_hexdigest(x.tobytes()) if len(x) else None for x in sets], pa.string()),
-                        pa.array([sketch(x, s.functions) if len(x) else None for x in sets], pa.binary()),
-                    ],
-                    names=["doc", "n_shingles", "sig", "sketch"],
-                )
+            for part, texts in batch_slices(batch, "text"):
+                out: tuple[list, ...] = ([], [], [])
+                for t in texts:
+                    x = shingle(t)
+                    for column, value in zip(out, (len(x), xxhash.xxh3_128_hexdigest(x.tobytes()) if len(x) else None, sketch(x, s.functions) if len(x) else None)):
+                        column.append(value)
+                found = [pa.array(v, k) for v, k in zip(out, (pa.int64(), pa.string(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("mark"), *found], names=["doc", "mark", "n_shingles", "sig", "sketch"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc long, n_shingles long, sig string, sketch binary")
+    return docs.mapInArrow(run, "doc long, mark long, n_shingles long, sig string, sketch binary")
 
 
 def descend(nodes: np.ndarray, sketches: np.ndarray, s: JoinSettings) -> tuple[np.ndarray, np.ndarray]:
@@ -126,30 +125,30 @@ def descend(nodes: np.ndarray, sketches: np.ndarray, s: JoinSettings) -> tuple[n
     return who, child
 
 
-def branched(rows: DataFrame, s: JoinSettings, roots: bool) -> DataFrame:
-    """(node, rep) some levels down, from (rep, sketch) at the roots or (node, rep, sketch)."""
+def branched(rows: DataFrame, s: JoinSettings, trees: Sequence[int] = ()) -> DataFrame:
+    """(node, rep, label) some levels down, from (rep, label, sketch) at the roots of ``trees``, or else (node, rep, label, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            reps = batch.column("rep").to_numpy(zero_copy_only=False)
+            reps, labels = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "label"))
             sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u4").reshape(len(reps), s.functions)
-            if roots:
-                at = np.repeat(np.arange(len(reps)), s.trees)
-                nodes = mix(np.tile(np.arange(1, s.trees + 1, dtype=np.uint64), len(reps)))
+            if trees:
+                at = np.repeat(np.arange(len(reps)), len(trees))
+                nodes = mix(np.tile(np.array(trees, np.uint64) + np.uint64(1), len(reps)))
             else:
                 at, nodes = np.arange(len(reps)), batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
             for _ in range(s.levels):
                 who, nodes = descend(nodes, sketches[at], s)
                 at = at[who]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(reps[at])], names=["node", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(reps[at]), pa.array(labels[at])], names=["node", "rep", "label"])
 
-    return rows.mapInArrow(run, "node long, rep long")
+    return rows.mapInArrow(run, "node long, rep long, label long")
 
 
 def linked(group: list[tuple[int, int, str]], shingle: Shingler, percent: int) -> list[tuple[int, int]]:
-    """Links that join the group's components as all pairs would: (rep, label, text) in, (rep, rep) out."""
+    """Links that join the group's components as all pairs would: (rep, label, text) in, (label, label) out."""
     sets = [shingle(t) for _, _, t in group]
     parent = {label: label for _, label, _ in group}
 
@@ -171,12 +170,12 @@ def linked(group: list[tuple[int, int, str]], shingle: Shingler, percent: int) -
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * both >= percent * (small + large - both):
                     parent[max(a, b)] = min(a, b)
-                    out.append((group[i][0], group[j][0]))
+                    out.append((group[i][1], group[j][1]))
     return out
 
 
 def compared(groups: DataFrame, texts: DataFrame, s: JoinSettings) -> DataFrame:
-    """(a, b) links of groups (cid, rep, label) whose members' texts are in ``texts`` (rep, text)."""
+    """(a, b) links between labels, of groups (cid, rep, label) whose members' texts are in ``texts`` (rep, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(s.width)
@@ -230,70 +229,129 @@ def block_pairs(members: DataFrame, s: JoinSettings) -> DataFrame:
     return grouped(spread.select("node", "_k.kind", "_k.x", "_k.y", "rep", "label"), ["node", "kind", "x", "y"])
 
 
-def near_duplicates(docs: DataFrame, settings: JoinSettings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row.
+class Labels:
+    """The component of each representative, as links come in: a table of those that are not their own."""
 
-    Null and empty texts, and texts of white space, have the empty set and link with nothing. Equal
-    sets are always linked. Rows that repeat an id share its component. An empty table gives no rows.
+    def __init__(self):
+        self.table, self.rows = None, 0
+
+    def add(self, links: DataFrame) -> bool:
+        """Join the components that ``links`` (a, b) name; false if there are none."""
+        if links.isEmpty():
+            return False
+        joined, n = component_table(links)
+        moved = joined.where("node != component").select(F.col("node").alias("rep"), F.col("component").alias("label"))
+        if self.table is not None:
+            held = join_unique(self.table.withColumnRenamed("label", "node"), joined, "node", F.col("rep"), rows=n)
+            moved = moved.unionByName(held.select("rep", F.coalesce("component", "node").alias("label")))
+        self.table = cut(moved)
+        self.rows = self.table.count()
+        return True
+
+    def of(self, rows: DataFrame, spread: str) -> DataFrame:
+        """``rows`` with the label of their rep as it is now."""
+        rows = rows.drop("label")
+        if self.table is None:
+            return rows.withColumn("label", F.col("rep"))
+        return join_unique(rows, self.table, "rep", F.col(spread), rows=self.rows).withColumn("label", F.coalesce("label", "rep"))
+
+
+def classes(docs: DataFrame, s: JoinSettings, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """(doc, mark, n_shingles, sig) of every row, and (sig, first, rows) of the classes of more than one row with a bound of their number.
+
+    ``mark`` is a hash of the text, which with the id names a row; ``first`` is the struct of the
+    smallest id of a class (null ids last) and its mark, ``rows`` counts the class.
     """
-    s = settings or JoinSettings()
-    base = cut(fingerprints(docs, s, id_col, text_col))
-    reps = cut(base.where("sig is not null").groupBy("sig").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")))
-    rows = branched(reps.select("rep", "sketch"), s, roots=True).withColumn("label", F.col("rep"))
-    texts = links = None
-
-    known: list[tuple[DataFrame, int]] = []
-
-    def found(groups: DataFrame) -> DataFrame:
-        new = cut(compared(groups, texts, s))
-        if links is not None and new.isEmpty():
-            return links
-        known.clear()
-        return new if links is None else links.unionByName(new)
-
-    def components() -> tuple[DataFrame, int]:
-        """Those of the links so far, computed again only when links came in."""
-        if not known:
-            known.append(component_table(links))
-        return known[0]
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    base = cut(fingerprints(keyed, s))
+    row = F.struct(F.col("doc").isNull().alias("none"), "doc", "mark")
+    reps = base.where("sig is not null").groupBy("sig").agg(F.min(row).alias("first"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
+    reps = cut(reps.withColumn("rep", F.monotonically_increasing_id()))
+    labels = Labels()
+    texts: list[DataFrame] = []
+
+    def fetch(members: DataFrame) -> None:
+        """Add the texts of members that are not there yet."""
+        needed = members.select("rep").distinct()
+        if texts:
+            needed = needed.join(reduce(DataFrame.unionByName, texts).select("rep"), "rep", "left_anti")
+        wanted = reps.join(needed, "rep").select("rep", F.col("first.doc").alias("_doc"), F.col("first.mark").alias("_mark"))
+        same = (F.col("mark") == F.col("_mark")) & F.col("doc").eqNullSafe(F.col("_doc"))
+        texts.append(cut(keyed.join(wanted, same).dropDuplicates(["rep"]).select("rep", "text")))
+
+    def compare(groups: DataFrame) -> None:
+        labels.add(cut(compared(groups, reduce(DataFrame.unionByName, texts), s)))
 
     def unresolved(nodes: DataFrame) -> DataFrame:
         """(node, rep, n, label) of the nodes that still hold members of different components."""
-        labels, n = components()
-        named = join_unique(nodes.select("node", "rep", "n"), labels.withColumnRenamed("node", "rep"), "rep", F.col("node"), rows=n).select("node", "rep", "n", F.coalesce("component", "rep").alias("label"))
+        named = cut(labels.of(nodes.select("node", "rep", "n"), "node"))
         mixed = cut(named.groupBy("node").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("node"))
-        return cut(join_unique(named, mixed, "node", F.col("rep"), "inner", mixed.count()))
-
-    for turn in range(s.rounds):
-        sizes = cut(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("n > 1 and _low < _high").select("node", "n"))
-        members = cut(rows.join(sizes, "node"))
-        if texts is None:
-            needed = members.select(F.col("rep").alias(id_col)).distinct()
-            texts = cut(docs.select(F.col(id_col).cast("long").alias(id_col), text_col).join(needed, id_col, "left_semi").dropDuplicates([id_col]).select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")))
-        links = found(blocks(members, s))
-        large = members.where(F.col("n") > s.node_limit)
-        if large.isEmpty():
-            break
-        open_nodes = unresolved(large)
-        if open_nodes.isEmpty():
-            break
-        # the smallest members of the components that meet in a node, compared among themselves
-        heads = open_nodes.select(F.xxhash64("node", F.lit("heads")).alias("node"), F.col("label").alias("rep"), "label").distinct()
-        counted = heads.join(heads.groupBy("node").agg(F.count("*").alias("n")), "node")
-        links = found(blocks(counted, s))
-        open_nodes = unresolved(open_nodes)
-        if open_nodes.isEmpty():
-            break
-        last = turn == s.rounds - 1
-        links = found(block_pairs(open_nodes if last else open_nodes.where(F.col("n") <= s.finish_limit), s))
-        wide = open_nodes.where(F.col("n") > s.finish_limit)
-        if last or wide.isEmpty():
-            break
-        deeper = branched(wide.join(reps.select("rep", "sketch"), "rep").select("node", "rep", "sketch"), s, roots=False)
-        rows = cut(deeper.join(wide.select("rep", "label").distinct(), "rep").select("node", "rep", "label"))
-    labels, n = components()
-    named = join_unique(reps.select("sig", "rep", "copies"), labels.withColumnRenamed("node", "rep"), "rep", F.col("sig"), rows=n)
-    classes = cut(named.where("copies > 1 or component is not null").select("sig", F.coalesce("component", "rep").alias("component")))
-    joined = join_unique(base.select("doc", "n_shingles", "sig"), classes, "sig", F.col("doc"), rows=classes.count())
-    component = F.coalesce("component", "doc")
-    return joined.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("doc") == component).alias("kept"))
+        return join_unique(named, mixed, "node", F.col("rep"), "inner", mixed.count())
+
+    def search(rows: DataFrame) -> None:
+        """Resolve the nodes of ``rows`` (node, rep, label)."""
+        for turn in range(s.rounds + 1):
+            rows = cut(rows)
+            sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("n > 1 and _low < _high").select("node", "n")
+            members = cut(rows.join(sizes, "node"))
+            if members.isEmpty():
+                return
+            if not turn:
+                fetch(members)
+            compare(blocks(members, s))
+            left = cut(unresolved(members.where(F.col("n") > s.node_limit)))
+            if left.isEmpty():
+                return
+            # the heads of the components that meet in a node, compared among themselves
+            heads = left.select(F.xxhash64("node", F.lit("heads")).alias("node"), F.col("label").alias("rep"), "label").distinct()
+            compare(blocks(heads.join(heads.groupBy("node").agg(F.count("*").alias("n")), "node"), s))
+            left = cut(unresolved(left))
+            if left.isEmpty():
+                return
+            if turn == s.rounds:
+                return compare(block_pairs(left, s))
+            rows = branched(left.join(reps.select("rep", "sketch"), "rep").select("node", "rep", "label", "sketch"), s)
+
+    for trees in ([0], [*range(1, s.trees)]):
+        if trees:
+            search(branched(labels.of(reps.select("rep", "sketch"), "rep").select("rep", "label", "sketch"), s, trees))
+
+    named = cut(labels.of(reps.select("sig", "rep", "first", "copies"), "rep"))
+    joined = named.groupBy("label").agg(F.min("first").alias("first"), F.sum("copies").alias("rows")).where("rows > 1")
+    found = cut(join_unique(named.select("sig", "label"), cut(joined), "label", F.col("sig"), "inner").select("sig", "first", "rows"))
+    return base.select("doc", "mark", "n_shingles", "sig"), found, found.count()
+
+
+def near_duplicates(docs: DataFrame, settings: JoinSettings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept) for every row.
+
+    Null and empty texts, and texts of white space, have the empty set and link with nothing. Equal
+    sets are always linked. Rows that repeat an id are rows of their own, with texts and components of
+    their own. A null id links like any other, but names a component (null) only where all its
+    members have none; kept is null-safe equality of id and component. An empty table gives no rows.
+    """
+    base, found, n = classes(docs, settings or JoinSettings(), id_col, text_col)
+    joined = join_unique(base, found, "sig", F.col("mark"), rows=n)
+    component = F.when(F.col("first").isNull(), F.col("doc")).otherwise(F.col("first.doc"))
+    return joined.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, settings: JoinSettings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class of near-duplicates: that with the smallest id, null ids last.
+
+    Of rows that repeat this id, that with the smallest hash of its text stays, and one of those equal
+    in id and text. Rows with an empty set all stay.
+    """
+    base, found, n = classes(docs, settings or JoinSettings(), id_col, text_col)
+    own = F.struct(F.col("doc").isNull().alias("none"), "doc", "mark")
+    inside = join_unique(base, found, "sig", F.col("mark"), "inner", n).groupBy("doc", "mark", (own == F.col("first")).alias("first")).agg(F.count("*").alias("_rows"))
+    # a row goes if it isn't its class's first, or if rows equal to that one repeat it: of those, one comes back
+    goes = cut(inside.where(~F.col("first") | (F.col("_rows") > 1)))
+    key, mark = free_name(docs, "_doc"), free_name(docs, "_mark")
+    marked = docs.withColumns({key: F.col(id_col).cast("long"), mark: F.xxhash64(text_col)})
+    same = F.col(key).eqNullSafe(F.col("doc")) & (F.col(mark) == F.col("mark"))
+    stay = marked.join(bounded(goes.select("doc", "mark"), goes.count()), same, "left_anti")
+    again = goes.where("first").select("doc", "mark")
+    if not again.isEmpty():
+        stay = stay.unionByName(marked.join(bounded(again, again.count()), same, "left_semi").dropDuplicates([key, mark]))
+    return stay.select(*[F.col(f"`{c}`") for c in docs.columns])
