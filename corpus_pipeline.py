@@ -30,8 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays, that with the smallest id."""
-    stay = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(docs.columns)
+    return neardup.drop_near_duplicates(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
