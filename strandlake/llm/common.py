@@ -111,12 +111,30 @@ def join_unique(big: DataFrame, small: DataFrame, key: str, spread: Column, how:
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def joined_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) in, (node, component) of all of them out."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = root(parent.setdefault(a, a)), root(parent.setdefault(b, b))
+            parent[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([root(x) for x in parent], pa.int64())], names=["node", "component"])
+
+
 def component_table(links: DataFrame, max_rounds: int = 40) -> tuple[DataFrame, int]:
     """(node, component) for every node of ``links`` (a, b), the smallest node reachable, and a bound of its rows.
 
-    Alternating large-star and small-star steps, one written table a round; the links stay
-    distributed, and hubs are salted while there are more nodes than may be broadcast. An empty link
-    table gives an empty result.
+    Up to ``BROADCAST_ROWS`` different links are joined by one task. More go through alternating
+    large-star and small-star steps, one written table a round; the links stay distributed, and hubs
+    are salted while there are more nodes than may be broadcast. An empty link table gives an empty
+    result.
     """
 
     def smaller_first(e: DataFrame) -> DataFrame:
@@ -130,6 +148,9 @@ def component_table(links: DataFrame, max_rounds: int = 40) -> tuple[DataFrame,
 
     edges = cut(smaller_first(links).distinct())
     state = measured(edges)
+    if state[0] <= BROADCAST_ROWS:
+        found = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).repartition(1).mapInArrow(joined_in_task, "node long, component long")
+        return cut(found), 2 * state[0]
     for _ in range(max_rounds):
         if not state[0]:
             break

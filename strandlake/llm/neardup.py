@@ -8,16 +8,20 @@ Independent trees are repeated until a pair at the threshold is missed with negl
 
 Links join components, and from then on only members of different components are compared: a node
 within one component is done. The first tree is finished before the others begin, so that groups of
-copies are one component each by the time nine more trees meet them. A node that is too large for
-one task is compared in blocks, which links most of its members, and by the heads of the components
-that meet in it; if different components are left it branches on. What is still unresolved at the
-depth limit is finished block against block, which is exact.
+copies are one component each by the time the other trees meet them. What a node costs is the number
+of its pairs outside its largest component. A node that costs too much is compared in blocks, which
+links most of its members, and by the heads of the components that meet in it; if it still does it
+branches on. What is unresolved at the depth limit is finished block against block, which is exact.
+
+Before texts are fetched, sketches leave out pairs whose likeness is four standard deviations under
+the threshold; those that stay are confirmed on full sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -29,7 +33,9 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import batch_slices, bounded, component_table, free_name, join_unique
 from strandlake.session import cut
 
+#: A worker's tables of word hashes and of shingle sets are emptied beyond so many entries: a bound on memory alone.
 MEMO_WORDS = 400_000
+SET_MEMO = 4_000_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -37,9 +43,9 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(
 class JoinSettings:
     """``width`` words a shingle; linked with ``100 * intersection >= percent * union``.
 
-    ``trees`` and ``functions`` set recall, ``node_limit`` the size up to which a node is compared
-    in one go, ``rounds`` how often larger ones branch by ``levels`` more before they are finished in
-    blocks of ``finish_block``.
+    ``trees`` and ``functions`` set recall. ``pair_limit`` is the cost and ``row_limit`` the size up to
+    which a node is compared in one go; a larger one is cut to blocks of about ``block`` and branches by
+    ``levels`` more, ``rounds`` times at most.
     """
 
     width: int = 5
@@ -47,10 +53,18 @@ class JoinSettings:
     trees: int = 10
     functions: int = 64
     levels: int = 2
-    node_limit: int = 64
+    pair_limit: int = 1_000_000
+    row_limit: int = 4096
+    block: int = 64
     finish_block: int = 256
     rounds: int = 6
 
+    @property
+    def least(self) -> int:
+        """The matches of two sketches below which no pair is at the threshold, but for one in tens of thousands."""
+        p = self.percent / 100
+        return max(1, math.floor(self.functions * p - 4 * math.sqrt(self.functions * p * (1 - p))))
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer, element by element."""
@@ -147,66 +161,119 @@ def branched(rows: DataFrame, s: JoinSettings, trees: Sequence[int] = ()) -> Dat
     return rows.mapInArrow(run, "node long, rep long, label long")
 
 
-def linked(group: list[tuple[int, int, str]], shingle: Shingler, percent: int) -> list[tuple[int, int]]:
-    """Links that join the group's components as all pairs would: (rep, label, text) in, (label, label) out."""
-    sets = [shingle(t) for _, _, t in group]
-    parent = {label: label for _, label, _ in group}
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+def by_group(batches: Iterator[pa.RecordBatch], columns: Sequence[str], key: str) -> Iterator[tuple[int, list[tuple]]]:
+    """(key, rows) of each run of rows with one key."""
+    held, group = None, []
+    for batch in batches:
+        for k, *row in zip(*[batch.column(c).to_pylist() for c in (key, *columns)], strict=True):
+            if k != held:
+                if group:
+                    yield held, group
+                held, group = k, []
+            group.append(tuple(row))
+    if group:
+        yield held, group
 
-    out = []
-    order = sorted(range(len(group)), key=lambda i: (len(sets[i]), group[i][0]))
-    for at, i in enumerate(order):
-        for j in order[at - 1 :: -1] if at else ():
-            small, large = len(sets[j]), len(sets[i])
-            if 100 * small < percent * large:
-                break
-            a, b = root(group[i][1]), root(group[j][1])
-            if a != b:
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (small + large - both):
-                    parent[max(a, b)] = min(a, b)
-                    out.append((group[i][1], group[j][1]))
-    return out
 
+def candidate_pairs(labels: np.ndarray, sketches: np.ndarray, s: JoinSettings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, matches), in parts, of the pairs with different labels whose sketches allow a link; each pair once.
 
-def compared(groups: DataFrame, texts: DataFrame, s: JoinSettings) -> DataFrame:
-    """(a, b) links between labels, of groups (cid, rep, label) whose members' texts are in ``texts`` (rep, text)."""
+    Members of the commonest label are compared with the others only.
+    """
+    values, counts = np.unique(labels, return_counts=True)
+    others = np.flatnonzero(labels != values[counts.argmax()])
+    rank = np.full(len(labels), -1)
+    rank[others] = np.arange(len(others))
+    step = max(1, 500_000 // len(labels))
+    for at in range(0, len(others), step):
+        own = others[at : at + step]
+        matches = np.zeros((len(own), len(labels)), np.uint8)
+        for f in range(s.functions):
+            matches += sketches[own, f, None] == sketches[None, :, f]
+        # a pair of two others counts at the later one
+        allowed = (matches >= s.least) & (labels[own, None] != labels[None, :]) & (rank[None, :] < rank[own, None])
+        i, j = np.nonzero(allowed)
+        yield own[i], j, matches[i, j]
+
+
+def candidates(groups: DataFrame, s: JoinSettings) -> DataFrame:
+    """The rows of groups (cid, rep, label, sketch) that have a partner among the others of their group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(s.width)
-        cid, group = None, []
+        for cid, group in by_group(batches, ("rep", "label", "sketch"), "cid"):
+            if len(group) < 2:
+                continue
+            sketches = np.frombuffer(b"".join([g[2] for g in group]), "<u4").reshape(len(group), s.functions)
+            keep = np.zeros(len(group), bool)
+            for i, j, _ in candidate_pairs(np.array([g[1] for g in group]), sketches, s):
+                keep[i] = keep[j] = True
+            kept = [group[k] for k in np.flatnonzero(keep)]
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array([cid] * len(kept), pa.int64()), *[pa.array(v, t) for v, t in zip(zip(*kept), (pa.int64(), pa.int64(), pa.binary()))]], names=["cid", "rep", "label", "sketch"])
+
+    return groups.repartition("cid").sortWithinPartitions("cid").mapInArrow(run, "cid long, rep long, label long, sketch binary")
+
+
+def linked(group: list[tuple[int, bytes, str]], shingle: Shingler, s: JoinSettings) -> list[tuple[int, int]]:
+    """Links that join the group's components as all its candidate pairs would: (label, sketch, text) in, (label, label) out."""
+    labels = np.array([g[0] for g in group])
+    sketches = np.frombuffer(b"".join([g[1] for g in group]), "<u4").reshape(len(group), s.functions)
+    component = labels.copy()
+    sets: dict[int, np.ndarray] = {}
+    held = 0
+
+    def members(i: int) -> np.ndarray:
+        nonlocal held
+        if i not in sets:
+            if held > SET_MEMO:
+                sets.clear()
+                held = 0
+            sets[i] = shingle(group[i][2])
+            held += len(sets[i])
+        return sets[i]
+
+    def near(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        sizes = np.array([len(y) for y in others])
+        flat = np.concatenate(others)
+        found = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+        both = np.add.reduceat(found.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+        return 100 * both >= s.percent * (len(x) + sizes - both)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if len(group) > 1 and (found := linked(group, shingle, s.percent)):
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+    out = []
+    for left, right, matches in candidate_pairs(labels, sketches, s):
+        starts = np.flatnonzero(np.append(True, left[1:] != left[:-1])) if len(left) else []
+        for a, b in zip(starts, [*starts[1:], len(left)]):
+            i = left[a]
+            # the likeliest partners first: those of a component that has been joined need no look
+            todo, take = right[a:b][np.argsort(-matches[a:b].astype(np.int64), kind="stable")], 4
+            while len(todo := todo[component[todo] != component[i]]):
+                now, todo = todo[:take], todo[take:]
+                for j in now[near(members(i), [members(j) for j in now.tolist()])].tolist():
+                    one, two = component[i], component[j]
+                    if one != two:
+                        component[component == max(one, two)] = min(one, two)
+                        out.append((int(labels[i]), int(labels[j])))
+                take = min(4 * take, 256)
+    return out
 
-        for batch in batches:
-            for key, *member in zip(*[batch.column(c).to_pylist() for c in ("cid", "rep", "label", "text")], strict=True):
-                if key != cid:
-                    yield from flush()
-                    cid, group = key, []
-                group.append(tuple(member))
-        yield from flush()
 
-    whole = groups.join(texts, "rep").select("cid", "rep", "label", "text")
-    return whole.repartition("cid").sortWithinPartitions("cid", "rep").mapInArrow(run, "a long, b long")
+def compared(kept: DataFrame, texts: DataFrame, s: JoinSettings) -> DataFrame:
+    """(a, b) links between labels, of candidates (cid, rep, label, sketch) whose texts are in ``texts`` (rep, text)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(s.width)
+        for _, group in by_group(batches, ("label", "sketch", "text"), "cid"):
+            if found := linked(group, shingle, s):
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found)], names=["a", "b"])
 
-def grouped(cut_up: DataFrame, keys: list[str]) -> DataFrame:
-    """(cid, rep, label) of the groups that ``keys`` name, those with one member left out; equal groups once."""
-    lists = cut_up.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("rep", "label"))).alias("m")).where(F.size("m") > 1)
-    once = lists.select(F.xxhash64("m").alias("cid"), "m").dropDuplicates(["cid"])
-    return once.select("cid", F.explode("m").alias("_m")).select("cid", "_m.rep", "_m.label")
+    whole = kept.join(texts, "rep").select("cid", "label", "sketch", "text")
+    return whole.repartition("cid").sortWithinPartitions("cid").mapInArrow(run, "a long, b long")
 
 
 def blocks(members: DataFrame, s: JoinSettings) -> DataFrame:
-    """The members of nodes (node, rep, n, label), each node cut to blocks of about the node limit."""
-    return grouped(members.withColumn("x", F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("n") / s.node_limit))), ["node", "x"])
+    """The members of nodes (node, rep, n, label), each node cut to blocks of about ``s.block``."""
+    place = F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("n") / s.block))
+    return members.select(F.xxhash64("node", place).alias("cid"), "rep", "label")
 
 
 def block_pairs(members: DataFrame, s: JoinSettings) -> DataFrame:
@@ -226,7 +293,7 @@ def block_pairs(members: DataFrame, s: JoinSettings) -> DataFrame:
     across = F.when(main, F.transform(upto(F.col("_b")), lambda j: key("across", x, j))).otherwise(F.transform(upto(F.col("_a")), lambda i: key("across", i, y)))
     among = F.when(main, F.expr("cast(array() as array<struct<kind:string,x:bigint,y:bigint>>)")).otherwise(F.transform(upto(F.col("_b")), lambda j: key("among", F.least(y, j), F.greatest(y, j))))
     spread = dealt.select("node", "rep", "label", F.explode(F.concat(across, among)).alias("_k"))
-    return grouped(spread.select("node", "_k.kind", "_k.x", "_k.y", "rep", "label"), ["node", "kind", "x", "y"])
+    return spread.select(F.xxhash64("node", "_k.kind", "_k.x", "_k.y").alias("cid"), "rep", "label")
 
 
 class Labels:
@@ -270,42 +337,43 @@ def classes(docs: DataFrame, s: JoinSettings, id_col: str, text_col: str) -> tup
     labels = Labels()
     texts: list[DataFrame] = []
 
-    def fetch(members: DataFrame) -> None:
-        """Add the texts of members that are not there yet."""
-        needed = members.select("rep").distinct()
+    def compare(groups: DataFrame) -> None:
+        """Link what the groups (cid, rep, label) hold; only candidates have their texts fetched, once for each."""
+        kept = cut(candidates(groups.join(reps.select("rep", "sketch"), "rep").select("cid", "rep", "label", "sketch"), s))
+        if kept.isEmpty():
+            return
+        needed = kept.select("rep").distinct()
         if texts:
             needed = needed.join(reduce(DataFrame.unionByName, texts).select("rep"), "rep", "left_anti")
-        wanted = reps.join(needed, "rep").select("rep", F.col("first.doc").alias("_doc"), F.col("first.mark").alias("_mark"))
+        wanted = cut(reps.join(needed, "rep").select("rep", F.col("first.doc").alias("_doc"), F.col("first.mark").alias("_mark")))
         same = (F.col("mark") == F.col("_mark")) & F.col("doc").eqNullSafe(F.col("_doc"))
-        texts.append(cut(keyed.join(wanted, same).dropDuplicates(["rep"]).select("rep", "text")))
-
-    def compare(groups: DataFrame) -> None:
-        labels.add(cut(compared(groups, reduce(DataFrame.unionByName, texts), s)))
+        texts.append(cut(keyed.join(bounded(wanted, wanted.count()), same).dropDuplicates(["rep"]).select("rep", "text")))
+        labels.add(cut(compared(kept, reduce(DataFrame.unionByName, texts), s)))
 
-    def unresolved(nodes: DataFrame) -> DataFrame:
-        """(node, rep, n, label) of the nodes that still hold members of different components."""
-        named = cut(labels.of(nodes.select("node", "rep", "n"), "node"))
-        mixed = cut(named.groupBy("node").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("node"))
-        return join_unique(named, mixed, "node", F.col("rep"), "inner", mixed.count())
+    def mixed(rows: DataFrame) -> DataFrame:
+        """(node, rep, label, n, cost) of the nodes that hold members of different components."""
+        counts = rows.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node")
+        sizes = cut(counts.agg(F.sum("c").alias("n"), F.max("c").alias("_most"), F.count("*").alias("_labels")).where("_labels > 1").select("node", "n", ((F.col("n") - F.col("_most")) * F.col("n")).alias("cost")))
+        return cut(join_unique(rows.select("node", "rep", "label"), sizes, "node", F.col("rep"), "inner", sizes.count()))
 
     def search(rows: DataFrame) -> None:
         """Resolve the nodes of ``rows`` (node, rep, label)."""
         for turn in range(s.rounds + 1):
-            rows = cut(rows)
-            sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("n > 1 and _low < _high").select("node", "n")
-            members = cut(rows.join(sizes, "node"))
-            if members.isEmpty():
+            members = mixed(cut(rows))
+            small = (F.col("cost") <= s.pair_limit) & (F.col("n") <= s.row_limit)
+            compare(members.where(small).select(F.col("node").alias("cid"), "rep", "label").unionByName(blocks(members.where(~small), s)))
+            left = members.where(~small)
+            if left.isEmpty():
                 return
-            if not turn:
-                fetch(members)
-            compare(blocks(members, s))
-            left = cut(unresolved(members.where(F.col("n") > s.node_limit)))
+            # the heads of the components that meet in a node, compared in blocks of their own
+            named = cut(labels.of(left.select("node", "rep"), "node"))
+            heads = named.select(F.xxhash64("node", F.lit("heads")).alias("node"), F.col("label").alias("rep"), "label").distinct()
+            compare(blocks(heads.join(heads.groupBy("node").agg(F.count("*").alias("n")), "node"), replace(s, block=s.row_limit // 4)))
+            left = mixed(labels.of(named.select("node", "rep"), "node"))
             if left.isEmpty():
                 return
-            # the heads of the components that meet in a node, compared among themselves
-            heads = left.select(F.xxhash64("node", F.lit("heads")).alias("node"), F.col("label").alias("rep"), "label").distinct()
-            compare(blocks(heads.join(heads.groupBy("node").agg(F.count("*").alias("n")), "node"), s))
-            left = cut(unresolved(left))
+            compare(left.where(small).select(F.col("node").alias("cid"), "rep", "label"))
+            left = left.where(~small)
             if left.isEmpty():
                 return
             if turn == s.rounds:
