@@ -1,11 +1,9 @@
 """SpotSigs fingerprints with DataFrame functions alone.
 
-Common words are anchors. The chain of the next two content words after an anchor, common words
-skipped, is a signature; the set of a text's signatures is its fingerprint. Where a text runs on
-without anchors (lists, tables), one in ``SAMPLED`` pairs of neighbouring content words, chosen by
-its own hash, joins the set, so that such stretches are not blank. Sets are compared by
-Jaccard after pruning by their lengths: two sets whose lengths differ by more than the least
-likeness of interest allows are not intersected at all.
+Common words are anchors, and so are the bars of a table and a word that is said again at once. The
+chain of the next two content words after an anchor, other anchors skipped, is a signature; the set of
+a text's signatures is its fingerprint. Of several anchors in a row the last one counts. Sets are compared by Jaccard, pruned by their lengths: two sets whose
+lengths alone keep the likeness under the least one of interest are not intersected.
 """
 
 from __future__ import annotations
@@ -21,62 +19,51 @@ le la les de des un une et est que qui dans pour pas en du au sur
 el los las y del al con por para no se lo es su
 """.split()
 
-#: With fewer signatures than this the anchors say too little, and every word serves as an anchor.
-FEW = 4
-#: The most common words that a chain steps over in one place.
-SKIPPED = 8
-#: One in so many pairs of content words is a signature too.
-SAMPLED = 4
-#: Likeness below this is reported as 0 where the lengths alone prove it.
-LEAST = 0.05
 #: Rows of one bucket of neighbouring ids, and the most buckets there are.
 BUCKET_ROWS, MOST_BUCKETS = 4000, 65_536
 
 
-#: Stands before every common word of a text in the form of ``marked``.
+#: Stands before every anchor of a text in the form of ``marked``.
 MARK = "\u0001"
+#: A letter that stands for the bar of a table.
+BAR = "\u01c0"
 
 
 def marked(text: Column) -> Column:
-    """Lower-case words between single spaces, with a space at both ends and a mark before common words.
+    """Lower-case words between single spaces, with a space at both ends and a mark before anchors.
 
     The list of common words is tried once for each word, by first letters; whatever follows only
     looks for the mark.
     """
-    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), F.lit(" "))
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.translate(text, "|", BAR)), r"[^\p{L}]+", " "), F.lit(" "))
     by_letter: dict[str, list[str]] = {}
-    for word in sorted(set(ANCHORS)):
+    for word in sorted({*ANCHORS, BAR}):
         by_letter.setdefault(word[0], []).append(word[1:])
     common = "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in by_letter.items())
-    return F.regexp_replace(spaced, f" ({common})(?= )", f" {MARK}$1")
+    words = F.regexp_replace(spaced, f" ({common})(?= )", f" {MARK}$1")
+    # of a word said again and again only the last is content
+    return F.regexp_replace(words, rf" ([^ {MARK}][^ ]*+)(?= \1 )", f" {MARK}$1")
 
 
 def signature_set(words: Column) -> Column:
     """Sorted distinct 32-bit signatures of a text in the form of ``marked``.
 
-    Texts with fewer than ``FEW`` signatures take every pair of neighbouring words, and texts of a
-    single word that word; texts without a letter have the empty set.
+    A text without a whole chain has every word for an anchor: its signatures are the pairs of
+    neighbouring words, or its single word; texts without a letter have the empty set.
     """
-    # possessive groups never give a common word back to the chain; Java's matcher recurses once for
-    # each round of such a group, so a run of more than SKIPPED common words is not skipped whole
-    between = rf"(?:{MARK}[^ ]++ ){{0,{SKIPPED}}}+"
-    chain = rf"(?= ({MARK}[^ ]++ {between}[^ ]++ {between}[^ ]++) )"
-    content = rf"(?= ([^ {MARK}][^ ]*+ [^ {MARK}][^ ]*+) )"
+    # of anchors in a row only the last stays, so that nothing below has to step over a run of them
+    spots = F.regexp_replace(words, rf"{MARK}[^ ]++ (?={MARK})", "")
+    chain = rf"(?= ({MARK}[^ ]++ [^ {MARK}][^ ]*+ (?:{MARK}[^ ]++ )?+[^ {MARK}][^ ]*+) )"
 
     def codes(found: Column) -> Column:
-        return F.transform(found, lambda x: F.hash(x))
+        return F.sort_array(F.array_distinct(F.transform(found, lambda x: F.hash(x))))
 
-    def hashed(found: Column) -> Column:
-        return F.sort_array(F.array_distinct(codes(found)))
-
-    # the first common word of a chain stays, those stepped over go
-    spots = F.transform(F.regexp_extract_all(words, F.lit(chain), F.lit(1)), lambda x: F.hash(F.regexp_replace(x, rf" {MARK}[^ ]++(?= )", "")))
-    sampled = F.filter(codes(F.regexp_extract_all(words, F.lit(content), F.lit(1))), lambda x: F.pmod(x, F.lit(SAMPLED)) == 0)
+    # the anchor of a chain stays, the one between its content words goes
+    own = codes(F.transform(F.regexp_extract_all(spots, F.lit(chain), F.lit(1)), lambda x: F.regexp_replace(x, rf" {MARK}[^ ]++(?= )", "")))
     every = F.regexp_extract_all(words, F.lit("(?= ([^ ]++ [^ ]++) )"), F.lit(1))
     word = F.trim(words)
-    fallback = F.when(F.size(every) > 0, hashed(every)).when(word != "", F.array(F.hash(word))).otherwise(F.array().cast("array<int>"))
-    own = F.sort_array(F.array_union(spots, sampled))
-    return F.when(F.size(own) >= FEW, own).otherwise(fallback)
+    fallback = F.when(F.size(every) > 0, codes(every)).when(word != "", F.array(F.hash(word))).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(own) > 0, own).otherwise(fallback)
 
 
 def with_signatures(docs: DataFrame, text: Column, out: str) -> DataFrame:
@@ -84,11 +71,11 @@ def with_signatures(docs: DataFrame, text: Column, out: str) -> DataFrame:
     return docs.withColumn("_words", marked(text)).withColumn(out, signature_set(F.col("_words"))).drop("_words")
 
 
-def likeness(a: Column, b: Column, least: float = LEAST) -> Column:
+def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     """Jaccard of two sets; 0 without intersecting where the lengths keep it under ``least``; 1 for two empty sets."""
     n, m = F.size(a), F.size(b)
     both = F.size(F.array_intersect(a, b))
-    return F.when((n == 0) & (m == 0), 1.0).when(F.least(n, m) < F.greatest(n, m) * least, 0.0).otherwise(both / (n + m - both))
+    return F.when((n == 0) & (m == 0), 1.0).when((F.least(n, m) == 0) | (F.least(n, m) < F.greatest(n, m) * least), 0.0).otherwise(both / (n + m - both))
 
 
 def fingerprint(signatures: Column) -> Column:
