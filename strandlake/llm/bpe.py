@@ -11,24 +11,25 @@ import hashlib
 import json
 import re
 import struct
-import zlib
-from collections import Counter
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pandas.util import hash_array
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import append_by_text, batch_slices
+from strandlake.llm.common import append_by_text
+from strandlake.session import cut
 
 #: A worker's table of chunks is emptied beyond so many entries: a bound on memory, not on what is counted.
 MEMO_ENTRIES = 600_000
-#: Ids are cut at so many quantiles, and a document counts as so many bytes beside its text.
-RANGES, ROW_BYTES = 4096, 100
 
 
 @lru_cache(maxsize=4)
@@ -139,173 +140,198 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", limit: int
 
 # --- distinct-word encoding and decoding ----------------------------------------------------------
 
+#: Words of a batch are numbered by how often it holds them, in classes of so many, so that most numbers are small.
+CLASSES = (256, 65_536)
+#: The most buckets of words. A row of the word table is the part of a batch in one bucket, so their number grows with the input alone.
+MOST_BUCKETS = 4096
 
-def packed(words: list[str], ids: list[bytes] = ()) -> bytes:
-    """Words, and their ids if given, in one compressed body: sizes of the fields, words, id counts, ids.
-
-    Words stand between line ends, which no chunk holds. Counts go byte by byte, low bytes first, so
-    that the high ones, nearly all 0, compress to nothing.
-    """
-    text = "\n".join(words).encode("utf-8", "surrogatepass")
-    counts = np.array([len(b) // 4 for b in ids], "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    flat = np.frombuffer(b"".join(ids), "<u4").astype("<u2").tobytes()
-    return zstandard.ZstdCompressor(level=6).compress(b"".join([struct.pack("<QQ", len(text), len(counts)), text, counts, flat]))
 
+def planes(numbers: np.ndarray, width: int = 4) -> bytes:
+    """Numbers byte by byte, low bytes first: the high ones, nearly all 0, compress to nothing."""
+    return numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
 
-def unpacked(body: bytes) -> tuple[list[str], list[bytes]]:
-    data = zstandard.ZstdDecompressor().decompress(body)
-    n_text, n_counts = struct.unpack_from("<QQ", data)
-    text, counts, flat = data[16 : 16 + n_text], data[16 + n_text : 16 + n_text + n_counts], data[16 + n_text + n_counts :]
-    ends = np.cumsum(np.frombuffer(counts, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)) * 4
-    whole = np.frombuffer(flat, "<u2").astype("<u4").tobytes()
-    starts = [0, *ends.tolist()]
-    return text.decode("utf-8", "surrogatepass").split("\n"), [whole[a:b] for a, b in zip(starts, starts[1:])]
 
+def numbers(data: bytes, width: int = 4) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(width, -1).T.copy().view(f"<u{width}").ravel()
 
-class Runs:
-    """Which group a document falls into: ranges of ids, joined up to ``target`` bytes or split to as many groups.
 
-    A range over the target (repeated or null ids, or a rough quantile) is dealt by a hash of id and
-    text. ``edges`` are the upper ends of the ranges; range 0 is that of null ids.
-    """
+def packed(*parts: bytes) -> bytes:
+    """Byte strings in one compressed body, with their sizes before them."""
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([struct.pack(f"<{len(parts) + 1}Q", len(parts), *map(len, parts)), *parts]))
 
-    def __init__(self, edges: list[int], sizes: dict[int, int], target: int):
-        self.edges = np.array(edges, np.int64)
-        self.first, self.parts = [], []
-        group, held = 0, 0
-        for k in range(len(edges) + 2):
-            n = sizes.get(k, 0)
-            if held and held + n > target:
-                group, held = group + 1, 0
-            parts = max(1, -(-n // target))
-            self.first.append(group)
-            self.parts.append(parts)
-            held += n
-            if parts > 1:
-                group, held = group + parts, 0
-
-    def ranges(self, ids: pa.Array) -> np.ndarray:
-        found = np.searchsorted(self.edges, ids.fill_null(0).to_numpy(zero_copy_only=False)) + 1
-        return np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, found)
-
-    def groups(self, ids: pa.Array, texts: list[str]) -> list[int]:
-        first, parts, found = self.first, self.parts, self.ranges(ids).tolist()
-        dealt = (zlib.crc32(t.encode("utf-8", "surrogatepass"), (i or 0) & 0xFFFFFFFF) % parts[k] if parts[k] > 1 else 0 for k, i, t in zip(found, ids.to_pylist(), texts))
-        return [first[k] + d for k, d in zip(found, dealt)]
-
-
-def runs_of(docs: DataFrame, id_col: str, text_col: str, target: int) -> tuple[Runs, int]:
-    """The groups of a table, by the counted bytes between quantiles of the ids, and its bytes of text."""
-    ids = docs.select(F.col(id_col).cast("long").alias(id_col), F.octet_length(text_col).cast("long").alias("_bytes"))
-    found = ids.agg(F.percentile_approx(id_col, [k / RANGES for k in range(1, RANGES)], 10 * RANGES)).first()[0]
-    edges = sorted(set(found or []))
-    where = Runs(edges, {}, target)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = (np.zeros(len(edges) + 2, np.int64) for _ in range(2))
-        for batch in batches:
-            k = where.ranges(batch.column(0))
-            np.add.at(rows, k, 1)
-            np.add.at(size, k, batch.column(1).fill_null(0).to_numpy(zero_copy_only=False))
-        full = np.flatnonzero(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(rows[full]), pa.array(size[full])], names=["k", "n", "size"])
-
-    sums = ids.mapInArrow(run, "k long, n long, size long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).collect()
-    return Runs(edges, {r["k"]: r["size"] + ROW_BYTES * r["n"] for r in sums}, target), sum(r["size"] for r in sums)
-
-
-def word_rows(docs: DataFrame, id_col: str, text_col: str, runs: Runs, buckets: int) -> DataFrame:
-    """(grp, bucket, body): the distinct words of each run of documents by bucket, once for each Arrow batch that holds them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words: dict[int, dict[str, None]] = {}
-            for part, texts in batch_slices(batch, text_col):
-                for g, t in zip(runs.groups(part.column(id_col), texts), texts):
-                    words.setdefault(g, {}).update(dict.fromkeys(chunks(t)))
-            for g, seen in words.items():
-                own: list[list[str]] = [[] for _ in range(buckets)]
-                for w in sorted(seen):
-                    own[zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets].append(w)
-                full = [b for b in range(buckets) if own[b]]
-                yield pa.RecordBatch.from_arrays([pa.array([g] * len(full), pa.int64()), pa.array(full, pa.int64()), pa.array([packed(own[b]) for b in full], pa.binary())], names=["grp", "bucket", "body"])
+def unpacked(body: bytes) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(body)
+    (n,) = struct.unpack_from("<Q", data)
+    sizes = struct.unpack_from(f"<{n}Q", data, 8)
+    ends = np.cumsum([8 + 8 * n, *sizes]).tolist()
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, "grp long, bucket long, body binary")
 
+def numbered(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """(batch, bucket, body): for each Arrow batch its documents as word numbers (bucket -1), and the words so numbered by bucket.
 
-def text_rows(docs: DataFrame, id_col: str, text_col: str, runs: Runs) -> DataFrame:
-    """(grp, body): the documents of a run, packed and compressed once for each Arrow batch; equal rows are counted."""
+    Spark splits the texts. A batch numbers its distinct words by class of frequency, bucket and
+    alphabet, so that the bucket's words alone tell their numbers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=9)
-        for batch in batches:
-            for part, texts in batch_slices(batch, text_col):
-                held: dict[int, Counter] = {}
-                ids = part.column(id_col)
-                for g, i, t in zip(runs.groups(ids, texts), ids.to_pylist(), texts):
-                    held.setdefault(g, Counter())[i, t] += 1
-                bodies = [packer.compress(json.dumps([[i, t, n] for (i, t), n in rows.items()], ensure_ascii=False).encode("utf-8", "surrogatepass")) for rows in held.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(bodies, pa.binary())], names=["grp", "body"])
+        part = TaskContext.get().partitionId()
+        for k, batch in enumerate(batches):
+            lists = batch.column("words")
+            found = lists.flatten().dictionary_encode()
+            at, words = found.indices.to_numpy(), found.dictionary
+            often = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.int64)
+            rank[often] = np.arange(len(words))
+            kind = np.searchsorted(np.array(CLASSES), rank, "right")
+            alphabet = np.empty(len(words), np.int64)
+            alphabet[pc.sort_indices(words).to_numpy()] = np.arange(len(words))
+            bucket = (hash_array(np.array(words.to_pylist(), object), categorize=False) % np.uint64(buckets)).astype(np.int64) if len(words) else alphabet
+            order = np.lexsort((alphabet, bucket, kind))
+            number = np.empty(len(words), np.int64)
+            number[order] = np.arange(len(words))
+            ids = batch.column("id")
+            body = packed(ids.fill_null(0).to_numpy().astype("<i8").tobytes(), ids.is_valid().to_numpy(zero_copy_only=False).tobytes(), planes(np.diff(lists.offsets.to_numpy())), planes(number[at]))
+            rows = [(-1, body)]
+            own = order[np.argsort(bucket[order], kind="stable")]
+            starts = np.searchsorted(bucket[own], np.arange(buckets + 1))
+            text = words.take(pa.array(own)).to_pylist()
+            for b, (x, y) in enumerate(zip(starts, starts[1:])):
+                if y > x:
+                    rows.append((b, packed(planes(np.bincount(kind[own[x:y]], minlength=len(CLASSES) + 1)), "\n".join(text[x:y]).encode("utf-8", "surrogatepass"))))
+            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k] * len(rows), pa.int64()), *[pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.binary()))]], names=["batch", "bucket", "body"])
+
+    # no word holds a space or a line end, so words can stand between line ends
+    split = F.split(F.coalesce(F.col(text_col), F.lit("")), "[ \n]+")
+    return docs.select(F.col(id_col).cast("long").alias("id"), split.alias("words")).mapInArrow(run, "batch long, bucket long, body binary")
+
+
+class WordEncoder:
+    """Ids of words: plain ones by the tokenizer's own normalizer, splitter and model, a thousand at a time; others one by one."""
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, "grp long, body binary")
+    def __init__(self, path: str):
+        self.t = tokenizer(path)
+        self.special = [a.content for a in self.t.get_added_tokens_decoder().values()]
+        self.pieces: dict[str, list[int]] = {}
+
+    def plain(self, word: str) -> bool:
+        return word.isascii() and word.isprintable() and not any(s in word for s in self.special)
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        out: list[list[int]] = [[] for _ in words]
+        easy = [i for i, w in enumerate(words) if w and self.plain(w)]
+        model, memo = self.t.model, self.pieces
+        for at in range(0, len(easy), 1000):
+            own = easy[at : at + 1000]
+            line = self.t.normalizer.normalize_str(" ".join([words[i] for i in own]))
+            ends = np.cumsum([len(w) + 1 for w in line.split(" ")])
+            if len(ends) != len(own):
+                raise ValueError("the normalizer doesn't keep words apart")
+            found = self.t.pre_tokenizer.pre_tokenize_str(line)
+            which = np.searchsorted(ends, [a for _, (a, _) in found], "right").tolist()
+            for k, (piece, _) in zip(which, found):
+                ids = memo.get(piece)
+                if ids is None:
+                    if len(memo) > MEMO_ENTRIES:
+                        memo.clear()
+                    ids = memo[piece] = [x.id for x in model.tokenize(piece)]
+                out[own[k]] += ids
+        hard = [i for i, w in enumerate(words) if w and not self.plain(w)]
+        for i, e in zip(hard, self.t.encode_batch([words[i] for i in hard], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
 
 
 def encode_words(words: DataFrame, path: str, buckets: int) -> DataFrame:
-    """(grp, body): the words of each row with their ids.
+    """(batch, bucket, body): for the words of each row their ids, in their order.
 
     All rows of a bucket meet in one task, whose table of distinct words encodes a word once and
-    serves every row that holds it. A word has one row a group at most for each batch, so no word
-    is hot, however often texts repeat it.
+    serves every row that holds it. A word has one row a batch, so no word is hot, however often texts
+    repeat it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, table = tokenizer(path), {}
+        encoder, table, held = WordEncoder(path), {}, None
         for batch in batches:
-            for g, body in zip(batch.column("grp").to_pylist(), batch.column("body").to_pylist()):
-                own, _ = unpacked(body)
-                if len(table) > 4 * MEMO_ENTRIES:
-                    table.clear()
+            for key, bucket, body in zip(*[batch.column(c).to_pylist() for c in ("batch", "bucket", "body")]):
+                if bucket != held:
+                    held, table = bucket, {}
+                kinds, text = unpacked(body)
+                own = text.decode("utf-8", "surrogatepass").split("\n")
                 new = [w for w in own if w not in table]
-                for w, e in zip(new, encoder.encode_batch(new, add_special_tokens=False)):
-                    table[w] = np.array(e.ids, "<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([packed(own, [table[w] for w in own])], pa.binary())], names=["grp", "body"])
+                for w, ids in zip(new, encoder.encode(new)):
+                    table[w] = array("I", ids).tobytes()
+                found = [table[w] for w in own]
+                sizes = np.array([len(x) // 4 for x in found], np.int64)
+                done = packed(kinds, planes(sizes), planes(np.frombuffer(b"".join(found), "<u4")))
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([bucket], pa.int64()), pa.array([done], pa.binary())], names=["batch", "bucket", "body"])
+
+    return words.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "batch long, bucket long, body binary")
 
-    return words.repartition(buckets, "bucket").mapInArrow(run, "grp long, body binary")
 
+def word_ids(bodies: list[bytes]) -> pa.ListArray:
+    """The ids of a batch's words by number, from its buckets in order: class by class, bucket by bucket."""
+    parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(len(CLASSES) + 1)]
+    for body in bodies:
+        kinds, sizes, ids = map(numbers, unpacked(body))
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        last = 0
+        for own, n in zip(parts, kinds.astype(np.int64).tolist()):
+            own.append((sizes[last : last + n], ids[ends[last] : ends[last + n]]))
+            last += n
+    flat = [x for own in parts for x in own]
+    sizes = np.concatenate([x for x, _ in flat]) if flat else np.zeros(0, np.uint32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), pa.int32()), pa.array(np.concatenate([x for _, x in flat]) if flat else np.zeros(0, np.uint32), pa.uint32()))
 
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", target_bytes: int = 16_000_000, bucket_bytes: int = 32_000_000) -> DataFrame:
+
+def digests(values: np.ndarray | memoryview, ends: list[int]) -> list[str]:
+    return [hashlib.sha256(values[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]
+
+
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 32_000_000) -> DataFrame:
     """One row a document: id, n_tokens and the SHA-256 of its ids (little-endian unsigned 32-bit) and of its decoded text.
 
-    Documents are taken in runs of neighbouring ids of about ``target_bytes`` of text, by counted
-    bytes, however the ids lie. The distinct words of the runs meet in the word table, come back with
-    their ids, and each run puts them at the positions of its documents. Decoding joins ids to the
-    id-to-piece table of the vocabulary (of fixed size, under 65,536 pieces) once a distinct word.
-    Null text is empty; null and repeated ids are dealt to runs by their texts.
+    Spark splits texts to words. Arrow batches number their distinct words; the words of all batches
+    meet by bucket in the word table, where each is encoded once, and their ids come back to the
+    batch, which joins them to its documents by position. Decoding joins ids to the id-to-piece table
+    of the vocabulary, of fixed size, once a distinct word of a batch. What belongs together travels
+    as one row: a row for each word and position would be several times the input.
+
+    Null text is empty. Null and repeated ids are rows of their own, and an empty table gives no rows.
     """
-    runs, size = runs_of(docs, id_col, text_col, target_bytes)
-    buckets = max(1, -(-size // bucket_bytes))
-    if tokenizer(path).get_vocab_size() > 65_536:
-        raise ValueError("ids travel in 16 bits here; this vocabulary is larger")
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, max(1, -(-size // bucket_bytes)))
 
     def assemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        unpack, encoder = zstandard.ZstdDecompressor(), tokenizer(path)
-        ids: dict[str, bytes] = {}
-        for body in right.column("body").to_pylist():
-            ids.update(zip(*unpacked(body)))
-        piece = [encoder.id_to_token(i) for i in range(encoder.get_vocab_size())]
-        said = {w: " ".join([piece[i] for i in np.frombuffer(b, "<u4").tolist()]) for w, b in ids.items()}
-        out: tuple[list, ...] = ([], [], [], [], [])
-        for body in left.column("body").to_pylist():
-            for i, t, n in json.loads(unpack.decompress(body).decode("utf-8", "surrogatepass")):
-                words = chunks(t)
-                whole = b"".join([ids[w] for w in words])
-                text = " ".join([s for w in words if (s := said[w])])
-                for column, value in zip(out, (i, len(whole) // 4, hashlib.sha256(whole).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), n)):
-                    column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32())
-        return pa.table([pa.array(v, k) for v, k in zip(out, kinds)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "_copies"])
-
-    words = encode_words(word_rows(docs, id_col, text_col, runs, buckets), path, buckets)
-    texts = text_rows(docs, id_col, text_col, runs)
-    found = texts.groupBy("grp").cogroup(words.groupBy("grp")).applyInArrow(assemble, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string, _copies int")
-    return found.withColumn("_copies", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).drop("_copies")
+        t = tokenizer(path)
+        lists = word_ids(right.sort_by("bucket").column("body").to_pylist())
+        ids, valid, words, at = unpacked(left.column("body")[0].as_py())
+        at, ends = pa.array(numbers(at)), np.concatenate([[0], np.cumsum(numbers(words), dtype=np.int64)])
+        # join the ids by position
+        found = lists.take(at)
+        places = np.concatenate([[0], np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        tokens = np.ascontiguousarray(found.flatten().to_numpy(), "<u4")
+        token_ends = places[ends]
+        # join the pieces by id, then the words by position; a word without ids leaves no space
+        piece = pa.array([t.id_to_token(i) for i in range(t.get_vocab_size())])
+        said = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, piece.take(lists.flatten())), " ")
+        some = np.diff(places) > 0
+        kept = at.filter(pa.array(some))
+        text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some)])[ends], pa.int64()), said.take(kept)), " ").cast(pa.large_binary())
+        data = memoryview(text.buffers()[2] or b"")
+        text_ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1].tolist()
+        return pa.table(
+            [
+                pa.array(np.frombuffer(ids, "<i8"), pa.int64(), mask=~np.frombuffer(valid, bool)),
+                pa.array(np.diff(token_ends), pa.int64()),
+                pa.array(digests(memoryview(tokens).cast("B"), (4 * token_ends).tolist()) if len(tokens) else digests(b"", token_ends.tolist()), pa.string()),
+                pa.array(digests(data, text_ends), pa.string()),
+            ],
+            names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
+        )
+
+    # written once: both parts of a batch must come from the same pass over the documents
+    table = cut(numbered(docs, id_col, text_col, buckets))
+    words = encode_words(table.where("bucket >= 0"), path, buckets)
+    return table.where("bucket < 0").groupBy("batch").cogroup(words.groupBy("batch")).applyInArrow(assemble, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")

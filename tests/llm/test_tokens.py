@@ -1,10 +1,10 @@
 """Token counts, encoding, decoding and packing against the tokenizers library."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from strandlake.llm import bpe, packing
@@ -35,7 +35,7 @@ def test_counts(docs, odd_texts):
 
 def test_round_trip(docs, odd_texts):
     texts = odd_texts + MORE
-    got = sorted(bpe.encode_decode(docs, WORDS, target_bytes=200, bucket_bytes=300).collect(), key=lambda r: r.doc_id)
+    got = sorted(bpe.encode_decode(docs, WORDS, bucket_bytes=300).collect(), key=lambda r: r.doc_id)
     for r, ids in zip(got, plain(WORDS, texts), strict=True):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
@@ -52,28 +52,32 @@ def test_round_trip_of_long_words_and_nul(make_docs):
     assert max(r.n_tokens for r in got) > 0
 
 
-def test_packed_words_with_many_ids():
-    words, ids = ["a\0b", "long", "", "c"], [np.arange(n, dtype="<u4").tobytes() for n in (3, 65_536, 0, 1)]
-    assert bpe.unpacked(bpe.packed(words, ids)) == (words, ids)
-    assert bpe.unpacked(bpe.packed(words)) == (words, [])
+def test_packed_parts():
+    parts = [b"", b"a\0b", b"x" * 70_000]
+    assert bpe.unpacked(bpe.packed(*parts)) == parts
+    values = np.array([0, 1, 65_536, 2**32 - 1])
+    assert bpe.numbers(bpe.planes(values)).tolist() == values.tolist()
 
 
-@pytest.mark.parametrize("ids", [[*range(99), 2**62], [k << 32 | n for k in range(10) for n in range(10)], [None] * 100, [7] * 100, [-(2**63), *range(98), 2**63 - 1]])
-def test_runs_are_bounded_however_ids_lie(spark, ids):
-    texts = [f"text number {k} {'word ' * 20}" for k in range(100)]
-    rows = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
-    runs, size = bpe.runs_of(rows, "doc_id", "text", 1500)
-    assert size == sum(map(len, texts))
-    held = {}
-    for g, t in zip(runs.groups(pa.array(ids, pa.int64()), texts), texts):
-        held[g] = held.get(g, 0) + len(t)
-    assert max(held.values()) <= 4500 and len(held) >= 8
+def test_words_are_encoded_as_the_library_does():
+    rng = random.Random(11)
+    parts = ["it's", "DON'T", "<|endoftext|>", "x<|startoftext|>y", "a\tb", "caf\u00e9", "\u0130I", "3.14", "--", "'ll", "\U0001f600", "a\u00a0b", "\x1f", "Wor", "ld", "!?", ""]
+    words = ["".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(3000)]
+    assert bpe.WordEncoder(WORDS).encode(words) == plain(WORDS, words)
+
+
+def test_batches_of_one_row_share_the_word_table(spark, docs, odd_texts):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        test_round_trip(docs, odd_texts)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_null_and_equal_rows_stay(spark):
     rows = [(None, "some text")] * 30 + [(7, "other text")] * 20 + [(7, f"text {k}") for k in range(30)] + [(None, None)] * 5 + [(2**62, "far away")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = sorted(((r.doc_id, r.n_tokens, r.ids_sha256) for r in bpe.encode_decode(docs, WORDS, target_bytes=200, bucket_bytes=300).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_tokens, r.ids_sha256) for r in bpe.encode_decode(docs, WORDS, bucket_bytes=300).collect()), key=str)
     want = sorted(((i, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest()) for (i, _), x in zip(rows, plain(WORDS, [t for _, t in rows]))), key=str)
     assert got == want
 
