@@ -1,6 +1,6 @@
 """Modification tags of aligned reads: MM positions, ML probabilities, reference coordinates.
 
-Everything is a column expression over one read's arrays. The layout follows the SAM tags
+Tags and CIGAR strings parse as column expressions; calls are decoded from Arrow batches. The layout follows the SAM tags
 specification: probabilities go by the ordinal of the call, entry by entry, and several codes of
 one entry take turns. Entries without ``.`` or ``?`` are read, and entries on the opposite strand
 are skipped together with their probabilities.
@@ -8,6 +8,10 @@ are skipped together with their probabilities.
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,22 +51,62 @@ def parse_mm(mm: Column, legacy: bool = True) -> Column:
     )
 
 
-def aligned_blocks(cigar: Column, pos: Column) -> Column:
-    """array<struct<q, r, n>>: the runs of query bases that stand on reference bases (M, = and X)."""
-    ops = F.arrays_zip(F.regexp_extract_all(cigar, F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(1)).alias("len"), F.regexp_extract_all(cigar, F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(2)).alias("op"))
-    start = F.struct(F.lit(0).cast("long").alias("q"), pos.cast("long").alias("r"), F.expr("cast(array() as array<struct<q:bigint,r:bigint,n:bigint>>)").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        n = x["len"].cast("long")
-        on_query, on_ref = x["op"].isin("M", "I", "S", "=", "X"), x["op"].isin("M", "D", "N", "=", "X")
-        block = F.array(F.struct(acc["q"].alias("q"), acc["r"].alias("r"), n.alias("n")))
-        return F.struct(
-            (acc["q"] + F.when(on_query, n).otherwise(0)).alias("q"),
-            (acc["r"] + F.when(on_ref, n).otherwise(0)).alias("r"),
-            F.when(on_query & on_ref, F.concat(acc["out"], block)).otherwise(acc["out"]).alias("out"),
-        )
-
-    return F.aggregate(ops, start, step, lambda acc: acc["out"])
+#: Which letter of the stored sequence a base of MM names, by strand of the read; N names all.
+_ON_PLUS, _ON_MINUS = str.maketrans("U", "T"), str.maketrans("ACGTU", "TGCAA")
+_BLOCK = re.compile(r"(\d+)([MIDNSHP=X])")
+_ENTRY = re.compile(ENTRY)
+
+
+def block_table(cigar: str, pos: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query start, reference start and length of the runs of query bases that stand on reference bases."""
+    q, r, out = 0, pos, []
+    for n, op in _BLOCK.findall(cigar):
+        n = int(n)
+        if op in "M=X":
+            out.append((q, r, n))
+        q += n if op in "MIS=X" else 0
+        r += n if op in "MDN=X" else 0
+    table = np.array(out, np.int64).reshape(-1, 3)
+    return table[:, 0], table[:, 1], table[:, 2]
+
+
+def read_calls(minus: bool, pos: int, cigar: str, seq: str, mm: str, ml: list[int] | None) -> list[dict]:
+    """The calls of one read, in time linear in its length and its calls."""
+    out: list[dict] = []
+    letters = np.frombuffer(seq.upper().encode("ascii", "replace"), np.uint8)
+    q, r, n = block_table(cigar or "", pos or 0)
+    scores = np.array([-1 if x is None else x for x in ml or ()], np.float64)
+    where: dict[str, np.ndarray] = {}
+    taken = 0
+    for part in mm.rstrip(";").split(";"):
+        entry = _ENTRY.match(part.strip())
+        if not entry:
+            continue
+        base, sign, code, skipped = entry.groups()
+        codes = [code] if code[0].isdigit() else list(code)
+        skips = np.array([int(x) for x in skipped.split(",")[1:]], np.int64)
+        first = taken
+        taken += len(skips) * len(codes)
+        if sign != "+" or not len(skips) or not len(q):
+            continue
+        target = base.translate(_ON_MINUS if minus else _ON_PLUS)
+        if target not in where:
+            found = np.arange(len(letters)) if target == "N" else np.flatnonzero(letters == ord(target))
+            # on the minus strand the stored sequence is the complement, read backwards
+            where[target] = found[::-1] if minus else found
+        ordinal = np.cumsum(skips + 1) - 1
+        call = np.flatnonzero(ordinal < len(where[target]))
+        at = where[target][ordinal[call]]
+        block = np.searchsorted(q, at, "right") - 1
+        on = (block >= 0) & (at < (q + n)[block])
+        ref = (r[block] + at - q[block])[on].tolist()
+        for k, name in enumerate(codes):
+            place = first + call[on] * len(codes) + k
+            p = np.zeros(len(place))
+            there = place < len(scores)
+            p[there] = np.maximum(scores[place[there]], 0) / 255
+            out += [{"ref_pos": a, "mod_code": name, "probability": b} for a, b in zip(ref, p.tolist())]
+    return out
 
 
 def decode_reads(reads: DataFrame) -> DataFrame:
@@ -70,36 +114,17 @@ def decode_reads(reads: DataFrame) -> DataFrame:
 
     ``reads`` has qname, flag, rname, pos (0-based), cigar, seq, mm and ml (array of 0-255).
     Unmapped reads, and reads without sequence or tags, give none. Calls beyond the sequence or on
-    inserted or clipped bases are dropped; a missing probability is 0.
+    inserted or clipped bases are dropped; a missing probability is 0. Reads are decoded batch by batch
+    over Arrow: the built-in higher-order functions copy an array for each call of a read.
     """
+
+    def run(minus: pa.Array, pos: pa.Array, cigar: pa.Array, seq: pa.Array, mm: pa.Array, ml: pa.Array) -> pa.Array:
+        rows = zip(*[c.to_pylist() for c in (minus, pos, cigar, seq, mm, ml)])
+        return pa.array([read_calls(*row) for row in rows], pa.list_(pa.struct([("ref_pos", pa.int64()), ("mod_code", pa.string()), ("probability", pa.float64())])))
+
+    run.__annotations__ = dict.fromkeys(("minus", "pos", "cigar", "seq", "mm", "ml", "return"), pa.Array)
+    calls = F.arrow_udf(run, "array<struct<ref_pos: bigint, mod_code: string, probability: double>>")
     minus = F.col("flag").bitwiseAND(16) != 0
     usable = reads.where((F.col("flag").bitwiseAND(4) == 0) & F.col("mm").isNotNull() & F.col("seq").isNotNull() & (F.col("seq") != "*"))
-    entries = usable.select(
-        F.col("qname").alias("read_id"), F.col("rname").alias("reference_name"), F.when(minus, "-").otherwise("+").alias("strand"), F.upper("seq").alias("seq"), "ml", aligned_blocks(F.col("cigar"), F.col("pos")).alias("blocks"), F.posexplode(_with_offsets(parse_mm(F.col("mm"), legacy=False))).alias("entry_no", "entry")
-    )
-    entries = entries.where("entry.sign = '+'")
-    # on the minus strand the stored sequence is the complement, read backwards
-    target = F.when(F.col("strand") == "-", F.translate("entry.base", "ACGTU", "TGCAA")).otherwise(F.translate("entry.base", "U", "T"))
-    letters = F.split("seq", "")
-    found = F.filter(F.transform(letters, lambda b, i: F.when((b == F.col("target")) | (F.col("target") == "N"), i)), lambda i: i.isNotNull())
-    sites = entries.withColumn("target", target).withColumn("bases", found).withColumn("bases", F.when(F.col("strand") == "-", F.reverse("bases")).otherwise(F.col("bases")))
-    ordinals = F.aggregate(
-        "entry.skips", F.struct(F.lit(-1).alias("at"), F.expr("cast(array() as array<int>)").alias("out")), lambda acc, s: F.struct((acc["at"] + s + 1).alias("at"), F.concat(acc["out"], F.array(acc["at"] + s + 1)).alias("out")), lambda acc: acc["out"]
-    )
-    calls = sites.withColumn("ordinals", ordinals).select("read_id", "reference_name", "strand", "ml", "blocks", "bases", "entry", "entry_no", F.posexplode("ordinals").alias("call", "base_no"))
-    coded = calls.withColumn("query_pos", F.get("bases", F.col("base_no"))).where("query_pos is not null").select("*", F.posexplode("entry.codes").alias("code_no", "mod_code"))
-    ml_at = (F.col("entry.ml_start") + F.col("call") * F.size("entry.codes") + F.col("code_no")).cast("int")
-    on = F.filter("blocks", lambda b: (F.col("query_pos") >= b["q"]) & (F.col("query_pos") < b["q"] + b["n"]))
-    placed = coded.withColumns({"block": F.get(on, F.lit(0)), "probability": F.coalesce(F.get("ml", ml_at).cast("double") / 255, F.lit(0.0))}).where("block is not null")
-    return placed.select("read_id", "reference_name", (F.col("block.r") + F.col("query_pos") - F.col("block.q")).cast("long").alias("ref_pos"), mod_name(F.col("mod_code")).alias("mod_type"), "mod_code", "probability", "strand")
-
-
-def _with_offsets(entries: Column) -> Column:
-    """Entries with the place of their first probability in ML."""
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<base:string,sign:string,codes:array<string>,skips:array<int>,ml_start:int>>)").alias("out"))
-    return F.aggregate(
-        entries,
-        start,
-        lambda acc, e: F.struct((acc["at"] + F.size(e["skips"]) * F.size(e["codes"])).alias("at"), F.concat(acc["out"], F.array(F.struct(e["base"].alias("base"), e["sign"].alias("sign"), e["codes"].alias("codes"), e["skips"].alias("skips"), acc["at"].alias("ml_start")))).alias("out")),
-        lambda acc: acc["out"],
-    )
+    found = usable.select(F.col("qname").alias("read_id"), F.col("rname").alias("reference_name"), F.when(minus, "-").otherwise("+").alias("strand"), calls(minus, F.col("pos").cast("long"), "cigar", "seq", "mm", "ml").alias("_calls"))
+    return found.select("read_id", "reference_name", "strand", F.inline("_calls")).select("read_id", "reference_name", "ref_pos", mod_name(F.col("mod_code")).alias("mod_type"), "mod_code", "probability", "strand")

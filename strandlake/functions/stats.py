@@ -70,9 +70,11 @@ def logit_coefficient(mc: Column, uc: Column, mt: Column, ut: Column) -> tuple[C
     return F.when(whole, coef), F.when(whole, erfc(z / math.sqrt(2))).otherwise(1.0)
 
 
-def bh_fdr(df: DataFrame, family: list[str], p_col: str = "pvalue", out: str = "fdr") -> DataFrame:
+def bh_fdr(df: DataFrame, family: list[str], p_col: str = "pvalue", out: str = "fdr", least: int = 1) -> DataFrame:
     """Benjamini-Hochberg within each family; null p gets 1 and does not count.
 
+    Families with fewer than ``least`` values of p are left out; where it is over 1, so are rows without p.
+
     The step-up runs over the distinct p of a family, counted first with map-side combine, so a
     family of any size sends only its distinct values through the ordered window.
     """
@@ -80,5 +82,5 @@ def bh_fdr(df: DataFrame, family: list[str], p_col: str = "pvalue", out: str = "
     up = Window.partitionBy(*family).orderBy(p_col)
     down = Window.partitionBy(*family).orderBy(F.desc(p_col))
     ranked = counted.withColumns({"_rank": F.sum("_n").over(up), "_m": F.sum("_n").over(Window.partitionBy(*family))})
-    steps = ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p_col) * F.col("_m") / F.col("_rank")).over(down))).select(*family, p_col, out)
-    return df.join(steps, [*family, p_col], "left").withColumn(out, F.coalesce(out, F.lit(1.0)))
+    steps = ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p_col) * F.col("_m") / F.col("_rank")).over(down))).where(F.col("_m") >= least).select(*family, p_col, out)
+    return df.join(steps, [*family, p_col], "left" if least < 2 else "inner").withColumn(out, F.coalesce(out, F.lit(1.0)))

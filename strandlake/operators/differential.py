@@ -13,6 +13,8 @@ VALUES = ["total_reads", "modified_reads", "stoichiometry", "mean_probability",
 FAMILY = ["control", "treatment", "mod_type"]
 #: The false discovery rate and the least change of a significant site, and the rate of ``significant_bh``.
 FDR, MIN_DELTA, BH_ALPHA = 0.05, 0.10, 0.05
+#: Fixed value: a family of fewer sites is not tested.
+MIN_SITES = 2
 
 
 def merge_conditions(sites: DataFrame, comparisons: list[tuple[str, str]]) -> DataFrame:
@@ -52,10 +54,10 @@ def run_tests(merged: DataFrame, method: str = "fisher") -> DataFrame:
 
 
 def classify(tested: DataFrame, fdr: float = FDR, min_delta: float = MIN_DELTA) -> DataFrame:
-    """fdr by family, and what it makes of each site."""
+    """fdr by family, and what it makes of each site; families of one site are left out."""
     significant = (F.col("fdr") < fdr) & (F.col("abs_delta_stoichiometry") >= min_delta)
     direction = F.when(significant & (F.col("delta_stoichiometry") > 0), "increased").when(significant & (F.col("delta_stoichiometry") < 0), "decreased").otherwise("unchanged")
-    return bh_fdr(tested, FAMILY).withColumns({"significant_bh": F.col("fdr") <= BH_ALPHA, "is_significant": significant, "direction": direction})
+    return bh_fdr(tested, FAMILY, least=MIN_SITES).withColumns({"significant_bh": F.col("fdr") <= BH_ALPHA, "is_significant": significant, "direction": direction})
 
 
 def differential(sites: DataFrame, comparisons: list[tuple[str, str]], method: str = "fisher", fdr: float = FDR, min_delta: float = MIN_DELTA) -> DataFrame:

@@ -54,7 +54,3 @@ def pathway_annotation(rows: DataFrame, labels: DataFrame, gene: str = "gene_nam
     """The pathway label of a gene name in any case, else ``other``. The label table has fixed content and is broadcast."""
     keyed = F.broadcast(labels.select(F.col("gene").alias("_gene"), F.col("label").alias("pathway_annotation")))
     return rows.join(keyed, F.upper(gene) == F.col("_gene"), "left").drop("_gene").withColumn("pathway_annotation", F.coalesce("pathway_annotation", F.lit("other")))
-
-
-def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return df.withColumn("_first", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_first = 1").drop("_first")

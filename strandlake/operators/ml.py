@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,6 +40,20 @@ def train_forest(train: DataFrame, trees: int = 200, depth: int = 6, seed: int =
     return RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed).fit(weighted(train, balanced=True))
 
 
+def save_model(spark: SparkSession, model, features: list[str], path: str) -> None:
+    """The model in Spark's own format, and the names of its features in their order, under one folder."""
+    model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame(list(enumerate(features)), "place int, feature string").coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
+
+
+def load_model(spark: SparkSession, path: str):
+    """(model, features) of ``save_model``, whichever of the two kinds it is."""
+    kind = spark.read.json(f"{path}/model/metadata").first()["class"].rsplit(".", 1)[-1]
+    loaders = {"GBTClassificationModel": GBTClassificationModel, "RandomForestClassificationModel": RandomForestClassificationModel}
+    features = [r["feature"] for r in spark.read.parquet(f"{path}/features").orderBy("place").collect()]
+    return loaders[kind].load(f"{path}/model"), features
+
+
 def scored(model, rows: DataFrame) -> DataFrame:
     """``rows`` with the probability of class 1 as ``score``."""
     return model.transform(rows).withColumn("score", vector_to_array("probability")[1])
@@ -190,6 +204,13 @@ def local_explanations(shap: DataFrame, key: str, n: int = 20) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("shap_sum"), key)))
 
 
+def importance_table(importance: DataFrame, value: str = "mean_abs_shap", n: int | None = None, digits: int = 4) -> DataFrame:
+    """Display form of an importance table, largest first: the first ``n`` features, or all, with formatted values."""
+    rows = importance.orderBy(F.desc(value), "feature")
+    rows = rows if n is None else rows.limit(n)
+    return rows.select("feature", F.format_number(value, digits).alias(value), *[c for c in importance.columns if c not in ("feature", value)])
+
+
 def dependence(long: DataFrame, n: int = 5) -> DataFrame:
     """The rows of the n most important features."""
     top = global_importance(long).where(F.col("rank") <= n).select("feature", "rank")

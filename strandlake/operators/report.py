@@ -20,6 +20,22 @@ def significant_sites(results: DataFrame, n: int | None = None, offset: int = 0)
     return rows if n is None else rows.offset(offset).limit(n)
 
 
+#: The columns of the report's page of significant sites, and the names that they have there.
+PAGE = {"gene_name": "Gene", "reference_name": "Chr", "ref_pos": "Position", "region": "Region", "metatranscript_pos": "Meta Pos", "delta_stoichiometry": "Δ Stoich", "fdr": "FDR", "direction": "Direction"}
+
+
+def region_page(results: DataFrame, n: int = 30, digits: int = 4) -> DataFrame:
+    """The first ``n`` significant sites with their transcript region, by fdr, in display form; absent columns are left out."""
+    first = significant_sites(results, n)
+    shown = lambda c: F.coalesce(F.format_number(c, digits), F.lit("—")) if dict(first.dtypes)[c] in ("double", "float") else F.col(c)
+    return first.select(*[shown(c).alias(name) for c, name in PAGE.items() if c in first.columns])
+
+
+def table_page(results: DataFrame, n: int = 200) -> DataFrame:
+    """The rows of a table's first page on the dashboard; the whole table goes to CSV by the sink."""
+    return significant_sites(results, n)
+
+
 def largest_changes(results: DataFrame, n: int = 100) -> DataFrame:
     return results.orderBy(F.desc("abs_delta_stoichiometry"), *ORDER).limit(n)
 

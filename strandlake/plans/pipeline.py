@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import genesets
 from strandlake.functions.mm import decode_reads
-from strandlake.operators import differential, enrichment, features, intervals, metatranscript, ml, sites
+from strandlake.operators import differential, enrichment, features, intervals, metatranscript, metrics, ml, report, sites
 from strandlake.sources import alignments, annotation
-from strandlake.sources.results import Config, load_table, save_table, union_tables
+from strandlake.sources.results import Config, load_combined, load_table, save_table, union_tables
 
 STEPS = ["calls", "stoichiometry", "differential", "feature_matrix", "model", "shap", "pathway_enrichment", "metatranscript_positions"]
 
@@ -27,7 +27,9 @@ class Pipeline:
     """Steps hand DataFrames on; a step outside the chosen range is read from its earlier output.
 
     ``config.samples`` maps a name to ``{"bam": path}`` or ``{"sam": path}``. Sequence features need
-    ``fasta``, annotation ``gtf``; without them the placeholders of the operators stand.
+    ``fasta``, annotation ``gtf``; without them the placeholders of the operators stand. Enrichment is
+    over the gene sets of ``gmt``, or the curated ones. ``folds`` over 1 adds a cross-validation, and SHAP
+    explains ``explained`` test rows.
     """
 
     spark: SparkSession
@@ -37,6 +39,9 @@ class Pipeline:
     method: str = "fisher"
     model_kind: str = "boosting"
     trees: int = 200
+    folds: int = 0
+    explained: int = 1000
+    gmt: str | None = None
     mod_types: list[str] | None = None
     tables: dict[str, DataFrame] = field(default_factory=dict)
 
@@ -70,29 +75,67 @@ class Pipeline:
     def feature_names(self, rows: DataFrame) -> list[str]:
         return [c for c in features.NUMERIC if c in rows.columns] + [c for c in rows.columns if any(c.startswith(f"{p}_") for p in features.CATEGORICAL)]
 
+    def fit(self) -> None:
+        """Train on the feature matrix, and write model, feature names and both halves of the split."""
+        rows = self.get("feature_matrix")
+        names = self.feature_names(rows)
+        split = features.stratified_split(rows.withColumn("site", F.concat_ws("|", "control", "treatment", *sites.SITE)), "label", ["site"])
+        for half, test in (("train_data", False), ("test_data", True)):
+            save_table(split.where(F.col("is_test") == test).drop("is_test"), self.beside("model", half))
+        train = load_table(self.spark, self.beside("model", "train_data"))
+        trained = (ml.train_boosting if self.model_kind == "boosting" else ml.train_forest)(ml.assemble(train, names), trees=self.trees)
+        ml.save_model(self.spark, trained, names, self.beside("model", self.model_kind))
+
     def fitted(self):
-        if "_fitted" not in self.__dict__:
-            rows = self.get("feature_matrix")
-            names = self.feature_names(rows)
-            split = features.stratified_split(ml.assemble(rows, names).withColumn("site", F.concat_ws("|", "control", "treatment", *sites.SITE)), "label", ["site"])
-            fit = ml.train_boosting if self.model_kind == "boosting" else ml.train_forest
-            self._fitted = fit(split.where("not is_test"), trees=self.trees), split.where("is_test"), names
-        return self._fitted
+        """(model, test rows, feature names) as they were written, by this run or an earlier one."""
+        model, names = ml.load_model(self.spark, self.beside("model", self.model_kind))
+        return model, ml.assemble(load_table(self.spark, self.beside("model", "test_data")), names), names
 
     def run_model(self) -> DataFrame:
+        self.fit()
         model, test, _ = self.fitted()
         return ml.evaluate(model, test)
 
+    def attributions(self) -> DataFrame:
+        """SHAP of a fixed sample of the test rows, computed once in a run."""
+        if "attributions" not in self.tables:
+            model, test, names = self.fitted()
+            save_table(ml.shap_values(model, ml.explain_sample(test, self.explained, "site"), names, "site"), self.beside("shap", "shap_values"))
+            self.tables["attributions"] = load_table(self.spark, self.beside("shap", "shap_values"))
+        return self.tables["attributions"]
+
     def shap(self) -> DataFrame:
-        model, test, names = self.fitted()
-        return ml.global_importance(ml.shap_long(ml.shap_values(model, test, names, "site"), names, "site"))
+        return ml.global_importance(self.shap_rows())
+
+    def shap_rows(self) -> DataFrame:
+        return ml.shap_long(self.attributions(), ml.load_model(self.spark, self.beside("model", self.model_kind))[1], "site")
+
+    def extras(self, step: str) -> dict[str, DataFrame]:
+        """What a step writes beside its table."""
+        if step == "differential":
+            found = self.get("differential")
+            return {"significant_sites": report.significant_sites(found), "volcano": differential.volcano(found)}
+        if step == "model":
+            model, test, names = self.fitted()
+            score = ml.scored(model, test).select("label", "score")
+            out = {"curve_points": metrics.curve_points(score), "importances": ml.importances(self.spark, model, names)}
+            if self.folds:
+                train = ml.train_boosting if self.model_kind == "boosting" else ml.train_forest
+                rows = ml.assemble(self.get("feature_matrix"), names).withColumn("site", F.concat_ws("|", "control", "treatment", *sites.SITE))
+                out["cross_validation"] = ml.cross_validate(rows.select("site", "label", "features"), lambda part: train(part, trees=self.trees), ["site"], self.folds)
+            return out
+        if step == "shap":
+            rows = self.shap_rows()
+            return {"local_explanations": ml.local_explanations(self.attributions(), "site"), "dependence": ml.dependence(rows), "importance_table": ml.importance_table(self.get("shap"))}
+        return {}
 
     def pathway_enrichment(self) -> DataFrame:
         rows = self.get("feature_matrix")
         significant = enrichment.significant_genes(rows)
         if significant.isEmpty():
             significant = enrichment.top_genes(rows)
-        return enrichment.enrich(significant, enrichment.distinct_genes(rows), genesets.curated_sets(self.spark))
+        sets = annotation.read_gmt(self.spark, self.gmt) if self.gmt else genesets.curated_sets(self.spark)
+        return enrichment.enrich(significant, enrichment.distinct_genes(rows), sets)
 
     def metatranscript_positions(self) -> DataFrame:
         if not self.gtf:
@@ -103,12 +146,17 @@ class Pipeline:
     def get(self, name: str) -> DataFrame:
         """A step's table: of this run if it is there, else of an earlier one."""
         if name not in self.tables:
-            self.tables[name] = load_table(self.spark, self.path(name))
+            folder = self.path(name).rsplit("/", 1)[0]
+            self.tables[name] = load_combined(self.spark, folder, name, f"*_{name}")
         return self.tables[name]
 
     def path(self, name: str) -> str:
         return f"{self.config.base_dir}/{STEPS.index(name) + 1:02d}_{name}/{name}"
 
+    def beside(self, step: str, name: str) -> str:
+        """Where a further output of a step lies."""
+        return f"{self.config.base_dir}/{STEPS.index(step) + 1:02d}_{step}/{name}"
+
     def run(self, from_step: int = 1, to_step: int = 8) -> dict[str, DataFrame]:
         """Write the outputs of the steps in range, one after the other; later steps read what was written."""
         for name in STEPS[max(1, from_step) - 1 : min(8, to_step)]:
@@ -117,7 +165,9 @@ class Pipeline:
                 continue
             save_table(make(), self.path(name), by=["sample"] if name == "calls" else None)
             self.tables[name] = load_table(self.spark, self.path(name))
-        return self.tables
+            for extra, table in self.extras(name).items():
+                save_table(table, self.beside(name, extra))
+        return {name: table for name, table in self.tables.items() if name in STEPS}
 
 
 def main() -> None:
@@ -128,9 +178,12 @@ def main() -> None:
     args.add_argument("--method", choices=["fisher", "logistic"], default="fisher")
     args.add_argument("--fasta")
     args.add_argument("--gtf")
+    args.add_argument("--gmt")
+    args.add_argument("--model", choices=["boosting", "forest"], default="boosting")
+    args.add_argument("--folds", type=int, default=0)
     given = args.parse_args()
     spark = SparkSession.builder.appName("strandlake").getOrCreate()
-    done = Pipeline(spark, Config.load(given.config), given.fasta, given.gtf, given.method).run(given.from_step, given.to_step)
+    done = Pipeline(spark, Config.load(given.config), given.fasta, given.gtf, given.method, given.model, folds=given.folds, gmt=given.gmt).run(given.from_step, given.to_step)
     print(json.dumps({name: df.count() for name, df in done.items()}))
 
 

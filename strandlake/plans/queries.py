@@ -86,7 +86,7 @@ def diff_sql(fdr: float = 0.05, delta: float = 0.10) -> str:
             select * exclude (rk, n), fdr <= 0.05 as significant_bh, fdr < {fdr} and abs_delta_stoichiometry >= {delta} as is_significant,
                    case when fdr < {fdr} and abs_delta_stoichiometry >= {delta} and delta_stoichiometry > 0 then 'increased'
                         when fdr < {fdr} and abs_delta_stoichiometry >= {delta} and delta_stoichiometry < 0 then 'decreased' else 'unchanged' end as direction
-            from adjusted
+            from adjusted where n >= 2
         )
     """
 

@@ -52,7 +52,3 @@ def read_gmt(spark: SparkSession, path: str) -> DataFrame:
     """(pathway, gene) from a GMT file: name, description, genes."""
     f = F.split("value", "\t")
     return spark.read.text(path).select(F.get(f, F.lit(0)).alias("pathway"), F.explode(F.slice(f, 3, F.greatest(F.size(f) - 2, F.lit(0)))).alias("gene")).where("gene != ''").distinct()
-
-
-def first_rows(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")

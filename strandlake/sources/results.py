@@ -76,6 +76,24 @@ def load_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) ->
         return spark.createDataFrame([], schema)
 
 
+def load_combined(spark: SparkSession, folder: str, combined: str, parts: str) -> DataFrame:
+    """The combined table of a folder if there is one, else all tables there that match ``parts``, by column name.
+
+    Files of one pattern differ in columns at most by some that are absent: those are null.
+    """
+    try:
+        return load_table(spark, f"{folder}/{combined}")
+    except AnalysisException:
+        pass
+    try:
+        return spark.read.option("mergeSchema", True).parquet(f"{folder}/{parts}.parquet")
+    except AnalysisException:
+        files = [r["path"] for r in spark.read.format("binaryFile").load(f"{folder}/{parts}.csv").select("path").orderBy("path").collect()]
+        if not files:
+            raise
+        return union_tables([spark.read.option("header", True).option("inferSchema", True).csv(f) for f in files])
+
+
 def load_json(path: str) -> dict:
     try:
         with open(path, encoding="utf-8") as f:

@@ -2,7 +2,9 @@
 
 import gzip
 import math
+import random
 import struct
+import zlib
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -123,6 +125,34 @@ def test_bam_file(spark, tmp_path):
     assert alignments.read_bam(spark, str(tmp_path / "b.bam"), "PERMISSIVE").count() == 0
 
 
+def bgzf(data, size):
+    """Blocks of the blocked gzip format, cut anywhere."""
+    out = b""
+    for at in range(0, len(data) or 1, size):
+        z = zlib.compressobj(6, zlib.DEFLATED, -15)
+        part = data[at : at + size]
+        body = z.compress(part) + z.flush()
+        out += b"\x1f\x8b\x08\x04" + bytes(6) + struct.pack("<HBBHH", 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))
+    return out
+
+
+@pytest.mark.parametrize(("block", "split"), [(300, 1000), (5000, 700), (60_000, 20_000)])
+def test_ranges_of_a_bam_file_equal_the_whole(spark, tmp_path, block, split):
+    rng = random.Random(5)
+    records = b""
+    for i in range(400):
+        name, n = f"read{i}".encode() + b"\0", rng.choice([1, 40, 900])
+        seq = bytes(rng.choice([0x11, 0x12, 0x48, 0x84]) for _ in range((n + 1) // 2))
+        body = struct.pack("<iiBBHHHiiii", i % 3, i, len(name), 60, 0, 1, 0, n, -1, -1, 0) + name + struct.pack("<I", n << 4) + seq + b"\xff" * n + b"MMZA+a.,0;\0" + b"MLBC" + struct.pack("<i", 1) + bytes([i % 256])
+        records += struct.pack("<i", len(body)) + body
+    header = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 3) + b"".join(struct.pack("<i", 3) + f"T{k}".encode() + b"\0" + struct.pack("<i", 1000) for k in range(3))
+    (tmp_path / "a.bam").write_bytes(bgzf(header + records, block) + bgzf(b"", 1))
+    want = sorted(alignments.read_bam(spark, str(tmp_path / "a.bam")).collect())
+    ranges = alignments.read_bam(spark, str(tmp_path / "a.bam"), split_bytes=split)
+    assert len(want) == 400 and sorted(ranges.collect()) == want
+    assert ranges.rdd.getNumPartitions() >= 3
+
+
 def test_sequence_functions(spark):
     at = lambda s, p, f: one(spark, x=f(F.lit(s), F.lit(p))).x
     assert at("ACGT", 0, sequence.gc_content) == 0.5 and at("", 0, sequence.gc_content) is None

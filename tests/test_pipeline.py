@@ -2,8 +2,9 @@
 
 import random
 
+from strandlake.operators import ml as models
 from strandlake.plans.pipeline import STEPS, Pipeline
-from strandlake.sources.results import Config
+from strandlake.sources.results import Config, load_combined
 
 
 def test_all_steps(spark, tmp_path):
@@ -22,7 +23,7 @@ def test_all_steps(spark, tmp_path):
                 out.write(f"chr{k}\ts\t{feature}\t{a}\t{b}\t.\t+\t.\t{tail}\n")
     (tmp_path / "g.fa").write_text("".join(f">chr{k}\n{'ACGT' * 25}AGGACTAACAGA{'ACGT' * 5}\n" for k in range(3)))
     config = Config({s: {"sam": str(tmp_path / f"{s}.sam")} for s in "ct"}, [("c", "t")], base_dir=str(tmp_path / "results_x"))
-    line = Pipeline(spark, config, str(tmp_path / "g.fa"), str(tmp_path / "g.gtf"), trees=3)
+    line = Pipeline(spark, config, str(tmp_path / "g.fa"), str(tmp_path / "g.gtf"), trees=3, folds=2)
     done = line.run()
     assert list(done) == STEPS
     assert done["calls"].count() == 2 * 900 * 4 and done["stoichiometry"].count() == 2 * 12
@@ -33,8 +34,28 @@ def test_all_steps(spark, tmp_path):
     assert {r.region for r in done["metatranscript_positions"].collect()} == {"5UTR", "CDS"}
     assert done["model"].count() == 1 and done["shap"].count() > 10
     assert {r.pathway for r in done["pathway_enrichment"].collect()} == {"Apoptosis"}
+    beside = lambda step, name: spark.read.parquet(f"{line.beside(step, name)}.parquet")
+    assert beside("differential", "significant_sites").count() == 8 and beside("differential", "volcano").count() == 12
+    assert beside("model", "curve_points").count() > 0 and beside("model", "cross_validation").count() == 2
+    assert beside("model", "train_data").count() + beside("model", "test_data").count() == 12
+    model, names = models.load_model(spark, line.beside("model", "boosting"))
+    assert beside("model", "importances").count() == len(names) and model.getNumTrees == 3
+    assert {r.feature for r in beside("shap", "dependence").select("feature").distinct().collect()} <= set(names)
+    assert beside("shap", "local_explanations").count() > 0 and beside("shap", "importance_table").count() == len(names)
     again = Pipeline(spark, config, method="logistic", trees=3)
     assert list(again.run(3, 3)) == ["stoichiometry", "differential"]
+    # step 6 by itself explains the model that is there
+    before = sorted(map(tuple, done["shap"].collect()))
+    assert sorted(map(tuple, Pipeline(spark, config, trees=99).run(6, 6)["shap"].collect())) == before
+
+
+def test_combined_or_single_files(spark, tmp_path):
+    for name, value in (("a", 1), ("b", 2)):
+        (tmp_path / f"{name}_differential.csv").write_text(f"site,{name}\n{value},x\n")
+    got = load_combined(spark, str(tmp_path), "all_results", "*_differential")
+    assert sorted(got.columns) == ["a", "b", "site"] and got.count() == 2
+    spark.range(3).write.parquet(str(tmp_path / "all_results.parquet"))
+    assert load_combined(spark, str(tmp_path), "all_results", "*_differential").count() == 3
 
 
 def test_model_queries_train_the_whole_model(spark, monkeypatch):
