@@ -48,9 +48,14 @@ def one_hot(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumns(out)
 
 
-def impute_median(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls of each column as its exact median; 0 where the column has none."""
-    middle = rows.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in columns]).first()
+def impute_median(rows: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
+    """Nulls of each column as its median; 0 where the column has none.
+
+    The exact median holds a column's distinct values in one buffer. ``accuracy`` takes a quantile
+    sketch of that accuracy instead, for tables where they are too many.
+    """
+    middle_of = lambda c: F.median(c) if accuracy is None else F.percentile_approx(c, 0.5, accuracy)
+    middle = rows.agg(*[middle_of(F.col(c).cast("double")).alias(c) for c in columns]).first()
     return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(middle[c] if middle[c] is not None else 0.0)) for c in columns})
 
 

@@ -6,25 +6,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def curve_points(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """One row for each distinct score, from high to low: tp and fp at that threshold with the ROC and PR coordinates.
+def steps(scored: DataFrame, label: str, score: str, parts: int = 256) -> DataFrame:
+    """Each distinct score with its positives and negatives (_p, _n), those from it up (tp, fp), and those in all (_pos, _neg).
 
-    Rows collapse to distinct scores before the ordered window.
+    Rows collapse to distinct scores first. Running sums go by ranges of scores between quantiles: each
+    range is summed in a task of its own, from what the table of range sums has for those above it.
     """
-    steps = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
-    down = Window.orderBy(F.desc("threshold"))
+    counts = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
+    found = counts.agg(F.percentile_approx("threshold", [k / parts for k in range(1, parts)], 50 * parts)).first()[0]
+    edges = F.array(*[F.lit(x) for x in sorted(set(found or []))]).cast("array<double>")
+    ranged = counts.withColumn("_range", F.size(F.filter(edges, lambda e: e > F.col("threshold"))))
+    # one row a range, at most ``parts``
+    above = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(F.lit(0))
-    summed = steps.withColumns({"tp": F.sum("_p").over(down), "fp": F.sum("_n").over(down), "_pos": F.sum("_p").over(every), "_neg": F.sum("_n").over(every)})
-    return summed.select("threshold", "tp", "fp", (F.col("fp") / F.nullif("_neg", F.lit(0))).alias("fpr"), (F.col("tp") / F.nullif("_pos", F.lit(0))).alias("tpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    sums = ranged.groupBy("_range").agg(F.sum("_p").alias("_rp"), F.sum("_n").alias("_rn"))
+    sums = sums.select("_range", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(n) for c, n in (("_rp", "_ap"), ("_rn", "_an"))], *[F.sum(c).over(every).alias(n) for c, n in (("_rp", "_pos"), ("_rn", "_neg"))])
+    down = Window.partitionBy("_range").orderBy(F.desc("threshold"))
+    return ranged.join(F.broadcast(sums), "_range").select("threshold", "_p", "_n", "_pos", "_neg", (F.sum("_p").over(down) + F.col("_ap")).alias("tp"), (F.sum("_n").over(down) + F.col("_an")).alias("fp"))
+
+
+def curve_points(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """One row for each distinct score, from high to low: tp and fp at that threshold with the ROC and PR coordinates."""
+    none = F.lit(0)
+    return steps(scored, label, score).select("threshold", "tp", "fp", (F.col("fp") / F.nullif("_neg", none)).alias("fpr"), (F.col("tp") / F.nullif("_pos", none)).alias("tpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
 def ranking_metrics(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """roc_auc (ties count half) and average precision (sum of recall steps times precision)."""
-    points = curve_points(scored, label, score)
-    down = Window.orderBy(F.desc("threshold"))
-    last_fpr, last_tpr = F.coalesce(F.lag("fpr").over(down), F.lit(0.0)), F.coalesce(F.lag("tpr").over(down), F.lit(0.0))
-    areas = points.withColumns({"_roc": (F.col("fpr") - last_fpr) * (F.col("tpr") + last_tpr) / 2, "_ap": (F.col("tpr") - last_tpr) * F.col("precision")})
-    return areas.agg(F.sum("_roc").alias("roc_auc"), F.sum("_ap").alias("avg_precision"))
+    pos, neg = F.nullif("_pos", F.lit(0)), F.nullif("_neg", F.lit(0))
+    # what stood above a score is what is there without its own rows
+    roc = F.col("_n") / neg * (2 * F.col("tp") - F.col("_p")) / pos / 2
+    ap = F.col("_p") / pos * F.col("tp") / (F.col("tp") + F.col("fp"))
+    return steps(scored, label, score).agg(F.sum(roc).alias("roc_auc"), F.sum(ap).alias("avg_precision"))
 
 
 def confusion(scored: DataFrame, label: str = "label", score: str = "score", threshold: float = 0.5) -> DataFrame:

@@ -48,9 +48,9 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third part is a transcript of 60 bases with two coding parts between the untranslated ends; spans overlap."""
+    """Every part is a transcript of 60 bases with two coding parts between the untranslated ends; spans overlap."""
     key = F.col("p_partkey")
-    parts = table(spark, sf_dir, "part").where(key % 3 == 0)
+    parts = table(spark, sf_dir, "part")
     minus = key % 2 == 1
     first, last = F.when(minus, "three_prime_utr").otherwise("five_prime_utr"), F.when(minus, "five_prime_utr").otherwise("three_prime_utr")
     rows = [(F.lit("transcript"), 0, 60), (first, 0, 10), (F.lit("CDS"), 10, 20), (F.lit("CDS"), 30, 45), (last, 50, 60)]

@@ -14,6 +14,7 @@ from strandlake.plans import proxies
 from strandlake.plans.proxies import CALLS_SQL, GENES_SQL, SITES_SQL, rounded
 from strandlake.session import cut, shared_folder, table
 from strandlake.sources import alignments, annotation
+from strandlake.sources import results as results_tables
 from strandlake.streaming import sites as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -428,7 +429,8 @@ def fallback_genes(spark, sf_dir):
     return enrichment.top_genes(symbols(spark, sf_dir))
 
 
-@query()
+@query(f"""select pathway, concat_ws('/', overlap_count, pathway_size) as overlap, format('{{:,.2f}}', fold_enrichment) as fold, format('{{:,.4f}}', pvalue) as p, format('{{:,.4f}}', fdr) as fdr,
+    case when significant then 'YES' else 'no' end as significant from ({ORACLE_SQL["curated_enrichment"]})""")
 def pathway_report(spark, sf_dir):
     return report.pathway_table(curated_enrichment(spark, sf_dir))
 
@@ -436,7 +438,7 @@ def pathway_report(spark, sf_dir):
 # --- metatranscript -----------------------------------------------------------------------------
 
 META_SQL = f"""
-    with s as ({SITES_SQL}), p as (select p_partkey as k, p_name, concat('chr', p_partkey % 5) as chrom, p_partkey % 2 = 1 as minus from part where p_partkey % 3 = 0),
+    with s as ({SITES_SQL}), p as (select p_partkey as k, p_name, concat('chr', p_partkey % 5) as chrom, p_partkey % 2 = 1 as minus from part),
     h as (
         select s.chrom, s.ref_pos, s.strand, k, p_name, case when minus then 59 - (ref_pos - k) else ref_pos - k end as o, minus
         from s join p on s.chrom = p.chrom and (s.strand = '-') = minus and ref_pos >= k and ref_pos < k + 60
@@ -496,6 +498,16 @@ def significant_regions(spark, sf_dir):
     return rows.groupBy("region", "mod_type").agg(F.count("*").alias("n"))
 
 
+@query(f"""{META_SQL}, r as (select *, round((ref_pos % 11) / 10.0::double - 0.5, 6) as delta, round((ref_pos % 50) / 50.0::double, 6) as q from a where is_significant)
+    select gene_name as "Gene", chrom as "Chr", ref_pos as "Position", region as "Region", coalesce(format('{{:,.4f}}', metatranscript_pos), '—') as "Meta Pos", format('{{:,.4f}}', delta) as "Δ Stoich", format('{{:,.4f}}', q) as "FDR", direction as "Direction"
+    from r order by q, chrom, ref_pos, mod_type, strand limit 30""")
+def region_page(spark, sf_dir):
+    pos = F.col("ref_pos")
+    rows = placed(spark, sf_dir).withColumnRenamed("chrom", "reference_name")
+    fdr = F.round(pos % 50 / F.lit(50.0), 6)
+    return report.region_page(rows.withColumns({"control": F.lit("c"), "treatment": F.lit("t"), "delta_stoichiometry": F.round(pos % 11 / F.lit(10.0) - 0.5, 6), "fdr": fdr, "pvalue": fdr}))
+
+
 # --- sequences and tags -------------------------------------------------------------------------
 
 WINDOW_SQL = lambda before, after: f"substr(text, (greatest(n_chars // 2 - {before}, 0) + 1)::bigint, (n_chars // 2 + {after} - greatest(n_chars // 2 - {before}, 0))::bigint)"
@@ -540,6 +552,33 @@ def gtf_records(spark, sf_dir):
     return annotation.parse_gtf(table(spark, sf_dir, "part").select(line.alias("value")))
 
 
+@query("""
+    select concat('chr', p_partkey % 5) as chrom, p_partkey - 1 as start, p_partkey + p_size as "end", case when p_partkey % 2 = 0 then '+' else '-' end as strand, concat('G', p_partkey) as gene_id, p_name as gene_name, p_brand as gene_biotype
+    from part where p_partkey % 7 <> 0
+""")
+def gtf_genes(spark, sf_dir):
+    return annotation.genes(gtf_records(spark, sf_dir))
+
+
+@query(f"select chrom as reference_name, ref_pos, strand, null::double as gc_content, false as drach_motif, '' as kmer_context from ({SITES_SQL})")
+def features_without_sequence(spark, sf_dir):
+    return features.sequence_features(proxies.positions(spark, sf_dir).withColumnRenamed("chrom", "reference_name"), None)
+
+
+@query("select l_linestatus as sample, l_orderkey as read_id, l_suppkey as reference_name, l_partkey as ref_pos, l_returnflag as mod_type, l_shipdate::varchar as mod_code, l_discount as probability, l_linenumber as strand from lineitem")
+def headerless_chunks(spark, sf_dir):
+    names = ["l_linestatus", "l_orderkey", "l_suppkey", "l_partkey", "l_returnflag", "l_shipdate", "l_discount", "l_linenumber", "l_tax"]
+    lines = table(spark, sf_dir, "lineitem").withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
+    return sites.normalize_columns(lines.select(*names).toDF(*map(str, range(len(names)))))
+
+
+@query(f"""select sample, count(*) as calls, null::double as mean_probability from ({CALLS_SQL}) group by sample
+    union all select sample, null as calls, round(avg(probability), 6) as mean_probability from ({CALLS_SQL}) group by sample""")
+def united_summaries(spark, sf_dir):
+    by_sample = proxies.calls(spark, sf_dir).groupBy("sample")
+    return results_tables.union_tables([by_sample.agg(F.count("*").alias("calls")), by_sample.agg(F.avg("probability").alias("mean_probability"))])
+
+
 @query("""
     select l_orderkey, l_linenumber, 'A' as base, case when l_linenumber % 2 = 0 then 'a' else '17596' end as mod_code, [l_linenumber, l_partkey % 3]::varchar as skips, 2::bigint as n_calls,
            case when l_linenumber % 2 = 0 then 'm6A' else 'inosine' end as mod_type
@@ -691,5 +730,35 @@ def shap_local(spark, sf_dir):
     return ml.local_explanations(ml.shap_values(model, test, FEATURES, "vec_id"), "vec_id").select("rank", "vec_id", "shap_sum")
 
 
+#: Embeddings stand for attributions: one value for each row and dimension.
+LONG_SQL = "select vec_id, 'f' || (unnest(range(len(embedding)))) as feature, unnest(embedding)::double as shap_value from embeddings"
+RANKED_SQL = f"with long as ({LONG_SQL}), g as (select feature, avg(abs(shap_value)) as m from long group by feature), r as (select *, row_number() over (order by m desc, feature) as rank from g)"
+
+
+def attributions(spark, sf_dir) -> DataFrame:
+    value = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", value.alias("shap"), value.alias("feature_values"))
+
+
+@query(f"{RANKED_SQL} select feature, round(m, 6) as mean_abs_shap, rank from r")
+def importance_ranks(spark, sf_dir):
+    return ml.global_importance(ml.shap_long(attributions(spark, sf_dir), FEATURES, "vec_id"))
+
+
+@query(f"{RANKED_SQL} select feature, format('{{:,.4f}}', m) as mean_abs_shap, rank from r where rank <= 20")
+def importance_page(spark, sf_dir):
+    return ml.importance_table(importance_ranks(spark, sf_dir), n=20)
+
+
+@query(f"{RANKED_SQL} select vec_id, feature, round(shap_value, 6) as shap_value, round(shap_value, 6) as feature_value, rank from long join r using (feature) where rank <= 5")
+def dependence_rows(spark, sf_dir):
+    return ml.dependence(ml.shap_long(attributions(spark, sf_dir), FEATURES, "vec_id"))
+
+
+@query("select vec_id, round(s, 6) as shap_sum, row_number() over (order by s desc, vec_id) as rank from (select vec_id, list_sum(embedding::double[]) as s from embeddings) order by s desc, vec_id limit 20")
+def local_rows(spark, sf_dir):
+    return ml.local_explanations(attributions(spark, sf_dir), "vec_id").select("vec_id", "shap_sum", "rank")
+
+
 ORACLE_SQL["decoded_calls"] = SAM_SQL
 
