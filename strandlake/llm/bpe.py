@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import append_by_text
+from strandlake.llm.common import append_by_text, freeing
 from strandlake.session import cut
 
 #: A worker's table of chunks is emptied beyond so many entries: a bound on memory, not on what is counted.
@@ -204,7 +204,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataF
 
     # no word holds a space or a line end, so words can stand between line ends
     split = F.split(F.coalesce(F.col(text_col), F.lit("")), "[ \n]+")
-    return docs.select(F.col(id_col).cast("long").alias("id"), split.alias("words")).mapInArrow(run, "batch long, bucket long, body binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), split.alias("words")).mapInArrow(freeing(run), "batch long, bucket long, body binary")
 
 
 class WordEncoder:
@@ -233,7 +233,7 @@ class WordEncoder:
             for k, (piece, _) in zip(which, found):
                 ids = memo.get(piece)
                 if ids is None:
-                    if len(memo) > MEMO_ENTRIES:
+                    if len(memo) > MEMO_ENTRIES // 3:
                         memo.clear()
                     ids = memo[piece] = [x.id for x in model.tokenize(piece)]
                 out[own[k]] += ids
@@ -267,7 +267,7 @@ def encode_words(words: DataFrame, path: str, buckets: int) -> DataFrame:
                 done = packed(kinds, planes(sizes), planes(np.frombuffer(b"".join(found), "<u4")))
                 yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([bucket], pa.int64()), pa.array([done], pa.binary())], names=["batch", "bucket", "body"])
 
-    return words.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "batch long, bucket long, body binary")
+    return words.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(freeing(run), "batch long, bucket long, body binary")
 
 
 def word_ids(bodies: list[bytes]) -> pa.ListArray:

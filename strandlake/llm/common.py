@@ -3,7 +3,10 @@ and connected components of a link table."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,29 @@ def fields(ddl: str) -> list[T.StructField]:
     return T._parse_datatype_string(ddl).fields if isinstance(ddl, str) else list(ddl)
 
 
+def release() -> None:
+    """Hand the memory that a task has freed back to the system: Python workers live on for tasks of other kinds."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def freeing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, with ``release`` at its end."""
+
+    @wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def slices(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """The texts of an Arrow column in runs of about ``SLICE_BYTES``, each with its first row; null is the empty text.
 
@@ -65,15 +91,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def append_by_text(df: DataFrame, text_col: str, ddl: str, make: Callable[[], Callable[[list[str]], Sequence[list]]]) -> DataFrame:
-    """``df`` with columns computed from whole texts; a column of the same name gives way.
+def with_struct_by_text(df: DataFrame, text_col: str, ddl: str, make: Callable[[], Callable[[list[str]], Sequence[list]]]) -> tuple[DataFrame, str]:
+    """``df`` with one more column, a struct of ``ddl`` computed from whole texts, and that column's name.
 
     ``make`` runs once in each task and returns a function from a list of texts to one list of
     values for each field of ``ddl``; what it holds goes with the task. Rows, their order and the
     other columns stay in the JVM: Python gets texts and returns the new fields alone.
     """
     new = fields(ddl)
-    names = {f.name.lower() for f in new}
     kinds = [_ARROW[f.dataType.simpleString()] for f in new]
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -84,12 +109,28 @@ def append_by_text(df: DataFrame, text_col: str, ddl: str, make: Callable[[], Ca
             if not len(column):
                 yield pa.StructArray.from_arrays([pa.array([], type=k) for k in kinds], names=[f.name for f in new])
 
+    run = freeing(run)
+
     run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
     # marked as not deterministic, a filter on its result can't move below and run it twice
     found = F.arrow_udf(run, T.StructType(new)).asNondeterministic()
     held = free_name(df, "_found")
+    return df.withColumn(held, found(F.col(text_col))), held
+
+
+def append_by_text(df: DataFrame, text_col: str, ddl: str, make: Callable[[], Callable[[list[str]], Sequence[list]]]) -> DataFrame:
+    """``df`` with columns computed from whole texts; a column of the same name gives way."""
+    new = fields(ddl)
+    names = {f.name.lower() for f in new}
+    found, held = with_struct_by_text(df, text_col, ddl, make)
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
-    return df.withColumn(held, found(F.col(text_col))).select(*kept, *[F.col(held)[f.name].alias(f.name) for f in new])
+    return found.select(*kept, *[F.col(held)[f.name].alias(f.name) for f in new])
+
+
+def filter_by_text(df: DataFrame, text_col: str, ddl: str, make: Callable[[], Callable[[list[str]], Sequence[list]]], test: Callable[[Column], Column]) -> DataFrame:
+    """The rows of ``df``, all columns as they are, whose computed fields pass ``test``."""
+    found, held = with_struct_by_text(df, text_col, ddl, make)
+    return found.where(test(F.col(held))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def bounded(small: DataFrame, rows: int) -> DataFrame:

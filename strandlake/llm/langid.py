@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import append_by_text
+from strandlake.llm.common import append_by_text, filter_by_text
 
 #: Texts are encoded whole, in blocks of so many bytes: a long text can't outgrow its dictionary.
 BLOCK = 4096
@@ -79,14 +79,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     return LanguageModel(tuple((lang, b" ".join(texts[lang])[-dict_bytes:]) for lang in order if texts.get(lang)), min_saving)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score, saving and rejected.
+FIELDS = "lang_pred string, score double, saving double, rejected boolean"
 
-    ``und`` with score 0 and rejected where the text is null or has no letter, or nothing was
-    learned. Ties go to the language with more training rows. The score is the share of the winner
-    when the encoded sizes are read as likelihoods. Rows are judged one by one, so repeats and an
-    empty table need no rule.
-    """
+
+def judging(model: LanguageModel) -> Callable:
+    """What a task does with its texts."""
 
     def make() -> Callable:
         encoders, langs = model.encoders(), [lang for lang, _ in model.dictionaries]
@@ -108,4 +105,20 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
         return apply
 
-    return append_by_text(docs, text_col, "lang_pred string, score double, saving double, rejected boolean", make)
+    return make
+
+
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """``docs`` with lang_pred, score, saving and rejected.
+
+    ``und`` with score 0 and rejected where the text is null or has no letter, or nothing was
+    learned. Ties go to the language with more training rows. The score is the share of the winner
+    when the encoded sizes are read as likelihoods. Rows are judged one by one, so repeats and an
+    empty table need no rule.
+    """
+    return append_by_text(docs, text_col, FIELDS, judging(model))
+
+
+def drop_rejected(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, whose language is told."""
+    return filter_by_text(docs, text_col, FIELDS, judging(model), lambda found: ~found["rejected"])

@@ -30,12 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import batch_slices, bounded, component_table, free_name, join_unique
+from strandlake.llm.common import batch_slices, bounded, component_table, free_name, freeing, join_unique
 from strandlake.session import cut
 
 #: A worker's tables of word hashes and of shingle sets are emptied beyond so many entries: a bound on memory alone.
-MEMO_WORDS = 400_000
-SET_MEMO = 4_000_000
+MEMO_WORDS = 100_000
+SET_MEMO = 2_000_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -124,7 +124,7 @@ def fingerprints(docs: DataFrame, s: JoinSettings) -> DataFrame:
                 found = [pa.array(v, k) for v, k in zip(out, (pa.int64(), pa.string(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("mark"), *found], names=["doc", "mark", "n_shingles", "sig", "sketch"])
 
-    return docs.mapInArrow(run, "doc long, mark long, n_shingles long, sig string, sketch binary")
+    return docs.mapInArrow(freeing(run), "doc long, mark long, n_shingles long, sig string, sketch binary")
 
 
 def descend(nodes: np.ndarray, sketches: np.ndarray, s: JoinSettings) -> tuple[np.ndarray, np.ndarray]:
@@ -165,12 +165,14 @@ def by_group(batches: Iterator[pa.RecordBatch], columns: Sequence[str], key: str
     """(key, rows) of each run of rows with one key."""
     held, group = None, []
     for batch in batches:
-        for k, *row in zip(*[batch.column(c).to_pylist() for c in (key, *columns)], strict=True):
-            if k != held:
-                if group:
-                    yield held, group
-                held, group = k, []
-            group.append(tuple(row))
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            for k, *row in zip(*[part.column(c).to_pylist() for c in (key, *columns)], strict=True):
+                if k != held:
+                    if group:
+                        yield held, group
+                    held, group = k, []
+                group.append(tuple(row))
     if group:
         yield held, group
 
@@ -211,7 +213,7 @@ def candidates(groups: DataFrame, s: JoinSettings) -> DataFrame:
             if kept:
                 yield pa.RecordBatch.from_arrays([pa.array([cid] * len(kept), pa.int64()), *[pa.array(v, t) for v, t in zip(zip(*kept), (pa.int64(), pa.int64(), pa.binary()))]], names=["cid", "rep", "label", "sketch"])
 
-    return groups.repartition("cid").sortWithinPartitions("cid").mapInArrow(run, "cid long, rep long, label long, sketch binary")
+    return groups.repartition("cid").sortWithinPartitions("cid").mapInArrow(freeing(run), "cid long, rep long, label long, sketch binary")
 
 
 def linked(group: list[tuple[int, bytes, str]], shingle: Shingler, s: JoinSettings) -> list[tuple[int, int]]:
@@ -267,7 +269,7 @@ def compared(kept: DataFrame, texts: DataFrame, s: JoinSettings) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found)], names=["a", "b"])
 
     whole = kept.join(texts, "rep").select("cid", "label", "sketch", "text")
-    return whole.repartition("cid").sortWithinPartitions("cid").mapInArrow(run, "a long, b long")
+    return whole.repartition("cid").sortWithinPartitions("cid").mapInArrow(freeing(run), "a long, b long")
 
 
 def blocks(members: DataFrame, s: JoinSettings) -> DataFrame:

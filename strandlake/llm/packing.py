@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.bpe import tokenizer
-from strandlake.llm.common import batch_slices, bounded
+from strandlake.llm.common import batch_slices, bounded, freeing
 from strandlake.session import cut
 
 #: Ranks within one length are counted in so many parts, so that a hot length is spread.
@@ -106,7 +106,13 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, room: int = 2048, id_col
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=[id_col, "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long")
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        # the vocabulary is read again in a second; kept, it would stay in every worker
+        byte_encoder.cache_clear()
+        tokenizer.cache_clear()
+
+    return docs.select(id_col, text_col).mapInArrow(freeing(task), f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack_histogram(counts: dict[int, int], room: int = 2048) -> list[tuple[tuple[int, ...], int]]:

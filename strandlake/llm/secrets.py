@@ -32,6 +32,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_TOKEN = 10
 #: What the models judge: whole runs of these characters, whatever their length and whatever stands in them.
 TOKEN = re.compile(rf"[\w+/=-]{{{MIN_TOKEN},}}")
+#: What stands between the parts of a token.
+JOINERS = re.compile(r"[_/=-]+")
 #: What they learn as ordinary: shorter runs too.
 WORD = re.compile(r"[\w+/=-]{4,}")
 #: Without a letter a run is a number or a rule of signs, not a word-like token.
@@ -61,6 +63,8 @@ _CODE = np.full(256, OTHER, np.int64)
 for _c, _i in ALPHABET.items():
     _CODE[ord(_c)] = _i
 SIZE = OTHER + 1
+#: A character's own followers outweigh the common ones from so many sightings on.
+BACKOFF = 3.0
 
 
 def pairs(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,30 +102,38 @@ def tokens_of(text: str, base: list[tuple[int, int, int]], kind: re.Pattern = TO
 class MarkovPair:
     """Log-likelihood ratio table of random strings against ordinary identifiers.
 
-    A token is random if its ratio is at least ``total`` nats, the odds that a token must overcome,
-    and ``threshold`` nats a pair of characters. Half the weight of the random model lies on strings
+    A part is random if its ratio is at least ``total`` nats, the odds that a token must overcome, and
+    ``threshold`` nats a pair of characters. Half the weight of the random model lies on strings
     over all characters, since keys come in more alphabets than a sample holds. An empty sample
     leaves its model uniform.
     """
 
     ratio: np.ndarray = field(repr=False)
-    threshold: float = 0.35
-    total: float = 10.0
+    threshold: float = 0.8
+    total: float = 20.0
 
     @classmethod
-    def of_counts(cls, random: np.ndarray, ordinary: np.ndarray, threshold: float = 0.35, total: float = 10.0) -> MarkovPair:
-        chance = [(smooth := counts.reshape(SIZE, SIZE) + 0.5) / smooth.sum(axis=1, keepdims=True) for counts in (random, ordinary)]
+    def of_counts(cls, random: np.ndarray, ordinary: np.ndarray, threshold: float = 0.8, total: float = 20.0) -> MarkovPair:
+        chance = []
+        for counts in (random.reshape(SIZE, SIZE), ordinary.reshape(SIZE, SIZE)):
+            # a character that was seldom seen is followed by what follows any
+            alone = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * SIZE)
+            chance.append((counts + BACKOFF * alone) / (counts.sum(axis=1, keepdims=True) + BACKOFF))
         ratio = np.log((chance[0] + 1 / SIZE) / 2) - np.log(chance[1])
         return cls(np.append(ratio.ravel() if random.any() else np.zeros(SIZE * SIZE), 0.0), threshold, total)
 
     def random(self, tokens: list[str]) -> np.ndarray:
-        """Which of the tokens are random."""
-        if not tokens:
-            return np.zeros(0, bool)
-        code, starts = pairs(tokens)
+        """Which of the tokens are random: those with a random part, since identifiers are words put together."""
+        split = [[p for p in JOINERS.split(t) if p] for t in tokens]
+        parts = [p for own in split for p in own]
+        if not parts:
+            return np.zeros(len(tokens), bool)
+        code, starts = pairs(parts)
         sums = np.add.reduceat(self.ratio[code], starts)
-        n = np.array([max(1, len(t) - 1) for t in tokens])
-        return (sums >= self.total) & (sums >= self.threshold * n)
+        n = np.array([max(1, len(p) - 1) for p in parts])
+        out = np.zeros(len(tokens), bool)
+        out[np.repeat(np.arange(len(tokens)), [len(own) for own in split])[(sums >= self.total) & (sums >= self.threshold * n)]] = True
+        return out
 
     def spans(self, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
         """For each text the tokens that the ratio calls random."""
@@ -131,7 +143,7 @@ class MarkovPair:
         return [[(a, 3, b) for (a, b), yes in [(x, next(said)) for x in own] if yes and TELLING.search(t, a, b)] for t, own in zip(texts, where)]
 
 
-def train(docs: DataFrame, text_col: str = "text", threshold: float = 0.35, total: float = 10.0) -> MarkovPair:
+def train(docs: DataFrame, text_col: str = "text", threshold: float = 0.8, total: float = 20.0) -> MarkovPair:
     """Fit on every row that names a secret: pair counts are summed in Spark, the driver gets two tables of fixed size.
 
     Null texts and rows without such a name teach nothing; with no labelled row the models are equal

@@ -19,13 +19,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import append_by_text
+from strandlake.llm.common import append_by_text, filter_by_text
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Beginnings of words that are features beside the whole word.
 BEGINNINGS = range(3, 10)
 BLOCK = 32
-MEMO_WORDS = 400_000
+MEMO_WORDS = 100_000
+MEMO_VECTORS = 20_000
 
 
 def word_features(word: str) -> list[str]:
@@ -207,13 +208,11 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     return model
 
 
-def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """``docs`` with score, predicted and evidence (the nearest examples as id:cosine).
+FIELDS = "score double, predicted int, evidence string"
 
-    Null and empty texts, and texts without any feature, get the share of toxic labels among the
-    examples without features.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+def scoring(sent, threshold: float) -> Callable:
+    """What a task does with its texts, by the broadcast model."""
 
     def make() -> Callable:
         own = sent.value
@@ -231,7 +230,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", thresho
             counts = counted(text, known)
             key = tuple(sorted(counts.items()))
             if key not in held:
-                if len(held) > 50_000:
+                if len(held) > MEMO_VECTORS:
                     held.clear()
                 s, near = own.score(counts)
                 held[key] = (s, int(s >= threshold), ",".join(f"{i}:{c:.4f}" for i, c in near))
@@ -242,4 +241,18 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", thresho
 
         return apply
 
-    return append_by_text(docs, text_col, "score double, predicted int, evidence string", make)
+    return make
+
+
+def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """``docs`` with score, predicted and evidence (the nearest examples as id:cosine).
+
+    Null and empty texts, and texts without any feature, get the share of toxic labels among the
+    examples without features. Rows are scored one by one, so repeats and an empty table need no rule.
+    """
+    return append_by_text(docs, text_col, FIELDS, scoring(docs.sparkSession.sparkContext.broadcast(model), threshold))
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, as they are, that score under the threshold."""
+    return filter_by_text(docs, text_col, FIELDS, scoring(docs.sparkSession.sparkContext.broadcast(model), threshold), lambda found: found["predicted"] == 0)
