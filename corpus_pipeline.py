@@ -1,7 +1,9 @@
 """Corpus cleaning and packing in five stages, each reading what the one before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of documents. Between stages the rows are a Parquet table in the shared folder.
+of documents. Between stages the rows are a Parquet table in the shared folder. Stages keep further
+columns as they are, whatever their names; repeated rows are rows of their own until stage 3, and a
+table without rows passes all stages.
 """
 
 from __future__ import annotations
@@ -17,30 +19,28 @@ from strandlake.session import cut, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the compressor can't tell go: no letter, or no saving over the runner-up."""
-    found = langid.identify(docs, langid.train(docs))
-    return found.where("not rejected").select(docs.columns)
+    """Documents whose language the compressor can't tell go: null or no letter, or no saving over the runner-up."""
+    return langid.drop_rejected(docs, langid.train(docs))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go; the examples are the labelled ones among those that came in."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+    """Documents that score as toxic go; the examples are the labelled ones among those that came in. Null texts stay."""
+    return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, that with the smallest id."""
+    """One document of each near-duplicate class stays, that with the smallest id, null ids last. Null and empty texts stay."""
     return neardup.drop_near_duplicates(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Found secrets are replaced in the text, and n_chars follows; every document stays."""
+    """Found secrets are replaced in the text, and n_chars follows; every document stays, and a null text stays null."""
     clean = secrets.redact(docs, secrets.train(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document that is left, in sequences of 2048 tokens."""
+    """Every document that is left, in sequences of 2048 tokens; a null text is its end mark alone."""
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
@@ -52,7 +52,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("secrets", redact_secrets),
     ("packing", pack_sequences),
 ]
-#: None: SQL expresses none of the stages. tests/llm holds run() against a brute-force version.
+#: None: SQL expresses none of the stages. tests/llm/test_brute_force.py holds run() against a plain version of all five.
 ORACLE_SQL = None
 
 
