@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -690,43 +691,53 @@ def vectors(spark, sf_dir) -> DataFrame:
     return ml.assemble(rows, FEATURES).select("vec_id", "label", "features")
 
 
-def halves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    split = cut(features.stratified_split(vectors(spark, sf_dir), "label", ["vec_id"]))
-    return split.where("not is_test"), split.where("is_test")
-
-
 #: Trees and depth of the registered training queries, those of the reference.
 TREES, DEPTH = 200, 6
+#: Rows of a training partition: every tree level is a job, so a small table should be few tasks.
+TRAIN_ROWS = 50_000
+#: Where a session's models and their test rows lie, by kind and tables.
+_TRAINED: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
+
+
+def trained(spark, sf_dir: str, kind: str):
+    """(model, test rows): trained once in a session, saved to the shared folder and read back by every query that needs it."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _TRAINED:
+        split = cut(features.stratified_split(vectors(spark, sf_dir), "label", ["vec_id"]))
+        train = split.where("not is_test")
+        train = cut(train.coalesce(max(1, -(-train.count() // TRAIN_ROWS))))
+        fit = {"boosting": ml.train_boosting, "forest": ml.train_forest}[kind]
+        path = f"{shared_folder(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+        ml.save_model(spark, fit(train, trees=TREES, depth=DEPTH), FEATURES, path)
+        _TRAINED[key] = path, split.where("is_test")
+    path, test = _TRAINED[key]
+    return ml.load_model(spark, path)[0], test
 
 
 @query()
 def boosting_metrics(spark, sf_dir):
-    train, test = halves(spark, sf_dir)
-    return ml.evaluate(ml.train_boosting(train, trees=TREES, depth=DEPTH), test)
+    return ml.evaluate(*trained(spark, sf_dir, "boosting"))
 
 
 @query()
 def forest_metrics(spark, sf_dir):
-    train, test = halves(spark, sf_dir)
-    return ml.evaluate(ml.train_forest(train, trees=TREES, depth=DEPTH), test)
+    return ml.evaluate(*trained(spark, sf_dir, "forest"))
 
 
 @query()
 def forest_importances(spark, sf_dir):
-    return ml.importances(spark, ml.train_forest(halves(spark, sf_dir)[0], trees=TREES, depth=DEPTH), FEATURES)
+    return ml.importances(spark, trained(spark, sf_dir, "forest")[0], FEATURES)
 
 
 @query()
 def shap_global(spark, sf_dir):
-    train, test = halves(spark, sf_dir)
-    model = ml.train_boosting(train, trees=TREES, depth=DEPTH)
+    model, test = trained(spark, sf_dir, "boosting")
     return ml.global_importance(ml.shap_long(ml.shap_values(model, test, FEATURES, "vec_id"), FEATURES, "vec_id"))
 
 
 @query()
 def shap_local(spark, sf_dir):
-    train, test = halves(spark, sf_dir)
-    model = ml.train_boosting(train, trees=TREES, depth=DEPTH)
+    model, test = trained(spark, sf_dir, "boosting")
     return ml.local_explanations(ml.shap_values(model, test, FEATURES, "vec_id"), "vec_id").select("rank", "vec_id", "shap_sum")
 
 

@@ -69,6 +69,7 @@ def test_model_queries_train_the_whole_model(spark, monkeypatch):
 
     for kind in ("train_boosting", "train_forest"):
         monkeypatch.setattr(queries.ml, kind, fit)
+    monkeypatch.setattr(queries, "_TRAINED", {})
     for name in ("boosting_metrics", "forest_metrics", "forest_importances", "shap_global", "shap_local"):
         try:
             queries.QUERIES[name](spark, data)
