@@ -22,6 +22,8 @@ CRLF = "\r\n"
 RECORD_END = CRLF * 2
 #: Payloads shorter than this are always stored in full.
 MIN_REVISIT_BYTES = 1000
+#: Pages of up to so many bytes share files of up to so many records: none holds more than about 200 MB. Still larger pages have files of their own.
+SIZES = ((65_536, 3000), (1_048_576, 180), (None, 3))
 
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -49,8 +51,8 @@ def block(headers: list[tuple[str, F.Column]], body: F.Column) -> F.Column:
     return F.concat(F.lit(f"WARC/1.1{CRLF}"), *[F.coalesce(x, F.lit("")) for x in lines], F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit(CRLF * 2), body)
 
 
-def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", rows_per_file: int = 3000) -> None:
-    """Three records a page, each a row of the text sink; files hold at most ``rows_per_file`` records.
+def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", sizes: tuple = SIZES) -> None:
+    """Three records a page, each a row of the text sink; pages of one class of ``sizes`` share files.
 
     ``pages`` comes from ``with_revisits``. A revisit has its HTTP headers and no body. Rows with a
     null id are not written: nothing could name their records.
@@ -82,8 +84,14 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", record_id("metadata", page)), ("WARC-Concurrent-To", record_id("response", page)), ("WARC-Target-URI", url), ("WARC-Date", date), ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.lit("page: "), page.cast("string"), F.lit(CRLF)),
     )
-    rows = pages.where(page.isNotNull()).select(F.explode(F.array(request, response, metadata)).alias("value"))
-    rows.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", rows_per_file).option("compression", "gzip").text(folder)
+    size, over = F.col("payload_bytes"), -1
+    most = pages.agg(F.max(size)).first()[0] or 0
+    for k, (upto, rows_per_file) in enumerate(sizes):
+        if k == 0 or most > over:
+            own = pages.where(page.isNotNull() & (size > over) & (F.lit(True) if upto is None else size <= upto))
+            rows = own.select(F.explode(F.array(request, response, metadata)).alias("value"))
+            rows.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", rows_per_file).option("compression", "gzip").text(f"{folder}/size-{k}")
+        over = upto
 
 
 def records(body: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -132,7 +140,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(folder).select("content")
     return files.mapInArrow(run, RECORD_FIELDS)
 
 

@@ -117,7 +117,8 @@ def test_warc_round_trip(spark, tmp_path):
     big, small = "<p>" + "ö" * 600, "<p>small"
     rows = [(1, "http://a/\r\nx", big), (5, "http://b/", big), (3, None, big), (2, "u", small), (4, "u", small), (7, "u", None), (8, "u", "WARC/1.1\r\n\r\nX-Page: 9\r\n\r\n" * 60), (5, "again", big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    warc.write(warc.with_revisits(pages), f"file://{tmp_path}/w", rows_per_file=4)
+    warc.write(warc.with_revisits(pages), f"file://{tmp_path}/w", sizes=((1000, 4), (1300, 3), (None, 3)))
+    assert len(list(tmp_path.glob("w/size-*"))) == 3
     found = warc.read(spark, f"file://{tmp_path}/w")
     assert found.count() == 24
     got = sorted((r.request.page_id, r.response.record_type, r.response.refers_to_page, r.response.http_length) for r in warc.assemble(found).collect())
