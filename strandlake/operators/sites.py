@@ -33,10 +33,13 @@ def site_counts(calls: DataFrame, threshold: int = PROBABILITY_THRESHOLD, by: Se
     )
 
 
+def summed_counts(states: DataFrame, by: Sequence[str] = ("sample",)) -> DataFrame:
+    """States of the same sites as one, however many there are."""
+    return states.groupBy(*by, *SITE).agg(*[F.sum(c).alias(c) for c in ("total_count", "modified_count", "prob_sum", "prob_sq_sum")])
+
+
 def merge_counts(a: DataFrame, b: DataFrame, by: Sequence[str] = ("sample",)) -> DataFrame:
-    """Two states of the same sites as one."""
-    sums = [F.sum(c).alias(c) for c in ("total_count", "modified_count", "prob_sum", "prob_sq_sum")]
-    return a.unionByName(b).groupBy(*by, *SITE).agg(*sums)
+    return summed_counts(a.unionByName(b), by)
 
 
 def finalize(counts: DataFrame, min_coverage: int = MIN_COVERAGE) -> DataFrame:

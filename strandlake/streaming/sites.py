@@ -1,28 +1,34 @@
-"""Incremental site counts: files of calls arrive, states stay mergeable."""
+"""Incremental site counts: files of calls arrive, their states are appended and merged when read."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from strandlake.operators.sites import site_counts
+from strandlake.operators.sites import site_counts, summed_counts
 
 
-def stream_counts(calls: DataFrame, out: str, checkpoint: str, by: tuple[str, ...] = ("sample",), partitions: int | None = None):
-    """Start a query that keeps the site counts of all calls so far at ``out``.
+def stream_counts(calls: DataFrame, out: str, checkpoint: str, by: tuple[str, ...] = ("sample",)):
+    """Start a query that appends the site counts of each micro-batch to ``out``, one folder a batch.
 
-    State is one row a site, the same as the batch operator's. Each micro-batch replaces the table;
-    the checkpoint resumes after the last finished one. There is no event time, hence no watermark.
+    A batch costs what it holds, however many sites came before: counts are mergeable, so the stream
+    keeps no state. A batch that runs again after a failure replaces its own folder, and the
+    checkpoint resumes after the last finished one. There is no event time, hence no watermark.
     """
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def append(batch: DataFrame, number: int) -> None:
+        site_counts(batch, by=by).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return site_counts(calls, by=by).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(replace).start()
+    return calls.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(append).start()
+
+
+def counts_so_far(spark: SparkSession, out: str, by: tuple[str, ...] = ("sample",)) -> DataFrame:
+    """The counts of all batches at ``out`` as one state a site."""
+    return summed_counts(spark.read.parquet(out), by)
 
 
 def counts_of_files(spark: SparkSession, path: str, schema: T.StructType, project, out: str, checkpoint: str, files_per_batch: int = 50) -> DataFrame:
     """All files at ``path`` through the stream, ``files_per_batch`` at a time; the final counts."""
     calls = project(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path))
     stream_counts(calls, out, checkpoint).awaitTermination()
-    return spark.read.parquet(out)
+    return counts_so_far(spark, out)
