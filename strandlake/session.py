@@ -54,3 +54,22 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables cut for one computation, deleted from the shared folder once its results are written themselves."""
+
+    def __init__(self):
+        self.held: list[DataFrame] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.held.append(cut(df))
+        return self.held[-1]
+
+    def clear(self) -> None:
+        for df in self.held:
+            spark = df.sparkSession
+            for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.held.clear()
