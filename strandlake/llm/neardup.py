@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import batch_slices, bounded, component_table, free_name, freeing, join_unique
-from strandlake.session import cut
+from strandlake.session import Scratch, cut
 
 #: A worker's tables of word hashes and of shingle sets are emptied beyond so many entries: a bound on memory alone.
 MEMO_WORDS = 100_000
@@ -301,8 +301,8 @@ def block_pairs(members: DataFrame, s: JoinSettings) -> DataFrame:
 class Labels:
     """The component of each representative, as links come in: a table of those that are not their own."""
 
-    def __init__(self):
-        self.table, self.rows = None, 0
+    def __init__(self, scratch: Scratch):
+        self.table, self.rows, self.cut = None, 0, scratch.cut
 
     def add(self, links: DataFrame) -> bool:
         """Join the components that ``links`` (a, b) name; false if there are none."""
@@ -313,7 +313,7 @@ class Labels:
         if self.table is not None:
             held = join_unique(self.table.withColumnRenamed("label", "node"), joined, "node", F.col("rep"), rows=n)
             moved = moved.unionByName(held.select("rep", F.coalesce("component", "node").alias("label")))
-        self.table = cut(moved)
+        self.table = self.cut(moved)
         self.rows = self.table.count()
         return True
 
@@ -331,44 +331,45 @@ def classes(docs: DataFrame, s: JoinSettings, id_col: str, text_col: str) -> tup
     ``mark`` is a hash of the text, which with the id names a row; ``first`` is the struct of the
     smallest id of a class (null ids last) and its mark, ``rows`` counts the class.
     """
+    scratch = Scratch()
     keyed = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     base = cut(fingerprints(keyed, s))
     row = F.struct(F.col("doc").isNull().alias("none"), "doc", "mark")
     reps = base.where("sig is not null").groupBy("sig").agg(F.min(row).alias("first"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
-    reps = cut(reps.withColumn("rep", F.monotonically_increasing_id()))
-    labels = Labels()
+    reps = scratch.cut(reps.withColumn("rep", F.monotonically_increasing_id()))
+    labels = Labels(scratch)
     texts: list[DataFrame] = []
 
     def compare(groups: DataFrame) -> None:
         """Link what the groups (cid, rep, label) hold; only candidates have their texts fetched, once for each."""
-        kept = cut(candidates(groups.join(reps.select("rep", "sketch"), "rep").select("cid", "rep", "label", "sketch"), s))
+        kept = scratch.cut(candidates(groups.join(reps.select("rep", "sketch"), "rep").select("cid", "rep", "label", "sketch"), s))
         if kept.isEmpty():
             return
         needed = kept.select("rep").distinct()
         if texts:
             needed = needed.join(reduce(DataFrame.unionByName, texts).select("rep"), "rep", "left_anti")
-        wanted = cut(reps.join(needed, "rep").select("rep", F.col("first.doc").alias("_doc"), F.col("first.mark").alias("_mark")))
+        wanted = scratch.cut(reps.join(needed, "rep").select("rep", F.col("first.doc").alias("_doc"), F.col("first.mark").alias("_mark")))
         same = (F.col("mark") == F.col("_mark")) & F.col("doc").eqNullSafe(F.col("_doc"))
-        texts.append(cut(keyed.join(bounded(wanted, wanted.count()), same).dropDuplicates(["rep"]).select("rep", "text")))
-        labels.add(cut(compared(kept, reduce(DataFrame.unionByName, texts), s)))
+        texts.append(scratch.cut(keyed.join(bounded(wanted, wanted.count()), same).dropDuplicates(["rep"]).select("rep", "text")))
+        labels.add(scratch.cut(compared(kept, reduce(DataFrame.unionByName, texts), s)))
 
     def mixed(rows: DataFrame) -> DataFrame:
         """(node, rep, label, n, cost) of the nodes that hold members of different components."""
         counts = rows.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node")
-        sizes = cut(counts.agg(F.sum("c").alias("n"), F.max("c").alias("_most"), F.count("*").alias("_labels")).where("_labels > 1").select("node", "n", ((F.col("n") - F.col("_most")) * F.col("n")).alias("cost")))
-        return cut(join_unique(rows.select("node", "rep", "label"), sizes, "node", F.col("rep"), "inner", sizes.count()))
+        sizes = scratch.cut(counts.agg(F.sum("c").alias("n"), F.max("c").alias("_most"), F.count("*").alias("_labels")).where("_labels > 1").select("node", "n", ((F.col("n") - F.col("_most")) * F.col("n")).alias("cost")))
+        return scratch.cut(join_unique(rows.select("node", "rep", "label"), sizes, "node", F.col("rep"), "inner", sizes.count()))
 
     def search(rows: DataFrame) -> None:
         """Resolve the nodes of ``rows`` (node, rep, label)."""
         for turn in range(s.rounds + 1):
-            members = mixed(cut(rows))
+            members = mixed(scratch.cut(rows))
             small = (F.col("cost") <= s.pair_limit) & (F.col("n") <= s.row_limit)
             compare(members.where(small).select(F.col("node").alias("cid"), "rep", "label").unionByName(blocks(members.where(~small), s)))
             left = members.where(~small)
             if left.isEmpty():
                 return
             # the heads of the components that meet in a node, compared in blocks of their own
-            named = cut(labels.of(left.select("node", "rep"), "node"))
+            named = scratch.cut(labels.of(left.select("node", "rep"), "node"))
             heads = named.select(F.xxhash64("node", F.lit("heads")).alias("node"), F.col("label").alias("rep"), "label").distinct()
             compare(blocks(heads.join(heads.groupBy("node").agg(F.count("*").alias("n")), "node"), replace(s, block=s.row_limit // 4)))
             left = mixed(labels.of(named.select("node", "rep"), "node"))
@@ -386,10 +387,12 @@ def classes(docs: DataFrame, s: JoinSettings, id_col: str, text_col: str) -> tup
         if trees:
             search(branched(labels.of(reps.select("rep", "sketch"), "rep").select("rep", "label", "sketch"), s, trees))
 
-    named = cut(labels.of(reps.select("sig", "rep", "first", "copies"), "rep"))
+    named = scratch.cut(labels.of(reps.select("sig", "rep", "first", "copies"), "rep"))
     joined = named.groupBy("label").agg(F.min("first").alias("first"), F.sum("copies").alias("rows")).where("rows > 1")
-    found = cut(join_unique(named.select("sig", "label"), cut(joined), "label", F.col("sig"), "inner").select("sig", "first", "rows"))
-    return base.select("doc", "mark", "n_shingles", "sig"), found, found.count()
+    found = cut(join_unique(named.select("sig", "label"), scratch.cut(joined), "label", F.col("sig"), "inner").select("sig", "first", "rows"))
+    n = found.count()
+    scratch.clear()
+    return base.select("doc", "mark", "n_shingles", "sig"), found, n
 
 
 def near_duplicates(docs: DataFrame, settings: JoinSettings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
