@@ -20,28 +20,35 @@ def log_factorial(n: Column) -> Column:
     return F.when(n < _SMALL, F.get(table, n.cast("int"))).otherwise(series)
 
 
-def _tail(a: Column, b: Column, c: Column, d: Column, keep) -> Column:
-    """Sum of the hypergeometric probabilities of the tables with the same margins that ``keep`` picks."""
-    a, b, c, d = (x.cast("long") for x in (a, b, c, d))
+def _log_probability(a: Column, b: Column, c: Column, d: Column):
+    """ln of the hypergeometric probability of the table of the same margins with k in its first cell, as a function of k."""
     fixed = log_factorial(a + b) + log_factorial(c + d) + log_factorial(a + c) + log_factorial(b + d) - log_factorial(a + b + c + d)
+    return lambda k: fixed - log_factorial(k) - log_factorial(a + b - k) - log_factorial(a + c - k) - log_factorial(d - a + k)
 
-    def log_p(k: Column) -> Column:
-        return fixed - log_factorial(k) - log_factorial(a + b - k) - log_factorial(a + c - k) - log_factorial(d - a + k)
 
-    support = F.sequence(F.greatest(F.lit(0).cast("long"), a - d), F.least(a + b, a + c))
-    observed = log_p(a)
-    total = F.aggregate(support, F.lit(0.0), lambda acc, k: acc + F.when(keep(k, a, log_p(k), observed), F.exp(log_p(k))).otherwise(0.0))
-    return F.least(F.lit(1.0), total)
+def _cells(*counts: Column) -> tuple[Column, ...]:
+    return tuple(x.cast("long") for x in counts)
 
 
 def fisher_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
     """p of the table [[a, b], [c, d]]: all tables as improbable as it. Degenerate margins give 1, nulls and negatives null."""
-    return F.when(F.least(a, b, c, d) >= 0, _tail(a, b, c, d, lambda k, a, p, seen: p <= seen + EPSILON))
+    known = F.least(a, b, c, d) >= 0
+    a, b, c, d = _cells(a, b, c, d)
+    log_p = _log_probability(a, b, c, d)
+    support = F.transform(F.sequence(F.greatest(F.lit(0).cast("long"), a - d), F.least(a + b, a + c)), log_p)
+    # what was observed rides along, so that it is computed once and not for every table
+    start = F.struct((log_p(a) + EPSILON).alias("most"), F.lit(0.0).alias("sum"))
+    total = F.aggregate(support, start, lambda acc, p: F.struct(acc["most"].alias("most"), (acc["sum"] + F.when(p <= acc["most"], F.exp(p)).otherwise(0.0)).alias("sum")), lambda acc: acc["sum"])
+    return F.when(known, F.least(F.lit(1.0), total))
 
 
 def fisher_greater(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Upper tail: tables with at least ``a`` in the first cell."""
-    return F.when(F.least(a, b, c, d) >= 0, _tail(a, b, c, d, lambda k, a, p, seen: k >= a))
+    known = F.least(a, b, c, d) >= 0
+    a, b, c, d = _cells(a, b, c, d)
+    log_p = _log_probability(a, b, c, d)
+    total = F.aggregate(F.sequence(a, F.least(a + b, a + c)), F.lit(0.0), lambda acc, k: acc + F.exp(log_p(k)))
+    return F.when(known, F.least(F.lit(1.0), total))
 
 
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
