@@ -59,13 +59,17 @@ def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 
 def erfc(z: Column) -> Column:
-    """Complementary error function for z >= 0, to 1.2e-7 relative."""
-    t = 1 / (1 + 0.5 * z)
-    # fixed values: the Chebyshev fit of Numerical Recipes
-    poly = F.lit(0.17087277)
-    for k in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
-        poly = poly * t + k
-    return t * F.exp(poly - z * z)
+    """Complementary error function for z >= 0, to about 1e-12: the series of positive terms below 3, Laplace's continued fraction from there on."""
+
+    def folded(numbers: list[int], step) -> Column:
+        # 2z² rides along, so that it is computed once
+        start = F.struct((2 * z * z).alias("q"), F.lit(1.0).alias("x"))
+        return F.aggregate(F.array(*map(F.lit, numbers)), start, lambda acc, k: F.struct(acc["q"].alias("q"), step(acc["q"], acc["x"], k.cast("double")).alias("x")), lambda acc: acc["x"])
+
+    series = folded([2 * n + 1 for n in range(60, 0, -1)], lambda q, x, k: 1.0 + q / k * x)
+    fraction = folded([*range(60, 0, -1)], lambda q, x, k: 1.0 + k / q / x)
+    scale = F.exp(-z * z) / math.sqrt(math.pi)
+    return F.when(z < 3, 1 - 2 * z * scale * series).otherwise(scale / z / fraction)
 
 
 def logit_coefficient(mc: Column, uc: Column, mt: Column, ut: Column) -> tuple[Column, Column]:

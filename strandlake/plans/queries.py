@@ -189,9 +189,8 @@ def differential_sites(spark, sf_dir):
 LOGIT_SQL = f"""
     with m as materialized ({MERGED_SQL}), t as (select {KEYS}, modified_reads_ctrl::double as mc, (total_reads_ctrl - modified_reads_ctrl)::double as uc, modified_reads_treat::double as mt, (total_reads_treat - modified_reads_treat)::double as ut from m),
     z as (select *, case when least(mc, uc, mt, ut) > 0 then ln(mt * uc / (ut * mc)) end as coef, case when least(mc, uc, mt, ut) > 0 then abs(ln(mt * uc / (ut * mc))) / sqrt(1/mc + 1/uc + 1/mt + 1/ut) / sqrt(2.0) end as x from t),
-    e as (select *, 1 / (1 + 0.5 * x) as s from z)
-    select {KEYS}, round(coef, 6) + 0.0 as test_statistic,
-           round(coalesce(s * exp(-x*x + -1.26551223 + s*(1.00002368 + s*(0.37409196 + s*(0.09678418 + s*(-0.18628806 + s*(0.27886807 + s*(-1.13520398 + s*(1.48851587 + s*(-0.82215223 + s*0.17087277))))))))), 1.0), 6) + 0.0 as pvalue
+    e as (select *, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(90), lambda n: (case when n % 2 = 0 then 1 else -1 end) * exp((2 * n + 1) * ln(x) - lgamma(n + 1.0)) / (2 * n + 1))) as tail from z)
+    select {KEYS}, round(coef, 6) + 0.0 as test_statistic, round(case when x is null or x = 0 then 1.0 when x > 4.5 then 0.0 else tail end, 6) + 0.0 as pvalue
     from e
 """
 

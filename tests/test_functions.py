@@ -42,6 +42,12 @@ def test_fisher_equals_integers(spark):
         assert r.up == pytest.approx(exact(r.a, r.b, r.c, r.d, True), rel=1e-8)
 
 
+def test_erfc_to_many_places(spark):
+    values = [0.0, 1e-6, 0.1, 0.5, 1.0, 2.0, 2.999, 3.0, 3.5, 5.0, 10.0, 20.0]
+    got = spark.createDataFrame([(v,) for v in values], "z double").select("z", stats.erfc(F.col("z")).alias("e")).collect()
+    assert all(r.e == pytest.approx(math.erfc(r.z), rel=1e-8) for r in got)
+
+
 def test_logit_and_erfc(spark):
     coef, p = stats.logit_coefficient(*[F.lit(x) for x in (7, 33, 15, 25)])
     none, sure = stats.logit_coefficient(*[F.lit(x) for x in (0, 33, 15, 25)])
