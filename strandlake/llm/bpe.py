@@ -187,7 +187,8 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataF
             kind = np.searchsorted(np.array(CLASSES), rank, "right")
             alphabet = np.empty(len(words), np.int64)
             alphabet[pc.sort_indices(words).to_numpy()] = np.arange(len(words))
-            bucket = (hash_array(np.array(words.to_pylist(), object), categorize=False) % np.uint64(buckets)).astype(np.int64) if len(words) else alphabet
+            spelled = np.array(words.to_pylist(), object)
+            bucket = (hash_array(spelled, categorize=False) % np.uint64(buckets)).astype(np.int64) if len(words) else alphabet
             order = np.lexsort((alphabet, bucket, kind))
             number = np.empty(len(words), np.int64)
             number[order] = np.arange(len(words))
@@ -196,10 +197,12 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataF
             rows = [(-1, body)]
             own = order[np.argsort(bucket[order], kind="stable")]
             starts = np.searchsorted(bucket[own], np.arange(buckets + 1))
-            text = words.take(pa.array(own)).to_pylist()
+            spelled = spelled[own]
+            # the batch is done with: the most of it goes before the words are packed
+            del found, at, words, lists, batch
             for b, (x, y) in enumerate(zip(starts, starts[1:])):
                 if y > x:
-                    rows.append((b, packed(planes(np.bincount(kind[own[x:y]], minlength=len(CLASSES) + 1)), "\n".join(text[x:y]).encode("utf-8", "surrogatepass"))))
+                    rows.append((b, packed(planes(np.bincount(kind[own[x:y]], minlength=len(CLASSES) + 1)), "\n".join(spelled[x:y]).encode("utf-8", "surrogatepass"))))
             yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k] * len(rows), pa.int64()), *[pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.binary()))]], names=["batch", "bucket", "body"])
 
     # no word holds a space or a line end, so words can stand between line ends
