@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import metrics
 from strandlake.operators.features import class_balance
+from strandlake.session import shared_folder
 
 
 def assemble(rows: DataFrame, features: list[str]) -> DataFrame:
@@ -85,32 +87,29 @@ def cross_validate(rows: DataFrame, fit, key: list[str], folds: int = 5, seed: i
 # --- SHAP ---------------------------------------------------------------------------------------
 
 
-def tree_arrays(model) -> list[dict]:
+def tree_arrays(spark: SparkSession, model) -> list[dict]:
     """The trees of a Spark tree ensemble as arrays: child indices, features, thresholds, values, cover, weight.
 
-    Trees travel through the model's own JVM nodes: a bounded model, not data.
+    Read from the node table of the saved model, whose size is the model's.
     """
-    out = []
     boosted = "GBT" in type(model).__name__
-    for tree, weight in zip(model.trees, model.treeWeights):
-        nodes: list[dict] = []
-
-        def walk(node) -> int:
-            at = len(nodes)
-            stats = [float(x) for x in node.impurityStats().stats()]
-            cover = stats[0] if boosted else sum(stats)
-            value = float(node.prediction()) if boosted else stats[1] / max(sum(stats), 1e-300)
-            nodes.append({"left": -1, "right": -1, "feature": -1, "threshold": 0.0, "value": value, "cover": cover})
-            if hasattr(node, "leftChild") and node.subtreeDepth() > 0:
-                split = node.split()
-                nodes[at] |= {"feature": split.featureIndex(), "threshold": float(split.threshold())}
-                nodes[at]["left"] = walk(node.leftChild())
-                nodes[at]["right"] = walk(node.rightChild())
-            return at
-
-        walk(tree._java_obj.rootNode() if hasattr(tree, "_java_obj") else tree._call_java("rootNode"))
-        out.append({"nodes": nodes, "weight": float(weight) if boosted else float(weight) / model.getNumTrees})
-    return out
+    path = f"{shared_folder(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    model.write().save(path)
+    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
+    trees: list[list[dict]] = [[] for _ in model.treeWeights]
+    for r in sorted(rows, key=lambda r: (r["treeID"], r["id"])):
+        stats, inner = list(r["impurityStats"]), r["leftChild"] >= 0
+        trees[r["treeID"]].append(
+            {
+                "left": r["leftChild"] if inner else -1,
+                "right": r["rightChild"] if inner else -1,
+                "feature": r["split"]["featureIndex"] if inner else -1,
+                "threshold": float(r["split"]["leftCategoriesOrThreshold"][0]) if inner else 0.0,
+                "value": float(r["prediction"]) if boosted else stats[1] / max(sum(stats), 1e-300),
+                "cover": stats[0] if boosted else sum(stats),
+            }
+        )
+    return [{"nodes": nodes, "weight": float(w) if boosted else float(w) / model.getNumTrees} for nodes, w in zip(trees, model.treeWeights, strict=True)]
 
 
 def tree_shap(nodes: list[dict], x: np.ndarray) -> tuple[np.ndarray, float]:
@@ -161,7 +160,7 @@ def shap_values(model, rows: DataFrame, features: list[str], key: str) -> DataFr
 
     The trees are broadcast (their size is the model's); rows are explained batch by batch.
     """
-    trees = rows.sparkSession.sparkContext.broadcast(tree_arrays(model))
+    trees = rows.sparkSession.sparkContext.broadcast(tree_arrays(rows.sparkSession, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

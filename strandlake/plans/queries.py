@@ -692,7 +692,7 @@ def vectors(spark, sf_dir) -> DataFrame:
 
 #: Trees and depth of the registered training queries, those of the reference.
 TREES, DEPTH = 200, 6
-#: Rows of a training partition: every tree level is a job, so a small table should be few tasks.
+#: Rows of a partition of the model tables: every tree level is a job, and every task that explains rows walks all trees.
 TRAIN_ROWS = 50_000
 #: Where a session's models and their test rows lie, by kind and tables.
 _TRAINED: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
@@ -703,12 +703,11 @@ def trained(spark, sf_dir: str, kind: str):
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _TRAINED:
         split = cut(features.stratified_split(vectors(spark, sf_dir), "label", ["vec_id"]))
-        train = split.where("not is_test")
-        train = cut(train.coalesce(max(1, -(-train.count() // TRAIN_ROWS))))
+        train, test = (cut(half.coalesce(max(1, -(-half.count() // TRAIN_ROWS)))) for half in (split.where("not is_test"), split.where("is_test")))
         fit = {"boosting": ml.train_boosting, "forest": ml.train_forest}[kind]
         path = f"{shared_folder(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
         ml.save_model(spark, fit(train, trees=TREES, depth=DEPTH), FEATURES, path)
-        _TRAINED[key] = path, split.where("is_test")
+        _TRAINED[key] = path, test
     path, test = _TRAINED[key]
     return ml.load_model(spark, path)[0], test
 
