@@ -21,6 +21,8 @@ from strandlake.session import cut
 SLICE_BYTES = 4_000_000
 #: One key's rows are dealt to so many tasks where a join meets hot keys.
 SALTS = 16
+#: A key with more rows than this is dealt to several tasks, each of about so many of its rows.
+HOT_ROWS = 100_000
 #: A table of numbers is broadcast only when counted to have no more rows than this (a few MB).
 BROADCAST_ROWS = 100_000
 
@@ -152,6 +154,19 @@ def join_unique(big: DataFrame, small: DataFrame, key: str, spread: Column, how:
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def join_counted(big: DataFrame, small: DataFrame, key: str, spread: Column, counts: DataFrame, how: str = "left") -> DataFrame:
+    """Join to ``small``, which has each key once, with hot keys dealt to as many tasks as their rows need.
+
+    ``counts`` has the rows of ``big`` under each key. Only keys of more than ``HOT_ROWS`` rows are
+    dealt, by ``spread``, which must be deterministic; there is at most one such key for each ``HOT_ROWS``
+    rows of ``big``, so their list is broadcast.
+    """
+    hot = F.broadcast(counts.where(F.col("rows") > HOT_ROWS).select(key, F.ceil(F.col("rows") / HOT_ROWS).alias("_parts")))
+    left = big.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")), F.lit(0)).cast("long")).drop("_parts")
+    right = small.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def joined_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) in, (node, component) of all of them out."""
     parent: dict[int, int] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, langid, neardup, packing, secrets, spotsigs, toxicity, vectors, warc
+from strandlake.llm import bpe, langid, neardup, packing, secrets, spotsigs, toxicity, urltree, vectors, warc
 from strandlake.session import shared_folder, table
 
 
@@ -91,8 +91,18 @@ def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+#: The rules of op11, as dealt.
+URL_RULES = ("allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/")
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and path templates over every url; what the rules say is what the templates learn from."""
+    found = urltree.judge(table(spark, sf_dir, "pages").select("page_id", "url"), [urltree.Rule.parse(x) for x in URL_RULES])
+    return found.select("page_id", "host", "path", "rule", "verdict", "template", "blocked_share")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_toxicity, op3_spotsigs, op4_bpe_roundtrip, op5_minhash_near_dedup, op6_embedding_near_dedup, op7_token_counts, op8_warc_captures, op9_secret_scan, op10_packing)
+    f.__name__: f for f in (op1_language_id, op2_toxicity, op3_spotsigs, op4_bpe_roundtrip, op5_minhash_near_dedup, op6_embedding_near_dedup, op7_token_counts, op8_warc_captures, op9_secret_scan, op10_packing, op11_url_filter)
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_warc_captures": """
