@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, langid, neardup, packing, secrets, spotsigs, toxicity, urltree, vectors, warc
-from strandlake.session import shared_folder, table
+from strandlake.llm import bpe, langid, neardup, packing, secrets, spotsigs, toxicity, treap, urltree, vectors, warc
+from strandlake.session import Scratch, shared_folder, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -101,10 +101,41 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", "template", "blocked_share")
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item, over every whole text."""
+    scratch = Scratch()
+    return treap.search(table(spark, sf_dir, "benchmark"), treap.index(documents(spark, sf_dir), scratch), scratch)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_toxicity, op3_spotsigs, op4_bpe_roundtrip, op5_minhash_near_dedup, op6_embedding_near_dedup, op7_token_counts, op8_warc_captures, op9_secret_scan, op10_packing, op11_url_filter)
+    f.__name__: f for f in (op1_language_id, op2_toxicity, op3_spotsigs, op4_bpe_roundtrip, op5_minhash_near_dedup, op6_embedding_near_dedup, op7_token_counts, op8_warc_captures, op9_secret_scan, op10_packing, op11_url_filter, op13_ranked_search)
 }
 ORACLE_SQL: dict[str, str] = {
+    "op13_ranked_search": r"""
+        with words as (
+            select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents
+        ), asked as (
+            select item_id, term, count(*) as times from (
+                select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark
+            ) group by all
+        ), postings as (
+            select doc_id, term, count(*) as tf from words group by all
+        ), lengths as (
+            select doc_id, sum(tf)::bigint as n from postings group by all
+        ), whole as (
+            select count(*) as nn, sum(n)::bigint as ll from lengths
+        ), weights as (
+            select term, floor(1000 * ln((2 * nn + 2)::double / (2 * df + 1)::double))::bigint as w
+            from (select term, count(*) as df from postings group by all), whole
+        ), norms as (
+            select doc_id, 75 + (25 * n * nn) // ll as m from lengths, whole
+        ), scored as (
+            select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+            from asked join postings using (term) join weights using (term) join norms using (doc_id) group by all
+        )
+        select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score
+        from scored where score > 0 qualify rank <= 20
+    """,
     "op8_warc_captures": """
         with p as (
             select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages
