@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, langid, neardup, packing, secrets, spotsigs, toxicity, treap, urltree, vectors, warc
+from strandlake.llm import bpe, langid, neardup, negatives, packing, secrets, spotsigs, toxicity, treap, urltree, vectors, warc
 from strandlake.session import Scratch, shared_folder, table
 
 
@@ -101,6 +101,13 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", "template", "blocked_share")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are ids divisible by 100; ids divisible by 7 move to the next label first."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(moved, F.col("vec_id") % 100 == 0)
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents for each benchmark item, over every whole text."""
     scratch = Scratch()
@@ -108,9 +115,26 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_toxicity, op3_spotsigs, op4_bpe_roundtrip, op5_minhash_near_dedup, op6_embedding_near_dedup, op7_token_counts, op8_warc_captures, op9_secret_scan, op10_packing, op11_url_filter, op13_ranked_search)
+    f.__name__: f for f in (op1_language_id, op2_toxicity, op3_spotsigs, op4_bpe_roundtrip, op5_minhash_near_dedup, op6_embedding_near_dedup, op7_token_counts, op8_warc_captures, op9_secret_scan, op10_packing, op11_url_filter, op12_hard_negatives, op13_ranked_search)
 }
 ORACLE_SQL: dict[str, str] = {
+    "op12_hard_negatives": """
+        with v as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+            from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), scored as (
+            select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, list_inner_product(a.q, b.q)::bigint as score
+            from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+        ), positives as (
+            select anchor_id, other_id as positive_id, score as positive_score from scored
+            where same qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5
+        )
+        select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, other_id) as rank,
+               other_id as negative_id, positive_score, score as negative_score
+        from positives join scored using (anchor_id)
+        where not same and 80 * positive_score <= 100 * score and score <= positive_score
+        qualify rank <= 5
+    """,
     "op13_ranked_search": r"""
         with words as (
             select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents
