@@ -33,7 +33,7 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 LEAF_BITS = 3
 LEAF = 1 << LEAF_BITS
 #: A run of documents is closed at so many bytes of text; a longer text is a run by itself.
-RUN_BYTES = 8_000_000
+RUN_BYTES = 2_000_000
 #: So many entries of an item are opened at a time.
 BEAM = 48
 #: Stands for a null id: after all others.
