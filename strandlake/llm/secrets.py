@@ -2,9 +2,9 @@
 
 Three rules find assignments, access keys and hexadecimal runs. Beside them two first-order
 character models, one of random strings and one of ordinary identifiers, judge every token of
-``MIN_TOKEN`` characters or more by its log-likelihood ratio. Both are trained on labelled samples of
-the corpus: in the rows that a rule may speak of, what the rules find is random, and every other
-token is ordinary.
+``MIN_TOKEN`` characters or more that holds a letter by its log-likelihood ratio; of a token that a rule's span
+covers in part, what is left. Both are trained on labelled samples of the corpus: in the rows that a
+rule may speak of, what the rules find is random, and every token beside it is ordinary.
 """
 
 from __future__ import annotations
@@ -30,12 +30,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: The shortest token that the models judge: shorter ones say too little either way.
 MIN_TOKEN = 10
-#: What the models judge: whole runs of these characters, whatever their length and whatever stands in them.
-TOKEN = re.compile(rf"[\w+/=-]{{{MIN_TOKEN},}}")
+#: What the models judge: whole runs of these characters, whatever their length. Letters beyond ASCII end a run: keys hold none.
+TOKEN = re.compile(rf"[A-Za-z0-9_+/=-]{{{MIN_TOKEN},}}")
 #: What stands between the parts of a token.
 JOINERS = re.compile(r"[_/=-]+")
 #: What they learn as ordinary: shorter runs too.
-WORD = re.compile(r"[\w+/=-]{4,}")
+WORD = re.compile(r"[A-Za-z0-9_+/=-]{4,}")
 #: Without a letter a run is a number or a rule of signs, not a word-like token.
 TELLING = re.compile(r"[A-Za-z]")
 ALPHABET = {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.")}
@@ -92,10 +92,26 @@ def outside(tokens: list[tuple[int, int]], base: list[tuple[int, int, int]]) ->
     return out
 
 
-def tokens_of(text: str, base: list[tuple[int, int, int]], kind: re.Pattern = TOKEN) -> list[tuple[int, int]]:
-    """ASCII tokens outside the rules' spans; a run with other letters is a word of some language."""
-    found = [m.span() for m in kind.finditer(text)]
-    return [(a, b) for a, b in outside(found, base) if text[a:b].isascii()] if found else []
+def words_of(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What counts as ordinary: the runs that touch no span of the rules."""
+    return outside([m.span() for m in WORD.finditer(text)], base)
+
+
+def tokens_of(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What the models judge: every token, and where the rules' spans cover some of it what is left on each side."""
+    out, first = [], 0
+    for m in TOKEN.finditer(text):
+        at, end = m.span()
+        while first < len(base) and base[first][2] <= at:
+            first += 1
+        for a, _, b in base[first:]:
+            if a >= end:
+                break
+            if b > at:
+                out.append((at, a))
+                at = b
+        out.append((at, end))
+    return [(a, b) for a, b in out if b - a >= MIN_TOKEN]
 
 
 @dataclass(frozen=True)
@@ -159,7 +175,7 @@ def train(docs: DataFrame, text_col: str = "text", threshold: float = 0.8, total
                 for t in texts:
                     base = base_spans(t)
                     values += [t[a:b] if k else ASSIGN.match(t, a)[2] for a, k, b in base]
-                    words += [t[a:b] for a, b in tokens_of(t, base, WORD)]
+                    words += [t[a:b] for a, b in words_of(t, base)]
                 for own, found in zip(counts, (values, words)):
                     if found:
                         code = pairs(found)[0]
@@ -177,8 +193,8 @@ def train(docs: DataFrame, text_col: str = "text", threshold: float = 0.8, total
 def scan(docs: DataFrame, model: MarkovPair, text_col: str = "text") -> DataFrame:
     """``docs`` with n_assign, n_access, n_hex, n_random, base_sha256 and spans.
 
-    Null text counts as empty: no span. Overlapping spans of different kinds all stay. Rows are
-    independent, so ties, repeats and skew change nothing.
+    Null text counts as empty: no span. Overlapping spans of different kinds all stay. Letters beyond ASCII end a
+    token and are in none. Rows are independent, so ties, repeats and skew change nothing.
     """
 
     def make() -> Callable:

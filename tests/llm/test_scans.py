@@ -128,3 +128,21 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.assemble(warc.read(spark, f"file://{tmp_path}/none")).count() == 0
     with pytest.raises(ValueError, match="cut short"):
         list(warc.records(gzip.compress(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort")))
+
+
+def test_keys_beside_other_letters_and_spans_are_judged(make_docs):
+    rng = random.Random(11)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    teach = [f"token={key(40)} and the configuration_value of some ordinary sentence" for _ in range(40)]
+    k = key(40)
+    spots = [f"clé={k}", f"é{k}", f"密钥{k}", f"密钥:{k}ключ", f"Q{'0123456789ab' * 2}Z{k}", f"AKIA{'A1B2' * 4}_{k}", f"{k}_AKIA{'A1B2' * 4}", f"{k}/{'0123456789ab' * 2}/{k}"]
+    clean = ["développement électronique Übergrößenträger straßenverkehrsordnung", "密钥 значение_конфигурации español_corazón", "é" * 5_000, "naïve-configuration_values"]
+    docs = make_docs(teach + spots + clean)
+    model = secrets.train(docs)
+    got = sorted(secrets.scan(docs, model).collect(), key=lambda r: r.doc_id)[len(teach) :]
+    assert [r.n_random for r in got] == [1] * 7 + [2] + [0] * len(clean)
+    plain = sorted(secrets.redact(docs, model).collect(), key=lambda r: r.doc_id)[len(teach) :]
+    assert not any(k in r.text for r in plain[: len(spots)])
+    assert [r.text for r in plain[len(spots) :]] == clean
+    assert plain[2].text == "密钥[REDACTED]"
