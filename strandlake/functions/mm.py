@@ -1,6 +1,6 @@
 """Modification tags of aligned reads: MM positions, ML probabilities, reference coordinates.
 
-Tags and CIGAR strings parse as column expressions; calls are decoded from Arrow batches. The layout follows the SAM tags
+Tags parse as column expressions; calls are decoded from whole Arrow batches. The layout follows the SAM tags
 specification: probabilities go by the ordinal of the call, entry by entry, and several codes of
 one entry take turns. Entries without ``.`` or ``?`` are read, and entries on the opposite strand
 are skipped together with their probabilities.
@@ -8,10 +8,11 @@ are skipped together with their probabilities.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,60 +54,140 @@ def parse_mm(mm: Column, legacy: bool = True) -> Column:
 
 #: Which letter of the stored sequence a base of MM names, by strand of the read; N names all.
 _ON_PLUS, _ON_MINUS = str.maketrans("U", "T"), str.maketrans("ACGTU", "TGCAA")
-_BLOCK = re.compile(r"(\d+)([MIDNSHP=X])")
-_ENTRY = re.compile(ENTRY)
-
-
-def block_table(cigar: str, pos: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query start, reference start and length of the runs of query bases that stand on reference bases."""
-    q, r, out = 0, pos, []
-    for n, op in _BLOCK.findall(cigar):
-        n = int(n)
-        if op in "M=X":
-            out.append((q, r, n))
-        q += n if op in "MIS=X" else 0
-        r += n if op in "MDN=X" else 0
-    table = np.array(out, np.int64).reshape(-1, 3)
-    return table[:, 0], table[:, 1], table[:, 2]
-
-
-def read_calls(minus: bool, pos: int, cigar: str, seq: str, mm: str, ml: list[int] | None) -> list[dict]:
-    """The calls of one read, in time linear in its length and its calls."""
-    out: list[dict] = []
-    letters = np.frombuffer(seq.upper().encode("ascii", "replace"), np.uint8)
-    q, r, n = block_table(cigar or "", pos or 0)
-    scores = np.array([-1 if x is None else x for x in ml or ()], np.float64)
-    where: dict[str, np.ndarray] = {}
-    taken = 0
-    for part in mm.rstrip(";").split(";"):
-        entry = _ENTRY.match(part.strip())
-        if not entry:
-            continue
-        base, sign, code, skipped = entry.groups()
-        codes = [code] if code[0].isdigit() else list(code)
-        skips = np.array([int(x) for x in skipped.split(",")[1:]], np.int64)
-        first = taken
-        taken += len(skips) * len(codes)
-        if sign != "+" or not len(skips) or not len(q):
-            continue
-        target = base.translate(_ON_MINUS if minus else _ON_PLUS)
-        if target not in where:
-            found = np.arange(len(letters)) if target == "N" else np.flatnonzero(letters == ord(target))
-            # on the minus strand the stored sequence is the complement, read backwards
-            where[target] = found[::-1] if minus else found
-        ordinal = np.cumsum(skips + 1) - 1
-        call = np.flatnonzero(ordinal < len(where[target]))
-        at = where[target][ordinal[call]]
-        block = np.searchsorted(q, at, "right") - 1
-        on = (block >= 0) & (at < (q + n)[block])
-        ref = (r[block] + at - q[block])[on].tolist()
-        for k, name in enumerate(codes):
-            place = first + call[on] * len(codes) + k
-            p = np.zeros(len(place))
-            there = place < len(scores)
-            p[there] = np.maximum(scores[place[there]], 0) / 255
-            out += [{"ref_pos": a, "mod_code": name, "probability": b} for a, b in zip(ref, p.tolist())]
-    return out
+#: Reads are decoded in runs of about so many bases.
+RUN_BASES = 4_000_000
+#: A skip of more digits than this leads beyond any read.
+LONGEST_SKIP = 9
+ENTRY_PARTS = r"^(?P<base>[ACGTUN])(?P<sign>[+-])(?P<code>[a-z]+|[0-9]+)[.?]?(?P<skips>(?:,[0-9]+)*)$"
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values of a string column in a row, and where each begins, with the end behind the last; null is empty."""
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    held = column.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[ends[0] : ends[-1]] if held is not None and held.size else np.zeros(0, np.uint8)
+    return data, ends - ends[0]
+
+
+def sums_before(values: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each value the sum of those before it in its group; ``group`` is in order."""
+    if not len(values):
+        return values
+    before = np.cumsum(values) - values
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    return before - np.repeat(before[first], np.diff(np.append(first, len(group))))
+
+
+def aligned_blocks(cigar: pa.Array, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Read, query start, reference start and length of every run of query bases that stand on reference bases, in order."""
+    data, begins = flat(cigar)
+    digit = (data >= 48) & (data <= 57)
+    at = np.flatnonzero(~digit)
+    before = np.concatenate([[-1], at[:-1]])
+    read = np.searchsorted(begins, at, "right") - 1
+    # a length's digits reach back to the last other character or the value's begin
+    first = np.maximum(before + 1, begins[read])
+    # running values: each digit adds its place value, counted from its operation
+    where = np.flatnonzero(digit)
+    op_of = np.searchsorted(at, where)
+    own = op_of < len(at)
+    where, op_of = where[own], op_of[own]
+    kept = where >= first[op_of]
+    where, op_of = where[kept], op_of[kept]
+    n = np.bincount(op_of, weights=(data[where] - 48) * 10.0 ** (at[op_of] - 1 - where), minlength=len(at)).astype(np.int64)
+    real = np.isin(data[at], np.frombuffer(b"MIDNSHP=X", np.uint8)) & (at > first)
+    n, op, read = n[real], data[at][real], read[real]
+    on = lambda letters: np.isin(op, np.frombuffer(letters, np.uint8))
+    q = sums_before(np.where(on(b"MIS=X"), n, 0), read)
+    r = sums_before(np.where(on(b"MDN=X"), n, 0), read) + pos[read]
+    both = on(b"M=X")
+    return read[both], q[both], r[both], n[both]
+
+
+def entry_table(mm: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
+    """The read and the parts (base, sign, code, skips) of every well-formed entry."""
+    split = pc.split_pattern(pc.fill_null(mm, ""), ";")
+    parts = pc.extract_regex(pc.utf8_trim_whitespace(pc.list_flatten(split)), ENTRY_PARTS)
+    good = pc.is_valid(parts)
+    return pc.list_parent_indices(split).filter(good).to_numpy(), parts.filter(good)
+
+
+def skip_table(skips: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The entry and the value of every skip, in order."""
+    split = pc.split_pattern(skips, ",")
+    values, entry = pc.list_flatten(split), pc.list_parent_indices(split)
+    there = pc.not_equal(values, "")
+    values, entry = values.filter(there), entry.filter(there).to_numpy()
+    values = pc.if_else(pc.greater(pc.utf8_length(values), LONGEST_SKIP), "9" * LONGEST_SKIP, values)
+    return entry, pc.cast(values, pa.int64()).to_numpy(zero_copy_only=False)
+
+
+def decode_batch(minus: np.ndarray, pos: np.ndarray, cigar: pa.Array, seq: pa.Array, mm: pa.Array, ml: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Read, reference position, code and probability of every call of a batch of reads, without a loop over reads or calls.
+
+    Flat arrays throughout: base positions of all reads by letter, running sums of skips that start anew with each
+    entry, and one search for all calls among all aligned blocks.
+    """
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64), pa.array([], pa.string()), np.zeros(0)
+    read_of_entry, parts = entry_table(mm)
+    if not len(parts):
+        return nothing
+    base, sign, code, skips = (parts.field(x) for x in ("base", "sign", "code", "skips"))
+    entry, skip = skip_table(skips)
+    numeric = pc.match_substring_regex(code, "^[0-9]").to_numpy(zero_copy_only=False)
+    width = np.where(numeric, 1, pc.utf8_length(code).to_numpy(zero_copy_only=False)).astype(np.int64)
+    n_skips = np.bincount(entry, minlength=len(parts)).astype(np.int64)
+    # probabilities go by the ordinal of the call within the read, opposite entries included
+    first = sums_before(n_skips * width, read_of_entry)
+    ordinal = sums_before(skip + 1, entry) + skip
+    place = first[entry] + sums_before(np.ones(len(entry), np.int64), entry) * width[entry]
+
+    same = pc.equal(sign, "+").to_numpy(zero_copy_only=False)[entry]
+    entry, ordinal, place = entry[same], ordinal[same], place[same]
+    read = read_of_entry[entry]
+    letters, begins = flat(pc.utf8_upper(pc.fill_null(seq, "")))
+    wanted = np.frombuffer("".join(base.to_pylist()).encode(), np.uint8)[entry]
+    table = np.stack([np.arange(256), np.arange(256)]).astype(np.uint8)
+    for row, names in zip(table, (_ON_PLUS, _ON_MINUS)):
+        row[list(names)] = list(names.values())
+    wanted = table[minus[read].astype(int), wanted]
+    at = np.full(len(read), -1)
+    for letter in np.unique(wanted).tolist():
+        found = np.arange(len(letters)) if letter == ord("N") else np.flatnonzero(letters == letter)
+        edge = np.searchsorted(found, begins)
+        own = np.flatnonzero(wanted == letter)
+        r = read[own]
+        # on the minus strand the stored sequence is the complement, read backwards
+        k = np.where(minus[r], edge[r + 1] - 1 - ordinal[own], edge[r] + ordinal[own])
+        inside = (k >= edge[r]) & (k < edge[r + 1])
+        at[own[inside]] = found[k[inside]] - begins[r[inside]]
+
+    block_read, q, ref, n = aligned_blocks(cigar, pos)
+    there = at >= 0
+    entry, place, read, at = entry[there], place[there], read[there], at[there]
+    if not len(q) or not len(at):
+        return nothing
+    stride = int(max(q.max(), at.max())) + 2
+    block = np.searchsorted(block_read * stride + q, read * stride + at, "right") - 1
+    on = (block >= 0) & (block_read[block] == read) & (at < q[block] + n[block])
+    entry, place, read = entry[on], place[on], read[on]
+    where = ref[block[on]] + at[on] - q[block[on]]
+
+    # several codes of one entry take turns
+    times = width[entry]
+    turn = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    entry, place, read, where = (np.repeat(x, times) for x in (entry, place, read, where))
+    coded = pc.dictionary_encode(code)
+    spelled = [[c] if c[0].isdigit() else list(c) for c in coded.dictionary.to_pylist()]
+    starts = np.cumsum([0, *map(len, spelled)])[:-1]
+    names = pa.array([x for c in spelled for x in c], pa.string()).take(pa.array(starts[coded.indices.to_numpy()[entry]] + turn))
+    place = place + turn
+    sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ml), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    scores = np.append(pc.fill_null(pc.list_flatten(ml), 0).to_numpy(zero_copy_only=False).astype(np.float64), 0.0)
+    scored = place < sizes[read + 1] - sizes[read]
+    p = np.where(scored, np.maximum(scores[np.where(scored, sizes[read] + place, -1)], 0), 0) / 255
+    return read, where, names, p
 
 
 def decode_reads(reads: DataFrame) -> DataFrame:
@@ -114,17 +195,28 @@ def decode_reads(reads: DataFrame) -> DataFrame:
 
     ``reads`` has qname, flag, rname, pos (0-based), cigar, seq, mm and ml (array of 0-255).
     Unmapped reads, and reads without sequence or tags, give none. Calls beyond the sequence or on
-    inserted or clipped bases are dropped; a missing probability is 0. Reads are decoded batch by batch
-    over Arrow: the built-in higher-order functions copy an array for each call of a read.
+    inserted or clipped bases are dropped; a missing probability is 0. Arrow batches are decoded whole, in
+    runs of about ``RUN_BASES`` bases.
     """
 
-    def run(minus: pa.Array, pos: pa.Array, cigar: pa.Array, seq: pa.Array, mm: pa.Array, ml: pa.Array) -> pa.Array:
-        rows = zip(*[c.to_pylist() for c in (minus, pos, cigar, seq, mm, ml)])
-        return pa.array([read_calls(*row) for row in rows], pa.list_(pa.struct([("ref_pos", pa.int64()), ("mod_code", pa.string()), ("probability", pa.float64())])))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("seq")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < batch.num_rows:
+                done = int(ends[start - 1]) if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, done + RUN_BASES, "right")))
+                part = batch.slice(start, stop - start)
+                column = dict(zip(part.schema.names, part.columns))
+                minus = column["minus"].to_numpy(zero_copy_only=False).astype(bool)
+                pos = pc.fill_null(column["pos"], 0).to_numpy(zero_copy_only=False)
+                read, where, names, p = decode_batch(minus, pos, column["cigar"], column["seq"], column["mm"], column["ml"])
+                rows = pa.array(read)
+                yield pa.RecordBatch.from_arrays([column["read_id"].take(rows), column["reference_name"].take(rows), column["strand"].take(rows), pa.array(where), names, pa.array(p)], names=["read_id", "reference_name", "strand", "ref_pos", "mod_code", "probability"])
+                start = stop
 
-    run.__annotations__ = dict.fromkeys(("minus", "pos", "cigar", "seq", "mm", "ml", "return"), pa.Array)
-    calls = F.arrow_udf(run, "array<struct<ref_pos: bigint, mod_code: string, probability: double>>")
     minus = F.col("flag").bitwiseAND(16) != 0
     usable = reads.where((F.col("flag").bitwiseAND(4) == 0) & F.col("mm").isNotNull() & F.col("seq").isNotNull() & (F.col("seq") != "*"))
-    found = usable.select(F.col("qname").alias("read_id"), F.col("rname").alias("reference_name"), F.when(minus, "-").otherwise("+").alias("strand"), calls(minus, F.col("pos").cast("long"), "cigar", "seq", "mm", "ml").alias("_calls"))
-    return found.select("read_id", "reference_name", "strand", F.inline("_calls")).select("read_id", "reference_name", "ref_pos", mod_name(F.col("mod_code")).alias("mod_type"), "mod_code", "probability", "strand")
+    given = usable.select(F.col("qname").alias("read_id"), F.col("rname").alias("reference_name"), F.when(minus, "-").otherwise("+").alias("strand"), minus.alias("minus"), F.col("pos").cast("long").alias("pos"), F.col("cigar").cast("string").alias("cigar"), "seq", "mm", F.col("ml").cast("array<int>").alias("ml"))
+    calls = given.mapInArrow(run, "read_id string, reference_name string, strand string, ref_pos long, mod_code string, probability double")
+    return calls.select("read_id", "reference_name", "ref_pos", mod_name(F.col("mod_code")).alias("mod_type"), "mod_code", "probability", "strand")

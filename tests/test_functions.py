@@ -3,6 +3,7 @@
 import gzip
 import math
 import random
+import re
 import struct
 import zlib
 
@@ -113,6 +114,55 @@ def test_decode_strands_clips_and_codes(spark):
     assert calls_of(skipped) == [(1, "a", 8)]
 
 
+def plain_calls(read):
+    """The calls of one read, one after another."""
+    name, flag, ref, pos, cigar, seq, tags, ml = read
+    if flag & 4 or tags is None or seq in (None, "*"):
+        return
+    on, q, r = {}, 0, pos or 0
+    for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar or ""):
+        for _ in range(int(n)):
+            if op in "M=X":
+                on[q] = r
+            q, r = q + (op in "MIS=X"), r + (op in "MDN=X")
+    minus, taken = bool(flag & 16), 0
+    for part in tags.split(";"):
+        m = re.fullmatch(r"([ACGTUN])([+-])([a-z]+|[0-9]+)[.?]?((?:,[0-9]+)*)", part.strip())
+        if not m:
+            continue
+        codes = [m[3]] if m[3][0].isdigit() else list(m[3])
+        target = m[1].translate(str.maketrans("ACGTU", "TGCAA") if minus else str.maketrans("U", "T"))
+        places = [i for i, c in enumerate(seq.upper()) if target in ("N", c)]
+        places, k = places[::-1] if minus else places, -1
+        for x in m[4].split(",")[1:]:
+            k += int(x) + 1
+            for code in codes:
+                p = max(0, ml[taken] or 0) if taken < len(ml or ()) else 0
+                taken += 1
+                if m[2] == "+" and k < len(places) and places[k] in on:
+                    yield name, ref, on[places[k]], code, p, "-" if minus else "+"
+
+
+@pytest.mark.parametrize("run_bases", [50, 10**9])
+def test_decoding_equals_reads_one_by_one(spark, monkeypatch, run_bases):
+    monkeypatch.setattr(mm, "RUN_BASES", run_bases)
+    rng = random.Random(run_bases)
+    rows = []
+    for i in range(600):
+        n = rng.randint(0, 60)
+        seq = "".join(rng.choice("ACGTNacgtU") for _ in range(n))
+        ops = "".join(f"{rng.randint(0, 30)}{rng.choice('MMMMIDNSHP=XQ')}" for _ in range(rng.randint(0, 8)))
+        entries = [f"{rng.choice('ACGTUN')}{rng.choice('+++-')}{rng.choice(['a', 'm', 'mh', '17596', 'A', ''])}{rng.choice(['', '.', '?'])}{''.join(',' + str(rng.randint(0, 4)) for _ in range(rng.randint(0, 6)))}" for _ in range(rng.randint(0, 4))]
+        tags = rng.choice([None, "", ";;", "A+a,99999999999999999999,0", " A+a.,0 ; C+m,x,1;"]) if i % 20 == 0 else ";".join(entries) + ";"
+        ml = rng.choice([None, [], [rng.choice([None, -3, 7]) for _ in range(3)]]) if i % 7 == 0 else [rng.randint(0, 255) for _ in range(rng.randint(0, 40))]
+        rows.append((f"q{i}", rng.choice([0, 0, 16, 4, 20]), rng.choice(["T", None]), rng.choice([None, 0, 1000]), rng.choice([None, "*"]) if i % 15 == 0 else ops, None if i % 40 == 0 else seq, tags, ml))
+    got = mm.decode_reads(spark.createDataFrame(rows, alignments.READ_FIELDS).repartition(3)).collect()
+    want = [c for row in rows for c in plain_calls(row)]
+    assert len(want) > 300
+    assert sorted((r.read_id, r.reference_name or "", r.ref_pos, r.mod_code, round(r.probability * 255), r.strand) for r in got) == sorted((a, b or "", *c) for a, b, *c in want)
+    assert mm.decode_reads(spark.createDataFrame([], alignments.READ_FIELDS)).collect() == []
+
+
 def test_bam_file(spark, tmp_path):
     name, seq = b"q1\0", "ACAAGA"
     nibbles = ["=ACMGRSVTWYHKDBN".index(c) for c in seq]
