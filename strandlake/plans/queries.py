@@ -14,7 +14,7 @@ from strandlake.operators import enrichment, features, intervals, metatranscript
 from strandlake.plans import proxies
 from strandlake.plans.proxies import CALLS_SQL, GENES_SQL, SITES_SQL, rounded
 from strandlake.session import cut, shared_folder, table
-from strandlake.sources import alignments, annotation
+from strandlake.sources import alignments, annotation, bam
 from strandlake.sources import results as results_tables
 from strandlake.streaming import sites as streaming
 
@@ -617,6 +617,15 @@ def read_counters(spark, sf_dir):
     return alignments.read_counters(alignments.parse_sam(sam_lines(spark, sf_dir)))
 
 
+@query("""select concat('r', l_orderkey, '_', l_linenumber) as qname, (case when l_orderkey % 7 = 0 then 4 when l_orderkey % 3 = 0 then 16 else 0 end)::bigint as flag, concat('S', l_suppkey) as rname, l_partkey::bigint as pos,
+    '2S5M1D3M' as cigar, case when l_orderkey % 3 = 0 then 'TTGTCTGCTC' else 'AAGACAGCAC' end as seq, case when l_linenumber <> 7 then 'A+a.,1,0,0;' end as mm, '0,128,255' as ml from lineitem""")
+def bam_reads(spark, sf_dir):
+    """Reads written as BAM files and read back by ranges of 64 KB between indexed records."""
+    folder = f"{shared_folder(spark).rstrip('/')}/bam-{uuid.uuid4().hex}"
+    bam.write_bam(alignments.parse_sam(sam_lines(spark, sf_dir)), folder)
+    return bam.read_bam(spark, folder, split_bytes=1 << 16).withColumn("ml", F.array_join("ml", ",")).withColumn("flag", F.col("flag").cast("long"))
+
+
 # --- features and models ------------------------------------------------------------------------
 
 

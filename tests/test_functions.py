@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import mm, sequence, stats
 from strandlake.operators import differential, features, intervals, metatranscript, ml, sites
-from strandlake.sources import alignments, annotation, results
+from strandlake.sources import alignments, annotation, bam, results
 
 
 def one(spark, **columns):
@@ -181,32 +181,64 @@ def test_bam_file(spark, tmp_path):
     assert alignments.read_bam(spark, str(tmp_path / "b.bam"), "PERMISSIVE").count() == 0
 
 
-def bgzf(data, size):
-    """Blocks of the blocked gzip format, cut anywhere."""
-    out = b""
-    for at in range(0, len(data) or 1, size):
-        z = zlib.compressobj(6, zlib.DEFLATED, -15)
-        part = data[at : at + size]
-        body = z.compress(part) + z.flush()
-        out += b"\x1f\x8b\x08\x04" + bytes(6) + struct.pack("<HBBHH", 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))
-    return out
-
-
-@pytest.mark.parametrize(("block", "split"), [(300, 1000), (5000, 700), (60_000, 20_000)])
-def test_ranges_of_a_bam_file_equal_the_whole(spark, tmp_path, block, split):
-    rng = random.Random(5)
-    records = b""
-    for i in range(400):
-        name, n = f"read{i}".encode() + b"\0", rng.choice([1, 40, 900])
-        seq = bytes(rng.choice([0x11, 0x12, 0x48, 0x84]) for _ in range((n + 1) // 2))
-        body = struct.pack("<iiBBHHHiiii", i % 3, i, len(name), 60, 0, 1, 0, n, -1, -1, 0) + name + struct.pack("<I", n << 4) + seq + b"\xff" * n + b"MMZA+a.,0;\0" + b"MLBC" + struct.pack("<i", 1) + bytes([i % 256])
-        records += struct.pack("<i", len(body)) + body
-    header = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 3) + b"".join(struct.pack("<i", 3) + f"T{k}".encode() + b"\0" + struct.pack("<i", 1000) for k in range(3))
-    (tmp_path / "a.bam").write_bytes(bgzf(header + records, block) + bgzf(b"", 1))
-    want = sorted(alignments.read_bam(spark, str(tmp_path / "a.bam")).collect())
-    ranges = alignments.read_bam(spark, str(tmp_path / "a.bam"), split_bytes=split)
-    assert len(want) == 400 and sorted(ranges.collect()) == want
-    assert ranges.rdd.getNumPartitions() >= 3
+def some_reads(n, rng):
+    sizes = [0, 1, 40, 900]
+    return [(f"read{i}", rng.choice([0, 4, 16]), rng.choice([f"T{i % 3}", None]), i if i % 5 else -1, rng.choice(["*", "3S40M2I7D1M"]), "".join(rng.choice("ACGTN") for _ in range(rng.choice(sizes))) or None, rng.choice([None, "A+a.,0;"]), rng.choice([None, [], [i % 256, 0]])) for i in range(n)]
+
+
+@pytest.mark.parametrize(("block", "split", "parts"), [(300, 1_000, 10), (5_000, 7_000, 3), (60_000, 20_000, 2), (60_000, 10**9, 1)])
+def test_ranges_of_a_bam_file_equal_the_whole(spark, tmp_path, monkeypatch, block, split, parts):
+    rows = some_reads(2_000, random.Random(5))
+    monkeypatch.setattr(bam, "GRANULARITY", 16)
+    names = [f"T{k}" for k in range(3)]
+    head = b"BAM\1" + struct.pack("<ii", 0, 3) + b"".join(struct.pack("<i", 3) + f"{k}\0".encode() + struct.pack("<i", 1000) for k in names)
+    ids = {k: i for i, k in enumerate(names)}
+    # blocks that end within records, as other writers may leave them, one of them empty
+    whole = head + b"".join(bam.encode(r, ids) for r in rows)
+    file = tmp_path / "a.bam"
+    file.write_bytes(b"".join(bam.block_of(whole[a : a + block]) + (bam.LAST_BLOCK if a == 3 * block else b"") for a in range(0, len(whole), block)) + bam.LAST_BLOCK)
+    key = lambda rows: sorted(tuple(str(x) for x in r) for r in rows)
+    read = lambda path=file: bam.read_bam(spark, str(path), split_bytes=split)
+    assert read().rdd.getNumPartitions() == 1 and key(read().collect()) == key(rows)
+    with pytest.MonkeyPatch.context() as patch:
+        # a coordinate index of the same places: one chunk each thousandth record, and a bin of counts that names no place
+        with open(file, "rb") as held:
+            places = [p for p, _ in bam.records(bam.header_of(held)[1])]
+        chunks = [b << 16 | u for b, u in places[::100]]
+        bai = b"BAI\1" + struct.pack("<i", 1) + struct.pack("<i", 2) + struct.pack("<Ii", 4681, len(chunks)) + b"".join(struct.pack("<QQ", c, c + 1) for c in chunks) + struct.pack("<Ii", 37450, 2) + struct.pack("<QQQQ", 1, 2, 3, 4) + struct.pack("<i", 2) + struct.pack("<QQ", 0, chunks[5])
+        (tmp_path / "a.bai").write_bytes(bai)
+        patch.setattr(bam, "GRANULARITY", 16)
+        assert read().rdd.getNumPartitions() >= min(parts, 2) and key(read().collect()) == key(rows)
+        (tmp_path / "a.bai").unlink()
+    assert bam.index_bam(spark, str(tmp_path)) == 1 and bam.index_bam(spark, str(tmp_path)) == 0
+    assert read().rdd.getNumPartitions() >= parts and key(read().collect()) == key(rows)
+
+
+def test_bam_files_written_by_partitions(spark, tmp_path, monkeypatch):
+    rows = some_reads(3_000, random.Random(9)) + [("long", 0, "T1", 7, "70000M", "ACGT" * 50_000, "A+a.,0;", [3])]
+    df = spark.createDataFrame(rows, bam.READ_FIELDS).repartition(3)
+    key = lambda rows: sorted(tuple(str(x) for x in r) for r in rows)
+    out = tmp_path / "out"
+    bam.write_bam(df, str(out))
+    assert len(list(out.glob("*.bam"))) == 3 == len(list(out.glob("*.sbi"))) and not list(out.glob("_*"))
+    back = bam.read_bam(spark, str(out), split_bytes=20_000)
+    assert back.rdd.getNumPartitions() > 3 and key(back.collect()) == key(rows)
+    # a job that dies leaves what was there
+    broken = spark.createDataFrame([("x" * 300, 0, "T1", 1, "1M", "A", None, None)], bam.READ_FIELDS)
+    with pytest.raises(Exception, match="254"):
+        bam.write_bam(broken, str(out), mode="overwrite")
+    assert key(bam.read_bam(spark, str(out)).collect()) == key(rows) and not list(out.glob("_*"))
+    bam.write_bam(df.limit(5), str(out), mode="overwrite")
+    assert bam.read_bam(spark, str(out)).count() == 5
+    bam.write_bam(df.where("false"), str(tmp_path / "none"))
+    assert bam.read_bam(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_counters_are_taken_on_the_way(spark, tmp_path):
+    rows = spark.createDataFrame(some_reads(500, random.Random(2)), bam.READ_FIELDS)
+    watched, seen = alignments.observed(rows)
+    mm.decode_reads(watched).write.parquet(str(tmp_path / "calls"))
+    assert seen.get == alignments.read_counters(rows).first().asDict()
 
 
 def test_sequence_functions(spark):
