@@ -10,14 +10,14 @@ import argparse
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import genesets
 from strandlake.functions.mm import decode_reads
 from strandlake.operators import differential, enrichment, features, intervals, metatranscript, metrics, ml, report, sites
 from strandlake.sources import alignments, annotation
-from strandlake.sources.results import Config, load_combined, load_table, save_table, union_tables
+from strandlake.sources.results import Config, load_calls, load_combined, load_table, save_table, union_tables
 
 STEPS = ["calls", "stoichiometry", "differential", "feature_matrix", "model", "shap", "pathway_enrichment", "metatranscript_positions"]
 
@@ -26,7 +26,7 @@ STEPS = ["calls", "stoichiometry", "differential", "feature_matrix", "model", "s
 class Pipeline:
     """Steps hand DataFrames on; a step outside the chosen range is read from its earlier output.
 
-    ``config.samples`` maps a name to ``{"bam": path}`` or ``{"sam": path}``. Sequence features need
+    ``config.samples`` maps a name to ``{"bam": path}``, ``{"sam": path}`` or ``{"calls": folder}``. Sequence features need
     ``fasta``, annotation ``gtf``; without them the placeholders of the operators stand. Enrichment is
     over the gene sets of ``gmt``, or the curated ones. ``folds`` over 1 adds a cross-validation, and SHAP
     explains ``explained`` test rows.
@@ -44,14 +44,30 @@ class Pipeline:
     gmt: str | None = None
     mod_types: list[str] | None = None
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    seen: dict[str, Observation] = field(default_factory=dict)
 
     def calls(self) -> DataFrame:
+        """Calls of all samples: decoded from reads, whose counters are taken on the way, or loaded from chunks of an earlier extraction."""
         read = {"bam": alignments.read_bam, "sam": alignments.read_sam}
-        parts = [decode_reads(read[kind](self.spark, s[kind])).withColumn("sample", F.lit(name)) for name, s in self.config.samples.items() for kind in read if kind in s]
+        parts = []
+        for name, source in self.config.samples.items():
+            for kind in source:
+                if kind in read:
+                    rows, self.seen[name] = alignments.observed(read[kind](self.spark, source[kind]))
+                    parts.append(decode_reads(rows).withColumn("sample", F.lit(name)))
+                elif kind == "calls":
+                    rows = load_calls(self.spark, source[kind], name)
+                    parts.append(rows.withColumn("sample", F.coalesce("sample", F.lit(name))) if "sample" in rows.columns else rows.withColumn("sample", F.lit(name)))
         if not parts:
-            raise ValueError("the configuration names no sample with a bam or sam path")
+            raise ValueError("the configuration names no sample with a bam, sam or calls path")
         return union_tables(parts)
 
+    def counters(self) -> DataFrame:
+        """The reads of every sample that this run has decoded, as the extraction saw them."""
+        rows = [{"cell_line": self.config.cell_line(), "sample": name, **seen.get} for name, seen in self.seen.items()]
+        names = ["total_reads", "unmapped_reads", "reads_without_tags", "mapped_with_mods", "reads_without_sequence"]
+        return self.spark.createDataFrame(rows, f"cell_line string, sample string, {', '.join(f'{n} long' for n in names)}")
+
     def stoichiometry(self) -> DataFrame:
         return sites.stoichiometry(self.get("calls"), self.config.modification_probability, self.config.min_coverage, self.mod_types)
 
@@ -112,6 +128,8 @@ class Pipeline:
 
     def extras(self, step: str) -> dict[str, DataFrame]:
         """What a step writes beside its table."""
+        if step == "calls":
+            return {"read_counters": self.counters()} if self.seen else {}
         if step == "differential":
             found = self.get("differential")
             return {"significant_sites": report.significant_sites(found), "volcano": differential.volcano(found)}

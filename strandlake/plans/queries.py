@@ -14,7 +14,7 @@ from strandlake.operators import enrichment, features, intervals, metatranscript
 from strandlake.plans import proxies
 from strandlake.plans.proxies import CALLS_SQL, GENES_SQL, SITES_SQL, rounded
 from strandlake.session import cut, shared_folder, table
-from strandlake.sources import alignments, annotation, bam
+from strandlake.sources import alignments, annotation, bam, fasta
 from strandlake.sources import results as results_tables
 from strandlake.streaming import sites as streaming
 
@@ -560,6 +560,39 @@ def gtf_genes(spark, sf_dir):
     return annotation.genes(gtf_records(spark, sf_dir))
 
 
+#: Letter i (from 0) of the sequence of supplier k, of 150 to 209 letters.
+LETTER_SQL = "substr('ACGTN', ((k * 7 + i * i + i * k // 3) % 5 + 1)::bigint, 1)"
+FASTA_SQL = f"select concat('S', k) as reference_name, string_agg({LETTER_SQL}, '' order by i) as whole from (select s_suppkey as k, unnest(range(150 + s_suppkey % 60)) as i from supplier) group by k"
+
+
+def fasta_tiles(spark, sf_dir, tile_size, reach):
+    """Sequences of the suppliers written as FASTA in lines of 60 and read back by their index."""
+    folder = f"{shared_folder(spark).rstrip('/')}/fasta-{uuid.uuid4().hex}"
+    whole = F.expr("array_join(transform(sequence(0L, 149L + s_suppkey % 60), i -> substr('ACGTN', int((s_suppkey * 7 + i * i + i * s_suppkey div 3) % 5 + 1), 1)), '')")
+    lines = F.concat(F.lit(">S"), F.col("s_suppkey").cast("string"), F.lit(" made from a key\n"), F.regexp_replace(whole, "(.{60})(?=.)", "$1\n"))
+    table(spark, sf_dir, "supplier").select(lines).write.text(folder)
+    fasta.write_index(spark, folder)
+    return fasta.read_fasta(spark, folder, tile_size, reach)
+
+
+@query(f"""select reference_name, t as tile_id, greatest(t * 40 - 5, 0) as tile_start, substr(whole, greatest(t * 40 - 5, 0) + 1, (t + 1) * 40 + 5 - greatest(t * 40 - 5, 0)) as seq
+    from ({FASTA_SQL}), unnest(range(6)) as u(t) where t * 40 < length(whole)""")
+def reference_tiles(spark, sf_dir):
+    return fasta_tiles(spark, sf_dir, 40, 5)
+
+
+@query(f"""
+    with s as (select distinct concat('S', l_suppkey + l_partkey % 2 * 100000) as reference_name, l_partkey % 150 as ref_pos, case when l_suppkey % 2 = 0 then '+' else '-' end as strand from lineitem),
+    w as (select s.*, substr(whole, greatest(ref_pos - 25, 0) + 1, ref_pos + 25 - greatest(ref_pos - 25, 0)) as w, substr(whole, greatest(ref_pos - 2, 0) + 1, ref_pos + 3 - greatest(ref_pos - 2, 0)) as m,
+                 substr(whole, greatest(ref_pos - 5, 0) + 1, ref_pos + 6 - greatest(ref_pos - 5, 0)) as k from s left join ({FASTA_SQL}) using (reference_name))
+    select reference_name, ref_pos, strand, round((length(w) - length(translate(w, 'GC', '')))::double / nullif(length(w), 0), 6) as gc_content, coalesce(regexp_matches(m, '[AGT][AG]AC[ACT]'), false) as drach_motif, coalesce(k, '') as kmer_context from w""")
+def reference_features(spark, sf_dir):
+    """Sites on sequences from a FASTA file; every second part's reference is in no file."""
+    lines = table(spark, sf_dir, "lineitem")
+    at = lines.select(F.concat(F.lit("S"), (F.col("l_suppkey") + F.col("l_partkey") % 2 * 100000).cast("string")).alias("reference_name"), (F.col("l_partkey") % 150).alias("ref_pos"), F.when(F.col("l_suppkey") % 2 == 0, "+").otherwise("-").alias("strand")).distinct()
+    return features.sequence_features(at, fasta_tiles(spark, sf_dir, 40, 25), 40)
+
+
 @query(f"select chrom as reference_name, ref_pos, strand, null::double as gc_content, false as drach_motif, '' as kmer_context from ({SITES_SQL})")
 def features_without_sequence(spark, sf_dir):
     return features.sequence_features(proxies.positions(spark, sf_dir).withColumnRenamed("chrom", "reference_name"), None)

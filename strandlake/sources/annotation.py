@@ -1,11 +1,14 @@
-"""GTF annotations, FASTA tiles, gene-set files."""
+"""GTF annotations and gene-set files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import gtf_attribute
+from strandlake.sources.fasta import read_fasta
+
+__all__ = ["MODEL_FEATURES", "genes", "parse_gtf", "read_fasta", "read_gmt", "read_gtf", "transcript_features"]
 
 MODEL_FEATURES = ["five_prime_utr", "three_prime_utr", "UTR", "CDS", "transcript"]
 
@@ -32,22 +35,6 @@ def genes(gtf: DataFrame) -> DataFrame:
     return gtf.where("feature = 'gene'").select("chrom", "start", "end", "strand", F.coalesce("gene_id", "gene_name").alias("gene_id"), F.coalesce("gene_name", "gene_id").alias("gene_name"), F.coalesce("gene_type", "gene_biotype", F.lit("unknown")).alias("gene_biotype"))
 
 
-def read_fasta(spark: SparkSession, path: str, tile_size: int = 1_000_000, reach: int = 25) -> DataFrame:
-    """(reference_name, tile_id, tile_start, seq): tiles that reach ``reach`` bases over both ends.
-
-    Records are split at ``>`` by the text source, so a chromosome is one row only while it is cut;
-    joins meet tiles. Names end at the first blank. Repeated names keep the first record by sequence.
-    """
-    records = spark.read.option("lineSep", ">").text(path).where("trim(value) != ''")
-    name = F.regexp_extract("value", r"^([^\s]*)", 1)
-    seq = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*[\r\n]*", ""), r"\s", "")
-    whole = records.select(name.alias("reference_name"), seq.alias("whole"))
-    tiles = F.sequence(F.lit(0), F.greatest(F.floor((F.length("whole") - 1) / tile_size), F.lit(0)).cast("int"))
-    cut_up = whole.select("reference_name", "whole", F.explode(tiles).alias("tile_id"))
-    start = F.greatest(F.col("tile_id") * tile_size - reach, F.lit(0))
-    return cut_up.select("reference_name", F.col("tile_id").cast("long").alias("tile_id"), start.cast("long").alias("tile_start"), F.substring(F.col("whole"), (start + 1).cast("int"), ((F.col("tile_id") + 1) * tile_size + reach - start).cast("int")).alias("seq"))
-
-
 def read_gmt(spark: SparkSession, path: str) -> DataFrame:
     """(pathway, gene) from a GMT file: name, description, genes."""
     f = F.split("value", "\t")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -13,10 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from strandlake.operators.sites import normalize_columns
+from strandlake.sources.stores import discard, replace_folder, restore, staging_of
 
 CALLS = "sample string, read_id string, reference_name string, ref_pos long, mod_type string, mod_code string, probability double, strand string"
 
 
+#: Conditions that end a sample's name, and names that are only a condition.
+CONDITIONS = ("_normoxia_plasma", "_hypoxia_plasma", "_plasma_normoxia", "_plasma_hypoxia", "_normoxia", "_hypoxia", "_plasma", "_treated", "_untreated")
+NOT_NAMES = ("untreated", "plasma", "plasma_treated")
+
+
 @dataclass
 class Config:
     """What a run needs to know, with the defaults of the fixed pipeline."""
@@ -48,20 +53,22 @@ class Config:
         return cls.of(yaml.safe_load(text) or {})
 
     def cell_line(self) -> str:
-        """The name in the results folder, else what the sample names share."""
-        if (m := re.search(r"results_(.+)$", self.base_dir)) and (name := m[1].strip("/\\")) and name != "results":
-            return name
-        # fixed values: conditions that end a sample's name, and names that are only a condition
-        suffix = re.compile(r"(_normoxia_plasma|_hypoxia_plasma|_plasma_normoxia|_plasma_hypoxia|_normoxia|_hypoxia|_plasma|_treated|_untreated)$")
-        names = {suffix.sub("", s) for s in self.samples} - {"untreated", "plasma", "plasma_treated"}
-        return os.path.commonprefix(sorted(names)).rstrip("_") if len(names) > 1 and os.path.commonprefix(sorted(names)).rstrip("_") else next(iter(names)) if len(names) == 1 else "results"
+        """The name in the results folder, else what the sample names share before their conditions."""
+        _, found, rest = self.base_dir.partition("results_")
+        if found and rest.strip("/\\") not in ("", "results"):
+            return rest.strip("/\\")
+        ends = {s: max((len(c) for c in CONDITIONS if s.endswith(c)), default=0) for s in self.samples}
+        names = sorted({s[: len(s) - n] for s, n in ends.items()} - set(NOT_NAMES))
+        return os.path.commonprefix(names).rstrip("_") or "results"
 
 
 def load_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Parquet at ``path`` if it is there, else CSV."""
-    for suffix, reader in ((".parquet", spark.read), ("", spark.read)):
+    for name in dict.fromkeys((path if path.endswith(".parquet") else f"{path}.parquet", path)):
+        if name.endswith(".parquet"):
+            restore(name)
         try:
-            return reader.parquet(path if path.endswith(".parquet") or not suffix else f"{path}{suffix}")
+            return spark.read.parquet(name)
         except AnalysisException:
             continue
     csv = spark.read.option("header", True)
@@ -118,15 +125,23 @@ def union_tables(tables: list[DataFrame]) -> DataFrame:
 
 
 def save_table(df: DataFrame, path: str, csv: bool = False, rows_per_file: int | None = None, by: list[str] | None = None) -> None:
-    """Parquet, overwritten whole, with CSV beside it on request. Partition columns prune later reads."""
-    writer = df.write.mode("overwrite")
-    if by:
-        writer = writer.partitionBy(*by)
-    if rows_per_file:
-        writer = writer.option("maxRecordsPerFile", rows_per_file)
-    writer.parquet(f"{path}.parquet")
-    if csv:
-        df.write.mode("overwrite").option("header", True).csv(f"{path}.csv")
+    """Parquet, replaced whole, with CSV beside it on request. Partition columns prune later reads.
+
+    A table is written to a folder beside its place and takes it only when it is whole: a job that is killed leaves
+    the old one readable, even if it is what ``df`` reads.
+    """
+    for suffix, kept in ((".parquet", by), *([(".csv", None)] if csv else [])):
+        restore(f"{path}{suffix}")
+        staged = staging_of(f"{path}{suffix}")
+        writer = df.write.partitionBy(*kept) if kept else df.write
+        if rows_per_file and suffix == ".parquet":
+            writer = writer.option("maxRecordsPerFile", rows_per_file)
+        try:
+            writer.parquet(staged) if suffix == ".parquet" else writer.option("header", True).csv(staged)
+        except BaseException:
+            discard(staged)
+            raise
+        replace_folder(staged, f"{path}{suffix}")
 
 
 def result_folders(root: str) -> list[str]:

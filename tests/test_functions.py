@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import mm, sequence, stats
 from strandlake.operators import differential, features, intervals, metatranscript, ml, sites
-from strandlake.sources import alignments, annotation, bam, results
+from strandlake.sources import alignments, annotation, bam, fasta, results, stores
 
 
 def one(spark, **columns):
@@ -248,6 +248,51 @@ def test_sequence_functions(spark):
     assert at("aaccggtt", 2, sequence.kmer) == "AACCGGTT"
 
 
+FASTA = ">T1 first\nACGTACGTAC\nGTACGTACGT\nAC\n>T2\n\n>T1 again\nTTTT\n>T3\r\nACG\r\nTTA\r\nC\r\n>T4 uneven\nAC\nGTACG\nT A\n\nCC\n>T5 blank at the end\nACGT\nAC\n\n>  \nGG\n>T6\nAC-*\nGT\n>T7\nACGTACG"
+
+
+@pytest.mark.parametrize(("piece", "tile", "reach"), [(7, 4, 2), (1 << 22, 5, 0), (3, 100, 25), (1 << 22, 1, 3)])
+def test_fasta_by_byte_ranges(spark, tmp_path, monkeypatch, piece, tile, reach):
+    monkeypatch.setattr(fasta, "PIECE", piece)
+    monkeypatch.setattr(fasta, "TASK_BASES", 8)
+    (tmp_path / "x.fa").write_bytes(FASTA.encode())
+    (tmp_path / "y.fa").write_text(">T1\nGGGGGGG\n>T8\n" + "ACGTN\n" * 30)
+    want, seen = set(), set()
+    for record in (FASTA[1:].split(">") + (tmp_path / "y.fa").read_text()[1:].split(">")):
+        head, _, body = record.partition("\n")
+        name, seq = head.split()[0] if head[:1].strip() and head.split() else "", "".join(body.split())
+        if name not in seen:
+            seen.add(name)
+            for t in range(max(1, math.ceil(len(seq) / tile))):
+                first = max(t * tile - reach, 0)
+                want.add((name, t, first, seq[first : (t + 1) * tile + reach]))
+    read = lambda: [tuple(r) for r in fasta.read_fasta(spark, str(tmp_path), tile, reach).collect()]
+    assert sorted(read()) == sorted(want)
+    # one of the two files has uneven lines: no index can state it
+    assert fasta.write_index(spark, str(tmp_path)) == 1
+    assert (tmp_path / "y.fa.fai").read_text() == "T1\t7\t4\t7\t8\nT8\t150\t16\t5\t6\n"
+    assert sorted(read()) == sorted(want)
+
+
+def test_tables_are_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "t")
+    one = spark.createDataFrame([(1,), (2,)], "x int")
+    results.save_table(one, path, csv=True)
+    rows = lambda: sorted(r.x for r in results.load_table(spark, path).collect())
+    broken = one.select(F.when(F.col("x") == 2, F.raise_error(F.lit("killed"))).otherwise(F.col("x")).cast("int").alias("x"))
+    with pytest.raises(Exception, match="killed"):
+        results.save_table(broken, path)
+    assert rows() == [1, 2] and sorted(p.name for p in tmp_path.iterdir()) == ["t.csv", "t.parquet"]
+    # a table may be made of itself
+    results.save_table(results.load_table(spark, path).select((F.col("x") + 1).alias("x")), path)
+    assert rows() == [2, 3]
+    # killed between the two renames: the old one comes back; after them: it goes
+    (tmp_path / "t.parquet").rename(stores.set_aside(f"{path}.parquet"))
+    assert rows() == [2, 3]
+    one.write.parquet(stores.set_aside(f"{path}.parquet"))
+    assert rows() == [2, 3] and not stores.exists(stores.set_aside(f"{path}.parquet"))
+
+
 def test_fasta_tiles_and_gtf(spark, tmp_path):
     (tmp_path / "x.fa").write_text(">T1 first\nACGTACGTAC\nGTACGTACGT\n>T2\nGG\n")
     tiles = {(r.reference_name, r.tile_id): (r.tile_start, r.seq) for r in annotation.read_fasta(spark, str(tmp_path / "x.fa"), 8, 2).collect()}

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from strandlake.operators import ml as models
 from strandlake.plans.pipeline import STEPS, Pipeline
 from strandlake.sources.results import Config, load_combined
@@ -42,6 +44,14 @@ def test_all_steps(spark, tmp_path):
     assert beside("model", "importances").count() == len(names) and model.getNumTrees == 3
     assert {r.feature for r in beside("shap", "dependence").select("feature").distinct().collect()} <= set(names)
     assert beside("shap", "local_explanations").count() > 0 and beside("shap", "importance_table").count() == len(names)
+    seen = {r["sample"]: r for r in beside("calls", "read_counters").collect()}
+    assert set(seen) == {"c", "t"} and seen["c"].total_reads == seen["c"].mapped_with_mods == 900 and seen["t"].cell_line == "x"
+    # chunks of calls in place of reads give the same sites
+    for k in range(2):
+        done["calls"].where("sample = 'c'").where(F.crc32("read_id") % 2 == k).write.parquet(str(tmp_path / f"chunks/c_chunk_{k}.parquet"))
+    chunked = Pipeline(spark, Config({"c": {"calls": str(tmp_path / "chunks")}, "t": config.samples["t"]}, [("c", "t")], base_dir=str(tmp_path / "results_y")))
+    sites = lambda rows: sorted((r["sample"], r.reference_name, r.ref_pos, r.total_reads, r.modified_reads) for r in rows.collect())
+    assert sites(chunked.run(1, 2)["stoichiometry"]) == sites(done["stoichiometry"])
     again = Pipeline(spark, config, method="logistic", trees=3)
     assert list(again.run(3, 3)) == ["stoichiometry", "differential"]
     # step 6 by itself explains the model that is there
