@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequence
+from strandlake.operators.selection import exact_medians
 
 NUMERIC = ["baseline_stoichiometry", "gc_content", "drach_motif", "relative_position", "gene_length", "log_coverage_ctrl", "log_coverage_treat", "coverage_ratio", "mean_probability_ctrl", "mean_probability_treat"]
 CATEGORICAL = ["transcript_region", "pathway_annotation", "gene_biotype"]
@@ -51,11 +52,15 @@ def one_hot(rows: DataFrame, columns: list[str]) -> DataFrame:
 def impute_median(rows: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
     """Nulls of each column as its median; 0 where the column has none.
 
-    The exact median holds a column's distinct values in one buffer. ``accuracy`` takes a quantile
-    sketch of that accuracy instead, for tables where they are too many.
+    Exact medians of all columns are found together by rounds of narrowing; ``accuracy`` takes a quantile sketch
+    of that accuracy instead.
     """
-    middle_of = lambda c: F.median(c) if accuracy is None else F.percentile_approx(c, 0.5, accuracy)
-    middle = rows.agg(*[middle_of(F.col(c).cast("double")).alias(c) for c in columns]).first()
+    if accuracy is None:
+        long = rows.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])).alias("e"))
+        found = {r["i"]: r["median"] for r in exact_medians(long.select("e.i", "e.v"), ["i"], F.col("v")).collect()}
+        middle = {c: found.get(i) for i, c in enumerate(columns)}
+    else:
+        middle = rows.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(c) for c in columns]).first()
     return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(middle[c] if middle[c] is not None else 0.0)) for c in columns})
 
 

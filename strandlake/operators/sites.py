@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.operators.selection import exact_medians
+
 SITE = ["reference_name", "ref_pos", "mod_type", "strand"]
 #: A call is modified from this 8-bit probability on; sites need this many calls.
 PROBABILITY_THRESHOLD, MIN_COVERAGE = 191, 10
@@ -80,8 +82,12 @@ def extraction_summary(calls: DataFrame, approximate: bool = False) -> DataFrame
 def modification_summary(calls: DataFrame, approximate: bool = False) -> DataFrame:
     """Calls, mean and median probability of each sample and type, in long form."""
     p = clean_probability(F.col("probability"))
-    middle = F.percentile_approx(p, 0.5, 10_000) if approximate else F.median(p)
-    return calls.groupBy("sample", "mod_type").agg(F.count("*").alias("calls"), F.avg(p).alias("mean_prob"), middle.alias("median_prob"))
+    keys, counts = ["sample", "mod_type"], [F.count("*").alias("calls"), F.avg(p).alias("mean_prob")]
+    if approximate:
+        return calls.groupBy(*keys).agg(*counts, F.percentile_approx(p, 0.5, 10_000).alias("median_prob"))
+    # one row a group on both sides
+    found, middle = calls.groupBy(*keys).agg(*counts), exact_medians(calls, keys, p).toDF("_s", "_m", "median_prob")
+    return found.join(middle, found["sample"].eqNullSafe(middle["_s"]) & found["mod_type"].eqNullSafe(middle["_m"]), "left").drop("_s", "_m")
 
 
 def normalize_columns(calls: DataFrame) -> DataFrame:

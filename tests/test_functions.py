@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandlake.functions import mm, sequence, stats
-from strandlake.operators import differential, features, intervals, metatranscript, ml, sites
+from strandlake.operators import differential, features, intervals, metatranscript, ml, selection, sites
 from strandlake.sources import alignments, annotation, bam, fasta, results, stores
 
 
@@ -248,6 +248,91 @@ def test_sequence_functions(spark):
     assert at("aaccggtt", 2, sequence.kmer) == "AACCGGTT"
 
 
+def exact_fisher(a, b, c, d):
+    """(two-sided, greater) in whole numbers."""
+    n1, n2, m = a + b, c + d, a + c
+    weight = {k: math.comb(n1, k) * math.comb(n2, m - k) for k in range(max(0, m - n2), min(n1, m) + 1)}
+    total = sum(weight.values())
+    return sum(w for w in weight.values() if w * 10**9 <= weight[a] * (10**9 + 100)) / total, sum(w for k, w in weight.items() if k >= a) / total
+
+
+def test_fisher_by_ratios_equals_whole_numbers():
+    rng = random.Random(1)
+    tables = [(0, 0, 0, 0), (5, 0, 0, 0), (0, 3, 0, 9), (1, 0, 0, 1), (3, 3, 3, 3), (300, 0, 0, 300), (0, 900, 900, 0)]
+    tables += [tuple(rng.randint(0, top) for _ in range(4)) for top in (3, 20, 150, 700) for _ in range(60)]
+    import numpy as np
+
+    cells = [np.array(x) for x in zip(*tables)]
+    two, up = stats.fisher_p(*cells, False), stats.fisher_p(*cells, True)
+    for i, t in enumerate(tables):
+        want = exact_fisher(*t)
+        assert two[i] == pytest.approx(want[0], rel=1e-9, abs=1e-300) and up[i] == pytest.approx(want[1], rel=1e-9, abs=1e-300), t
+
+
+def exact_weights(n, m, n2):
+    """The first k of the support, and the weight of every k as a multiple of its, in 40 digits."""
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 40
+    w, out = Decimal(1), []
+    k0 = max(0, m - n2)
+    for k in range(k0, min(n, m) + 1):
+        out.append(w)
+        w = w * (n - k) * (m - k) / ((k + 1) * (n2 - m + k + 1))
+    return k0, out
+
+
+@pytest.mark.parametrize("table", [(50_000, 50_000, 49_000, 51_000), (50_000, 50_000, 50_001, 49_999), (300, 99_700, 420, 99_580), (10_000, 90_000, 30_000, 70_000)])
+def test_fisher_of_deep_sites(table):
+    import numpy as np
+
+    a, b, c, d = table
+    k0, w = exact_weights(a + b, a + c, c + d)
+    total = sum(w)
+    two = sum(x for x in w if float(x / w[a - k0]) <= 1 + 1e-7) / total
+    up = sum(w[a - k0 :]) / total
+    cells = [np.array([x]) for x in table]
+    assert stats.fisher_p(*cells, False)[0] == pytest.approx(float(two), rel=1e-9, abs=1e-300)
+    assert stats.fisher_p(*cells, True)[0] == pytest.approx(float(up), rel=1e-9, abs=1e-300)
+
+
+@pytest.mark.parametrize("rows", [4, 37, 10**9])
+def test_step_up_by_ranges(spark, monkeypatch, rows):
+    monkeypatch.setattr(stats, "RANGE_ROWS", rows)
+    rng = random.Random(rows)
+    data = [(rng.choice("abc"), rng.choice([None, 0.0, 1.0, 0.5, rng.random(), rng.random() ** 9])) for _ in range(300)] + [("one", 0.3)]
+    for least in (1, 2):
+        got = stats.bh_fdr(spark.createDataFrame(data, "f string, pvalue double"), ["f"], least=least).collect()
+        want = []
+        for f in sorted({f for f, _ in data}):
+            ps = sorted(p for g, p in data if g == f and p is not None)
+            if len(ps) >= least:
+                q = [min(1.0, min(x * len(ps) / (j + 1) for j, x in enumerate(ps) if x >= p)) for p in ps]
+                want += [(f, p, round(x, 12)) for p, x in zip(ps, q)]
+            if least == 1:
+                want += [(f, None, 1.0) for g, p in data if g == f and p is None]
+        # of equal p the last rank counts
+        assert sorted(((r.f, r.pvalue, round(r.fdr, 12)) for r in got), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize(("slots", "held"), [(2, 3), (7, 10), (4096, 10_000)])
+def test_medians_by_narrowing(spark, monkeypatch, slots, held):
+    monkeypatch.setattr(selection, "SLOTS", slots)
+    monkeypatch.setattr(selection, "HELD", held)
+    rng = random.Random(slots)
+    groups = {
+        "few": [1.0, 5.0], "one": [2.5], "same": [3.0] * 50, "wide": [rng.choice([-1, 1]) * 10.0 ** rng.randint(-300, 300) for _ in range(61)], "even": [float(x) for x in range(100)],
+        "ties": [0.0] * 30 + [1.0] * 30, "ends": [float("-inf"), float("inf"), 0.0, 1e-320, -0.0, float("inf")], "near": [1 + k * 2**-52 for k in range(41)], None: [rng.random() for _ in range(80)],
+    }
+    data = [(g, v) for g, vs in groups.items() for v in vs] + [("nothing", None), ("nothing", float("nan")), ("few", None), ("few", float("nan"))]
+    rng.shuffle(data)
+    got = {r.g: r.median for r in selection.exact_medians(spark.createDataFrame(data, "g string, v double"), ["g"], F.col("v")).collect()}
+    middle = lambda vs: (sorted(vs)[(len(vs) - 1) // 2] + sorted(vs)[len(vs) // 2]) / 2
+    assert got == {g: middle(vs) for g, vs in groups.items()}
+    rows = spark.createDataFrame([(1.0, None), (None, None), (4.0, None), (9.0, None)], "a double, b double")
+    assert sorted(map(tuple, features.impute_median(rows, ["a", "b"]).collect())) == [(1.0, 0.0), (4.0, 0.0), (4.0, 0.0), (9.0, 0.0)]
+
+
 FASTA = ">T1 first\nACGTACGTAC\nGTACGTACGT\nAC\n>T2\n\n>T1 again\nTTTT\n>T3\r\nACG\r\nTTA\r\nC\r\n>T4 uneven\nAC\nGTACG\nT A\n\nCC\n>T5 blank at the end\nACGT\nAC\n\n>  \nGG\n>T6\nAC-*\nGT\n>T7\nACGTACG"
 
 
