@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bins of one level are so many times as long as those of the level below.
+GROWTH = 8
+
+
 def overlap_join(sites: DataFrame, intervals: DataFrame, keys: list[str], pos: str = "ref_pos", start: str = "start", end: str = "end", bin_size: int = 10_000) -> DataFrame:
     """Every pair of a site [pos, pos+1) and a half-open interval that holds it, within equal ``keys``.
 
-    Intervals are listed in every bin they touch, so the join is an equi-join on (keys, bin) that
-    hashes, sorts and splits skew like any other; a pair meets in exactly one bin. Null positions and
-    empty intervals match nothing.
+    Bins come in levels, each ``GROWTH`` times as long as those below. An interval stands at the first level whose
+    bins are as long as itself, so in one bin there or, across a border, in two, whatever its length; a site looks
+    into one bin of each level that intervals stand at. That makes an equi-join on (keys, level, bin) that hashes,
+    sorts and splits skew like any other, and a pair meets in exactly one bin. Null positions and empty intervals
+    match nothing.
     """
-    binned = intervals.where(F.col(start) < F.col(end)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / bin_size), F.floor((F.col(end) - 1) / bin_size))))
-    points = sites.withColumn("_bin", F.floor(F.col(pos) / bin_size))
-    return points.join(binned, [*keys, "_bin"]).where((F.col(pos) >= F.col(start)) & (F.col(pos) < F.col(end))).drop("_bin")
+    length = F.col(end) - F.col(start)
+    level = F.greatest(F.lit(0), F.ceil(F.log(length / F.lit(float(bin_size))) / math.log(GROWTH))).cast("int")
+    leveled = intervals.where(F.col(start) < F.col(end)).withColumn("_level", level)
+    # at most a dozen: they grow with the logarithm of the longest interval
+    levels = sorted(r["_level"] for r in leveled.select("_level").distinct().collect())
+    size = F.lit(bin_size) * F.pow(F.lit(float(GROWTH)), F.col("_level"))
+    binned = leveled.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / size), F.floor((F.col(end) - 1) / size))))
+    points = sites.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_bin", F.floor(F.col(pos) / size))
+    return points.join(binned, [*keys, "_level", "_bin"]).where((F.col(pos) >= F.col(start)) & (F.col(pos) < F.col(end))).drop("_level", "_bin")
 
 
 def assign_gene(sites: DataFrame, genes: DataFrame, site_key: list[str], bin_size: int = 10_000) -> DataFrame:

@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.functions.ranges import range_of
+from strandlake.session import cut
+
+
+#: Distinct scores are summed in ranges of about so many.
+RANGE_ROWS = 1_000_000
+
 
-def steps(scored: DataFrame, label: str, score: str, parts: int = 256) -> DataFrame:
+def steps(scored: DataFrame, label: str, score: str) -> DataFrame:
     """Each distinct score with its positives and negatives (_p, _n), those from it up (tp, fp), and those in all (_pos, _neg).
 
     Rows collapse to distinct scores first. Running sums go by ranges of scores between quantiles: each
     range is summed in a task of its own, from what the table of range sums has for those above it.
     """
-    counts = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
-    found = counts.agg(F.percentile_approx("threshold", [k / parts for k in range(1, parts)], 50 * parts)).first()[0]
-    edges = F.array(*[F.lit(x) for x in sorted(set(found or []))]).cast("array<double>")
-    ranged = counts.withColumn("_range", F.size(F.filter(edges, lambda e: e > F.col("threshold"))))
-    # one row a range, at most ``parts``
+    counts = cut(scored.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n")))
+    parts = math.ceil(counts.count() / RANGE_ROWS)
+    edges = sorted(set(counts.approxQuantile("threshold", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    ranged = counts.withColumn("_range", -range_of(F.col("threshold"), edges))
+    # one row a range
     above = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(F.lit(0))
     sums = ranged.groupBy("_range").agg(F.sum("_p").alias("_rp"), F.sum("_n").alias("_rn"))

@@ -90,6 +90,36 @@ def modification_summary(calls: DataFrame, approximate: bool = False) -> DataFra
     return found.join(middle, found["sample"].eqNullSafe(middle["_s"]) & found["mod_type"].eqNullSafe(middle["_m"]), "left").drop("_s", "_m")
 
 
+#: Sizes of the stored sketches: distinct counts within about 1 %, ranks of quantiles within about 0.7 %.
+HLL_BITS, KLL_SIZE = 14, 400
+
+
+def summary_states(calls: DataFrame) -> DataFrame:
+    """Mergeable state of each sample and type: calls, the sum of p, sketches of reads and of sites, and one of p."""
+    p = clean_probability(F.col("probability"))
+    # a sketch takes a binary form of any key
+    read, site = F.col("read_id").cast("string"), F.concat_ws("\t", "reference_name", F.col("ref_pos").cast("string"))
+    return calls.groupBy("sample", "mod_type").agg(
+        F.count("*").alias("calls"), F.sum(p).alias("prob_sum"), F.hll_sketch_agg(read, HLL_BITS).alias("reads"), F.hll_sketch_agg(site, HLL_BITS).alias("sites"), F.kll_sketch_agg_double(p, KLL_SIZE).alias("probs")
+    )
+
+
+def merged_summary(states: DataFrame) -> DataFrame:
+    """States of the same sample and type as one, however many there are."""
+    return states.groupBy("sample", "mod_type").agg(
+        F.sum("calls").alias("calls"), F.sum("prob_sum").alias("prob_sum"), F.hll_union_agg("reads").alias("reads"), F.hll_union_agg("sites").alias("sites"), F.kll_merge_agg_double("probs", KLL_SIZE).alias("probs")
+    )
+
+
+def finalize_summary(states: DataFrame) -> DataFrame:
+    """Calls and mean exactly; distinct reads and sites and the quartiles of p by the sketches."""
+    quantile = lambda q: F.kll_sketch_get_quantile_double("probs", F.lit(q))
+    return states.select(
+        "sample", "mod_type", "calls", (F.col("prob_sum") / F.col("calls")).alias("mean_prob"), F.hll_sketch_estimate("reads").alias("unique_reads"), F.hll_sketch_estimate("sites").alias("unique_sites"),
+        quantile(0.25).alias("q1_prob"), quantile(0.5).alias("median_prob"), quantile(0.75).alias("q3_prob"),
+    )
+
+
 def normalize_columns(calls: DataFrame) -> DataFrame:
     """Positional names for chunks without a header: eight columns, the first of which is named by a number."""
     names = ["sample", "read_id", *SITE[:2], "mod_type", "mod_code", "probability", "strand"]

@@ -130,6 +130,19 @@ def site_counts_streaming(spark, sf_dir):
     return streaming.counts_of_files(spark, folder, out.schema, proxies.calls_of, f"{folder}-counts", f"{folder}-progress", 2)
 
 
+@query(f"""select sample, mod_type, count(*) as calls, round(avg(probability), 6) as mean_prob, true as reads_near, true as sites_near, true as quartiles_near from ({CALLS_SQL}) group by sample, mod_type""")
+def summary_streaming(spark, sf_dir):
+    """Summaries from sketches that a stream stored, two files a batch: distinct counts within 4 % of the exact ones, quartiles within 2 % of ranks."""
+    out = cut(table(spark, sf_dir, "lineitem").repartition(4))
+    folder = shared_folder(spark).rstrip("/") + "/" + out.inputFiles()[0].split("/")[-2]
+    got = streaming.summary_of_files(spark, folder, out.schema, proxies.calls_of, f"{folder}-summary", f"{folder}-summary-progress", 2)
+    near = lambda x, y: F.abs(F.col(x) - F.col(y)) <= 0.04 * F.col(y)
+    exact = proxies.calls(spark, sf_dir).join(F.broadcast(got), ["sample", "mod_type"]).groupBy("sample", "mod_type", got["calls"], "mean_prob", "unique_reads", "unique_sites")
+    shares = [(F.count_if(F.col("probability") < F.col(q)) <= (s + 0.02) * F.count("*")) & (F.count_if(F.col("probability") <= F.col(q)) >= (s - 0.02) * F.count("*")) for q, s in (("q1_prob", 0.25), ("median_prob", 0.5), ("q3_prob", 0.75))]
+    counted = exact.agg(F.count_distinct("read_id").alias("_r"), F.count_distinct(F.struct("reference_name", "ref_pos")).alias("_s"), (shares[0] & shares[1] & shares[2]).alias("quartiles_near"))
+    return counted.select("sample", "mod_type", "calls", "mean_prob", near("unique_reads", "_r").alias("reads_near"), near("unique_sites", "_s").alias("sites_near"), "quartiles_near")
+
+
 @query(f"select sample, {KEYS}, total_reads, modified_reads, {R6('stoichiometry', 'mean_probability', 'median_probability', 'std_probability')} from ({STOICH_SQL})")
 def stoichiometry(spark, sf_dir):
     return stoich(spark, sf_dir)

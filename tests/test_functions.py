@@ -13,8 +13,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandlake.functions import mm, sequence, stats
-from strandlake.operators import differential, features, intervals, metatranscript, ml, selection, sites
+from strandlake.operators import differential, features, intervals, metatranscript, metrics, ml, selection, sites
 from strandlake.sources import alignments, annotation, bam, fasta, results, stores
+from strandlake.streaming import sites as streaming
 
 
 def one(spark, **columns):
@@ -333,6 +334,76 @@ def test_medians_by_narrowing(spark, monkeypatch, slots, held):
     assert sorted(map(tuple, features.impute_median(rows, ["a", "b"]).collect())) == [(1.0, 0.0), (4.0, 0.0), (4.0, 0.0), (9.0, 0.0)]
 
 
+def call_rows(n, rng):
+    return [(rng.choice("ab"), f"r{rng.randint(0, n)}", "T", rng.randint(0, 20), rng.choice("xy"), "+", rng.random()) for _ in range(n)]
+
+
+CALL = "sample string, read_id string, reference_name string, ref_pos long, mod_type string, strand string, probability double"
+
+
+def test_states_of_a_stream_that_stops_and_resumes(spark, tmp_path):
+    rng = random.Random(4)
+    rows, log = [], streaming.counts_log(spark, str(tmp_path / "log"), fan=3)
+    source, progress = tmp_path / "calls", str(tmp_path / "progress")
+    key = lambda df: sorted((*r[:5], r.total_count, r.modified_count, round(r.prob_sum, 9), round(r.prob_sq_sum, 9)) for r in df.collect())
+    sizes = []
+    for run in range(3):
+        for k in range(6):
+            part = call_rows(40, rng)
+            rows += part
+            spark.createDataFrame(part, CALL).coalesce(1).write.mode("append").parquet(str(source))
+        calls = spark.readStream.schema(CALL).option("maxFilesPerTrigger", 1).parquet(str(source))
+        streaming.stream_states(calls, log, sites.site_counts, progress).awaitTermination()
+        assert key(log.read()) == key(sites.site_counts(spark.createDataFrame(rows, CALL)))
+        sizes.append(len(log.manifest().folders))
+        # no more on disk than this version and what the one before held
+        assert len(list((tmp_path / "log").glob("states-*"))) == sizes[-1] + len(log.manifest().before)
+    assert log.manifest().last_batch == 17 and max(sizes) <= 2 * 3
+    # a batch that runs again does not count twice; one that died before its manifest leaves nothing that is read
+    want = key(log.read())
+    log.add(sites.site_counts(spark.createDataFrame(rows[:5], CALL)), 17)
+    log._write(sites.site_counts(spark.createDataFrame(rows[:5], CALL)))
+    assert key(log.read()) == want and log.manifest().last_batch == 17
+    with pytest.raises(ValueError, match="no state"):
+        streaming.counts_log(spark, str(tmp_path / "none")).read()
+
+
+def test_stored_sketches_keep_their_bounds(spark, tmp_path):
+    rng = random.Random(6)
+    log, rows = streaming.summary_log(spark, str(tmp_path / "log"), fan=2), []
+    for batch in range(5):
+        part = [("a", f"r{rng.randint(0, 30_000)}", "T", rng.randint(0, 10**6), "x", "+", rng.random() ** 2) for _ in range(8_000)]
+        rows += part
+        log.add(sites.summary_states(spark.createDataFrame(part, CALL)), batch)
+    got = sites.finalize_summary(log.read()).first()
+    ps = sorted(r[-1] for r in rows)
+    assert got.calls == 40_000 and got.mean_prob == pytest.approx(sum(ps) / len(ps))
+    assert got.unique_reads == pytest.approx(len({r[1] for r in rows}), rel=0.03) and got.unique_sites == pytest.approx(len({r[3] for r in rows}), rel=0.03)
+    for q, x in ((0.25, got.q1_prob), (0.5, got.median_prob), (0.75, got.q3_prob)):
+        assert sum(p <= x for p in ps) / len(ps) == pytest.approx(q, abs=0.015)
+
+
+def test_intervals_of_all_lengths(spark):
+    rng = random.Random(8)
+    spans = [(i, rng.choice("ab"), a := rng.randint(-50, 3_000_000), a + rng.choice([0, 1, 3, 64, 65, 513, 40_000, 2_000_000, 9_000_000])) for i in range(150)] + [(900, "a", None, 5), (901, None, 1, 5)]
+    points = [(k, rng.choice("ab"), rng.randint(-60, 4_000_000)) for k in range(400)] + [(k, c, s) for k, c, s, _ in spans] + [(990, "a", None)]
+    got = intervals.overlap_join(spark.createDataFrame(points, "k long, chrom string, ref_pos long"), spark.createDataFrame(spans, "id long, chrom string, start long, end long"), ["chrom"], bin_size=64)
+    want = [(k, i) for k, c, p in points for i, d, s, e in spans if None not in (p, s, c, d) and c == d and s <= p < e]
+    assert sorted((r.k, r.id) for r in got.collect()) == sorted(want) and want
+    none = spark.createDataFrame([], "id long, chrom string, start long, end long")
+    assert intervals.overlap_join(spark.createDataFrame(points, "k long, chrom string, ref_pos long"), none, ["chrom"]).collect() == []
+
+
+@pytest.mark.parametrize("rows", [3, 10**9])
+def test_curve_by_ranges(spark, monkeypatch, rows):
+    monkeypatch.setattr(metrics, "RANGE_ROWS", rows)
+    rng = random.Random(9)
+    data = [(rng.randint(0, 1), rng.choice([None, 0.5, round(rng.random(), 2)])) for _ in range(200)]
+    got = metrics.curve_points(spark.createDataFrame(data, "label int, score double")).collect()
+    at = lambda x, y: sum(s is not None and s >= x and k == y for k, s in data)
+    assert sorted((r.threshold, r.tp, r.fp) for r in got) == [(x, at(x, 1), at(x, 0)) for x in sorted({s for _, s in data if s is not None})]
+
+
 FASTA = ">T1 first\nACGTACGTAC\nGTACGTACGT\nAC\n>T2\n\n>T1 again\nTTTT\n>T3\r\nACG\r\nTTA\r\nC\r\n>T4 uneven\nAC\nGTACG\nT A\n\nCC\n>T5 blank at the end\nACGT\nAC\n\n>  \nGG\n>T6\nAC-*\nGT\n>T7\nACGTACG"
 
 
