@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +44,9 @@ def enrich(significant: DataFrame, background: DataFrame, sets: DataFrame, alpha
     fold = (a / F.greatest("n_sig", F.lit(1))) / (F.col("pathway_size") / F.greatest("n_all", F.lit(1)))
     tested = rows.withColumns({"expected": expected, "fold_enrichment": fold, "odds_ratio": odds_ratio(a, b, c, d), "pvalue": F.coalesce(fisher_greater(a, b, c, d), F.lit(1.0)), "_family": F.lit(0)})
     return bh_fdr(tested, ["_family"]).drop("_family", "n_sig", "n_all").withColumn("significant", F.col("fdr") <= alpha)
+
+
+def enrich_libraries(significant: DataFrame, background: DataFrame, libraries: dict[str, DataFrame], alpha: float = 0.05) -> DataFrame:
+    """``enrich`` for each of several gene-set libraries, a family of tests each; libraries are few and named by the caller."""
+    parts = [enrich(significant, background, sets, alpha).withColumn("library", F.lit(name)) for name, sets in libraries.items()]
+    return reduce(DataFrame.unionByName, parts)

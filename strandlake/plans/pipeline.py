@@ -41,7 +41,7 @@ class Pipeline:
     trees: int = 200
     folds: int = 0
     explained: int = 1000
-    gmt: str | None = None
+    gmt: dict[str, str] | None = None
     mod_types: list[str] | None = None
     tables: dict[str, DataFrame] = field(default_factory=dict)
     seen: dict[str, Observation] = field(default_factory=dict)
@@ -144,7 +144,12 @@ class Pipeline:
             return out
         if step == "shap":
             rows = self.shap_rows()
-            return {"local_explanations": ml.local_explanations(self.attributions(), "site"), "dependence": ml.dependence(rows), "importance_table": ml.importance_table(self.get("shap"))}
+            names = ml.load_model(self.spark, self.beside("model", self.model_kind))[1]
+            return {"local_explanations": ml.wide_explanations(ml.local_explanations(self.attributions(), "site"), names), "dependence": ml.dependence(rows), "importance_table": ml.importance_table(self.get("shap"))}
+        if step == "pathway_enrichment":
+            found = {name: self.get(name) for name in ("differential", "pathway_enrichment")}
+            text = report.chat_context({"differential": report.table_page(found["differential"]), "pathway_enrichment": report.pathway_table(found["pathway_enrichment"])})
+            return {"first_page": report.table_page(found["differential"]), "context": self.spark.createDataFrame([(text,)], "context string")}
         return {}
 
     def pathway_enrichment(self) -> DataFrame:
@@ -152,8 +157,8 @@ class Pipeline:
         significant = enrichment.significant_genes(rows)
         if significant.isEmpty():
             significant = enrichment.top_genes(rows)
-        sets = annotation.read_gmt(self.spark, self.gmt) if self.gmt else genesets.curated_sets(self.spark)
-        return enrichment.enrich(significant, enrichment.distinct_genes(rows), sets)
+        libraries = {"curated": genesets.curated_sets(self.spark)} | {name: annotation.read_gmt(self.spark, path) for name, path in (self.gmt or {}).items()}
+        return enrichment.enrich_libraries(significant, enrichment.distinct_genes(rows), libraries)
 
     def metatranscript_positions(self) -> DataFrame:
         if not self.gtf:
@@ -181,7 +186,7 @@ class Pipeline:
             make = {"model": self.run_model}.get(name) or getattr(self, name)
             if name == "metatranscript_positions" and not self.gtf:
                 continue
-            save_table(make(), self.path(name), by=["sample"] if name == "calls" else None)
+            save_table(make(), self.path(name), by={"calls": ["sample"], "pathway_enrichment": ["library"]}.get(name))
             self.tables[name] = load_table(self.spark, self.path(name))
             for extra, table in self.extras(name).items():
                 save_table(table, self.beside(name, extra))
@@ -196,12 +201,12 @@ def main() -> None:
     args.add_argument("--method", choices=["fisher", "logistic"], default="fisher")
     args.add_argument("--fasta")
     args.add_argument("--gtf")
-    args.add_argument("--gmt")
+    args.add_argument("--gmt", action="append", default=[], metavar="NAME=PATH", help="a further gene-set library")
     args.add_argument("--model", choices=["boosting", "forest"], default="boosting")
     args.add_argument("--folds", type=int, default=0)
     given = args.parse_args()
     spark = SparkSession.builder.appName("strandlake").getOrCreate()
-    done = Pipeline(spark, Config.load(given.config), given.fasta, given.gtf, given.method, given.model, folds=given.folds, gmt=given.gmt).run(given.from_step, given.to_step)
+    done = Pipeline(spark, Config.load(given.config), given.fasta, given.gtf, given.method, given.model, folds=given.folds, gmt=dict(x.split("=", 1) for x in given.gmt)).run(given.from_step, given.to_step)
     print(json.dumps({name: df.count() for name, df in done.items()}))
 
 

@@ -247,6 +247,11 @@ def significant_next_30(spark, sf_dir):
     return report.significant_sites(page(results(spark, sf_dir, LOOSE)), 30, 30).select(SITE_COLUMNS)
 
 
+@query(f"{diff_sql(LOOSE)} select {SITE_ROW} from results where is_significant order by {PAGE_ORDER} limit 200")
+def first_table_page(spark, sf_dir):
+    return report.table_page(page(results(spark, sf_dir, LOOSE))).select(SITE_COLUMNS)
+
+
 @query(f"{diff_sql()} select {SITE_ROW} from results order by round(abs_delta_stoichiometry, 9) desc, control, treatment, {KEYS} limit 100")
 def largest_changes_100(spark, sf_dir):
     rounded_delta = results(spark, sf_dir).withColumn("abs_delta_stoichiometry", F.round("abs_delta_stoichiometry", 9))
@@ -437,6 +442,15 @@ def own_set_enrichment(spark, sf_dir):
     return enrichment.enrich(enrichment.significant_genes(own), enrichment.distinct_genes(own), part.select(F.col("p_type").alias("pathway"), F.col("p_name").alias("gene")))
 
 
+@query(f"""select 'curated' as library, * from ({ORACLE_SQL["curated_enrichment"]}) union all
+    select 'types' as library, * from ({enrich_sql(f"select distinct upper({SYMBOL_SQL}) as gene from part where p_size > 49", BACKGROUND_SQL, f"(select p_type as pathway, {SYMBOL_SQL} as gene from part) v")})""")
+def library_enrichment(spark, sf_dir):
+    """The curated sets and those of another library, a family of tests each."""
+    rows, part = symbols(spark, sf_dir), table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    own = rows.join(part, "p_partkey").select(F.col("p_type").alias("pathway"), F.col("gene_name").alias("gene"))
+    return enrichment.enrich_libraries(enrichment.significant_genes(rows), enrichment.distinct_genes(rows), {"curated": genesets.curated_sets(spark), "types": own})
+
+
 @query(f"select distinct upper(g) as gene from (select {SYMBOL_SQL} as g from part order by p_retailprice desc, p_partkey limit 100)")
 def fallback_genes(spark, sf_dir):
     return enrichment.top_genes(symbols(spark, sf_dir))
@@ -824,5 +838,54 @@ def local_rows(spark, sf_dir):
     return ml.local_explanations(attributions(spark, sf_dir), "vec_id").select("vec_id", "shap_sum", "rank")
 
 
+@query("select vec_id, round(s, 6) as shap_sum, row_number() over (order by s desc, vec_id) as rank, " + ", ".join(f"round(embedding[{i + 1}]::double, 6) as {p}_f{i}" for p in ("shap", "value") for i in range(64)) + " from (select *, list_sum(embedding::double[]) as s from embeddings) order by s desc, vec_id limit 20")
+def local_wide(spark, sf_dir):
+    rows = ml.local_explanations(attributions(spark, sf_dir), "vec_id")
+    return ml.wide_explanations(rows, FEATURES).select("vec_id", "shap_sum", "rank", *[f"{p}_{f}" for p in ("shap", "value") for f in FEATURES])
+
+
+def node(feature=-1, threshold=0.0, left=-1, right=-1, value=0.0, cover=0.0):
+    return {"feature": feature, "threshold": threshold, "left": left, "right": right, "value": value, "cover": cover}
+
+
+#: Two trees: one over features 0 and 1, one that asks feature 2 twice and feature 3 once.
+FIXED_TREES = [
+    {"weight": 1.0, "nodes": [node(0, 0.0, 1, 2, cover=100.0), node(value=1.0, cover=60.0), node(1, 0.05, 3, 4, cover=40.0), node(value=-2.0, cover=10.0), node(value=4.0, cover=30.0)]},
+    {"weight": 0.5, "nodes": [node(2, 0.1, 1, 2, cover=80.0), node(3, -0.02, 3, 4, cover=60.0), node(value=3.0, cover=20.0), node(2, -0.1, 5, 6, cover=45.0), node(value=-1.0, cover=15.0), node(value=2.0, cover=15.0), node(value=0.5, cover=30.0)]},
+]
+#: Each tree's expectation with none, one or both of its two features known; a feature's share is the mean of what it adds first and last.
+FIXED_SHAP_SQL = """
+    with x as (select vec_id, embedding[1]::double as x0, embedding[2]::double as x1, embedding[3]::double as x2, embedding[4]::double as x3 from embeddings),
+    v as (
+        select vec_id, 0.6 * 1 + 0.4 * (0.25 * -2 + 0.75 * 4) as a, case when x0 <= 0.0 then 1 else 0.25 * -2 + 0.75 * 4 end as a0, 0.6 * 1 + 0.4 * case when x1 <= 0.05::double then -2 else 4 end as a1,
+               case when x0 <= 0.0 then 1 when x1 <= 0.05::double then -2 else 4 end as a01,
+               0.75 * (0.75 * (2 / 3.0::double * 0.5 + 1 / 3.0::double * 2) + 0.25 * -1) + 0.25 * 3 as b,
+               case when x2 > 0.1::double then 3 else 0.75 * case when x2 <= -0.1::double then 2 else 0.5 end + 0.25 * -1 end as b2,
+               0.75 * case when x3 <= -0.02::double then 2 / 3.0::double * 0.5 + 1 / 3.0::double * 2 else -1 end + 0.25 * 3 as b3,
+               case when x2 > 0.1::double then 3 when x3 > -0.02::double then -1 when x2 <= -0.1::double then 2 else 0.5 end as b23
+        from x
+    ),
+    phi as (select vec_id, [(a0 - a + a01 - a1) / 2, (a1 - a + a01 - a0) / 2, (b2 - b + b23 - b3) / 4, (b3 - b + b23 - b2) / 4] as s, a + b / 2 as base from v)
+"""
+
+
+def fixed_shap(spark, sf_dir) -> DataFrame:
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    return ml.shap_of_trees(FIXED_TREES, table(spark, sf_dir, "embeddings").select("vec_id", x.alias("x")), "vec_id")
+
+
+@query(f"{FIXED_SHAP_SQL} select vec_id, 'f' || i as feature, round(s[i + 1], 6) + 0.0 as shap_value, round(base, 6) as base from phi, unnest(range(4)) as u(i)")
+def fixed_tree_shap(spark, sf_dir):
+    """SHAP of every row under two fixed trees."""
+    rows = fixed_shap(spark, sf_dir)
+    long = ml.shap_long(rows, FEATURES, "vec_id").where(F.col("feature").isin("f0", "f1", "f2", "f3"))
+    return long.select("vec_id", "feature", "shap_value").join(rows.select("vec_id", "base"), "vec_id")
+
+
+@query(f"{FIXED_SHAP_SQL}, l as (select 'f' || i as feature, avg(abs(coalesce(s[i + 1], 0))) as m from phi, unnest(range(64)) as u(i) group by i) select feature, round(m, 6) as mean_abs_shap, row_number() over (order by m desc, feature) as rank from l")
+def fixed_tree_importance(spark, sf_dir):
+    return ml.global_importance(ml.shap_long(fixed_shap(spark, sf_dir), FEATURES, "vec_id"))
+
+
 ORACLE_SQL["decoded_calls"] = SAM_SQL
 

@@ -504,6 +504,54 @@ def test_shap_adds_up(spark):
         ml.train_forest(df.where("label = 1"))
 
 
+def grown(rng, depth, n_features):
+    """A random tree, features repeating on paths."""
+    nodes = []
+
+    def add(depth, cover):
+        at = len(nodes)
+        nodes.append({"left": -1, "right": -1, "feature": -1, "threshold": 0.0, "value": rng.uniform(-2, 2), "cover": cover})
+        if depth and rng.random() < 0.9:
+            share = rng.uniform(0.05, 0.95)
+            nodes[at] |= {"feature": rng.randrange(n_features), "threshold": rng.choice([-1.0, 0.0, 0.5, 2.0])}
+            nodes[at]["left"] = add(depth - 1, cover * share)
+            nodes[at]["right"] = add(depth - 1, cover * (1 - share))
+        return at
+
+    add(depth, 1000.0)
+    return nodes
+
+
+def plain_shapley(nodes, x):
+    """By the definition, over all subsets of features."""
+    from itertools import combinations
+
+    def expected(known, at=0):
+        n = nodes[at]
+        if n["left"] < 0:
+            return n["value"]
+        if n["feature"] in known:
+            return expected(known, n["left"] if x[n["feature"]] <= n["threshold"] else n["right"])
+        return sum(nodes[c]["cover"] / n["cover"] * expected(known, c) for c in (n["left"], n["right"]))
+
+    m = len(x)
+    return [sum(math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) * (expected({*s, f}) - expected(set(s))) for k in range(m) for s in combinations([g for g in range(m) if g != f], k)) for f in range(m)], expected(set())
+
+
+@pytest.mark.parametrize("depth", [0, 1, 2, 3, 6, 8])
+def test_tree_shap_equals_the_definition(depth):
+    import numpy as np
+
+    rng = random.Random(depth)
+    for _ in range(4):
+        nodes = grown(rng, depth, 5)
+        x = np.array([[rng.choice([rng.uniform(-3, 3), 0.0, math.nan, math.inf, -math.inf]) for _ in range(5)] for _ in range(7)])
+        phi, base = ml.tree_shap(nodes, x)
+        for row, got in zip(x.tolist(), phi.tolist()):
+            want, mean = plain_shapley(nodes, row)
+            assert got == pytest.approx(want, abs=1e-9) and base == pytest.approx(mean)
+
+
 def test_results_and_config(spark, tmp_path):
     df = spark.createDataFrame([(1, "x")], "a long, b string")
     results.save_table(df, str(tmp_path / "t"), csv=True)

@@ -52,6 +52,10 @@ def test_all_steps(spark, tmp_path):
     chunked = Pipeline(spark, Config({"c": {"calls": str(tmp_path / "chunks")}, "t": config.samples["t"]}, [("c", "t")], base_dir=str(tmp_path / "results_y")))
     sites = lambda rows: sorted((r["sample"], r.reference_name, r.ref_pos, r.total_reads, r.modified_reads) for r in rows.collect())
     assert sites(chunked.run(1, 2)["stoichiometry"]) == sites(done["stoichiometry"])
+    assert beside("pathway_enrichment", "first_page").count() == 8 and "Apoptosis" in beside("pathway_enrichment", "context").first().context
+    (tmp_path / "own.gmt").write_text("Mine\td\tTP53\tXYZ\n")
+    both = Pipeline(spark, config, gmt={"own": str(tmp_path / "own.gmt")}).run(7, 7)["pathway_enrichment"]
+    assert {(r.library, r.pathway) for r in both.collect()} == {("curated", "Apoptosis"), ("own", "Mine")}
     again = Pipeline(spark, config, method="logistic", trees=3)
     assert list(again.run(3, 3)) == ["stoichiometry", "differential"]
     # step 6 by itself explains the model that is there
