@@ -148,7 +148,8 @@ class Pipeline:
             return {"local_explanations": ml.wide_explanations(ml.local_explanations(self.attributions(), "site"), names), "dependence": ml.dependence(rows), "importance_table": ml.importance_table(self.get("shap"))}
         if step == "pathway_enrichment":
             found = {name: self.get(name) for name in ("differential", "pathway_enrichment")}
-            text = report.chat_context({"differential": report.table_page(found["differential"]), "pathway_enrichment": report.pathway_table(found["pathway_enrichment"])})
+            # the shorter rows first: the text is cut
+            text = report.chat_context({"pathway_enrichment": report.pathway_table(found["pathway_enrichment"]), "differential": report.table_page(found["differential"])})
             return {"first_page": report.table_page(found["differential"]), "context": self.spark.createDataFrame([(text,)], "context string")}
         return {}
 
