@@ -26,8 +26,8 @@ from strandlake.llm.bpe import tokenizer
 from strandlake.llm.common import batch_slices, bounded, freeing
 from strandlake.session import cut
 
-#: Ranks within one length are counted in so many parts, so that a hot length is spread.
-RANK_PARTS = 16
+#: Ranks within one length are counted in parts of about so many pieces, so that a hot length takes as many tasks as it needs.
+RANK_ROWS = 20_000
 
 
 #: Fixed value: the byte-level tokenizer's split of a text into pieces, in a form that never backtracks.
@@ -178,19 +178,22 @@ def runs(table: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, in
 def pack(docs: DataFrame, path: str, end_id: int = 1, room: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces with sequence_id and offset. Sequences number from 0; an empty table gives no rows.
 
-    Null ids and repeated rows are packed like any other. Two small tables meet the pieces: counts by
-    length and part (at most ``room * RANK_PARTS`` rows) and the counted slots; either is broadcast
+    Null ids and repeated rows are packed like any other. Three small tables meet the pieces: the parts of each
+    length (at most ``room`` rows), the counts by length and part, and the counted slots; each is broadcast
     only within ``BROADCAST_ROWS``.
     """
     spark = docs.sparkSession
-    cuts = cut(pieces(docs, path, end_id, room, id_col, text_col)).withColumn("_part", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.lit(RANK_PARTS)))
+    whole = cut(pieces(docs, path, end_id, room, id_col, text_col))
+    histogram = {r["length"]: r["n"] for r in whole.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    parts = {length: -(-n // RANK_ROWS) for length, n in histogram.items()}
+    parted = spark.createDataFrame(sorted(parts.items()), "length long, _parts long")
+    cuts = whole.join(bounded(parted, len(parts)), "length").withColumn("_part", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.col("_parts"))).drop("_parts")
     by_part = cuts.groupBy("length", "_part").agg(F.count("*").alias("_n"))
-    histogram = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     found = runs(slots(pack_histogram(histogram, room)))
     table = spark.createDataFrame(found, "length long, _from long, _to long, _sequence long, _offset long, _n long")
     before = by_part.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("length", "_part", F.coalesce("_before", F.lit(0)).alias("_before"))
     ranked = cuts.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_part").orderBy(id_col, "start", "ids_crc32")))
-    ranked = ranked.join(bounded(before, room * RANK_PARTS), ["length", "_part"]).withColumn("_rank", F.col("_before") + F.col("_row") - 1)
+    ranked = ranked.join(bounded(before, sum(parts.values())), ["length", "_part"]).withColumn("_rank", F.col("_before") + F.col("_row") - 1)
     placed = ranked.join(bounded(table, len(found)), "length").where("_rank >= _from and _rank < _to")
     at = F.col("_rank") - F.col("_from")
     # ranks go through the sequences once for each piece of this length in a sequence

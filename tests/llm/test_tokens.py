@@ -144,3 +144,17 @@ def test_hot_length_fills_its_sequences(make_docs):
         assert all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and own[0][0] == 0 and sum(own[-1]) <= 16
     assert len(rows) == 80 and sorted(by_sequence) == list(range(len(by_sequence)))
     assert length > 1 and len(by_sequence) == -(-sum(r.length for r in rows) // 16)
+
+
+def test_one_length_in_many_parts(spark, monkeypatch):
+    """A length that all pieces have is ranked in as many parts as it needs, and every piece keeps its place."""
+    monkeypatch.setattr(packing, "RANK_ROWS", 7)
+    docs = spark.createDataFrame([(i, "a" if i % 3 else "the same words again") for i in range(300)] + [(None, "a")] * 20, "doc_id long, text string")
+    rows = packing.pack(docs, BYTES).collect()
+    assert len(rows) == 320
+    taken = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    at = {}
+    for sequence, offset, length in taken:
+        assert offset == at.get(sequence, 0)
+        at[sequence] = offset + length
+    assert max(at.values()) <= 2048 and sorted(at) == list(range(len(at)))
