@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import append_by_text, filter_by_text
+from strandlake.session import cut
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Beginnings of words that are features beside the whole word.
@@ -137,12 +138,12 @@ def counted(text: str, known: Callable[[str], list[str]]) -> Counter:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_examples: int = 12_000, max_features: int = 2000, k: int = 25) -> ToxicityModel:
-    """Fit on at most ``max_examples`` labelled rows, the first by a hash of their id.
+def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_examples: int = 12_000, k: int = 25) -> ToxicityModel:
+    """Fit on at most ``max_examples`` labelled rows, the first by a hash of their id, then of id and text.
 
     Several labels of one id count as the largest; null labels, and ids without a text, teach
-    nothing. Without examples of both labels every text gets the share of toxic labels seen (0.5 if
-    there are none).
+    nothing; rows of equal id and text are one example. Without examples of both labels every text gets the share of
+    toxic labels seen (0.5 if there are none).
     """
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -152,6 +153,12 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
         .limit(max_examples)
     )
     examples = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    examples = examples.withColumn("_h", F.xxhash64(id_col, text_col)).dropDuplicates([id_col, "_h"])
+    if examples.count() > max_examples:
+        # ids that repeat with other texts: the hash that stands at the bound
+        last = examples.select("_h").orderBy("_h").limit(max_examples).agg(F.max("_h")).first()[0]
+        examples = examples.where(F.col("_h") <= last)
+    examples = cut(examples.drop("_h"))
 
     total = {r["_label"]: r["n"] for r in examples.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     n, positive = sum(total.values()), total.get(1, 0)
@@ -173,17 +180,19 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
         spread = append_by_text(rows, text_col, "_features array<string>", features_in(known))
         return spread.select("_label", F.explode("_features").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("_label").alias("pos"))
 
-    # only what three toxic examples hold can become a feature; the sample bounds how many there are
-    candidates = frozenset(r["f"] for r in seen(examples.where("_label = 1"), None).where("pos >= 3").select("f").collect())
+    # one feature in so many would reach this gain by chance; it takes so many toxic examples at least, without others
+    needed = 2 * math.log(20 * n)
+    least = math.ceil(needed / (-2 * math.log(share)))
+    candidates = frozenset(r["f"] for r in seen(examples.where("_label = 1"), None).where(F.col("pos") >= least).select("f").collect())
 
     def term(a: F.Column, b: F.Column) -> F.Column:
         return F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
 
     pos, neg = F.col("pos").cast("double"), (F.col("n") - F.col("pos")).cast("double")
     gain = 2 * (term(pos, F.col("n") * share) + term(neg, F.col("n") * (1 - share)))
-    # one feature in so many would reach this gain by chance
-    picked = seen(examples, candidates).where("pos >= 3").withColumn("gain", gain).where((pos > F.col("n") * max(0.5, share)) & (F.col("gain") > 2 * math.log(20 * n)))
-    rows = picked.orderBy(F.desc("gain"), "f").limit(max_features).collect()
+    picked = seen(examples, candidates).withColumn("gain", gain).where((pos > F.col("n") * max(0.5, share)) & (F.col("gain") > needed))
+    # the sample bounds how many there are
+    rows = picked.orderBy(F.desc("gain"), "f").collect()
     features = {r["f"]: (i, math.log((n + 1) / (r["n"] + 1)) + 1) for i, r in enumerate(rows)}
 
     def own_features() -> Callable:

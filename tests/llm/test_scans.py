@@ -4,8 +4,10 @@ import gzip
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.llm import langid, secrets, toxicity, warc
 
@@ -146,3 +148,26 @@ def test_keys_beside_other_letters_and_spans_are_judged(make_docs):
     assert not any(k in r.text for r in plain[: len(spots)])
     assert [r.text for r in plain[len(spots) :]] == clean
     assert plain[2].text == "密钥[REDACTED]"
+
+
+def test_examples_are_bounded_by_rows_not_ids(labelled, make_docs):
+    """An id that repeats with many texts, or one, doesn't exceed the bound; rows of equal id and text are one example."""
+    docs, labels = labelled
+    again = docs.unionByName(docs).unionByName(docs.where("doc_id = 0").crossJoin(docs.select(F.col("text").alias("t"))).withColumn("text", F.concat("text", F.lit(" "), "t")).drop("t"))
+    whole = toxicity.train(docs, labels)
+    assert sorted(toxicity.train(docs.unionByName(docs), labels).index.ids) == sorted(whole.index.ids)
+    few = toxicity.train(again, labels, max_examples=30)
+    assert few.index is None or len(few.index.ids) <= 30
+
+
+def test_caught_share_on_held_out_rows(spark):
+    """On the driver's tables, most toxic texts that were held out are found, and next to no other."""
+    data = Path("/root/testdata/sf0.01")
+    if not data.exists():
+        pytest.skip("the driver's tables are not here")
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    found = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs.select("doc_id", "text"), labels.where(~held)))
+    told = found.join(labels.where(held), "doc_id").groupBy("toxic").agg(F.sum("predicted").alias("hit"), F.count("*").alias("n")).collect()
+    share = {r.toxic: r.hit / r.n for r in told}
+    assert share[1] >= 0.5 and share[0] <= 0.02
