@@ -49,14 +49,14 @@ class Pipeline:
     def calls(self) -> DataFrame:
         """Calls of all samples: decoded from reads, whose counters are taken on the way, or loaded from chunks of an earlier extraction."""
         read = {"bam": alignments.read_bam, "sam": alignments.read_sam}
-        parts = []
+        parts, own = [], self.spark.newSession()
         for name, source in self.config.samples.items():
             for kind in source:
                 if kind in read:
-                    rows, self.seen[name] = alignments.observed(read[kind](self.spark, source[kind]))
+                    rows, self.seen[name] = alignments.observed(read[kind](own, source[kind]))
                     parts.append(decode_reads(rows).withColumn("sample", F.lit(name)))
                 elif kind == "calls":
-                    rows = load_calls(self.spark, source[kind], name)
+                    rows = load_calls(own, source[kind], name)
                     parts.append(rows.withColumn("sample", F.coalesce("sample", F.lit(name))) if "sample" in rows.columns else rows.withColumn("sample", F.lit(name)))
         if not parts:
             raise ValueError("the configuration names no sample with a bam, sam or calls path")

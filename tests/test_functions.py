@@ -236,7 +236,7 @@ def test_bam_files_written_by_partitions(spark, tmp_path, monkeypatch):
 
 
 def test_counters_are_taken_on_the_way(spark, tmp_path):
-    rows = spark.createDataFrame(some_reads(500, random.Random(2)), bam.READ_FIELDS)
+    rows = spark.newSession().createDataFrame(some_reads(500, random.Random(2)), bam.READ_FIELDS)
     watched, seen = alignments.observed(rows)
     mm.decode_reads(watched).write.parquet(str(tmp_path / "calls"))
     assert seen.get == alignments.read_counters(rows).first().asDict()
