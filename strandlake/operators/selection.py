@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandlake.session import Scratch
 
 #: A group is cut to so many slots in a round; what is left of it is held at once when it has no more rows than this.
-SLOTS, HELD = 4096, 10_000
+SLOTS, HELD = 4096, 200_000
 
 
 def magnitude(x: Column) -> Column:
