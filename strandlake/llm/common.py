@@ -19,8 +19,8 @@ from strandlake.session import cut
 
 #: Rows of a batch are handed to Python code in slices of about so many bytes.
 SLICE_BYTES = 4_000_000
-#: One key's rows are dealt to so many tasks where a join meets hot keys.
-SALTS = 16
+#: A key is hot with more than one row in so many of a table, and with more rows than the least figure.
+HOT_SHARE, LEAST_HOT = 20_000, 2000
 #: A key with more rows than this is dealt to several tasks, each of about so many of its rows.
 HOT_ROWS = 100_000
 #: A table of numbers is broadcast only when counted to have no more rows than this (a few MB).
@@ -140,18 +140,27 @@ def bounded(small: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(small) if rows <= BROADCAST_ROWS else small
 
 
-def join_unique(big: DataFrame, small: DataFrame, key: str, spread: Column, how: str = "left", rows: int | None = None, salts: int = SALTS) -> DataFrame:
-    """Join to ``small``, which has each key once.
+def join_unique(big: DataFrame, small: DataFrame, key: str, spread: Column, held: str, how: str = "left", rows: int | None = None) -> DataFrame:
+    """Join to ``small``, which has each key once; its column ``held`` counts the rows of ``big`` under a key.
 
     ``rows``, if given, is a proven bound of its rows: up to ``BROADCAST_ROWS`` it is broadcast.
-    Otherwise a hot key of ``big`` meets it in ``salts`` tasks; ``spread`` decides a row's task among
-    them and must be deterministic.
+    Otherwise a key with more than one row in ``HOT_SHARE`` of all is dealt to as many tasks as it has
+    such shares, so at most ``HOT_SHARE`` keys are, and their list is broadcast. ``spread`` decides a
+    row's task among them and must be deterministic; rows without a key go by it as well. ``small``
+    is read twice and should be a written table.
     """
     if rows is not None and rows <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), key, how)
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    total, most = small.agg(F.coalesce(F.sum(held), F.lit(0)), F.coalesce(F.max(held), F.lit(0))).first()
+    share = max(LEAST_HOT, total // HOT_SHARE)
+    left, right = big.withColumn("_parts", F.lit(1)), small.withColumn("_salt", F.lit(0).cast("long"))
+    if most > share:
+        parts = F.ceil(F.col(held) / share)
+        left = big.join(F.broadcast(small.where(F.col(held) > share).select(key, parts.alias("_parts"))), key, "left")
+        right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(parts, F.lit(1)) - 1)))
+    place = F.xxhash64(spread)
+    salt = F.when(F.col(key).isNull(), place).otherwise(F.pmod(place, F.coalesce("_parts", F.lit(1))))
+    return left.withColumn("_salt", salt).drop("_parts").join(right, [key, "_salt"], how).drop("_salt")
 
 
 def join_counted(big: DataFrame, small: DataFrame, key: str, spread: Column, counts: DataFrame, how: str = "left") -> DataFrame:
@@ -197,7 +206,8 @@ def component_table(links: DataFrame, max_rounds: int = 40) -> tuple[DataFrame,
         return e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
 
     def with_least(e: DataFrame, nodes: int) -> DataFrame:
-        return join_unique(e, e.groupBy("u").agg(F.min("v").alias("m")), "u", F.col("v"), "inner", nodes)
+        least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_held"))
+        return join_unique(e, least if nodes <= BROADCAST_ROWS else cut(least), "u", F.col("v"), "_held", "inner", nodes)
 
     def measured(e: DataFrame) -> tuple[int, int]:
         return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
@@ -212,7 +222,7 @@ def component_table(links: DataFrame, max_rounds: int = 40) -> tuple[DataFrame,
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = with_least(both, 2 * state[0]).where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
-        star = with_least(smaller_first(large), 2 * state[0])
+        star = with_least(cut(smaller_first(large)), 2 * state[0])
         small = star.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(star.select(F.col("u").alias("a"), F.col("m").alias("b")))
         edges = cut(smaller_first(small).distinct())
         before, state = state, measured(edges)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import batch_slices, bounded, component_table, free_name, freeing, join_unique
+from strandlake.llm.common import BROADCAST_ROWS, batch_slices, bounded, component_table, free_name, freeing, join_unique
 from strandlake.session import Scratch, cut
 
 #: A worker's tables of word hashes and of shingle sets are emptied beyond so many entries: a bound on memory alone.
@@ -286,8 +286,8 @@ def block_pairs(members: DataFrame, s: JoinSettings) -> DataFrame:
     """
     counts = members.groupBy("node", "label").agg(F.count("*").alias("c"))
     most = F.max(F.struct("c", "label"))
-    nodes = cut(counts.groupBy("node").agg(most.getField("label").alias("_main"), F.ceil(most.getField("c") / s.finish_block).alias("_a"), F.ceil((F.sum("c") - most.getField("c")) / s.finish_block).alias("_b")))
-    dealt = join_unique(members, nodes, "node", F.col("rep"), "inner", nodes.count())
+    nodes = cut(counts.groupBy("node").agg(most.getField("label").alias("_main"), F.ceil(most.getField("c") / s.finish_block).alias("_a"), F.ceil((F.sum("c") - most.getField("c")) / s.finish_block).alias("_b"), F.sum("c").alias("_held")))
+    dealt = join_unique(members, nodes, "node", F.col("rep"), "_held", "inner", nodes.count())
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     main, place = F.col("label") == F.col("_main"), F.xxhash64("rep", "node")
     x, y = F.pmod(place, F.col("_a")), F.pmod(place, F.col("_b"))
@@ -311,18 +311,21 @@ class Labels:
         joined, n = component_table(links)
         moved = joined.where("node != component").select(F.col("node").alias("rep"), F.col("component").alias("label"))
         if self.table is not None:
-            held = join_unique(self.table.withColumnRenamed("label", "node"), joined, "node", F.col("rep"), rows=n)
+            known = self.table.withColumnRenamed("label", "node")
+            if n > BROADCAST_ROWS:
+                joined = self.cut(joined.join(known.groupBy("node").agg(F.count("*").alias("_held")), "node"))
+            held = join_unique(known, joined, "node", F.col("rep"), "_held", rows=n)
             moved = moved.unionByName(held.select("rep", F.coalesce("component", "node").alias("label")))
         self.table = self.cut(moved)
         self.rows = self.table.count()
         return True
 
-    def of(self, rows: DataFrame, spread: str) -> DataFrame:
-        """``rows`` with the label of their rep as it is now."""
+    def of(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the label of their rep as it is now; a rep has few rows, one for each node it is in."""
         rows = rows.drop("label")
         if self.table is None:
             return rows.withColumn("label", F.col("rep"))
-        return join_unique(rows, self.table, "rep", F.col(spread), rows=self.rows).withColumn("label", F.coalesce("label", "rep"))
+        return rows.join(bounded(self.table, self.rows), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
 
 
 def classes(docs: DataFrame, s: JoinSettings, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
@@ -357,7 +360,7 @@ def classes(docs: DataFrame, s: JoinSettings, id_col: str, text_col: str) -> tup
         """(node, rep, label, n, cost) of the nodes that hold members of different components."""
         counts = rows.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node")
         sizes = scratch.cut(counts.agg(F.sum("c").alias("n"), F.max("c").alias("_most"), F.count("*").alias("_labels")).where("_labels > 1").select("node", "n", ((F.col("n") - F.col("_most")) * F.col("n")).alias("cost")))
-        return scratch.cut(join_unique(rows.select("node", "rep", "label"), sizes, "node", F.col("rep"), "inner", sizes.count()))
+        return scratch.cut(join_unique(rows.select("node", "rep", "label"), sizes, "node", F.col("rep"), "n", "inner", sizes.count()))
 
     def search(rows: DataFrame) -> None:
         """Resolve the nodes of ``rows`` (node, rep, label)."""
@@ -369,10 +372,10 @@ def classes(docs: DataFrame, s: JoinSettings, id_col: str, text_col: str) -> tup
             if left.isEmpty():
                 return
             # the heads of the components that meet in a node, compared in blocks of their own
-            named = scratch.cut(labels.of(left.select("node", "rep"), "node"))
+            named = scratch.cut(labels.of(left.select("node", "rep")))
             heads = named.select(F.xxhash64("node", F.lit("heads")).alias("node"), F.col("label").alias("rep"), "label").distinct()
             compare(blocks(heads.join(heads.groupBy("node").agg(F.count("*").alias("n")), "node"), replace(s, block=s.row_limit // 4)))
-            left = mixed(labels.of(named.select("node", "rep"), "node"))
+            left = mixed(labels.of(named.select("node", "rep")))
             if left.isEmpty():
                 return
             compare(left.where(small).select(F.col("node").alias("cid"), "rep", "label"))
@@ -385,11 +388,11 @@ def classes(docs: DataFrame, s: JoinSettings, id_col: str, text_col: str) -> tup
 
     for trees in ([0], [*range(1, s.trees)]):
         if trees:
-            search(branched(labels.of(reps.select("rep", "sketch"), "rep").select("rep", "label", "sketch"), s, trees))
+            search(branched(labels.of(reps.select("rep", "sketch")).select("rep", "label", "sketch"), s, trees))
 
-    named = scratch.cut(labels.of(reps.select("sig", "rep", "first", "copies"), "rep"))
-    joined = named.groupBy("label").agg(F.min("first").alias("first"), F.sum("copies").alias("rows")).where("rows > 1")
-    found = cut(join_unique(named.select("sig", "label"), scratch.cut(joined), "label", F.col("sig"), "inner").select("sig", "first", "rows"))
+    named = scratch.cut(labels.of(reps.select("sig", "rep", "first", "copies")))
+    joined = named.groupBy("label").agg(F.min("first").alias("first"), F.sum("copies").alias("rows"), F.count("*").alias("_held")).where("rows > 1")
+    found = cut(join_unique(named.select("sig", "label", "copies"), scratch.cut(joined), "label", F.col("sig"), "_held", "inner").select("sig", "first", "rows", "copies"))
     n = found.count()
     scratch.clear()
     return base.select("doc", "mark", "n_shingles", "sig"), found, n
@@ -404,7 +407,7 @@ def near_duplicates(docs: DataFrame, settings: JoinSettings | None = None, id_co
     members have none; kept is null-safe equality of id and component. An empty table gives no rows.
     """
     base, found, n = classes(docs, settings or JoinSettings(), id_col, text_col)
-    joined = join_unique(base, found, "sig", F.col("mark"), rows=n)
+    joined = join_unique(base, found, "sig", F.col("mark"), "copies", rows=n)
     component = F.when(F.col("first").isNull(), F.col("doc")).otherwise(F.col("first.doc"))
     return joined.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept"))
 
@@ -417,7 +420,7 @@ def drop_near_duplicates(docs: DataFrame, settings: JoinSettings | None = None,
     """
     base, found, n = classes(docs, settings or JoinSettings(), id_col, text_col)
     own = F.struct(F.col("doc").isNull().alias("none"), "doc", "mark")
-    inside = join_unique(base, found, "sig", F.col("mark"), "inner", n).groupBy("doc", "mark", (own == F.col("first")).alias("first")).agg(F.count("*").alias("_rows"))
+    inside = join_unique(base, found, "sig", F.col("mark"), "copies", "inner", n).groupBy("doc", "mark", (own == F.col("first")).alias("first")).agg(F.count("*").alias("_rows"))
     # a row goes if it isn't its class's first, or if rows equal to that one repeat it: of those, one comes back
     goes = cut(inside.where(~F.col("first") | (F.col("_rows") > 1)))
     key, mark = free_name(docs, "_doc"), free_name(docs, "_mark")

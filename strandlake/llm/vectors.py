@@ -179,9 +179,9 @@ def near_vectors(vectors: DataFrame, settings: ForestSettings | None = None, id_
     degrees = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     labels = connected_components(found.where("a != b").select("a", "b")).withColumnRenamed("node", "rep")
     classes = reps.join(degrees, "rep", "left").join(labels, "rep", "left").where("copies > 1 or links is not null")
-    classes = classes.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    # what can't be linked has no partner to meet: a key of its own keeps null vectors apart
-    keyed = base.withColumn("embedding", F.when(F.col("valid"), F.col("embedding")).otherwise(F.array(F.col("vec").cast("double"), F.lit(float("nan")))))
-    joined = join_unique(keyed, classes, "embedding", F.col("vec"))
+    classes = cut(classes.select("embedding", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component")))
+    # what can't be linked has no key
+    keyed = base.withColumn("embedding", F.when(F.col("valid"), F.col("embedding")))
+    joined = join_unique(keyed, classes, "embedding", F.col("vec"), "copies")
     component = F.coalesce("component", "vec")
     return joined.select(F.col("vec").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec") == component).alias("kept"))

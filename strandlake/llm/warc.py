@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import join_unique
+from strandlake.session import cut
 
 CRLF = "\r\n"
 RECORD_END = CRLF * 2
@@ -34,9 +35,10 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     """
     body = F.coalesce(F.col(html_col), F.lit(""))
     full = pages.withColumns({"body": body, "payload_bytes": F.octet_length(body).cast("long"), "payload_digest": F.sha1(body.cast("binary"))})
-    first = full.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max(id_col).alias("_stored"))
-    joined = join_unique(full, first, "payload_digest", F.col(id_col))
-    return joined.withColumn("refers_to", F.when(F.col("_stored") != F.col(id_col), F.col("_stored"))).drop("_stored")
+    first = full.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max(id_col).alias("_stored"), F.count("*").alias("_held"))
+    # a payload that comes once refers to nothing
+    joined = join_unique(full, cut(first.where("_held > 1")), "payload_digest", F.col(id_col), "_held")
+    return joined.withColumn("refers_to", F.when(F.col("_stored") != F.col(id_col), F.col("_stored"))).drop("_stored", "_held")
 
 
 def record_id(kind: str, page: F.Column) -> F.Column:

@@ -90,8 +90,37 @@ def test_components(spark, monkeypatch, in_task):
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("limit", [1024, 16])
-def test_vectors_equal_all_pairs(spark, limit):
+def test_hot_keys_are_dealt_by_their_counts(spark, monkeypatch):
+    """The same rows as a plain join; no task holds more of a key than its share, nor all rows without a key."""
+    monkeypatch.setattr(common, "LEAST_HOT", 10)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    keys = [1] * 300 + [None] * 200 + [2] * 10 + [*range(3, 60)]
+    big = spark.createDataFrame(list(enumerate(keys)), "id long, k long")
+    counts = [(k, sum(x == k for x in keys), f"v{k}") for k in {*keys} - {None, 4, 5}] + [(1000, 0, "none")]
+    small = spark.createDataFrame(counts, "k long, held long, v string")
+    for how in ("left", "inner"):
+        got = sorted((r.id, r.v) for r in common.join_unique(big, small, "k", F.col("id"), "held", how, 1).collect())
+        assert got == sorted((r.id, r.v) for r in big.join(small, "k", how).collect())
+        assert [r.v for r in common.join_unique(big.where("false"), small, "k", F.col("id"), "held", how).collect()] == []
+        assert common.join_unique(big, small.where("false"), "k", F.col("id"), "held", how).count() == (len(keys) if how == "left" else 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        joined = common.join_unique(big, small, "k", F.col("id"), "held")
+        held = joined.groupBy(F.spark_partition_id().alias("task"), "k").count().groupBy("k").agg(F.max("count").alias("n"), F.count("*").alias("tasks")).collect()
+    finally:
+        for name, value in (("spark.sql.shuffle.partitions", "4"), ("spark.sql.adaptive.enabled", "true")):
+            spark.conf.set(name, value)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    by_key = {r.k: r for r in held}
+    assert by_key[1].tasks > 16 and by_key[None].tasks > 16 and by_key[2].tasks == 1
+    assert by_key[1].n <= 60 and by_key[None].n <= 30
+
+
+@pytest.mark.parametrize(("limit", "hot"), [(1024, 2000), (16, 1)])
+def test_vectors_equal_all_pairs(spark, monkeypatch, limit, hot):
+    monkeypatch.setattr(common, "LEAST_HOT", hot)
     rng = np.random.default_rng(9)
     centers = rng.standard_normal((40, 16))
     rows = [c + 0.12 * rng.standard_normal(16) for c in centers for _ in range(12)]
