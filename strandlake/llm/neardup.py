@@ -20,9 +20,10 @@ the threshold; those that stay are confirmed on full sets.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,14 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import BROADCAST_ROWS, batch_slices, bounded, component_table, free_name, freeing, join_unique
 from strandlake.session import Scratch, cut
 
-#: A worker's tables of word hashes and of shingle sets are emptied beyond so many entries: a bound on memory alone.
-MEMO_WORDS = 100_000
+#: A worker's table of shingle sets is emptied beyond so many entries: a bound on memory alone.
 SET_MEMO = 2_000_000
+#: Words are hashed in pieces of about so many bytes, and minima taken of so many shingles at a time: both fit a core's cache.
+PIECE, SKETCH_ROWS = 200_000, 1024
+#: ASCII white space; which bytes belong to words; a random number for each byte, the same for A-Z and a-z.
+BLANK = re.compile(rb"[\t-\r ]")
+WORD_BYTE = np.array([not BLANK.match(bytes([b])) for b in range(256)])
+BYTE_NUMBERS = np.random.default_rng(5).integers(1, 2**64, 256, dtype=np.uint64)[list(bytes(range(256)).lower())]
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -75,37 +81,72 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of every word of a text in UTF-8, A-Z as a-z.
+
+    A word's hash is the mixed sum of its bytes' numbers, each times a number of its place in the word.
+    Texts are taken in pieces that end between words, so that what is held is a few times a piece.
+    """
+    found, at = [], 0
+    while at < len(data):
+        end = BLANK.search(data, at + PIECE)
+        stop = end.end() if end else len(data)
+        piece = np.frombuffer(data, np.uint8, stop - at, at)
+        edge = np.diff(np.concatenate([[False], WORD_BYTE[piece], [False]]).astype(np.int8))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if len(starts):
+            sizes = ends - starts
+            first = np.cumsum(sizes) - sizes
+            letters = piece[WORD_BYTE[piece]]
+            place = np.arange(len(letters)) - np.repeat(first, sizes)
+            with np.errstate(over="ignore"):
+                found.append((mix(np.add.reduceat(BYTE_NUMBERS[letters] * (mix(np.arange(sizes.max(), dtype=np.uint64)) | np.uint64(1))[place], first)), starts + at))
+        at = stop
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
 class Shingler:
-    """Sorted distinct 64-bit shingle hashes of a text; words are runs without ASCII white space."""
+    """Sorted distinct 64-bit shingle hashes of texts; words are runs without ASCII white space."""
 
     def __init__(self, width: int):
-        self.width, self.memo = width, {}
+        self.width = width
 
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        for w in set(words).difference(memo):
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-        n = max(1, len(words) - self.width + 1)
-        out = np.full(n, len(words) if len(words) < self.width else self.width, np.uint64)
-        for k in range(min(self.width, len(words))):
+    def runs(self, h: np.ndarray, size: int) -> np.ndarray:
+        """The hashes of all runs of ``size`` of the words ``h``."""
+        n = max(0, len(h) - size + 1)
+        out = np.full(n, size, np.uint64)
+        for k in range(size if n else 0):
             out = mix(out ^ h[k : k + n])
-        return np.unique(out)
+        return out
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        bodies = [t.encode("utf-8", "surrogatepass") for t in texts]
+        h, at = word_hashes(b"\n".join(bodies))
+        ends = np.searchsorted(at, np.cumsum([len(b) + 1 for b in bodies])).tolist()
+        every, out = self.runs(h, self.width), []
+        for a, b in zip([0, *ends], ends):
+            own = np.sort(every[a : b - self.width + 1] if b - a >= self.width else self.runs(h[a:b], b - a))
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if b > a else np.zeros(0, np.uint64))
+        return out
+
+    def __call__(self, text: str) -> np.ndarray:
+        return self.many([text])[0]
+
+
+@cache
+def multipliers(functions: int) -> np.ndarray:
+    return np.random.default_rng(20240229).integers(1, 2**63, functions, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def sketch(hashes: np.ndarray, functions: int) -> bytes:
     """The minimum of each function over the set, 32 bits each."""
-    rng = np.random.default_rng(20240229)
-    a = rng.integers(1, 2**63, functions, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    a = multipliers(functions)
     best = np.full(functions, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
-        for at in range(0, len(hashes), 2048):
-            best = np.minimum(best, (hashes[at : at + 2048, None] * a[None, :]).min(axis=0))
+        for at in range(0, len(hashes), SKETCH_ROWS):
+            best = np.minimum(best, (hashes[at : at + SKETCH_ROWS, None] * a[None, :]).min(axis=0))
     return (best >> np.uint64(32)).astype("<u4").tobytes()
 
 
@@ -117,8 +158,7 @@ def fingerprints(docs: DataFrame, s: JoinSettings) -> DataFrame:
         for batch in batches:
             for part, texts in batch_slices(batch, "text"):
                 out: tuple[list, ...] = ([], [], [])
-                for t in texts:
-                    x = shingle(t)
+                for x in shingle.many(texts):
                     for column, value in zip(out, (len(x), xxhash.xxh3_128_hexdigest(x.tobytes()) if len(x) else None, sketch(x, s.functions) if len(x) else None)):
                         column.append(value)
                 found = [pa.array(v, k) for v, k in zip(out, (pa.int64(), pa.string(), pa.binary()))]
@@ -224,15 +264,16 @@ def linked(group: list[tuple[int, bytes, str]], shingle: Shingler, s: JoinSettin
     sets: dict[int, np.ndarray] = {}
     held = 0
 
-    def members(i: int) -> np.ndarray:
+    def members(which: list[int]) -> list[np.ndarray]:
         nonlocal held
-        if i not in sets:
-            if held > SET_MEMO:
-                sets.clear()
-                held = 0
-            sets[i] = shingle(group[i][2])
-            held += len(sets[i])
-        return sets[i]
+        if held > SET_MEMO:
+            sets.clear()
+            held = 0
+        new = [i for i in which if i not in sets]
+        for i, x in zip(new, shingle.many([group[i][2] for i in new])):
+            sets[i] = x
+            held += len(x)
+        return [sets[i] for i in which]
 
     def near(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
         sizes = np.array([len(y) for y in others])
@@ -250,7 +291,8 @@ def linked(group: list[tuple[int, bytes, str]], shingle: Shingler, s: JoinSettin
             todo, take = right[a:b][np.argsort(-matches[a:b].astype(np.int64), kind="stable")], 4
             while len(todo := todo[component[todo] != component[i]]):
                 now, todo = todo[:take], todo[take:]
-                for j in now[near(members(i), [members(j) for j in now.tolist()])].tolist():
+                x, *others = members([i, *now.tolist()])
+                for j in now[near(x, others)].tolist():
                     one, two = component[i], component[j]
                     if one != two:
                         component[component == max(one, two)] = min(one, two)
