@@ -9,9 +9,11 @@ Independent trees are repeated until a pair at the threshold is missed with negl
 Links join components, and from then on only members of different components are compared: a node
 within one component is done. The first tree is finished before the others begin, so that groups of
 copies are one component each by the time the other trees meet them. What a node costs is the number
-of its pairs outside its largest component. A node that costs too much is compared in blocks, which
-links most of its members, and by the heads of the components that meet in it; if it still does it
-branches on. What is unresolved at the depth limit is finished block against block, which is exact.
+of its pairs outside its largest component. One that costs too much for a single group is compared
+block against block, which is exact, up to ``reach`` times that cost: members just short of the
+threshold stay together however far a node branches. A node beyond is compared in blocks, which
+links most of its members, and by the heads of the components that meet in it; if it still costs as
+much it branches on, and at the depth limit is finished block against block as well.
 
 Before texts are fetched, sketches leave out pairs whose likeness is four standard deviations under
 the threshold; those that stay are confirmed on full sets.
@@ -50,8 +52,9 @@ class JoinSettings:
     """``width`` words a shingle; linked with ``100 * intersection >= percent * union``.
 
     ``trees`` and ``functions`` set recall. ``pair_limit`` is the cost and ``row_limit`` the size up to
-    which a node is compared in one go; a larger one is cut to blocks of about ``block`` and branches by
-    ``levels`` more, ``rounds`` times at most.
+    which a node is one group; up to ``reach`` times that cost its blocks of about ``finish_block`` meet
+    each other. A larger one is cut to blocks of about ``block`` and branches by ``levels`` more,
+    ``rounds`` times at most.
     """
 
     width: int = 5
@@ -60,9 +63,10 @@ class JoinSettings:
     functions: int = 64
     levels: int = 2
     pair_limit: int = 1_000_000
-    row_limit: int = 4096
+    reach: int = 16
+    row_limit: int = 1024
     block: int = 64
-    finish_block: int = 256
+    finish_block: int = 512
     rounds: int = 6
 
     @property
@@ -227,11 +231,12 @@ def candidate_pairs(labels: np.ndarray, sketches: np.ndarray, s: JoinSettings) -
     rank = np.full(len(labels), -1)
     rank[others] = np.arange(len(others))
     step = max(1, 500_000 // len(labels))
+    columns = np.ascontiguousarray(sketches.T)
     for at in range(0, len(others), step):
         own = others[at : at + step]
         matches = np.zeros((len(own), len(labels)), np.uint8)
         for f in range(s.functions):
-            matches += sketches[own, f, None] == sketches[None, :, f]
+            matches += columns[f, own, None] == columns[f]
         # a pair of two others counts at the later one
         allowed = (matches >= s.least) & (labels[own, None] != labels[None, :]) & (rank[None, :] < rank[own, None])
         i, j = np.nonzero(allowed)
@@ -278,9 +283,20 @@ def linked(group: list[tuple[int, bytes, str]], shingle: Shingler, s: JoinSettin
     def near(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
         sizes = np.array([len(y) for y in others])
         flat = np.concatenate(others)
-        found = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
-        both = np.add.reduceat(found.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-        return 100 * both >= s.percent * (len(x) + sizes - both)
+        starts = np.cumsum(sizes) - sizes
+
+        def enough(found: np.ndarray) -> np.ndarray:
+            both = np.add.reduceat(found, starts, dtype=np.int64)
+            return 100 * both >= s.percent * (len(x) + sizes - both)
+
+        # low bits in common bound the intersection from above; few pairs are left to be confirmed
+        low = np.uint64((1 << min(22, len(x).bit_length() + 6)) - 1)
+        taken = np.zeros(int(low) + 1, bool)
+        taken[x & low] = True
+        allowed = enough(taken[flat & low])
+        if allowed.any():
+            allowed = enough(np.repeat(allowed, sizes) & (x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat))
+        return allowed
 
     out = []
     for left, right, matches in candidate_pairs(labels, sketches, s):
@@ -321,22 +337,19 @@ def blocks(members: DataFrame, s: JoinSettings) -> DataFrame:
 
 
 def block_pairs(members: DataFrame, s: JoinSettings) -> DataFrame:
-    """Groups in which every two members of a node with different labels meet.
+    """Groups in which every two members of a node with different labels meet, of (node, rep, label, n, most, main).
 
-    The members with a node's commonest label are linked already: their blocks meet those of the
-    others, not each other. The others' blocks also meet among themselves.
+    The ``most`` members with a node's commonest label ``main`` are linked already: their blocks meet
+    those of the others, not each other. The others' blocks also meet among themselves.
     """
-    counts = members.groupBy("node", "label").agg(F.count("*").alias("c"))
-    most = F.max(F.struct("c", "label"))
-    nodes = cut(counts.groupBy("node").agg(most.getField("label").alias("_main"), F.ceil(most.getField("c") / s.finish_block).alias("_a"), F.ceil((F.sum("c") - most.getField("c")) / s.finish_block).alias("_b"), F.sum("c").alias("_held")))
-    dealt = join_unique(members, nodes, "node", F.col("rep"), "_held", "inner", nodes.count())
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    main, place = F.col("label") == F.col("_main"), F.xxhash64("rep", "node")
-    x, y = F.pmod(place, F.col("_a")), F.pmod(place, F.col("_b"))
+    a, b = F.ceil(F.col("most") / s.finish_block), F.ceil((F.col("n") - F.col("most")) / s.finish_block)
+    main, place = F.col("label") == F.col("main"), F.xxhash64("rep", "node")
+    x, y = F.pmod(place, a), F.pmod(place, b)
     key = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("x"), b.alias("y"))
-    across = F.when(main, F.transform(upto(F.col("_b")), lambda j: key("across", x, j))).otherwise(F.transform(upto(F.col("_a")), lambda i: key("across", i, y)))
-    among = F.when(main, F.expr("cast(array() as array<struct<kind:string,x:bigint,y:bigint>>)")).otherwise(F.transform(upto(F.col("_b")), lambda j: key("among", F.least(y, j), F.greatest(y, j))))
-    spread = dealt.select("node", "rep", "label", F.explode(F.concat(across, among)).alias("_k"))
+    across = F.when(main, F.transform(upto(b), lambda j: key("across", x, j))).otherwise(F.transform(upto(a), lambda i: key("across", i, y)))
+    among = F.when(main, F.expr("cast(array() as array<struct<kind:string,x:bigint,y:bigint>>)")).otherwise(F.transform(upto(b), lambda j: key("among", F.least(y, j), F.greatest(y, j))))
+    spread = members.select("node", "rep", "label", F.explode(F.concat(across, among)).alias("_k"))
     return spread.select(F.xxhash64("node", "_k.kind", "_k.x", "_k.y").alias("cid"), "rep", "label")
 
 
@@ -399,29 +412,36 @@ def classes(docs: DataFrame, s: JoinSettings, id_col: str, text_col: str) -> tup
         labels.add(scratch.cut(compared(kept, reduce(DataFrame.unionByName, texts), s)))
 
     def mixed(rows: DataFrame) -> DataFrame:
-        """(node, rep, label, n, cost) of the nodes that hold members of different components."""
+        """(node, rep, label, n, most, main) of the nodes that hold members of different components: their members and those of the commonest label."""
         counts = rows.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node")
-        sizes = scratch.cut(counts.agg(F.sum("c").alias("n"), F.max("c").alias("_most"), F.count("*").alias("_labels")).where("_labels > 1").select("node", "n", ((F.col("n") - F.col("_most")) * F.col("n")).alias("cost")))
+        top = F.max(F.struct("c", "label"))
+        sizes = scratch.cut(counts.agg(F.sum("c").alias("n"), top.getField("c").alias("most"), top.getField("label").alias("main"), F.count("*").alias("_labels")).where("_labels > 1").drop("_labels"))
         return scratch.cut(join_unique(rows.select("node", "rep", "label"), sizes, "node", F.col("rep"), "n", "inner", sizes.count()))
 
     def search(rows: DataFrame) -> None:
         """Resolve the nodes of ``rows`` (node, rep, label)."""
+        cost = (F.col("n") - F.col("most")) * F.col("n")
+        small, wide = (cost <= s.pair_limit) & (F.col("n") <= s.row_limit), cost > s.reach * s.pair_limit
+
+        def whole(members: DataFrame) -> DataFrame:
+            """Groups of the nodes that are compared as a whole."""
+            return members.where(small).select(F.col("node").alias("cid"), "rep", "label").unionByName(block_pairs(members.where(~small & ~wide), s))
+
         for turn in range(s.rounds + 1):
             members = mixed(scratch.cut(rows))
-            small = (F.col("cost") <= s.pair_limit) & (F.col("n") <= s.row_limit)
-            compare(members.where(small).select(F.col("node").alias("cid"), "rep", "label").unionByName(blocks(members.where(~small), s)))
-            left = members.where(~small)
+            left = members.where(wide)
+            compare(whole(members).unionByName(blocks(left, s)))
             if left.isEmpty():
                 return
             # the heads of the components that meet in a node, compared in blocks of their own
             named = scratch.cut(labels.of(left.select("node", "rep")))
             heads = named.select(F.xxhash64("node", F.lit("heads")).alias("node"), F.col("label").alias("rep"), "label").distinct()
-            compare(blocks(heads.join(heads.groupBy("node").agg(F.count("*").alias("n")), "node"), replace(s, block=s.row_limit // 4)))
+            compare(blocks(heads.join(heads.groupBy("node").agg(F.count("*").alias("n")), "node"), replace(s, block=s.row_limit)))
             left = mixed(labels.of(named.select("node", "rep")))
             if left.isEmpty():
                 return
-            compare(left.where(small).select(F.col("node").alias("cid"), "rep", "label"))
-            left = left.where(~small)
+            compare(whole(left))
+            left = left.where(wide)
             if left.isEmpty():
                 return
             if turn == s.rounds:

@@ -78,6 +78,26 @@ def test_near_duplicates_of_one_large_group(make_docs):
     assert neardup.near_duplicates(make_docs([None, ""])).where("kept").count() == 2
 
 
+@pytest.mark.parametrize("more", [{}, {"reach": 1, "rounds": 1}])
+def test_texts_just_short_of_the_threshold_are_settled_without_branching_on(make_docs, monkeypatch, more):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(120):
+        t = list(base)
+        for k, at in enumerate(rng.sample(range(200), 2 + i % 5)):
+            t[at] = f"x{i}_{k}"
+        texts.append(" ".join(t))
+    sets = [shingles(t, 3) for t in texts]
+    want = components(range(len(texts)), lambda i, j: 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]))
+    assert len(set(want.values())) > 30
+    turns, branched = [], neardup.branched
+    monkeypatch.setattr(neardup, "branched", lambda rows, s, trees=(): turns.append(trees) or branched(rows, s, trees))
+    got = neardup.near_duplicates(make_docs(texts), neardup.JoinSettings(3, 85, pair_limit=1000, finish_block=16, **more)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert (len(turns) > 2) if more else turns == [[0], [*range(1, 10)]]
+
+
 @pytest.mark.parametrize("in_task", [0, 100_000])
 def test_components(spark, monkeypatch, in_task):
     monkeypatch.setattr(common, "BROADCAST_ROWS", in_task)
