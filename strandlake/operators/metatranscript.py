@@ -13,11 +13,15 @@ FEATURES = {"five_prime_utr": ("5UTR", 0), "CDS": ("CDS", 1), "three_prime_utr":
 
 
 def split_utr(features: DataFrame) -> DataFrame:
-    """Features named ``UTR`` as five or three prime, by the coding span and strand of their transcript."""
+    """Features named ``UTR`` as five or three prime, by the coding span and strand of their transcript.
+
+    Here and below joins are merged by hint: by the size of its file, which counts no exploded row, Spark would
+    broadcast an annotation that the driver can't hold.
+    """
     span = features.where("feature = 'CDS'").groupBy("transcript_id").agg(F.min("start").alias("_low"), F.max("end").alias("_high"))
     before = F.col("end") <= F.col("_low")
     named = F.when(F.col("feature") != "UTR", F.col("feature")).when(before == (F.col("strand") == "+"), "five_prime_utr").otherwise("three_prime_utr")
-    return features.join(span, "transcript_id", "left").withColumn("feature", named).drop("_low", "_high")
+    return features.join(span.hint("merge"), "transcript_id", "left").withColumn("feature", named).drop("_low", "_high")
 
 
 def region_table(features: DataFrame) -> DataFrame:
@@ -35,7 +39,7 @@ def region_table(features: DataFrame) -> DataFrame:
     own = Window.partitionBy("transcript_id", "region")
     ordered = own.orderBy(F.when(minus, -F.col("start")).otherwise(F.col("start")), F.when(minus, -F.col("end")).otherwise(F.col("end"))).rowsBetween(Window.unboundedPreceding, -1)
     summed = parts.withColumns({"bases_before": F.coalesce(F.sum(size).over(ordered), F.lit(0)), "region_length": F.sum(size).over(own)})
-    return summed.join(tx, "transcript_id")
+    return summed.join(tx.hint("merge"), "transcript_id")
 
 
 def annotate(sites: DataFrame, features: DataFrame, site_key: list[str], bin_size: int = 10_000) -> DataFrame:
@@ -44,7 +48,7 @@ def annotate(sites: DataFrame, features: DataFrame, site_key: list[str], bin_siz
     A site takes the transcript of its strand that starts last (then ends last, then by id) among
     those where it lies in a region; elsewhere it is intergenic.
     """
-    regions = region_table(split_utr(features))
+    regions = region_table(split_utr(features)).hint("merge")
     hits = overlap_join(sites.select(*dict.fromkeys([*site_key, "chrom", "ref_pos", "strand"])), regions, ["chrom", "strand"], bin_size=bin_size)
     hits = hits.where("ref_pos >= tx_start and ref_pos < tx_end")
     rank = F.create_map(*[F.lit(x) for r, n in FEATURES.values() for x in (r, n)])
