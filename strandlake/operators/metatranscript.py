@@ -57,7 +57,7 @@ def annotate(sites: DataFrame, features: DataFrame, site_key: list[str], bin_siz
     # one partial aggregate picks the transcript: the largest by start, end and id, and in it the first region
     best = hits.groupBy(*site_key).agg(F.max(F.struct("tx_start", "tx_end", "transcript_id", (-rank[F.col("region")]).alias("_rank"), (-F.col("start")).alias("_s"), place.alias("metatranscript_pos"), "region", "gene_name")).alias("_best"))
     b = F.col("_best")
-    return sites.join(best, site_key, "left").select(
+    return sites.join(best.hint("merge"), site_key, "left").select(
         *sites.columns, b["metatranscript_pos"].alias("metatranscript_pos"), F.coalesce(b["region"], F.lit("intergenic")).alias("region"), F.coalesce(b["gene_name"], F.lit("")).alias("gene_name"), F.coalesce(b["transcript_id"], F.lit("")).alias("transcript_id")
     )
 
