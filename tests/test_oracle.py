@@ -43,7 +43,7 @@ def test_query_without_sql_has_rows(spark, name):
     assert plans.QUERIES[name](spark, str(DATA)).count() > 0
 
 
-@pytest.mark.parametrize("name", ["metatranscript_positions", "metatranscript_summary", "region_directions", "region_page", "region_shares"])
+@pytest.mark.parametrize("name", ["metatranscript_positions", "metatranscript_summary", "region_directions", "region_page", "region_shares", "significant_regions"])
 def test_annotation_is_not_broadcast_by_estimate(spark, name):
     """The size of the file says little of the regions made from it: at 60 times sf0.1 the driver ran out of memory."""
     assert "Broadcast" not in plans.QUERIES[name](spark, str(DATA))._jdf.queryExecution().sparkPlan().toString()
